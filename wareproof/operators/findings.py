@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,26 +12,42 @@ from wareproof.operators.registry import META
 from wareproof.schema import EDIT_FIELDS, FINDING_FIELDS, PAYLOAD_FIELDS
 
 
-def _typed(value, kind: str) -> Column:
+_literals: dict[tuple, Column] = {}
+
+
+def _typed(value, kind: str, name: str) -> Column:
+    """A named, typed part. Literals are shared: the suite needs the same few hundreds of times."""
     if isinstance(value, Column):
-        return value.cast(kind)
-    return F.lit(value).cast(kind)
+        return value.cast(kind).alias(name)
+    key = (id(SparkContext._active_spark_context), value, type(value), kind, name)
+    if key not in _literals:
+        _literals[key] = F.lit(value).cast(kind).alias(name)
+    return _literals[key]
+
+
+def _struct(values: dict, fields: Sequence[tuple[str, str]]) -> Column:
+    return F.struct(*[_typed(values.get(n), t, n) for n, t in fields])
 
 
 def edit(kind: str, **parts) -> Column:
     """A suggestion. One that only repeats the stored value is not kept."""
     values = {"kind": kind, **parts}
     if "suggested" in values and "raw" in values:
-        suggested, raw = _typed(values["suggested"], "string"), _typed(values["raw"], "string")
-        values["suggested"] = F.when(~suggested.eqNullSafe(raw), suggested)
-    return F.struct(*[_typed(values.get(n), t).alias(n) for n, t in EDIT_FIELDS])
+        suggested, raw = values["suggested"], values["raw"]
+        if suggested is raw:
+            values["suggested"] = None
+        else:
+            text = suggested if isinstance(suggested, Column) else F.lit(suggested)
+            stored = (raw if isinstance(raw, Column) else F.lit(raw)).cast("string")
+            values["suggested"] = F.when(~text.eqNullSafe(stored), text)
+    return _struct(values, EDIT_FIELDS)
 
 
 def payload(rule_id: str, **parts) -> Column:
     """What a check says about the row it is about."""
     meta = META.get(rule_id, {"area": "custom", "severity": "medium"})
     values = {"rule_id": rule_id, "area": meta["area"], "severity": meta["severity"], **parts}
-    return F.struct(*[_typed(values.get(n), t).alias(n) for n, t in PAYLOAD_FIELDS])
+    return _struct(values, PAYLOAD_FIELDS)
 
 
 def finding_key() -> Column:
@@ -48,11 +65,8 @@ def to_findings(df: DataFrame) -> DataFrame:
         else (F.col(n) if n in have else F.lit(None)).cast(t).alias(n)
         for n, t in FINDING_FIELDS
     ]
-    filled = df
-    for c in ("variant_id", "word", "field"):
-        if c not in have:
-            filled = filled.withColumn(c, F.lit(None).cast("string"))
-    return filled.select(*cols)
+    lacking = {c: F.lit(None).cast("string") for c in ("variant_id", "word", "field") if c not in have}
+    return (df.withColumns(lacking) if lacking else df).select(*cols)
 
 
 def emit(

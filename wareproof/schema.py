@@ -51,7 +51,7 @@ SAVED = "struct<batch_id: string, value: string, at: timestamp, quick: boolean>"
 FINDING_FIELDS = [
     ("tenant", "string"), ("rule_id", "string"), ("area", "string"), ("severity", "string"),
     ("product_id", "string"), ("product_title", "string"), ("pos", "bigint"),
-    ("variant_id", "string"), ("variant_title", "string"), ("variant_pos", "int"), ("sku", "string"),
+    ("variant_id", "string"), ("variant_title", "string"), ("variant_pos", "bigint"), ("sku", "string"),
     ("variant_count", "int"), ("word", "string"), ("field", "string"), ("detail", "string"),
     ("current", "string"), ("edit", EDIT), ("meta", "map<string,string>"), ("saved", SAVED),
     ("finding_key", "string"),

@@ -16,6 +16,8 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
+    # Building the suite makes thousands of Columns; recording a call site for each costs seconds.
+    "spark.sql.dataFrameQueryContext.enabled": "false",
 }
 
 _local_dirs: dict[str, str] = {}

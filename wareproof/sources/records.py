@@ -285,13 +285,13 @@ def from_tables(
     )
     if memberships is None:
         memberships = spark.createDataFrame(
-            [], "tenant string, product_id string, member_pos int, collection_id string"
+            [], "tenant string, product_id string, member_pos bigint, collection_id string"
         )
     return Catalog(out.select(*ITEM_BASE, *ROLLUPS), flat_variants, memberships)
 
 
 def _typed_variants(variants: DataFrame, spark: SparkSession) -> DataFrame:
-    ddl = "tenant string, product_id string, variant_pos int, " + VARIANT_FIELDS
+    ddl = "tenant string, product_id string, variant_pos bigint, " + VARIANT_FIELDS
     v = with_missing_columns(variants, ddl, spark)
     normal = v.select(
         F.coalesce("tenant", F.lit("")).alias("tenant"), "product_id",
