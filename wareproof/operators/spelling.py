@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from wareproof.constants import WORDS_PER_ITEM
 from wareproof.functions import text as tx
-from wareproof.operators.findings import edit, payload, to_findings
+from wareproof.operators.findings import edit, exploded_rows, payload, to_findings
+from wareproof.operators.item_checks import item_keys
 from wareproof.operators.skew import attach_groups
 from wareproof.sources.records import Catalog
 
@@ -69,7 +70,7 @@ def words_of(c: Column) -> Column:
 def vendor_words(items: DataFrame) -> DataFrame:
     """(tenant, word): lower-case words of vendor names, which are trusted."""
     vendors = items.select("tenant", "vendor").distinct()
-    return vendors.select("tenant", F.explode(words_of(F.lower("vendor"))).alias("word")).distinct()
+    return exploded_rows(vendors, ["tenant"], words_of(F.lower("vendor")), "word").distinct()
 
 
 def seed_words(items: DataFrame, learned: DataFrame | None = None) -> DataFrame:
@@ -93,7 +94,7 @@ def trusted_names(items: DataFrame, dictionary: DataFrame, min_items: int = 2) -
         )
     )
     shared = (
-        items.select("tenant", F.explode(mine).alias("word"))
+        exploded_rows(items, ["tenant"], mine, "word")
         .groupBy("tenant", "word").agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") >= min_items)
         .select("tenant", "word")
@@ -126,15 +127,11 @@ def candidate_words(items: DataFrame) -> DataFrame:
     At least four letters, no capitals after the first letter, and capitalized only where a title
     capitalizes everything.
     """
-    fields = items.select("tenant", "id", F.posexplode(text_fields()).alias("field_pos", "_f"))
-    exploded = fields.select(
-        "tenant", "id", "field_pos", F.col("_f.field").alias("field"), F.col("_f.key").alias("key"),
-        F.col("_f.title_like").alias("title_like"),
-        # Each spelling once per field, at its first place.
-        F.posexplode(
-            F.array_distinct(F.filter(words_of(F.col("_f.text")), lambda w: F.length(w) >= MIN_WORD))
-        ).alias("word_pos", "word"),
-    )
+    fields = exploded_rows(items, ["tenant", "id"], text_fields(), "_f", "field_pos")
+    # Each spelling once per field, at its first place.
+    words = F.array_distinct(F.filter(words_of(F.col("_f.text")), lambda w: F.length(w) >= MIN_WORD))
+    kept = ["tenant", "id", "field_pos", *[F.col(f"_f.{c}").alias(c) for c in ("field", "key", "title_like")]]
+    exploded = exploded_rows(fields, kept, words, "word", "word_pos")
     capitalized = F.col("word").rlike("^[A-Z]")
     return exploded.filter(
         ~F.col("word").rlike("^.+[A-Z]") & (~capitalized | F.col("title_like"))
@@ -193,8 +190,8 @@ def suggestions(unknown: DataFrame, dictionary: DataFrame) -> DataFrame:
         F.col("word").alias("_entry"), F.lower("word").alias("_entry_lower"),
         (F.col("freq") if have_freq else F.lit(0)).cast("bigint").alias("_freq"),
     )
-    left = unknown.select("lower").distinct().withColumn("_variant", F.explode(deletes(F.col("lower"))))
-    right = entries.withColumn("_variant", F.explode(deletes(F.col("_entry_lower"))))
+    left = exploded_rows(unknown.select("lower").distinct(), ["lower"], deletes(F.col("lower")), "_variant")
+    right = exploded_rows(entries, ["*"], deletes(F.col("_entry_lower")), "_variant")
     near = F.abs(F.length("lower") - F.length("_entry_lower")) <= MAX_EDITS
     pairs = (
         left.join(right, "_variant")
@@ -286,7 +283,5 @@ def spelling(
             ),
         ),
     )
-    from wareproof.operators.item_checks import item_keys
-
     keyed = rows.select(*item_keys(), "word", made.alias("_f"))
     return to_findings(keyed.select(*keyed.columns[:-1], *[f"_f.{c}" for c in ("rule_id", "area", "severity", "field", "detail", "current", "edit")]))

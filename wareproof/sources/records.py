@@ -174,15 +174,15 @@ def from_records(records: DataFrame) -> Catalog:
         array_median(prices).alias("sib_median_cents"),
         donor["weight"].alias("donor_weight"),
         donor["weight_unit"].alias("donor_unit"),
-        F.posexplode(v).alias("variant_pos", "_v"),
-    ).select(
+        F.posexplode_outer(v).alias("variant_pos", "_v"),
+    ).filter(F.col("variant_pos").isNotNull()).select(
         "tenant", "pos", "product_id", "product_title", "product_handle", "meta", "variant_pos",
         *SIBLINGS, *[F.col(f"_v.{c}").alias(c) for c in VARIANT_BASE],
     )
     memberships = r.select(
         "tenant", F.col("id").alias("product_id"),
-        F.posexplode("collection_ids").alias("member_pos", "collection_id"),
-    )
+        F.posexplode_outer("collection_ids").alias("member_pos", "collection_id"),
+    ).filter(F.col("member_pos").isNotNull())
     return Catalog(items, variants, memberships)
 
 
