@@ -468,7 +468,7 @@ def _(spark, sf_dir):
         "tenant", C("id").alias("product_id"), F.lit("spelling").alias("rule_id"), "word"
     )
     learned = b.table(spark, sf_dir, "benchmark").select(F.explode(spelling.words_of(C("text"))).alias("word")).select(F.lit("en").alias("tenant"), "word")
-    known = incremental.learn_words(learned.limit(0), learned)
+    known = incremental.learn_words(spark.createDataFrame([], "tenant string, word string"), learned)
     return incremental.drop_learned(found, known).select("product_id", "word")
 
 
