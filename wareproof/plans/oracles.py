@@ -187,9 +187,9 @@ O["check_missing_sku"] = on_variant(
     suggested=f"concat({CODE.format('product_handle')}, CASE WHEN title = 'Default Title' THEN '' ELSE concat('-', {CODE.format('title')}) END)",
 )
 O["check_missing_barcode"] = on_variant("trim(barcode) = ''", detail="title")
-GTIN = " + ".join(f"cast(substr(lpad(barcode, 14, '0'), {i + 1}, 1) as int) * {3 if i % 2 == 0 else 1}" for i in range(13))
+GTIN = " + ".join(f"try_cast(substr(lpad(barcode, 14, '0'), {i + 1}, 1) as int) * {3 if i % 2 == 0 else 1}" for i in range(13))
 O["check_barcode_invalid"] = on_variant(
-    f"length(barcode) IN (12, 13, 14) AND (10 - ({GTIN}) % 10) % 10 <> cast(right(barcode, 1) as int)",
+    f"length(barcode) IN (12, 13, 14) AND (10 - ({GTIN}) % 10) % 10 <> try_cast(right(barcode, 1) as int)",
     detail="concat(title, ': ', barcode)",
 )
 O["check_missing_weight"] = on_variant(
@@ -208,7 +208,7 @@ TARGET = f"(({MICRO} + 9999) // 10000)"
 ENDING = (
     "e0 AS (SELECT tenant, lpad(cast(pc % 100 as string), 2, '0') AS ending, count(*) AS c, min(pos * 1000000000 + variant_pos) AS f "
     "FROM v0 WHERE pc > 0 GROUP BY ALL), "
-    "e AS (SELECT tenant, CASE WHEN sum(c) >= 10 THEN arg_max(ending, c * 1000000000000000 - f) ELSE '99' END AS ending FROM e0 GROUP BY tenant)"
+    "e AS (SELECT tenant, CASE WHEN sum(c) >= 10 THEN arg_max(ending, cast(c as hugeint) * 1000000000000000 - f) ELSE '99' END AS ending FROM e0 GROUP BY tenant)"
 )
 BASE_PRICE = f"({TARGET} - {TARGET} % 100 + cast(e.ending as bigint))"
 O["check_price_below_cost"] = (
@@ -308,7 +308,7 @@ O["check_duplicate_barcode"] = (
 )
 O["check_weight_units_mixed"] = (
     f"WITH {VARIANT}, c AS (SELECT tenant, weight_unit, count(*) AS c, min(pos * 1000000000 + variant_pos) AS f FROM v0 WHERE weight > 0 GROUP BY ALL), "
-    "t AS (SELECT tenant, arg_max(weight_unit, c * 1000000000000000 - f) AS maj, max(c) AS top, sum(c) AS n, count(*) AS units FROM c GROUP BY tenant) "
+    "t AS (SELECT tenant, arg_max(weight_unit, cast(c as hugeint) * 1000000000000000 - f) AS maj, max(c) AS top, sum(c) AS n, count(*) AS units FROM c GROUP BY tenant) "
     "SELECT product_id, id AS variant_id, concat(title, ': ', cast(cast(weight as bigint) as string), ' ', lower(weight_unit), ', most use ', lower(maj)) AS detail, "
     "CASE WHEN inventory_item_id IS NOT NULL THEN cast(cast(round(weight * CASE weight_unit WHEN 'POUNDS' THEN 0.45359237 ELSE 1.0 END / "
     "CASE maj WHEN 'POUNDS' THEN 0.45359237 ELSE 1.0 END, 2) as decimal(18,2)) as string) END AS suggested "
@@ -384,12 +384,14 @@ DICT = (
     "lambda w: length(w) >= 4))) AS word FROM documents WHERE lang = 'en') GROUP BY word HAVING count(*) >= 5)"
 )
 UNKNOWN = (
-    f"{DOC}, {DICT}, tok0 AS (SELECT id, regexp_extract_all(plain, '[A-Za-z][A-Za-z'']+') AS ws FROM doc WHERE tenant = 'en'), "
-    "tok AS (SELECT id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM tok0), "
-    "unk AS (SELECT id, word, min(i) AS i FROM tok WHERE length(word) >= 4 AND word = lower(word) AND word NOT IN (SELECT word FROM dict) GROUP BY ALL), "
-    "mis AS (SELECT id, word FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS rn FROM unk) WHERE rn <= 8)"
-)
-O["check_spelling"] = f"WITH {UNKNOWN} SELECT id AS product_id, word, 'Description' AS field FROM mis"
+    f"{DOC}, {DICT}, tok0 AS (SELECT id, 1 AS fp, 'Description' AS field, regexp_extract_all(plain, '[A-Za-z][A-Za-z'']+') AS ws FROM doc WHERE tenant = 'en' "
+    "UNION ALL SELECT id, 3, 'SEO description', regexp_extract_all(seo_description, '[A-Za-z][A-Za-z'']+') FROM doc WHERE tenant = 'en'), "
+    "tok AS (SELECT id, fp, field, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM tok0), "
+    "unk AS (SELECT id, word, min(fp * 1000000 + i) AS i, arg_min(field, fp * 1000000 + i) AS field FROM tok WHERE length(word) >= 4 AND word = lower(word) "
+    "AND word NOT IN (SELECT word FROM dict) GROUP BY id, word), "
+    "mis AS (SELECT id, word, field FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS rn FROM unk) WHERE rn <= 8)"
+)
+O["check_spelling"] = f"WITH {UNKNOWN} SELECT id AS product_id, word, field FROM mis"
 O["learn_word"] = (
     f"WITH {UNKNOWN} SELECT id AS product_id, word FROM mis WHERE word NOT IN "
     "(SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z'']+'))) FROM benchmark)"
@@ -564,13 +566,13 @@ O["attribute_rule_upsert"] = (
 # ---- events ----
 CHANGES = (
     f"ev AS (SELECT {b.tenant_of('user_id')} AS tenant, cast(user_id as string) AS product_id, event_type = 'purchase' AS created, ts FROM events), "
-    "qu AS (SELECT tenant, product_id, bool_or(created) AS created, min(ts) AS at FROM ev GROUP BY ALL)"
+    "qu AS (SELECT tenant, product_id, bool_or(created) AS created, min(ts) AS mt FROM ev GROUP BY ALL)"
 )
-O["stream_pending_queue"] = f"WITH {CHANGES} SELECT tenant, product_id, created, strftime(at, '%Y-%m-%d %H:%M:%S') AS at FROM qu"
+O["stream_pending_queue"] = f"WITH {CHANGES} SELECT tenant, product_id, created, strftime(mt, '%Y-%m-%d %H:%M:%S') AS \"at\" FROM qu"
 O["pending_count"] = f"WITH {CHANGES} SELECT tenant, count(*) AS pending FROM qu GROUP BY tenant"
 O["drain_pending"] = (
     f"WITH {CHANGES}, k AS (SELECT *, cast(product_id as bigint) % 2 = 0 AND cast(product_id as bigint) IN (SELECT p_partkey FROM part) AS known, "
-    "row_number() OVER (PARTITION BY tenant ORDER BY at, product_id) AS rank FROM qu), h AS (SELECT *, count(CASE WHEN NOT known THEN 1 END) OVER "
+    "row_number() OVER (PARTITION BY tenant ORDER BY mt, product_id) AS rank FROM qu), h AS (SELECT *, count(CASE WHEN NOT known THEN 1 END) OVER "
     "(PARTITION BY tenant ORDER BY rank ROWS UNBOUNDED PRECEDING) AS nth FROM k WHERE rank <= 500) SELECT tenant, product_id, created, known, "
     "CASE WHEN known OR nth <= CASE tenant WHEN 'north' THEN 3 ELSE 20 END THEN 'scan' ELSE 'hold' END AS action FROM h"
 )
@@ -671,9 +673,9 @@ O["undo_batch"] = (
 )
 O["undo_closes_entries"] = f"WITH {LOG} SELECT tenant, field, undone OR field = 'vendor' AS undone, count(*) AS n FROM lg GROUP BY ALL"
 O["recent_fixes"] = (
-    f"WITH {LOG}, g AS (SELECT tenant, batch_id, rule_id, count(*) AS count, max(ts) AS at, count(DISTINCT product_id) AS pc, max(title) AS title FROM lg WHERE NOT undone GROUP BY ALL), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY at DESC, batch_id, rule_id) AS rank FROM g) "
-    "SELECT tenant, rank, batch_id, rule_id, count, pc AS product_count, CASE WHEN pc = 1 THEN title END AS product_title, strftime(at, '%Y-%m-%d %H:%M:%S') AS at FROM r WHERE rank <= 5"
+    f"WITH {LOG}, g AS (SELECT tenant, batch_id, rule_id, count(*) AS count, max(ts) AS mt, count(DISTINCT product_id) AS pc, max(title) AS title FROM lg WHERE NOT undone GROUP BY ALL), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY mt DESC, batch_id, rule_id) AS rank FROM g) "
+    "SELECT tenant, rank, batch_id, rule_id, count, pc AS product_count, CASE WHEN pc = 1 THEN title END AS product_title, strftime(mt, '%Y-%m-%d %H:%M:%S') AS \"at\" FROM r WHERE rank <= 5"
 )
 O["fix_batch_detail"] = (
     f"WITH {LOG} SELECT tenant, product_id, min(title) AS title, count(*) AS changes, string_agg(DISTINCT field, ',' ORDER BY field) AS fields FROM lg WHERE NOT undone GROUP BY ALL"
