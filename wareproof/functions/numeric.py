@@ -6,13 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wareproof.constants import KILOGRAMS_PER_UNIT
-from wareproof.functions.text import WS, blank_if_null, js_trim
+from wareproof.functions.text import WS, blank_if_null, is_blank
 
 
 def parse_money(c: Column) -> Column:
-    """Text to decimal(18,2). Null and blank count as zero, junk becomes null."""
-    t = js_trim(blank_if_null(c.cast("string")))
-    return F.when(t == "", F.lit(0).cast("decimal(18,2)")).otherwise(t.try_cast("decimal(18,2)"))
+    """Text to decimal(18,2). Null and blank count as zero, junk becomes null.
+
+    The cast strips spaces itself, so only what it refuses is looked at again.
+    """
+    zero = F.when(is_blank(c.cast("string")), F.lit(0).cast("decimal(18,2)"))
+    return F.coalesce(c.try_cast("decimal(18,2)"), zero)
 
 
 def parse_optional_money(c: Column) -> Column:

@@ -14,6 +14,7 @@ from wareproof.constants import ENGLISH_STOPWORDS, FOREIGN_WORDS, PICTOGRAPH_RAN
 # White space as a regex class body (usable inside and outside brackets).
 _WS_BODY = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS = f"[{_WS_BODY}]"
+_WS_NOT_SPACE = "[" + _WS_BODY.replace(" ", "") + "]"
 NOT_WS_HYPHEN = f"[^{_WS_BODY}-]"
 APOSTROPHES = "'\u2019\u02bc"
 ELLIPSIS = "\u2026"
@@ -32,13 +33,13 @@ def js_trim(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """Every run of white space becomes one space."""
-    return F.regexp_replace(c, f"{WS}+", " ")
+    """Every run of white space becomes one space; single spaces stay where they are."""
+    return F.regexp_replace(c, f"{WS}{{2,}}|{_WS_NOT_SPACE}", " ")
 
 
 def is_blank(c: Column) -> Column:
-    """True for null, empty and white-space-only text."""
-    return js_trim(blank_if_null(c)) == ""
+    """True for null, empty and white-space-only text: no character that is not white space."""
+    return ~blank_if_null(c).rlike(f"[^{_WS_BODY}]")
 
 
 def strip_html(html: Column) -> Column:

@@ -41,8 +41,7 @@ def _used(value: Column) -> Column:
 
 def duplicate_sku(catalog: Catalog, lim: Limits) -> DataFrame:
     rows = catalog.variants.select(*VARIANT_SLIM).withColumn("_sku", tx.js_trim(tx.blank_if_null(C("sku"))))
-    groups = g.duplicate_key(rows, F.upper("_sku"), ["product_id", "id"])
-    numbered = g.number_duplicates(groups, ["pos", "variant_pos", "id"])
+    numbered = g.numbered_duplicates(rows, F.upper("_sku"), ["pos", "variant_pos", "id"])
     suffixed = _text(C("_sku"), "-", C("member").cast("string"))
     suggested = F.when(C("member") == 1, C("_sku")).otherwise(suffixed)
     made = payload(

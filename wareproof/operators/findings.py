@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wareproof.operators.registry import META
+from wareproof.operators.rows import exploded_rows
 from wareproof.schema import EDIT_FIELDS, FINDING_FIELDS, PAYLOAD_FIELDS
 
 
@@ -84,14 +85,3 @@ def emit(
     found = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
     exploded = exploded_rows(df.withColumn("_found", found), keys, "_found", "_f")
     return to_findings(exploded.select("*", "_f.*").drop("_f"))
-
-
-def exploded_rows(df: DataFrame, keys: Sequence, array: Column | str, out: str, place: str | None = None) -> DataFrame:
-    """Elements of a computed array as rows, optionally with their place.
-
-    The outer form and a filter behind it: in front of a plain explode the optimizer puts a filter on
-    the size of the array, and pushing that down would compute the array, and all it is made of, again.
-    """
-    if place is None:
-        return df.select(*keys, F.explode_outer(array).alias(out)).filter(F.col(out).isNotNull())
-    return df.select(*keys, F.posexplode_outer(array).alias(place, out)).filter(F.col(place).isNotNull())

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wareproof.constants import ENGLISH_STOPWORDS
 from wareproof.functions import text as tx
 from wareproof.functions.numeric import gtin_valid, kg_factor
-from wareproof.operators.skew import attach_groups, ranked
+from wareproof.operators.rows import exploded_rows, median_of_bounds, with_key, with_median_bounds
+from wareproof.operators.skew import SLICE_WIDTH, attach_groups
 
 
 def _col(c: Column | str) -> Column:
@@ -149,13 +150,11 @@ def peer_outlier(
     group = list(group)
     positive = df.filter(F.col(value) > 0)
     # Counting equal values first shrinks what the exact median has to hold.
+    counted = positive.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
     peers = (
-        positive.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+        with_median_bounds(counted, group, value, "_c")
         .groupBy(*group)
-        .agg(
-            F.sum("_c").alias("peers"),
-            F.percentile(F.col(value), F.lit(0.5), F.col("_c")).alias("median"),
-        )
+        .agg(F.sum("_c").alias("peers"), median_of_bounds().alias("median"))
     )
     joined = attach_groups(
         positive, peers, group, "peers", spread, keep=F.col("peers") >= min_peers
@@ -177,7 +176,7 @@ def duplicate_key(
 
     A long key (a whole description) travels as two independent 64-bit hashes and its length.
     """
-    rows = df.withColumn("_key", key).filter(F.length("_key") >= min_len)
+    rows = with_key(df, key, min_len, "_key")
     if long_key:
         digest = F.concat_ws(
             ":",
@@ -193,11 +192,38 @@ def duplicate_key(
     return joined.withColumnRenamed("_key", "group_key")
 
 
-def number_duplicates(
-    df: DataFrame, order: Sequence[str], tenant: str = "tenant", slice_width: int | None = None
+def numbered_duplicates(
+    df: DataFrame,
+    key: Column,
+    order: Sequence[str],
+    tenant: str = "tenant",
+    min_group: int = 2,
+    min_len: int = 1,
+    slice_width: int | None = None,
 ) -> DataFrame:
-    """Number the members of every duplicate group by position."""
-    return ranked(df, [tenant, "group_key"], order, "member", slice_width=slice_width)
+    """Rows that share a key with ``group_key``, ``group_size`` and ``member``, their number by position.
+
+    Counts per key and slice of positions give the size of a group and where each slice starts in it.
+    Rows meet those counts slice by slice, so a huge group is spread over its slices, and the same
+    partitioning serves the numbering. ``order[0]`` is a bigint position as in ``ranked``.
+    """
+    width = slice_width or SLICE_WIDTH
+    rows = with_key(df, key, min_len, "group_key").withColumn("_slice", F.floor(F.col(order[0]) / F.lit(width)))
+    place = [tenant, "group_key", "_slice"]
+    group = Window.partitionBy(tenant, "group_key")
+    earlier = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = (
+        rows.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"))
+        .withColumns({"group_size": F.sum("_n").over(group), "_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0))})
+        .filter(F.col("group_size") >= min_group)
+        .drop("_n")
+    )
+    inside = Window.partitionBy(*place).orderBy(*order)
+    return (
+        rows.join(slices, place)
+        .withColumn("member", F.col("_before") + F.row_number().over(inside))
+        .drop("_slice", "_before")
+    )
 
 
 def spelling_groups(
@@ -246,7 +272,7 @@ def majority_style(
     share: int = 75,
 ) -> DataFrame:
     """Rows off the clear majority of a boolean style; ``majority`` tells which side it is."""
-    rows = df.withColumn("_style", style).filter(F.col("_style").isNotNull())
+    rows = exploded_rows(df, ["*"], F.array(style), "_style")
     totals = rows.groupBy(tenant).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_style")).alias("_yes")
     )

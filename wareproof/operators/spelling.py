@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 
 from wareproof.constants import WORDS_PER_ITEM
 from wareproof.functions import text as tx
-from wareproof.operators.findings import edit, exploded_rows, payload, to_findings
+from wareproof.operators.findings import edit, payload, to_findings
 from wareproof.operators.item_checks import item_keys
+from wareproof.operators.rows import exploded_rows
 from wareproof.operators.skew import attach_groups
 from wareproof.sources.records import Catalog
 

@@ -139,7 +139,16 @@ ATTRIBUTE_RULES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer pieces than there are cores (one small file) is dealt out to all of them.
+
+    A large table comes in many pieces and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def shaped(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:

@@ -12,6 +12,7 @@ from wareproof.operators import (
 )
 from wareproof.operators import profile as prof
 from wareproof.operators.item_checks import Limits
+from wareproof.operators.rows import exploded_rows
 from wareproof.plans import bindings as b
 from wareproof.plans.scan import Context, catalog_findings, row_findings, scan
 from wareproof.schema import ATTRIBUTE_RULE
@@ -171,7 +172,7 @@ def dictionary(spark: SparkSession, sf_dir: str, min_docs: int = 5) -> DataFrame
     docs = b.table(spark, sf_dir, "documents").filter("lang = 'en'")
     words = F.array_distinct(F.filter(spelling.words_of(F.lower("text")), lambda w: F.length(w) >= spelling.MIN_WORD))
     return (
-        spelling.exploded_rows(docs, ["doc_id"], words, "word")
+        exploded_rows(docs, ["doc_id"], words, "word")
         .groupBy("word").agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") >= min_docs)
     )
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from wareproof.constants import MIN_IMAGE_PX
 from wareproof.functions.numeric import array_median, cents, parse_money, parse_optional_money
 from wareproof.functions.text import blank_if_null
+from wareproof.operators.rows import median_of_bounds, with_median_bounds
 from wareproof.operators.skew import attach_groups
 from wareproof.schema import RECORD, VARIANT_FIELDS
 
@@ -202,29 +203,27 @@ _FLAT_ITEM = (
 
 
 def sibling_facts(variants: DataFrame) -> DataFrame:
-    """Per item: what its variants say together. One partial aggregation, one shuffle."""
-    price = cents(F.col("price"))
-    # Equal prices are counted before the median, so a huge item holds distinct prices only.
-    per_price = variants.groupBy("tenant", "product_id", price.alias("_price")).agg(
+    """Per item: what its variants say together. Equal prices are counted before anything is sorted,
+    so a huge item holds its distinct prices only."""
+    group = ["tenant", "product_id"]
+    per_price = variants.groupBy(*group, cents(F.col("price")).alias("_price")).agg(
         F.count(F.lit(1)).alias("_c"),
         F.min(F.when(F.col("weight") > 0, F.struct("variant_pos", "weight", "weight_unit"))).alias("_donor"),
         F.bool_or("tracked").alias("_tracked"),
         F.bool_or(F.coalesce(F.col("inventory_policy") == "CONTINUE", F.lit(False))).alias("_continue"),
         F.min("sku").alias("_sku"),
     )
-    positive = F.col("_price") > 0
-    return per_price.groupBy("tenant", "product_id").agg(
+    priced = per_price.withColumn("_pc", F.when(F.col("_price") > 0, F.col("_c")).otherwise(0))
+    return with_median_bounds(priced, group, "_price", "_pc").groupBy(*group).agg(
         F.sum("_c").cast("int").alias("n_variants"),
-        F.coalesce(F.sum(F.when(positive, F.col("_c"))), F.lit(0)).cast("int").alias("sib_priced"),
-        F.percentile(
-            F.when(positive, F.col("_price")), F.lit(0.5), F.when(positive, F.col("_c")).otherwise(1)
-        ).alias("sib_median_cents"),
+        F.sum("_pc").cast("int").alias("sib_priced"),
+        median_of_bounds().alias("sib_median_cents"),
         F.min("_donor").alias("_donor"),
         F.bool_or("_tracked").alias("any_tracked"),
         F.bool_or("_continue").alias("any_continue"),
         F.min("_sku").alias("_sku"),
     ).select(
-        "tenant", "product_id", "n_variants", "sib_priced", "sib_median_cents",
+        *group, "n_variants", "sib_priced", "sib_median_cents",
         F.col("_donor.weight").alias("donor_weight"), F.col("_donor.weight_unit").alias("donor_unit"),
         "any_tracked", "any_continue",
         F.when(F.col("n_variants") == 1, blank_if_null(F.col("_sku"))).alias("only_sku"),
