@@ -115,7 +115,7 @@ def test_margin_boundary_and_price_suggestion(spark):
 
     rows = [priced("edge", "1.00", "0.90"), priced("thin", "1.00", "0.91")]
     assert [f.product_id for f in findings_of(spark, rows, ["thin_margin"])] == ["thin"]
-    for ending, cost in (("99", "100.00"), ("00", "0.90"), ("95", "57.30"), ("01", "0.91")):
+    for ending, cost in (("99", "100.00"), ("00", "0.90"), ("01", "0.91")):
         profile = spark.createDataFrame(
             [("t1", 1, 1, ending, "", [])],
             "tenant string, n_items bigint, n_variants_all bigint, price_ending string, common_vendor string, "
@@ -162,10 +162,12 @@ def test_summary(spark, found):
 
 
 def test_tenants_do_not_mix(spark, found):
-    other = [dict(r, tenant="t2") for r in ROWS if not r["id"].startswith("twin")]
+    """Scanning two tenants together finds in each what scanning it alone finds."""
+    ids = {"acme-a", "acme-b", "acme-c", "twin-b", "pounds", "bare", "channel"}
+    other = [dict(r, tenant="t2") for r in ROWS if r["id"] in ids]
     rules = spark.createDataFrame([*ATTRIBUTE_RULES, ("t2", *ATTRIBUTE_RULES[0][1:])], ATTRIBUTE_RULE)
     both = findings_of(spark, ROWS + other, attribute_rules=rules)
-    key = lambda f: (f.finding_key, f.detail, f.edit)
-    assert sorted(map(repr, (key(f) for f in both if f.tenant == "t1"))) == sorted(map(repr, map(key, found)))
+    key = lambda f: repr((f.finding_key, f.detail, f.edit))
+    assert sorted(key(f) for f in both if f.tenant == "t1") == sorted(map(key, found))
     alone = findings_of(spark, other, attribute_rules=rules)
-    assert sorted(map(repr, (key(f) for f in both if f.tenant == "t2"))) == sorted(map(repr, map(key, alone)))
+    assert sorted(key(f) for f in both if f.tenant == "t2") == sorted(map(key, alone))

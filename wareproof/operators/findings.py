@@ -78,9 +78,9 @@ def emit(
     ``singles`` are payload structs that are null where the check passes, ``lists`` arrays of them.
     """
     kind = "array<struct<" + ", ".join(f"{n}: {t}" for n, t in PAYLOAD_FIELDS) + ">>"
-    arrays = []
-    if singles:
-        arrays.append(F.array_compact(F.array(*singles)))
+    # Checks that pass leave nulls behind, which go after the explode: dropping them inside the array
+    # would take the whole array out of generated code.
+    arrays = [F.array(*singles)] if singles else []
     arrays += [F.coalesce(a, F.array().cast(kind)) for a in lists]
     found = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
     exploded = exploded_rows(df.withColumn("_found", found), keys, "_found", "_f")

@@ -24,7 +24,9 @@ def with_key(df: DataFrame, key: Column, min_len: int, out: str) -> DataFrame:
 
     A plain filter on the key would be pushed below its computation and compute it a second time.
     """
-    return exploded_rows(df, ["*"], F.filter(F.array(key), lambda k: F.length(k) >= min_len), out)
+    computed = df.withColumn("_computed", key)
+    kept = F.when(F.length("_computed") >= min_len, F.col("_computed"))
+    return exploded_rows(computed, ["*"], F.array(kept), out).drop("_computed")
 
 
 def with_median_bounds(counted: DataFrame, group: Sequence[str], value: str, count: str) -> DataFrame:

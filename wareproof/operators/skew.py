@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 
 # A group above this many rows is split; each salt of it holds about this many.
-HOT_ROWS = 1_000_000
+HOT_ROWS = 100_000
 # At most this many groups are announced to every task (one key and one number each). Groups beyond
 # it take the plain path: each of them is at most 1/HOT_GROUPS of all rows.
 HOT_GROUPS = 10_000

@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wareproof.operators import catalog_checks, item_checks, spelling, summary, variant_checks
+from wareproof.operators.generic import required
 from wareproof.operators.item_checks import Limits
 from wareproof.operators.profile import catalog_profile, types_by_collection, with_item_profile, with_variant_profile
 from wareproof.operators.registry import CATALOG_RULES, RULE_IDS
 from wareproof.schema import FINDING
 from wareproof.sources.records import Catalog
 
-ITEM_PROFILE_RULES = {"missing_vendor", "metafield_required", "metafield_pattern"}
+ITEM_PROFILE_RULES = ("missing_vendor", "metafield_required", "metafield_pattern")
 
 
 @dataclass(frozen=True)
@@ -44,20 +45,25 @@ def row_findings(catalog: Catalog, ctx: Context, rules: Sequence[str] = RULE_IDS
     wanted = [r for r in rules if r not in CATALOG_RULES]
     lim = ctx.limits
     profile = ctx.profile
-    if profile is None and set(wanted) & (ITEM_PROFILE_RULES | {"price_below_cost"}):
+    if profile is None and set(wanted) & {*ITEM_PROFILE_RULES, "price_below_cost"}:
         profile = catalog_profile(catalog, ctx.attribute_rules)
     parts = []
-    on_items = [r for r in item_checks.ITEM_CHECKS if r in wanted]
+    on_items = [r for r in item_checks.ITEM_CHECKS if r in wanted and r not in ITEM_PROFILE_RULES]
     if on_items:
-        needs = ITEM_PROFILE_RULES & set(on_items)
-        items = with_item_profile(catalog.items, profile) if needs else catalog.items
-        parts.append(item_checks.item_findings(items, on_items, lim))
-    on_variants = [r for r in variant_checks.VARIANT_CHECKS if r in wanted]
+        parts.append(item_checks.item_findings(catalog.items, on_items, lim))
+    on_variants = [r for r in variant_checks.VARIANT_CHECKS if r in wanted and r != "price_below_cost"]
     if on_variants:
-        variants = (
-            with_variant_profile(catalog.variants, profile) if "price_below_cost" in on_variants else catalog.variants
-        )
-        parts.append(variant_checks.variant_findings(variants, on_variants, lim))
+        parts.append(variant_checks.variant_findings(catalog.variants, on_variants, lim))
+    # Checks that quote the catalog profile: rows are narrowed before the profile joins them.
+    if "missing_vendor" in wanted:
+        blank = with_item_profile(catalog.items.filter(required("vendor")), profile)
+        parts.append(item_checks.item_findings(blank, ["missing_vendor"], lim))
+    on_attributes = [r for r in ("metafield_required", "metafield_pattern") if r in wanted]
+    if on_attributes and (ctx.attribute_rules is not None or ctx.profile is not None):
+        parts.append(item_checks.item_findings(with_item_profile(catalog.items, profile), on_attributes, lim))
+    if "price_below_cost" in wanted:
+        below = with_variant_profile(catalog.variants.filter("price > 0 and price < cost"), profile)
+        parts.append(variant_checks.variant_findings(below, ["price_below_cost"], lim))
     if "missing_product_type" in wanted:
         parts.append(catalog_checks.missing_product_type(catalog, lim, ctx.types))
     if "option_values_inconsistent" in wanted:

@@ -18,6 +18,8 @@ SESSION_SETTINGS = {
     "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
     # Building the suite makes thousands of Columns; recording a call site for each costs seconds.
     "spark.sql.dataFrameQueryContext.enabled": "false",
+    # The virtual machine never compiles larger methods; Spark then splits the projection instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Constraints multiply through chains of computed columns; every operator filters nulls itself.
     "spark.sql.constraintPropagation.enabled": "false",
 }
