@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wareproof.functions import text as tx
 from wareproof.functions.numeric import cents
 from wareproof.operators.skew import attach_groups
+from wareproof.operators.validate import pattern_compiles
 from wareproof.sources.records import Catalog
 
 RULES_TYPE = (
@@ -76,8 +77,6 @@ def types_by_collection(items: DataFrame, memberships: DataFrame, min_items: int
 
 def grouped_attribute_rules(rules: DataFrame) -> DataFrame:
     """One row per tenant with its attribute rules as a list; unusable patterns are marked."""
-    from wareproof.operators.validate import pattern_compiles
-
     pattern = F.coalesce(F.col("pattern"), F.lit(""))
     entry = F.struct(
         F.concat_ws(".", "namespace", "key").alias("full_key"), F.col("name"), F.col("type"),
@@ -111,18 +110,30 @@ def catalog_profile(catalog: Catalog, attribute_rules: DataFrame | None = None)
     )
 
 
+def attribute_facts(items: DataFrame, attribute_rules: DataFrame) -> DataFrame:
+    """(tenant, n_items, attribute_rules) of tenants with rules."""
+    sizes = items.groupBy("tenant").agg(F.count(F.lit(1)).alias("n_items"))
+    return grouped_attribute_rules(attribute_rules).join(sizes, "tenant")
+
+
+def ending_facts(variants: DataFrame) -> DataFrame:
+    """(tenant, n_variants_all, price_ending)."""
+    sizes = variants.groupBy("tenant").agg(F.count(F.lit(1)).alias("n_variants_all"))
+    return sizes.join(price_endings(variants), "tenant", "left").withColumn(
+        "price_ending", F.coalesce("price_ending", F.lit("99"))
+    )
+
+
 def with_item_profile(items: DataFrame, profile: DataFrame) -> DataFrame:
-    facts = profile.select("tenant", "n_items", "common_vendor", "attribute_rules")
-    joined = attach_groups(items, facts, ["tenant"], "n_items", ["id"], how="left")
-    return joined.withColumns(
-        {
-            "common_vendor": F.coalesce("common_vendor", F.lit("")),
-            "attribute_rules": F.coalesce("attribute_rules", F.array().cast(RULES_TYPE)),
-        }
-    ).drop("n_items")
+    """Items with what the profile (or the part of it that is given) says about their tenant."""
+    defaults = {"common_vendor": F.lit(""), "attribute_rules": F.array().cast(RULES_TYPE)}
+    given = {c: d for c, d in defaults.items() if c in profile.columns}
+    joined = attach_groups(items, profile.select("tenant", "n_items", *given), ["tenant"], "n_items", ["id"], how="left")
+    return joined.withColumns({c: F.coalesce(c, d) for c, d in given.items()}).drop("n_items")
 
 
 def with_variant_profile(variants: DataFrame, profile: DataFrame) -> DataFrame:
+    """Variants with the price ending of their tenant."""
     facts = profile.select("tenant", "n_variants_all", "price_ending")
     joined = attach_groups(variants, facts, ["tenant"], "n_variants_all", ["product_id", "id"], how="left")
     return joined.withColumn("price_ending", F.coalesce("price_ending", F.lit("99"))).drop("n_variants_all")

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from wareproof.operators import catalog_checks, item_checks, spelling, summary, variant_checks
 from wareproof.operators.generic import required
 from wareproof.operators.item_checks import Limits
-from wareproof.operators.profile import catalog_profile, types_by_collection, with_item_profile, with_variant_profile
+from wareproof.operators.profile import (
+    attribute_facts, catalog_profile, common_vendors, ending_facts, types_by_collection, with_item_profile,
+    with_variant_profile,
+)
 from wareproof.operators.registry import CATALOG_RULES, RULE_IDS
 from wareproof.schema import FINDING
 from wareproof.sources.records import Catalog
@@ -44,9 +47,6 @@ def row_findings(catalog: Catalog, ctx: Context, rules: Sequence[str] = RULE_IDS
     the predicates of the others are never evaluated."""
     wanted = [r for r in rules if r not in CATALOG_RULES]
     lim = ctx.limits
-    profile = ctx.profile
-    if profile is None and set(wanted) & {*ITEM_PROFILE_RULES, "price_below_cost"}:
-        profile = catalog_profile(catalog, ctx.attribute_rules)
     parts = []
     on_items = [r for r in item_checks.ITEM_CHECKS if r in wanted and r not in ITEM_PROFILE_RULES]
     if on_items:
@@ -56,13 +56,20 @@ def row_findings(catalog: Catalog, ctx: Context, rules: Sequence[str] = RULE_IDS
         parts.append(variant_checks.variant_findings(catalog.variants, on_variants, lim))
     # Checks that quote the catalog profile: rows are narrowed before the profile joins them.
     if "missing_vendor" in wanted:
-        blank = with_item_profile(catalog.items.filter(required("vendor")), profile)
+        vendors = ctx.profile if ctx.profile is not None else common_vendors(catalog.items)
+        blank = with_item_profile(catalog.items.filter(required("vendor")), vendors)
         parts.append(item_checks.item_findings(blank, ["missing_vendor"], lim))
     on_attributes = [r for r in ("metafield_required", "metafield_pattern") if r in wanted]
-    if on_attributes and (ctx.attribute_rules is not None or ctx.profile is not None):
-        parts.append(item_checks.item_findings(with_item_profile(catalog.items, profile), on_attributes, lim))
+    attributes = None
+    if on_attributes and ctx.attribute_rules is not None:
+        attributes = attribute_facts(catalog.items, ctx.attribute_rules)
+    elif on_attributes and ctx.profile is not None and "attribute_rules" in ctx.profile.columns:
+        attributes = ctx.profile
+    if attributes is not None:
+        parts.append(item_checks.item_findings(with_item_profile(catalog.items, attributes), on_attributes, lim))
     if "price_below_cost" in wanted:
-        below = with_variant_profile(catalog.variants.filter("price > 0 and price < cost"), profile)
+        endings = ctx.profile if ctx.profile is not None else ending_facts(catalog.variants)
+        below = with_variant_profile(catalog.variants.filter("price > 0 and price < cost"), endings)
         parts.append(variant_checks.variant_findings(below, ["price_below_cost"], lim))
     if "missing_product_type" in wanted:
         parts.append(catalog_checks.missing_product_type(catalog, lim, ctx.types))
