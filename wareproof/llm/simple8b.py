@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wareproof.llm.common import parts, spread_ranges
+from wareproof.llm.common import parts, spread_ranges, sums_of
 
 # Fixed values of the format: selector -> (ids in a word, bits of an id).
 SELECTORS = {
@@ -41,7 +41,7 @@ PAYLOAD = np.uint64((1 << 60) - 1)
 
 END_ID = 2
 SEGMENT_BYTES = 4_000_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 FILE_SCHEMA = (
     "shard int, segment int, first bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, "
     "words binary, offsets binary"
@@ -163,15 +163,23 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK, b
 class WordEncoder:
     """Token ids of words, each distinct word encoded once while it is remembered.
 
-    The tokenizer drops white space and no pre-token crosses it, so the ids of a text are those of its words
-    in order. At most ``limit`` words are remembered; beyond it the memory starts afresh.
+    The tokenizer lowers letters and drops white space, and no pre-token crosses it, so the ids of a text are those
+    of its words in order. A word's last full stop or comma after a plain letter is a pre-token of its own, and words of
+    letters alone are one each: these are encoded many at a time, and come apart where tokens end a pre-token. At most
+    ``limit`` words are remembered; beyond it the memory starts afresh.
     """
 
+    GROUP = 2000
+
     def __init__(self, path: str, limit: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.marks = {mark: self._encoded([mark])[0] for mark in (".", ",")}
         self.forget()
 
     def forget(self) -> None:
@@ -180,27 +188,60 @@ class WordEncoder:
         self.lengths = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.uint32)
 
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _apart(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of words of letters, a group at a time. Lowering may turn a letter into more than letters; a group
+        that has not one end per word is encoded word by word."""
+        out = []
+        for at in range(0, len(words), self.GROUP):
+            group = words[at:at + self.GROUP]
+            ids = np.array(self._encoded([" ".join(group)])[0], dtype=np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(group):
+                out += np.split(ids, ends[:-1])
+            else:
+                out += [np.array(one, dtype=np.uint32) for one in self._encoded(group)]
+        return out
+
     def _learn(self, words: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        ids = [e.ids for e in got]
-        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter((i for one in ids for i in one), dtype=np.uint32, count=int(lengths.sum()))
+        texts = b"\n".join(words).decode("utf-8", "replace").split("\n")
+        has_mark = [t[-1] in ".," and "a" <= t[-2:-1] <= "z" for t in texts]
+        stems = [t[:-1] if m else t for t, m in zip(texts, has_mark, strict=True)]
+        distinct = dict.fromkeys(stems)
+        letters = [t for t in distinct if t.isalpha()]
+        others = [t for t in distinct if not t.isalpha()]
+        known = dict(zip(letters, self._apart(letters), strict=True))
+        known |= zip(others, self._encoded(others), strict=True)
+        pieces = []
+        for text, stem, mark in zip(texts, stems, has_mark, strict=True):
+            pieces.append(known[stem])
+            if mark:
+                pieces.append(self.marks[text[-1]])
+        lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        per_word = sums_of(lengths, np.array(has_mark, dtype=np.int64) + 1)
         self.slots.update(zip(words, range(len(self.slots), len(self.slots) + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, flat])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(per_word) - per_word])
+        self.lengths = np.concatenate([self.lengths, per_word])
+        self.flat = np.concatenate([self.flat, *pieces]).astype(np.uint32, copy=False)
+
+    def words_of(self, text: bytes | None) -> list[bytes]:
+        """The words of a text. Letters are lowered here unless a special token may stand in it, which is told by case."""
+        text = text or b""
+        return text.split() if b"<|" in text else text.lower().split()
 
     def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after the other, and how many each has."""
         found = np.fromiter(map(self.slots.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        unknown = np.flatnonzero(found < 0)
-        if len(unknown):
-            fresh = list(dict.fromkeys(words[i] for i in unknown))
+        unknown = np.flatnonzero(found < 0).tolist()
+        if unknown:
+            fresh = list(dict.fromkeys([words[i] for i in unknown]))
             if self.slots and len(self.slots) + len(fresh) > self.limit:
                 self.forget()
                 return self.ids(words)
             self._learn(fresh)
-            found[unknown] = np.fromiter(map(self.slots.get, (words[i] for i in unknown)), dtype=np.int64, count=len(unknown))
+            found[unknown] = [self.slots[words[i]] for i in unknown]
         lengths = self.lengths[found]
         return self.flat[spread_ranges(self.starts[found], lengths)], lengths
 
@@ -220,7 +261,7 @@ def _segments(tokenizer: str, end_id: int, segment_bytes: int):
         shard, segment, first = TaskContext.get().partitionId(), 0, 0
         encoder = word_encoder(tokenizer, CACHED_WORDS)
         for batch in parts(batches, "text", segment_bytes):
-            words = [(text or b"").split() for text in batch.column("text").to_pylist()]
+            words = [encoder.words_of(text) for text in batch.column("text").to_pylist()]
             ids, per_word = encoder.ids([w for one in words for w in one])
             ends = np.concatenate(([0], np.cumsum(per_word)))[np.cumsum([len(w) for w in words])]
             lengths = np.diff(ends, prepend=0)
