@@ -2,20 +2,39 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+import wareproof
 from wareproof.session import scratch_path
 
+_shipped: set[str] = set()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on executors that do not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(wareproof.__path__[0])
+    folder = tempfile.mkdtemp(prefix="wareproof-")
+    archive = shutil.make_archive(f"{folder}/wareproof", "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    shutil.rmtree(folder)
+    _shipped.add(context.applicationId)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back. Later steps neither recompute it nor lose
     it with an executor."""

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wareproof.llm import simple8b
-from wareproof.llm.common import table
+from wareproof.llm import line_runs, mixing, pii, quality, sampling, simple8b, token_counts
+from wareproof.llm.common import ship, table
 from wareproof.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,8 +16,13 @@ ORACLES: dict[str, str] = {}
 
 
 def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[run.__name__] = run
-    return run
+    @wraps(run)
+    def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return run(spark, sf_dir)
+
+    QUERIES[run.__name__] = shipped
+    return shipped
 
 
 def tokenizer_file(name: str) -> str:
@@ -31,3 +37,40 @@ def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-ids")
     simple8b.write_ids(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"))
     return simple8b.read_digests(spark, path)
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_quality"] = quality.SQL
+
+
+@query
+def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sampled_pieces(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), digests=True)
+
+
+@query
+def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_runs.without_repeats(docs)
+
+
+ORACLES["op8_line_runs"] = line_runs.SQL
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
