@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ def ship(spark: SparkSession) -> None:
     folder = tempfile.mkdtemp(prefix="wareproof-")
     archive = shutil.make_archive(f"{folder}/wareproof", "zip", package.parent, package.name)
     context.addPyFile(archive)
-    shutil.rmtree(folder)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors may ask for it at any time
     _shipped.add(context.applicationId)
 
 

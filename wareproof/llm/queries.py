@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wareproof.llm import line_runs, mixing, pii, quality, sampling, simple8b, token_counts
+from wareproof.llm import chosen_path, line_runs, mixing, pii, quality, sampling, simple8b, token_counts
 from wareproof.llm.common import ship, table
 from wareproof.session import scratch_path
 
@@ -74,3 +74,11 @@ ORACLES["op8_line_runs"] = line_runs.SQL
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_near_duplicates"] = chosen_path.SQL
