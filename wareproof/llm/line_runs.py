@@ -121,14 +121,17 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "do
     return merged.groupBy(*DOC, "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("run")
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the text freed of later copies of runs of lines, and ``n_lines`` and ``n_removed`` (lines).
+def without_repeats(
+    docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text",
+    names: tuple[str, str] = ("n_lines", "n_removed"),
+) -> DataFrame:
+    """``docs`` with the text freed of later copies of runs of lines, and the numbers of its lines and of those removed.
 
     Lines end at line feeds. "Before" means in a row of smaller ``doc_id`` (a null one is smallest; on ties the row
     whose text has the smaller hash), or further up in the same text. Rows with equal id and equal text are
     one document written twice: neither is a copy of the other, and both lose the same lines. A null text stays null and
     has no lines; an empty text has one line without words and stays; an empty table stays empty. A
-    text all of whose lines go becomes empty. Columns called ``n_lines`` or ``n_removed`` are replaced.
+    text all of whose lines go becomes empty. Columns called as ``names`` says are replaced.
     """
     runs = repeated_runs(docs, min_words, doc_id, text)
     gone = F.flatten(F.collect_list(F.sequence(F.col("s"), F.col("e") - 1)))
@@ -139,9 +142,9 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "
     rest = F.array_join(F.transform(stay, lambda i: F.col("__lines")[i]), "\n")
     return joined.withColumns({
         text: F.when(F.col("__gone").isNull(), F.col(text)).otherwise(rest),
-        "n_lines": F.greatest(F.size("__lines"), F.lit(0)).cast("bigint"),
-        "n_removed": F.greatest(F.size("__gone"), F.lit(0)).cast("bigint"),
-    }).select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
+        names[0]: F.greatest(F.size("__lines"), F.lit(0)).cast("bigint"),
+        names[1]: F.greatest(F.size("__gone"), F.lit(0)).cast("bigint"),
+    }).select(*(c for c in docs.columns if c not in names), *names)
 
 
 # The same by the contents of runs, for documents with distinct ids.

@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wareproof.llm import chosen_path, line_runs, mixing, pii, quality, sampling, simple8b, token_counts
+from wareproof.llm import chosen_path, lang_id, line_runs, mixing, mtree, pii, quality, sampling, simple8b, token_counts
 from wareproof.llm.common import ship, table
 from wareproof.session import scratch_path
 
@@ -82,3 +82,16 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_near_duplicates"] = chosen_path.SQL
+
+
+@query
+def op5_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op5_mtree"] = mtree.SQL
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.language_id(table(spark, sf_dir, "documents"))
