@@ -17,7 +17,8 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, islice
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wareproof.llm.common import parts, spread_ranges, sums_of
+from wareproof.llm.common import parts, spread_ranges
 
 # Fixed values of the format: selector -> (ids in a word, bits of an id).
 SELECTORS = {
@@ -41,7 +42,7 @@ PAYLOAD = np.uint64((1 << 60) - 1)
 
 END_ID = 2
 SEGMENT_BYTES = 4_000_000
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 800_000
 FILE_SCHEMA = (
     "shard int, segment int, first bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, "
     "words binary, offsets binary"
@@ -160,16 +161,36 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK, b
 
 # ---- token ids -----------------------------------------------------------------------------------
 
+# Byte-level tokenizers write a byte as the character of its number, or, where that cannot be printed, as the next
+# character from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_NAMES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+def _as_bytes(word: str) -> str:
+    return word.encode().decode("latin-1").translate(_BYTE_NAMES)
+
+
+class _Slots(dict):
+    """Numbers for words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class WordEncoder:
     """Token ids of words, each distinct word encoded once while it is remembered.
 
-    The tokenizer lowers letters and drops white space, and no pre-token crosses it, so the ids of a text are those
-    of its words in order. A word's last full stop or comma after a plain letter is a pre-token of its own, and words of
-    letters alone are one each: these are encoded many at a time, and come apart where tokens end a pre-token. At most
-    ``limit`` words are remembered; beyond it the memory starts afresh.
+    For tokenizers that lower letters and drop white space: no pre-token crosses it, so the ids of a text are those
+    of its words in order. A word's last full stop or comma after a plain letter is a pre-token of its own. A word of
+    small letters in their usual form is one pre-token as it stands and goes straight to the tokenizer's model, as bytes;
+    other words of letters are encoded many at a time and come apart where tokens end a pre-token; all others take the whole way one by one. At
+    most ``limit`` words, and those of one batch more, are remembered; then the memory starts afresh.
     """
 
     GROUP = 2000
+    PROBE = ["thé", "Cat.", "dogs,", "it's", "a1", "supercalifragilistic", "naïve"]
 
     def __init__(self, path: str, limit: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -179,11 +200,17 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.marks = {mark: self._encoded([mark])[0] for mark in (".", ",")}
+        marks = [self._encoded([mark])[0] for mark in ".,"]
+        if any(len(m) != 1 for m in marks):
+            raise ValueError("the tokenizer has no tokens of full stop and comma")
+        self.marks = np.array([m[0] for m in marks], dtype=np.uint32)
         self.forget()
+        whole = self._encoded([" ".join(self.PROBE)])[0]
+        if self.ids(self.words_of(" ".join(self.PROBE).encode()))[0].tolist() != whole:
+            raise ValueError("words of this tokenizer cannot be encoded apart")
 
     def forget(self) -> None:
-        self.slots: dict[bytes, int] = {}
+        self.slots = _Slots()
         self.starts = np.zeros(0, dtype=np.int64)
         self.lengths = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.uint32)
@@ -191,40 +218,42 @@ class WordEncoder:
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _apart(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of words of letters, a group at a time. Lowering may turn a letter into more than letters; a group
-        that has not one end per word is encoded word by word."""
-        out = []
-        for at in range(0, len(words), self.GROUP):
-            group = words[at:at + self.GROUP]
-            ids = np.array(self._encoded([" ".join(group)])[0], dtype=np.uint32)
-            ends = np.flatnonzero(self.ends[ids]) + 1
+    def _stems(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+        """Ids of distinct stems one after the other, how many each has, and the place of each."""
+        plain, letters, others = [], [], []
+        for t in stems:
+            kind = others if not t.isalpha() else plain if t.islower() and is_normalized("NFC", t) else letters
+            kind.append(t)
+        tokenize = self.tokenizer.model.tokenize
+        ids = [[token.id for token in tokenize(t if t.isascii() else _as_bytes(t))] for t in plain]
+        for at in range(0, len(letters), self.GROUP):
+            group = letters[at:at + self.GROUP]
+            joined = self._encoded([" ".join(group)])[0]
+            ends = (np.flatnonzero(self.ends[joined]) + 1).tolist()
             if len(ends) == len(group):
-                out += np.split(ids, ends[:-1])
-            else:
-                out += [np.array(one, dtype=np.uint32) for one in self._encoded(group)]
-        return out
+                ids += [joined[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+            else:  # lowering turned a letter into more than letters
+                ids += self._encoded(group)
+        ids += self._encoded(others)
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths.sum()))
+        return flat, lengths, dict(zip(chain(plain, letters, others), range(len(ids)), strict=True))
 
     def _learn(self, words: list[bytes]) -> None:
         texts = b"\n".join(words).decode("utf-8", "replace").split("\n")
-        has_mark = [t[-1] in ".," and "a" <= t[-2:-1] <= "z" for t in texts]
-        stems = [t[:-1] if m else t for t, m in zip(texts, has_mark, strict=True)]
-        distinct = dict.fromkeys(stems)
-        letters = [t for t in distinct if t.isalpha()]
-        others = [t for t in distinct if not t.isalpha()]
-        known = dict(zip(letters, self._apart(letters), strict=True))
-        known |= zip(others, self._encoded(others), strict=True)
-        pieces = []
-        for text, stem, mark in zip(texts, stems, has_mark, strict=True):
-            pieces.append(known[stem])
-            if mark:
-                pieces.append(self.marks[text[-1]])
-        lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        per_word = sums_of(lengths, np.array(has_mark, dtype=np.int64) + 1)
-        self.slots.update(zip(words, range(len(self.slots), len(self.slots) + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(per_word) - per_word])
-        self.lengths = np.concatenate([self.lengths, per_word])
-        self.flat = np.concatenate([self.flat, *pieces]).astype(np.uint32, copy=False)
+        marked = [t[-1] in ".," and "a" <= t[-2:-1] <= "z" for t in texts]
+        stems = [t[:-1] if m else t for t, m in zip(texts, marked, strict=True)]
+        flat, lengths, place = self._stems(list(dict.fromkeys(stems)))
+        at = np.fromiter(map(place.__getitem__, stems), dtype=np.int64, count=len(stems))
+        own = lengths[at]
+        ids = flat[spread_ranges((np.cumsum(lengths) - lengths)[at], own)]
+        ends = np.flatnonzero(marked)
+        mark = self.marks[np.array([texts[i][-1] == "," for i in ends.tolist()], dtype=np.int64)]
+        ids = np.insert(ids, np.cumsum(own)[ends], mark)
+        own[ends] += 1
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(own) - own])
+        self.lengths = np.concatenate([self.lengths, own])
+        self.flat = np.concatenate([self.flat, ids])
 
     def words_of(self, text: bytes | None) -> list[bytes]:
         """The words of a text. Letters are lowered here unless a special token may stand in it, which is told by case."""
@@ -233,17 +262,14 @@ class WordEncoder:
 
     def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after the other, and how many each has."""
-        found = np.fromiter(map(self.slots.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        unknown = np.flatnonzero(found < 0).tolist()
-        if unknown:
-            fresh = list(dict.fromkeys([words[i] for i in unknown]))
-            if self.slots and len(self.slots) + len(fresh) > self.limit:
-                self.forget()
-                return self.ids(words)
-            self._learn(fresh)
-            found[unknown] = [self.slots[words[i]] for i in unknown]
-        lengths = self.lengths[found]
-        return self.flat[spread_ranges(self.starts[found], lengths)], lengths
+        if len(self.slots) > self.limit:
+            self.forget()
+        known = len(self.slots)
+        at = np.fromiter(map(self.slots.__getitem__, words), dtype=np.int64, count=len(words))
+        if len(self.slots) > known:
+            self._learn(list(islice(self.slots, known, None)))
+        lengths = self.lengths[at]
+        return self.flat[spread_ranges(self.starts[at], lengths)], lengths
 
 
 @lru_cache(maxsize=1)
