@@ -19,21 +19,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wareproof.llm.common import written
 from wareproof.llm.order import numbered
 
 MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
-DOC = ["__doc", "__key"]
+# A document: whether it has an id, the id, the hash of its text; never null, and in the order of "before".
+DOC = ["__has", "__doc", "__key"]
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.withColumns({"__doc": F.col(doc_id), "__key": F.xxhash64(text), "__lines": F.split(text, "\n", -1)})
+    kind = docs.schema[doc_id].dataType
+    is_number = isinstance(kind, T.NumericType)
+    own = F.col(doc_id) if is_number else F.col(doc_id).cast("string")
+    nothing = F.lit(0).cast(kind) if is_number else F.lit("")
+    return docs.withColumns({
+        "__has": own.isNotNull(), "__doc": F.coalesce(own, nothing), "__key": F.xxhash64(text), "__lines": F.split(text, "\n", -1),
+    })
 
 
 def line_table(keyed: DataFrame, text: str) -> DataFrame:
-    """(__doc, __key, i, a, b, words): every line, as two hashes, with its number of words."""
+    """(DOC, i, a, b, words): every line, as two hashes, with its number of words."""
     lines = keyed.select(*DOC, F.posexplode("__lines").alias("i", "line"))
     return lines.select(
         *DOC, "i", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"),
@@ -48,7 +56,7 @@ def _ranked(places: DataFrame, pair: list[str]) -> DataFrame:
 
 
 def shortest_runs(places: DataFrame, min_words: int) -> DataFrame:
-    """(__doc, __key, s, m): for every repeated line the shortest run of repeated lines with enough words that begins
+    """(DOC, s, m): for every repeated line the shortest run of repeated lines with enough words that begins
     with it, and the one that ends with it.
 
     Over a stretch of repeated lines words add up; the end of a run is the first line whose sum reaches a
@@ -86,8 +94,7 @@ def shortest_runs(places: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(__doc, __key, s, e): the merged runs of lines s to e - 1 that stand somewhere before; __key is the hash of
-    the text."""
+    """(DOC, s, e): the merged runs of lines s to e - 1 that stand somewhere before."""
     lines = written(line_table(_keyed(docs.select(doc_id, text), doc_id, text), text), "lines")
     places = written(_ranked(lines, ["a", "b"]), "places").dropDuplicates([*DOC, "i"])
     runs = written(shortest_runs(places, min_words), "runs")
@@ -135,9 +142,8 @@ def without_repeats(
     """
     runs = repeated_runs(docs, min_words, doc_id, text)
     gone = F.flatten(F.collect_list(F.sequence(F.col("s"), F.col("e") - 1)))
-    removed = runs.groupBy(*DOC).agg(gone.alias("__gone")).withColumnsRenamed({"__doc": "__d", "__key": "__k"})
-    keyed = _keyed(docs, doc_id, text)
-    joined = keyed.join(removed, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
+    removed = runs.groupBy(*DOC).agg(gone.alias("__gone"))
+    joined = _keyed(docs, doc_id, text).join(removed, DOC, "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     rest = F.array_join(F.transform(stay, lambda i: F.col("__lines")[i]), "\n")
     return joined.withColumns({
