@@ -4,9 +4,10 @@ A document is the set of its five-word shingles. Equal sets are one class, found
 go on. Every class has a sketch of minwise tokens. A tree of the join (Christiani and Pagh, 2017; Christiani,
 Pagh and Sivertsen, 2018) sends a class from a node to children by one or two tokens that the node chooses, 1 / 0.75
 on average, so that similar classes meet in a child and others part. A node of at most ``LIMIT`` classes compares all its
-sketches. In a larger one all are compared with one pivot: those as similar as the threshold leave with their link to it,
-the rest branch on. That takes time in proportion to a group of near copies, not to its square. ``TREES`` independent trees
-bring the recall of a pair at the threshold near one: 1 - 0.25^10 where one token parts strangers,
+sketches. In a larger one all are compared with one pivot, the class whose sketch agrees best with the node's most common
+tokens: the original of a group of near copies, which they resemble more than each other. Those surely above the threshold
+leave with their link to it, the rest branch on. That takes time in proportion to a group, not to its square. ``TREES``
+independent trees bring the recall of a pair at the threshold near one: 1 - 0.25^10 where one token parts strangers,
 above 0.9997 where two do.
 
 Candidates are confirmed on the full sets, first the best of every class, then those between classes that are not
@@ -34,7 +35,8 @@ TREES = 10
 LIMIT = 100
 #: Pairs whose sketches agree in fewer tokens are no candidates: a pair at the threshold does so once in 300,000.
 CANDIDATE = TOKENS // 2
-SURE = TOKENS * PERCENT // 100
+#: Sketches that agree in more tokens leave a large node: a pair below the threshold does so once in 60.
+SURE = TOKENS * 84 // 100
 BATCH_BYTES = 4_000_000
 CACHE = 32_768
 
@@ -176,6 +178,17 @@ def _children() -> Column:
     return F.when(has_two, F.array_distinct(F.array(child(0), child(1)))).otherwise(F.array(child(0)))
 
 
+def _central(big: DataFrame) -> DataFrame:
+    """(node, p): of each node the class whose tokens are the most common ones; on ties a hash decides. Tokens
+    are counted before they are shuffled."""
+    tokens = big.select("node", F.posexplode("sketch").alias("j", "token")).groupBy("node", "j", "token").agg(F.count("*").alias("n"))
+    most = tokens.groupBy("node", "j").agg(F.max(F.struct("n", "token")).alias("m"))
+    common = most.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", F.col("m.token").alias("t")))), lambda x: x["t"]).alias("common"))
+    agree = F.size(F.filter(F.zip_with("sketch", "common", lambda a, b: a == b), lambda same: same))
+    scored = big.join(common, "node").select("node", F.struct(agree.alias("agree"), F.xxhash64("node", "cls").alias("o"), "cls", "n_shingles", "bits").alias("p"))
+    return scored.groupBy("node").agg(F.max("p").alias("p"))
+
+
 def candidates(classes: DataFrame, seed: int = 0) -> DataFrame:
     """(a, b, agree): pairs of classes that met in a tree and whose sketches agree in enough tokens."""
     found = []
@@ -194,8 +207,7 @@ def candidates(classes: DataFrame, seed: int = 0) -> DataFrame:
         if big.isEmpty():
             break
         big = written(big.join(classes, "cls"), "big")
-        first = big.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "cls").alias("o"), "cls", "n_shingles", "bits")).alias("p"))
-        pivots = first.select("node", F.col("p.cls").alias("pivot"), F.col("p.n_shingles").alias("p_n"), F.col("p.bits").alias("p_bits"))
+        pivots = _central(big).select("node", F.col("p.cls").alias("pivot"), F.col("p.n_shingles").alias("p_n"), F.col("p.bits").alias("p_bits"))
         schema = "node bigint, cls bigint, pivot bigint, sketch array<int>, agree int"
         compared = written(big.join(pivots, "node").filter("cls != pivot").mapInArrow(_with_pivot, schema), "compared")
         pair = [F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"), "agree"]
