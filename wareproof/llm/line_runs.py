@@ -120,6 +120,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "do
     interval = ["m", "head", "tail"]
     place = F.struct(*DOC, "s")
     firsts = named.groupBy(*interval).agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
+    firsts = written(firsts, "firsts")  # else the join happens where they are counted, and a hot run cannot be split
     later = named.join(firsts, interval).filter(place > F.col("first")).select(*DOC, "s", (F.col("s") + F.col("m")).alias("e"))
     by_start = Window.partitionBy(*DOC).orderBy("s", "e")
     reached = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
