@@ -3,21 +3,25 @@
 A document is the set of its five-word shingles. Equal sets are one class, found by a digest of the set, and only classes
 go on. Every class has a sketch of minwise tokens. A tree of the join (Christiani and Pagh, 2017; Christiani,
 Pagh and Sivertsen, 2018) sends a class from a node to children by one or two tokens that the node chooses, 1 / 0.75
-on average, so that similar classes meet in a child and others part. A node of at most ``LIMIT`` classes compares all its
-sketches. In a larger one all are compared with one pivot, the class whose sketch agrees best with the node's most common
-tokens: the original of a group of near copies, which they resemble more than each other. Those surely above the threshold
-leave with their link to it, the rest branch on. That takes time in proportion to a group, not to its square. ``TREES``
-independent trees bring the recall of a pair at the threshold near one: 1 - 0.25^10 where one token parts strangers,
-above 0.9997 where two do.
-
-Candidates are confirmed on the full sets, first the best of every class, then those between classes that are not
-connected yet; what is left lies within a component and cannot change it.
+on average, so that similar classes meet in a child and others part. ``TREES`` independent trees bring the recall of a
+pair at the threshold near one: 1 - 0.25^10 where one token parts strangers, above 0.9997 where two do.
+
+A node of at most ``LIMIT`` classes is a leaf and compares all its sketches. In a larger one all are compared with one
+pivot, the class whose sketch agrees best with the node's most common tokens: the original of a group of near copies,
+which they resemble more than each other. Of those surely above the threshold seven in eight leave with their link to it, the
+rest branch on. That takes time in proportion to a group, not to its square.
+
+Links are confirmed on the full sets in two rounds, so that a group does not list all its pairs. First come those with
+pivots, and in leaves the best of every class and those with the leaf's most central class. Then leaves are compared
+once more, and all candidates between classes that are not connected yet are confirmed; the others cannot change a
+component.
 """
 
 from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,7 +36,9 @@ SHINGLE = 5
 PERCENT = 75
 TOKENS = 64
 TREES = 10
-LIMIT = 100
+LIMIT = 1000
+#: One in so many of those that could leave a large node stays, for others to meet.
+STAY = 8
 #: Pairs whose sketches agree in fewer tokens are no candidates: a pair at the threshold does so once in 300,000.
 CANDIDATE = TOKENS // 2
 #: Sketches that agree in more tokens leave a large node: a pair below the threshold does so once in 60.
@@ -46,7 +52,7 @@ _FLIPS = np.array([_random.getrandbits(64) for _ in range(TOKENS)], dtype=np.uin
 _ODDS = np.array([_random.getrandbits(64) | 1 for _ in range(TOKENS)], dtype=np.uint64)
 
 SIGNED = "doc_id bigint, n_shingles bigint, cls bigint, sketch array<int>, bits binary"
-SETS = "doc_id bigint, cls bigint, shingles binary"
+SETS = "cls bigint, shingles binary"
 
 
 # ---- sets and sketches ---------------------------------------------------------------------------
@@ -97,6 +103,13 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return (_mix(out) >> np.uint64(32)).astype(np.uint32)
 
 
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    """A number for each set, equal for equal sets."""
+    with np.errstate(over="ignore"):
+        sums = [np.add.reduce(_mix(s + np.uint64(1))) + np.uint64(len(s)) for s in sets]
+    return _mix(np.array(sums, dtype=np.uint64)).view(np.int64)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in parts(batches, "text", BATCH_BYTES):
         sets = shingle_sets(batch.column("text").to_pylist())
@@ -104,11 +117,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = np.flatnonzero(sizes)
         tokens = np.zeros((len(sets), TOKENS), dtype=np.uint32)
         tokens[filled] = sketches([sets[i] for i in filled])
-        with np.errstate(over="ignore"):
-            cls = np.array([np.add.reduce(_mix(s + np.uint64(1))) + np.uint64(len(s)) for s in sets], dtype=np.uint64)
         offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * TOKENS)
         yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), pa.array(sizes), pa.array(_mix(cls).view(np.int64)),
+            batch.column("doc_id"), pa.array(sizes), pa.array(_digests(sets)),
             pa.ListArray.from_arrays(offsets, pa.array(tokens.reshape(-1).view(np.int32))),
             pa.array([row.tobytes() for row in tokens.astype(np.uint8)], pa.binary()),
         ], ["doc_id", "n_shingles", "cls", "sketch", "bits"])
@@ -118,34 +129,65 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in parts(batches, "text", BATCH_BYTES):
         sets = shingle_sets(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("cls"), pa.array([s.tobytes() for s in sets], pa.binary())],
-            ["doc_id", "cls", "shingles"],
+            [pa.array(_digests(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "shingles"]
         )
 
 
 # ---- the trees -----------------------------------------------------------------------------------
 
-PAIRS = "a bigint, b bigint, agree int"
+PAIRS = "a bigint, b bigint"
 
 
 def _size_fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
 
 
-def _small_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All candidate pairs of every node."""
-    for batch in batches:
-        for at in range(batch.num_rows):
-            members = batch.column("members")[at].values
-            cls = members.field("cls").to_numpy()
-            n = members.field("n_shingles").to_numpy()
+def _agreement(bits: np.ndarray) -> np.ndarray:
+    """In how many tokens the rows of ``bits`` agree, all with all."""
+    agree = np.zeros((len(bits), len(bits)), dtype=np.uint8)
+    for column in np.ascontiguousarray(bits.T):
+        agree += column[:, None] == column[None, :]
+    return agree
+
+
+def _central_row(bits: np.ndarray) -> int:
+    """The row that agrees best with the most common tokens."""
+    most = [np.bincount(column).argmax() for column in bits.T]
+    return int((bits == np.array(most, dtype=np.uint8)).sum(axis=1).argmax())
+
+
+def _leaves(pick):
+    """Pairs of the members of every leaf that ``pick`` (bits, candidates, agreement, labels) names."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets = batch.column("members").offsets.to_numpy()
+            members = batch.column("members").values
+            cls, n, label = (members.field(c).to_numpy() for c in ("cls", "n_shingles", "label"))
             bits = np.frombuffer(b"".join(members.field("bits").to_pylist()), dtype=np.uint8).reshape(-1, TOKENS)
-            agree = (bits[:, None, :] == bits[None, :, :]).sum(axis=2)
-            i, j = np.nonzero(np.triu((agree >= CANDIDATE) & _size_fits(n[:, None], n[None, :]), 1))
-            if len(i):
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j])), pa.array(agree[i, j].astype(np.int32)),
-                ], ["a", "b", "agree"])
+            found = [np.zeros((0, 2), dtype=np.int64)]
+            for start, stop in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                own = slice(start, stop)
+                agree = _agreement(bits[own])
+                near = (agree >= CANDIDATE) & _size_fits(n[own][:, None], n[own][None, :])
+                np.fill_diagonal(near, False)
+                if near.any():
+                    i, j = pick(bits[own], near, agree, label[own])
+                    found.append(np.stack([cls[own][i], cls[own][j]], axis=1))
+            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    return run
+
+
+def _best_and_central(bits: np.ndarray, near: np.ndarray, agree: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    some = np.flatnonzero(near.any(axis=1))
+    best = np.where(near[some], agree[some], 0).argmax(axis=1)
+    center = _central_row(bits[some])
+    around = np.flatnonzero(near[some[center]])
+    return np.concatenate([some, np.full(len(around), some[center])]), np.concatenate([best, around])
+
+
+def _not_connected(bits: np.ndarray, near: np.ndarray, agree: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.nonzero(np.triu(near & (label[:, None] != label[None, :])))
 
 
 def _with_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,47 +220,73 @@ def _children() -> Column:
     return F.when(has_two, F.array_distinct(F.array(child(0), child(1)))).otherwise(F.array(child(0)))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of a batch by node and place, counted."""
+    for batch in batches:
+        nodes, of = np.unique(batch.column("node").to_numpy(), return_inverse=True)
+        bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), dtype=np.uint8).reshape(-1, TOKENS)
+        keys, n = np.unique((of[:, None] * TOKENS + np.arange(TOKENS)) * 256 + bits, return_counts=True)
+        place, token = np.divmod(keys, 256)
+        of, j = np.divmod(place, TOKENS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nodes[of]), pa.array(j, pa.int32()), pa.array(token, pa.int32()), pa.array(n, pa.int64())], ["node", "j", "token", "n"]
+        )
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many places a class has its node's most common token."""
+    for batch in batches:
+        bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), dtype=np.uint8).reshape(-1, TOKENS)
+        common = batch.column("common").flatten().to_numpy().reshape(-1, TOKENS)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("cls"), pa.array((bits == common).sum(axis=1))], ["node", "cls", "agree"])
+
+
 def _central(big: DataFrame) -> DataFrame:
-    """(node, p): of each node the class whose tokens are the most common ones; on ties a hash decides. Tokens
-    are counted before they are shuffled."""
-    tokens = big.select("node", F.posexplode("sketch").alias("j", "token")).groupBy("node", "j", "token").agg(F.count("*").alias("n"))
+    """(node, pivot): of each node the class with the most common tokens; on ties a hash decides."""
+    slim = big.select("node", "cls", "bits")
+    tokens = slim.mapInArrow(_counted, "node bigint, j int, token int, n bigint").groupBy("node", "j", "token").agg(F.sum("n").alias("n"))
     most = tokens.groupBy("node", "j").agg(F.max(F.struct("n", "token")).alias("m"))
     common = most.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", F.col("m.token").alias("t")))), lambda x: x["t"]).alias("common"))
-    agree = F.size(F.filter(F.zip_with("sketch", "common", lambda a, b: a == b), lambda same: same))
-    scored = big.join(common, "node").select("node", F.struct(agree.alias("agree"), F.xxhash64("node", "cls").alias("o"), "cls", "n_shingles", "bits").alias("p"))
-    return scored.groupBy("node").agg(F.max("p").alias("p"))
+    scored = slim.join(written(common, "common"), "node").mapInArrow(_scored, "node bigint, cls bigint, agree bigint")
+    return scored.groupBy("node").agg(F.max(F.struct("agree", F.xxhash64("node", "cls"), "cls")).alias("p")).select("node", F.col("p.cls").alias("pivot"))
 
 
-def candidates(classes: DataFrame, seed: int = 0) -> DataFrame:
-    """(a, b, agree): pairs of classes that met in a tree and whose sketches agree in enough tokens."""
-    found = []
+def grow(classes: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The leaves of all trees (node, cls), and the candidate pairs (a, b) with pivots of larger nodes."""
+    leaves, stars = [], []
     level = classes.select("cls", F.explode(_roots(seed)).alias("node"))
     while True:
         level = written(level, "level")
         sizes = level.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         members = written(level.join(sizes, "node"), "members")
-        if members.isEmpty():
-            break
-        slim = classes.select("cls", "n_shingles", "bits")
-        small = members.filter(F.col("size") <= LIMIT).join(slim, "cls").groupBy("node")
-        small = small.agg(F.collect_list(F.struct("cls", "n_shingles", "bits")).alias("members")).select("members")
-        found.append(written(small.mapInArrow(_small_nodes, PAIRS), "pairs"))
+        leaves.append(members.filter(F.col("size") <= LIMIT).select("node", "cls"))
         big = members.filter(F.col("size") > LIMIT)
         if big.isEmpty():
             break
         big = written(big.join(classes, "cls"), "big")
-        pivots = _central(big).select("node", F.col("p.cls").alias("pivot"), F.col("p.n_shingles").alias("p_n"), F.col("p.bits").alias("p_bits"))
+        own = classes.select(F.col("cls").alias("pivot"), F.col("n_shingles").alias("p_n"), F.col("bits").alias("p_bits"))
+        pivots = written(_central(big).join(own, "pivot"), "pivots")
         schema = "node bigint, cls bigint, pivot bigint, sketch array<int>, agree int"
         compared = written(big.join(pivots, "node").filter("cls != pivot").mapInArrow(_with_pivot, schema), "compared")
-        pair = [F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"), "agree"]
-        found.append(compared.filter(F.col("agree") >= CANDIDATE).select(*pair))
-        level = compared.filter(F.col("agree") < SURE).select("cls", F.explode(_children()).alias("node"))
-    if not found:
-        return classes.sparkSession.createDataFrame([], PAIRS)
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+        pair = [F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")]
+        stars.append(compared.filter(F.col("agree") >= CANDIDATE).select(*pair))
+        stays = (F.col("agree") < SURE) | (F.pmod(F.xxhash64("cls", "node"), F.lit(STAY)) == 0)
+        level = compared.filter(stays).select("cls", F.explode(_children()).alias("node"))
+    none = classes.sparkSession.createDataFrame([], PAIRS)
+    return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, stars, none)
+
+
+def _compared(leaves: DataFrame, classes: DataFrame, labels: DataFrame | None, pick) -> DataFrame:
+    """Distinct pairs of the classes of leaves; with labels, of leaves that hold more than one."""
+    slim = classes.select("cls", "n_shingles", "bits")
+    if labels is None:
+        slim = slim.withColumn("label", F.col("cls"))
+    else:
+        known = labels.withColumnRenamed("v", "cls")
+        slim = written(slim.join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
+    grouped = leaves.join(slim, "cls").groupBy("node").agg(
+        F.collect_list(F.struct("cls", "n_shingles", "bits", "label")).alias("members"), F.min("label").alias("x"), F.max("label").alias("y"))
+    return grouped.filter("x != y").select("members").mapInArrow(_leaves(pick), PAIRS).distinct()
 
 
 # ---- confirmed links -----------------------------------------------------------------------------
@@ -242,30 +310,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_confirmed, "a bigint, b bigint")
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of classes in different components."""
-    a = labels.select(F.col("v").alias("a"), F.col("label").alias("label_a"))
-    b = labels.select(F.col("v").alias("b"), F.col("label").alias("label_b"))
-    known = pairs.join(a, "a", "left").join(b, "b", "left")
-    same = F.coalesce("label_a", "a") == F.coalesce("label_b", "b")
-    return known.filter(~same).select("a", "b")
-
-
 def links(rows: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
     """Confirmed links (a, b) between classes that hold their components together."""
-    pairs = written(candidates(classes, seed), "candidates")
-    ends = pairs.select(F.col("a").alias("cls"), "b", "agree").union(pairs.select(F.col("b"), F.col("a"), F.col("agree")))
-    ends = ends.toDF("cls", "other", "agree")
-    needed = written(ends.select("cls").distinct().join(classes.select("cls", F.col("rep").alias("doc_id")), "cls"), "needed")
-    texts = rows.join(needed, "doc_id").mapInArrow(_with_sets, SETS)
-    # Rows that share an id have sets of their own: only the one of the class counts.
-    sets = written(texts.join(classes.select("cls", "n_shingles"), "cls").filter(
-        F.octet_length("shingles") == 8 * F.col("n_shingles")).dropDuplicates(["cls"]).select("cls", "shingles"), "sets")
-    best = ends.groupBy("cls").agg(F.max_by("other", F.struct("agree", "other")).alias("other"))
-    best = best.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
-    first = written(confirmed(best, sets), "links")
-    rest = _apart(pairs.join(best, ["a", "b"], "left_anti"), components(first))
-    return first.union(written(confirmed(rest, sets), "links"))
+    leaves, stars = grow(classes, seed)
+    first = written(_compared(leaves, classes, None, _best_and_central).union(stars).distinct(), "first")
+    # Whoever has a candidate has its best one among the first.
+    ends = first.select(F.col("a").alias("cls")).union(first.select("b")).distinct()
+    needed = written(ends.join(classes.select("cls", "n_shingles", F.col("rep").alias("doc_id")), "cls"), "needed")
+    # The documents needed grow with the corpus, so their texts are fetched by a shuffled join whatever their number.
+    texts = rows.join(needed.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_with_sets, SETS)
+    # Rows that share an id have sets of their own: only those of the classes count.
+    sets = written(texts.join(needed.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    linked = written(confirmed(first, sets), "links")
+    second = _compared(leaves, classes, components(linked), _not_connected).join(first, ["a", "b"], "left_anti")
+    return linked.union(written(confirmed(second, sets), "links"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
