@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wareproof.constants import ITEMS_PER_READ, WRITES_PER_RUN
 from wareproof.functions.text import blank_if_null, js_trim
 from wareproof.operators.registry import META
-from wareproof.operators.skew import attach_groups, ranked
+from wareproof.operators.skew import attach_groups
 from wareproof.sources.records import Catalog
 
 LOG_DDL = (
@@ -30,14 +29,12 @@ def from_json_text(c: Column) -> Column:
 
 
 def _flagged(findings: DataFrame, rule_id: str) -> DataFrame:
-    """Flagged items in catalog order with the read they belong to."""
-    items = (
+    """Flagged items with their edit."""
+    return (
         findings.filter(C("rule_id") == rule_id)
         .groupBy("tenant", "product_id")
         .agg(F.min("pos").alias("pos"), F.first("edit", ignorenulls=True).alias("_edit"))
     )
-    numbered = ranked(items, ["tenant"], ["pos", "product_id"], "_item_rank")
-    return numbered.withColumn("read", F.floor((C("_item_rank") - 1) / ITEMS_PER_READ))
 
 
 def _vendor_rows(flagged: DataFrame, catalog: Catalog) -> DataFrame:
@@ -50,10 +47,10 @@ def _vendor_rows(flagged: DataFrame, catalog: Catalog) -> DataFrame:
     action = (
         F.when(wanted.isNull() | (C("before") == wanted), F.lit("unchanged"))
         .when(C("before") != C("_edit.current"), F.lit("skipped"))
-        .otherwise("write")
+        .otherwise("fixed")
     )
     return flagged.join(now, ["tenant", "product_id"]).select(
-        "tenant", "product_id", "pos", "read", F.lit(0).cast("bigint").alias("variant_pos"),
+        "tenant", "product_id", "pos", F.lit(0).cast("bigint").alias("variant_pos"),
         F.lit("vendor").alias("field"), C("product_id").alias("target_id"), C("_title").alias("title"),
         "before", wanted.alias("after"), action.alias("action"),
     )
@@ -67,53 +64,30 @@ def _compare_at_rows(flagged: DataFrame, catalog: Catalog) -> DataFrame:
     ).filter(C("compare_at_price") <= C("price"))
     sizes = flagged.join(
         now.groupBy("tenant", "product_id").agg(F.count(F.lit(1)).alias("_n")), ["tenant", "product_id"]
-    ).select("tenant", "product_id", "pos", "read", "_n")
+    ).select("tenant", "product_id", "pos", "_n")
     rows = attach_groups(now, sizes, ["tenant", "product_id"], "_n", ["target_id"])
     return rows.select(
-        "tenant", "product_id", "pos", "read", "variant_pos", F.lit("compareAt").alias("field"), "target_id",
+        "tenant", "product_id", "pos", "variant_pos", F.lit("compareAt").alias("field"), "target_id",
         F.concat("product_title", F.lit(" / "), "_t").alias("title"),
         C("compare_at_price").cast("string").alias("before"), F.lit(None).cast("string").alias("after"),
-        F.lit("write").alias("action"),
+        F.lit("fixed").alias("action"),
     )
 
 
 FIXERS = {"vendor_casing": _vendor_rows, "compare_at_not_higher": _compare_at_rows}
 
 
-def plan_fix(findings: DataFrame, catalog: Catalog, rule_id: str, budget: int = WRITES_PER_RUN) -> DataFrame:
-    """One row per change: fixed, over_budget, skipped (changed since the scan) or unchanged.
-
-    Items are read in catalog order and writes stop at the budget, per tenant. The counts of reads
-    that would not happen any more are in ``fix_result``.
-    """
+def plan_fix(findings: DataFrame, catalog: Catalog, rule_id: str) -> DataFrame:
+    """One row per change with ``action``: fixed, skipped (changed since the scan) or unchanged."""
     if rule_id not in FIXERS:
         raise ValueError(f"no bulk fix for {rule_id}")
-    rows = FIXERS[rule_id](_flagged(findings, rule_id), catalog)
-    writes = ranked(
-        rows.filter("action = 'write'"), ["tenant"], ["pos", "product_id", "variant_pos", "target_id"], "write_no"
-    ).withColumn("action", F.when(C("write_no") <= budget, F.lit("fixed")).otherwise("over_budget"))
-    rest = rows.filter("action != 'write'").withColumn("write_no", F.lit(None).cast("bigint"))
-    return writes.unionByName(rest)
-
-
-def fix_result(plan: DataFrame, findings: DataFrame, rule_id: str, budget: int = WRITES_PER_RUN) -> DataFrame:
-    """(tenant, fixed, skipped, over_budget). Reading stops with the read that spends the budget:
-    changes left in it count one by one, items never read count once."""
-    last_read = plan.filter(C("write_no") == budget).groupBy("tenant").agg(F.max("read").alias("_last"))
-    reads = plan.groupBy("tenant", "read").agg(
-        F.count_if(C("action") == "fixed").alias("fixed"),
-        F.count_if(C("action") == "skipped").alias("skipped"),
-        F.count_if(C("action") == "over_budget").alias("over"),
-    )
-    items = _flagged(findings, rule_id).groupBy("tenant", "read").agg(F.count(F.lit(1)).alias("items"))
-    unread = C("read") > C("_last")
-    joined = items.join(reads, ["tenant", "read"], "left").join(last_read, "tenant", "left")
-    return joined.groupBy("tenant").agg(
-        F.coalesce(F.sum("fixed"), F.lit(0)).alias("fixed"),
-        F.coalesce(F.sum(F.when(F.coalesce(unread, F.lit(False)), 0).otherwise(C("skipped"))), F.lit(0)).alias("skipped"),
-        F.coalesce(
-            F.sum(F.when(F.coalesce(unread, F.lit(False)), C("items")).otherwise(F.coalesce("over", F.lit(0)))), F.lit(0)
-        ).alias("over_budget"),
+    return FIXERS[rule_id](_flagged(findings, rule_id), catalog)
+
+
+def fix_result(plan: DataFrame) -> DataFrame:
+    """(tenant, fixed, skipped, unchanged): changes by what becomes of them."""
+    return plan.groupBy("tenant").agg(
+        *[F.count_if(C("action") == action).alias(action) for action in ("fixed", "skipped", "unchanged")]
     )
 
 
@@ -129,13 +103,16 @@ def log_entries(plan: DataFrame, rule_id: str, batch_id: str, created_at: Column
 def apply_changes(table: DataFrame, entries: DataFrame, key: str, columns: dict[str, str], value: str = "after") -> DataFrame:
     """A table with logged values written over its own.
 
-    ``columns`` maps logged fields to table columns; rows without an entry pass through unchanged.
+    ``columns`` maps logged fields to table columns; rows without an entry pass through unchanged. Of several
+    entries for a value the newest counts, of equally new ones that of the later batch. To write what a fix wrote
+    (``after``), entries that were undone are left out.
     """
     out = table
+    valid = entries.filter(~F.coalesce(C("undone"), F.lit(False))) if value == "after" else entries
     for field, column in columns.items():
-        new = entries.filter(C("field") == field).select(
-            "tenant", C("target_id").alias(key), from_json_text(C(value)).alias("_new"), F.lit(True).alias("_hit")
-        )
+        new = valid.filter(C("field") == field).groupBy("tenant", C("target_id").alias(key)).agg(
+            F.max_by(F.struct(C(value).alias("_v")), F.struct("created_at", "batch_id")).alias("_e")
+        ).select("tenant", key, from_json_text(C("_e._v")).alias("_new"), F.lit(True).alias("_hit"))
         kind = table.schema[column].dataType
         out = out.join(new, ["tenant", key], "left").withColumn(
             column, F.when(C("_hit"), C("_new").cast(kind)).otherwise(C(column))
@@ -154,11 +131,11 @@ def current_values(table: DataFrame, key: str, columns: dict[str, str]) -> DataF
 
 
 def plan_undo(
-    log: DataFrame, current: DataFrame, batch_id: str, product_id: str | None = None
+    log: DataFrame, current: DataFrame, tenant: str, batch_id: str, product_id: str | None = None
 ) -> DataFrame:
-    """Entries of a batch (or one item of it) with ``outcome``: undone where the value is still what
+    """Entries of a tenant's batch (or one item of it) with ``outcome``: undone where the value is still what
     the fix wrote, stale where it changed or is gone. Both are closed."""
-    entries = log.filter((C("batch_id") == batch_id) & ~C("undone"))
+    entries = log.filter((C("tenant") == tenant) & (C("batch_id") == batch_id) & ~C("undone"))
     if product_id is not None:
         entries = entries.filter(C("product_id") == product_id)
     found = current.withColumn("_found", F.lit(True))
@@ -183,7 +160,7 @@ def fix_label(rule_id: Column) -> Column:
     return F.coalesce(F.try_element_at(table, rule_id), F.replace(rule_id, F.lit("_"), F.lit(" ")))
 
 
-def recent_fixes(log: DataFrame, n: int = 5) -> DataFrame:
+def recent_fixes(log: DataFrame, n: int) -> DataFrame:
     """The newest batches still in place, per tenant, with counts and the title of a single item."""
     per_item = log.filter(~C("undone")).groupBy("tenant", "batch_id", "rule_id", "product_id").agg(
         F.count(F.lit(1)).alias("_n"), F.max("created_at").alias("_at"), F.max("title").alias("_title")
@@ -202,9 +179,9 @@ def recent_fixes(log: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
-def batch_detail(log: DataFrame, batch_id: str) -> DataFrame:
-    """Items of a batch still in place: changes and the fields they touched, by title."""
-    rows = log.filter((C("batch_id") == batch_id) & ~C("undone"))
+def batch_detail(log: DataFrame, tenant: str, batch_id: str) -> DataFrame:
+    """Items of a tenant's batch still in place: changes and the fields they touched, by title."""
+    rows = log.filter((C("tenant") == tenant) & (C("batch_id") == batch_id) & ~C("undone"))
     return rows.groupBy("tenant", "product_id").agg(
         F.min_by("title", F.struct("created_at", "target_id")).alias("title"),
         F.count(F.lit(1)).alias("changes"),

@@ -47,12 +47,9 @@ def contains_any(cols: Sequence[Column | str], phrases: Sequence[str]) -> Column
     return out
 
 
-def pattern_violation(
-    c: Column | str, regex: str, negate: bool = False, max_input: int | None = None
-) -> Column:
+def pattern_violation(c: Column | str, regex: str, negate: bool = False) -> Column:
     """The pattern occurs (or, negated, does not occur) in the non-blank text."""
-    text = _col(c) if max_input is None else F.substring(_col(c), 1, max_input)
-    hit = text.rlike(regex)
+    hit = _col(c).rlike(regex)
     return ~tx.is_blank(_col(c)) & (~hit if negate else hit)
 
 

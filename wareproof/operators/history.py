@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wareproof.constants import KEEP_FULL_SCANS, STREAK_DAYS
 from wareproof.operators.summary import top_issues
 
 
@@ -16,26 +15,30 @@ def first_of_day(scans: DataFrame, fix_log: DataFrame | None = None) -> DataFram
     ).select("tenant", "date", "_s.*")
     if fix_log is None:
         return first.drop("created_at").withColumn("fixed", F.lit(0).cast("bigint"))
-    # Fixes in place when the day's first result was saved: a running total per tenant and day
-    # would count the day's later fixes, so fixes are matched to the first snapshot after them.
-    in_place = fix_log.filter(~F.col("undone")).select("tenant", F.col("created_at").alias("at"), F.lit(1).alias("_c"))
-    marks = in_place.groupBy("tenant", "at").agg(F.sum("_c").alias("_c")).withColumns(
-        {"date": F.lit(None).cast("date"), "open": F.lit(None).cast("bigint"), "high": F.lit(None).cast("bigint")}
-    )
-    points = first.select("tenant", F.col("created_at").alias("at"), F.lit(0).cast("bigint").alias("_c"), "date", "open", "high")
-    # One row per distinct fix time and one per day: the history of one tenant.
-    w = Window.partitionBy("tenant").orderBy("at", F.col("date").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    joined = points.unionByName(marks.select(*points.columns)).withColumn("fixed", F.sum("_c").over(w))
-    return joined.filter(F.col("date").isNotNull()).select("tenant", "date", "open", "high", "fixed")
-
-
-def clean_streak(snapshots: DataFrame, look_back: int = STREAK_DAYS) -> DataFrame:
+    # Fixes in place when the day's first result was saved: those of earlier days, counted per day, and
+    # those of the day itself up to that time.
+    in_place = fix_log.filter(~F.col("undone")).select(
+        "tenant", F.col("created_at").alias("at"), F.to_date("created_at").alias("date"))
+    same_day = in_place.join(first.select("tenant", "date", "created_at"), ["tenant", "date"]).filter("at <= created_at")
+    same_day = same_day.groupBy("tenant", "date").agg(F.count(F.lit(1)).alias("_today"))
+    per_day = in_place.groupBy("tenant", "date").agg(F.count(F.lit(1)).alias("_c"))
+    days = first.select("tenant", "date", F.lit(0).cast("bigint").alias("_c")).unionByName(per_day)
+    days = days.groupBy("tenant", "date").agg(F.sum("_c").alias("_c"))
+    # One row per day of a tenant's history.
+    w = Window.partitionBy("tenant").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    before = days.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")
+    joined = first.join(before, ["tenant", "date"]).join(same_day, ["tenant", "date"], "left")
+    fixed = (F.col("_before") + F.coalesce("_today", F.lit(0))).alias("fixed")
+    return joined.select("tenant", "date", "open", "high", fixed)
+
+
+def clean_streak(snapshots: DataFrame) -> DataFrame:
     """(tenant, days): consecutive days without high severity that end at the latest snapshot."""
+    # Row n of an unbroken run lies n days before the day after the latest snapshot. One row per day.
     w = Window.partitionBy("tenant").orderBy(F.col("date").desc())
-    recent = snapshots.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= look_back)
-    # Row n of an unbroken run lies n days before the day after the latest snapshot.
     latest = F.max("date").over(Window.partitionBy("tenant"))
-    marked = recent.withColumn("_gap", F.datediff(latest, F.col("date")) - F.col("_rn") + 1)
+    numbered = snapshots.withColumn("_rn", F.row_number().over(w))
+    marked = numbered.withColumn("_gap", F.datediff(latest, F.col("date")) - F.col("_rn") + 1)
     broken = F.min(
         F.when((F.col("_gap") != 0) | (F.col("high") != 0), F.col("_rn"))
     )
@@ -63,7 +66,7 @@ def weekly_change(open_counts: DataFrame, snapshots: DataFrame, today: Column) -
     return open_counts.join(before, "tenant", "left").withColumn("change", F.col("open") - F.col("week_ago"))
 
 
-def digest(findings: DataFrame, open_counts: DataFrame, snapshots: DataFrame, today: Column, n: int = 5) -> DataFrame:
+def digest(findings: DataFrame, open_counts: DataFrame, snapshots: DataFrame, today: Column, n: int) -> DataFrame:
     """Weekly figures with the checks to start with, one row per tenant."""
     top = top_issues(findings, n).groupBy("tenant").agg(
         F.array_sort(F.collect_list(F.struct("rank", "rule_id", "count"))).alias("top")
@@ -71,7 +74,7 @@ def digest(findings: DataFrame, open_counts: DataFrame, snapshots: DataFrame, to
     return weekly_change(open_counts, snapshots, today).join(top, "tenant", "left")
 
 
-def trend(history: DataFrame, n: int = KEEP_FULL_SCANS) -> DataFrame:
+def trend(history: DataFrame, n: int) -> DataFrame:
     """Open counts of the last ``n`` full scans with the change from the scan before."""
     newest = Window.partitionBy("tenant").orderBy(F.col("at").desc(), F.col("scan_id").desc())
     in_order = Window.partitionBy("tenant").orderBy("at", "scan_id")

@@ -12,7 +12,7 @@ from wareproof.functions.text import blank_if_null, js_trim
 from wareproof.operators.registry import CATALOG_RULES, RULE_IDS
 from wareproof.operators.summary import apply_ignores, known_findings
 from wareproof.operators.validate import pattern_error
-from wareproof.plans.scan import Context, row_findings
+from wareproof.plans.scan import Context, row_findings, stored
 from wareproof.sources.reads import by_ids, new_ids
 from wareproof.sources.records import Catalog
 
@@ -79,9 +79,13 @@ def recheck(
     rules: Sequence[str] = RULE_IDS,
     ignores: DataFrame | None = None,
     acted_on: str | None = None,
+    folder: str | None = None,
 ) -> Recheck:
-    """Re-run the row checks on the given items and splice the outcome into the stored findings."""
+    """Re-run the row checks on the given items and splice the outcome into the stored findings. With ``folder``
+    the features of the given items are written there once for all checks."""
     part = by_ids(catalog, ids)
+    if folder is not None:
+        part = stored(part, folder)
     fresh = row_findings(part, ctx, rules)
     if ignores is not None:
         fresh = apply_ignores(fresh, ignores)
@@ -113,11 +117,9 @@ def scan_new(
     ctx: Context,
     rules: Sequence[str] = RULE_IDS,
     ignores: DataFrame | None = None,
-    at_most: int | None = None,
 ) -> Recheck:
     """Row checks for items created since the last read that the stored result does not cover."""
-    created = new_ids(catalog.items, since) if at_most is None else new_ids(catalog.items, since, at_most)
-    ids = created.select(*KEY).join(covered.select(*KEY), KEY, "left_anti")
+    ids = new_ids(catalog.items, since).select(*KEY).join(covered.select(*KEY), KEY, "left_anti")
     part = by_ids(catalog, ids)
     fresh = row_findings(part, ctx, rules)
     if ignores is not None:
@@ -262,6 +264,6 @@ def convert_legacy_rules(legacy: DataFrame) -> DataFrame:
         F.array_join(words, " ").alias("name"), F.lit("single_line_text_field").alias("type"),
         F.lit(True).alias("required"),
         F.when(pattern_error(pattern).isNull(), pattern).otherwise("").alias("pattern"),
-        F.substring(js_trim(blank_if_null(C("product_type"))), 1, 255).alias("product_type"),
+        js_trim(blank_if_null(C("product_type"))).alias("product_type"),
     )
     return out.dropDuplicates(RULE_KEY)

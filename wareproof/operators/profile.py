@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wareproof.functions import patterns
 from wareproof.functions import text as tx
 from wareproof.functions.numeric import cents
 from wareproof.operators.skew import attach_groups
-from wareproof.operators.validate import pattern_compiles
 from wareproof.sources.records import Catalog
 
 RULES_TYPE = (
@@ -80,9 +80,9 @@ def grouped_attribute_rules(rules: DataFrame) -> DataFrame:
     pattern = F.coalesce(F.col("pattern"), F.lit(""))
     entry = F.struct(
         F.concat_ws(".", "namespace", "key").alias("full_key"), F.col("name"), F.col("type"),
-        F.coalesce("required", F.lit(False)).alias("required"), pattern.alias("pattern"),
+        F.coalesce("required", F.lit(False)).alias("required"), patterns.to_engine(pattern).alias("pattern"),
         F.coalesce("product_type", F.lit("")).alias("product_type"),
-        ((pattern != "") & pattern_compiles(pattern)).alias("usable"),
+        ((pattern != "") & patterns.problem(pattern).isNull()).alias("usable"),
     )
     return rules.groupBy("tenant").agg(
         F.sort_array(F.collect_list(entry)).cast(RULES_TYPE).alias("attribute_rules")

@@ -29,23 +29,36 @@ def with_key(df: DataFrame, key: Column, min_len: int, out: str) -> DataFrame:
     return exploded_rows(computed, ["*"], F.array(kept), out).drop("_computed")
 
 
+# Ranges per doubling of a value.
+RANGES = 16
+
+
 def with_median_bounds(counted: DataFrame, group: Sequence[str], value: str, count: str) -> DataFrame:
     """Mark, per group, the one or two middle values of counted distinct values.
 
     Adds ``_lower`` and ``_upper``: the value where it is the lower or upper middle, else null; their
-    minima are the middles. Only distinct values are sorted, and a later aggregation by the group
-    needs no further shuffle.
+    minima are the middles. Values are counted by range first, so a window holds the ranges of a group, or
+    the distinct values of one range, but never all values of a group.
     """
+    size = F.abs(F.col(value).cast("double"))
+    ranged = counted.withColumn("_range", F.signum(F.col(value).cast("double")) * F.floor(F.log2(size + 1) * RANGES))
     whole = Window.partitionBy(*group)
-    so_far = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    out = counted.withColumns({"_cum": F.sum(count).over(so_far), "_all": F.sum(count).over(whole)})
+    earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy(*group, "_range").agg(F.sum(count).alias("_n")).withColumns(
+        {"_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_all": F.sum("_n").over(whole)}
+    )
+    left, right = ranged.alias("l"), ranges.alias("r")
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*group, "_range"]]
+    joined = left.join(right, on).select("l.*", "r._before", "r._all")
+    inside = Window.partitionBy(*group, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    out = joined.withColumn("_cum", F.col("_before") + F.sum(count).over(inside))
     counts = F.col(count) > 0
     return out.withColumns(
         {
             "_lower": F.when(counts & (F.col("_cum") * 2 >= F.col("_all")), F.col(value)),
             "_upper": F.when(counts & (F.col("_cum") * 2 > F.col("_all")), F.col(value)),
         }
-    ).drop("_cum", "_all")
+    ).drop("_cum", "_all", "_before", "_range")
 
 
 def median_of_bounds() -> Column:

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wareproof.constants import WORDS_PER_ITEM
 from wareproof.functions import text as tx
 from wareproof.operators.findings import edit, payload, to_findings
 from wareproof.operators.item_checks import item_keys
@@ -156,12 +155,13 @@ def deletes(word: Column, edits: int = MAX_EDITS) -> Column:
     return F.array_distinct(found)
 
 
-@F.pandas_udf(T.IntegerType())
-def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Edit distance with swaps of neighbours as one edit, over a batch of word pairs at once."""
-    if len(a) == 0:
-        return pd.Series([], dtype="int32")
-    width_a, width_b = int(a.str.len().max()), int(b.str.len().max())
+# Cells of the distance table in memory at a time.
+TABLE_CELLS = 4_000_000
+
+
+def _osa(a: list[str], b: list[str]) -> np.ndarray:
+    """Edit distances with swaps of neighbours as one edit, of pairs of words side by side."""
+    width_a, width_b = max(map(len, a)), max(map(len, b))
     codes_a = np.array([[ord(c) for c in w.ljust(width_a, "\0")] for w in a], dtype=np.int32).reshape(len(a), width_a)
     codes_b = np.array([[ord(c) for c in w.ljust(width_b, "\1")] for w in b], dtype=np.int32).reshape(len(b), width_b)
     table = np.zeros((width_a + 1, width_b + 1, len(a)), dtype=np.int32)
@@ -176,8 +176,23 @@ def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
                 swap = (codes_a[:, i - 1] == codes_b[:, j - 2]) & (codes_a[:, i - 2] == codes_b[:, j - 1])
                 best = np.where(swap, np.minimum(best, table[i - 2, j - 2] + 1), best)
             table[i, j] = best
-    rows = np.arange(len(a))
-    return pd.Series(table[a.str.len().to_numpy(), b.str.len().to_numpy(), rows], dtype="int32")
+    return table[[len(w) for w in a], [len(w) for w in b], np.arange(len(a))]
+
+
+@F.pandas_udf(T.IntegerType())
+def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Edit distance with swaps of neighbours as one edit. Pairs go by length, so that a long word takes the space of
+    few pairs, not of a batch."""
+    out = np.zeros(len(a), dtype=np.int32)
+    a, b = a.tolist(), b.tolist()
+    order = sorted(range(len(a)), key=lambda i: max(len(a[i]), len(b[i])), reverse=True)
+    start = 0
+    while start < len(order):
+        widest = 1 + max(len(a[order[start]]), len(b[order[start]]))
+        part = order[start:start + max(1, TABLE_CELLS // widest**2)]
+        out[part] = _osa([a[i] for i in part], [b[i] for i in part])
+        start += len(part)
+    return pd.Series(out, dtype="int32")
 
 
 def suggestions(unknown: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -191,7 +206,10 @@ def suggestions(unknown: DataFrame, dictionary: DataFrame) -> DataFrame:
         F.col("word").alias("_entry"), F.lower("word").alias("_entry_lower"),
         (F.col("freq") if have_freq else F.lit(0)).cast("bigint").alias("_freq"),
     )
-    left = exploded_rows(unknown.select("lower").distinct(), ["lower"], deletes(F.col("lower")), "_variant")
+    # A word more than the edits longer than every dictionary word has no candidate: it makes no variants.
+    longest = (dictionary.agg(F.max(F.length("word"))).first()[0] or 0) + MAX_EDITS
+    asked = unknown.select("lower").distinct().filter(F.length("lower") <= longest)
+    left = exploded_rows(asked, ["lower"], deletes(F.col("lower")), "_variant")
     right = exploded_rows(entries, ["*"], deletes(F.col("_entry_lower")), "_variant")
     near = F.abs(F.length("lower") - F.length("_entry_lower")) <= MAX_EDITS
     pairs = (
@@ -234,10 +252,9 @@ def misspellings(
     dictionary: DataFrame,
     trusted: DataFrame | None = None,
     names: DataFrame | None = None,
-    per_item: int = WORDS_PER_ITEM,
     with_suggestions: bool = True,
 ) -> DataFrame:
-    """The first ``per_item`` unknown words of each item in field order, with a suggestion.
+    """The unknown words of each item, each once at its first place, with a suggestion.
 
     A capitalized word is reported only when a dictionary word is within two edits.
     """
@@ -252,11 +269,7 @@ def misspellings(
         found = unknown.filter(~F.col("word").rlike("^[A-Z]")).withColumn("suggestion", F.lit(None).cast("string"))
     # A group is the unknown words of one item: never more than its own text holds.
     once = Window.partitionBy("tenant", "id", "lower").orderBy("field_pos", "word_pos")
-    in_order = Window.partitionBy("tenant", "id").orderBy("field_pos", "word_pos")
-    return (
-        found.withColumn("_seen", F.row_number().over(once)).filter("_seen = 1").drop("_seen")
-        .withColumn("_rank", F.row_number().over(in_order)).filter(F.col("_rank") <= per_item).drop("_rank")
-    )
+    return found.withColumn("_seen", F.row_number().over(once)).filter("_seen = 1").drop("_seen")
 
 
 def spelling(

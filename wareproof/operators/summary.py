@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wareproof.constants import FINDINGS_PER_CHECK, ITEM_PENALTY_CAP_HALF_POINTS
+from wareproof.constants import ITEM_PENALTY_CAP_HALF_POINTS
 from wareproof.functions.numeric import int_div
 from wareproof.functions.text import blank_if_null
 from wareproof.operators.registry import checks_table
@@ -42,10 +42,8 @@ def ignored_counts(findings: DataFrame, ignores: DataFrame) -> DataFrame:
     return hidden.groupBy("tenant").agg(F.count(F.lit(1)).alias("ignored"))
 
 
-def cap_findings(
-    findings: DataFrame, at_most: int = FINDINGS_PER_CHECK, slice_width: int | None = None
-) -> DataFrame:
-    """The first findings of every check in catalog order.
+def cap_findings(findings: DataFrame, at_most: int, slice_width: int | None = None) -> DataFrame:
+    """The first ``at_most`` findings of every check in catalog order, for a report; nothing is stored cut.
 
     Early slices fill the quota, so later ones are dropped by their counts and never sorted.
     """
@@ -179,7 +177,7 @@ def locked_area_counts(findings: DataFrame, locked: Iterable[str]) -> DataFrame:
     )
 
 
-def top_issues(findings: DataFrame, n: int = 5, without_areas: Sequence[str] = ()) -> DataFrame:
+def top_issues(findings: DataFrame, n: int, without_areas: Sequence[str] = ()) -> DataFrame:
     """The checks to start with: by weight times count, then count."""
     counts = rule_counts(findings).join(
         _dim(findings).select("rule_id", "area", "severity", "half_points", "check_pos"), "rule_id"
@@ -207,7 +205,7 @@ def search(df: DataFrame, query: str, columns: Sequence[str]) -> DataFrame:
     return df.filter(hit)
 
 
-def search_findings(findings: DataFrame, rule_id: str, query: str = "", first: int = 100) -> DataFrame:
+def search_findings(findings: DataFrame, rule_id: str, query: str, first: int) -> DataFrame:
     """Page of one check: the first findings that match, in catalog order."""
     found = search(findings.filter(F.col("rule_id") == rule_id), query, ["product_title", "sku", "detail"])
     return found.orderBy("pos", "variant_pos", "finding_key").limit(first)

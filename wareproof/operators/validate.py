@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wareproof.constants import MAX_PATTERN_LENGTH
+from wareproof.functions import patterns
 from wareproof.functions.text import blank_if_null, js_trim
 from wareproof.operators.registry import RULE_IDS
 
@@ -117,20 +114,6 @@ def validate_finding_refs(refs: DataFrame, id_pattern: str = ID) -> DataFrame:
     ).withColumns({c: blank_if_null(F.col(c)) for c in ("variant_id", "word", "field")})
 
 
-@F.pandas_udf(T.BooleanType())
-def pattern_compiles(patterns: pd.Series) -> pd.Series:
-    """Whether a pattern is a regular expression at all (a few rows per tenant, so a small helper)."""
-
-    def ok(p: str | None) -> bool:
-        try:
-            re.compile(re.sub(r"\(\?<([A-Za-z])", r"(?P<\1", p or ""))
-        except re.error:
-            return False
-        return "(?P" not in (p or "")
-
-    return patterns.map(ok)
-
-
 def pattern_error(c: Column) -> Column:
     """Why a pattern is not accepted, or null. Blank patterns mean no pattern."""
     p = js_trim(blank_if_null(c))
@@ -139,7 +122,7 @@ def pattern_error(c: Column) -> Column:
         .when(F.length(p) > MAX_PATTERN_LENGTH, F.lit("too long"))
         .when(p.rlike(NESTED_REPEAT), F.lit("repeats a repeated group"))
         .when(p.rlike(BACKREFERENCE), F.lit("uses a backreference"))
-        .when(~pattern_compiles(p), F.lit("not a pattern"))
+        .otherwise(patterns.problem(p))
     )
 
 

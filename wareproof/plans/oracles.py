@@ -384,16 +384,16 @@ DICT = (
     "lambda w: length(w) >= 4))) AS word FROM documents WHERE lang = 'en') GROUP BY word HAVING count(*) >= 5)"
 )
 UNKNOWN = (
-    f"{DOC}, {DICT}, tok0 AS (SELECT id, 1 AS fp, 'Description' AS field, regexp_extract_all(plain, '[A-Za-z][A-Za-z'']+') AS ws FROM doc WHERE tenant = 'en' "
-    "UNION ALL SELECT id, 3, 'SEO description', regexp_extract_all(seo_description, '[A-Za-z][A-Za-z'']+') FROM doc WHERE tenant = 'en'), "
-    "tok AS (SELECT id, fp, field, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM tok0), "
-    "unk AS (SELECT id, word, min(fp * 1000000 + i) AS i, arg_min(field, fp * 1000000 + i) AS field FROM tok WHERE length(word) >= 4 AND word = lower(word) "
+    f"{DOC}, {DICT}, tok0 AS (SELECT id, tenant, 1 AS fp, 'Description' AS field, regexp_extract_all(regexp_replace(plain, '(?i)\\b(?:https?://|www\\.)\\S+|\\b[\\w.+-]+@[\\w-]+\\.[\\w.-]+', ' ', 'g'), '[A-Za-z][A-Za-z'']+') AS ws FROM doc "
+    "UNION ALL SELECT id, tenant, 3, 'SEO description', regexp_extract_all(seo_description, '[A-Za-z][A-Za-z'']+') FROM doc), "
+    "tok AS (SELECT id, tenant, fp, field, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM tok0), "
+    "unk AS (SELECT id, any_value(tenant) AS tenant, word, min(fp * 1000000 + i) AS i, arg_min(field, fp * 1000000 + i) AS field FROM tok WHERE length(word) >= 4 AND word = lower(word) "
     "AND word NOT IN (SELECT word FROM dict) GROUP BY id, word), "
-    "mis AS (SELECT id, word, field FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS rn FROM unk) WHERE rn <= 8)"
+    "mis AS (SELECT id, tenant, word, field FROM unk)"
 )
 O["check_spelling"] = f"WITH {UNKNOWN} SELECT id AS product_id, word, field FROM mis"
 O["learn_word"] = (
-    f"WITH {UNKNOWN} SELECT id AS product_id, word FROM mis WHERE word NOT IN "
+    f"WITH {UNKNOWN} SELECT id AS product_id, word FROM mis WHERE tenant <> 'en' OR word NOT IN "
     "(SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z'']+'))) FROM benchmark)"
 )
 O["trusted_names"] = (
@@ -433,8 +433,7 @@ O["scan_limit"] = (
 )
 O["read_by_ids"] = f"WITH {ITEM} SELECT tenant, id AS product_id, title FROM item WHERE pos IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')"
 O["read_new_since"] = (
-    f"WITH {ITEM}, r AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY created_at, id) AS rn FROM item WHERE created_at >= timestamp '2001-03-01 00:00:00') "
-    "SELECT tenant, id AS product_id FROM r WHERE rn <= 2000"
+    f"WITH {ITEM} SELECT tenant, id AS product_id FROM item WHERE created_at >= timestamp '2001-03-01 00:00:00'"
 )
 O["count_since"] = f"WITH {ITEM} SELECT tenant, count(*) AS count FROM item WHERE created_at >= timestamp '2001-03-01 00:00:00' GROUP BY tenant"
 O["tracked_attribute"] = f"WITH {ITEM} SELECT id AS product_id, attr_brand AS brand, '' AS none FROM item"
@@ -573,7 +572,7 @@ O["pending_count"] = f"WITH {CHANGES} SELECT tenant, count(*) AS pending FROM qu
 O["drain_pending"] = (
     f"WITH {CHANGES}, k AS (SELECT *, cast(product_id as bigint) % 2 = 0 AND cast(product_id as bigint) IN (SELECT p_partkey FROM part) AS known, "
     "row_number() OVER (PARTITION BY tenant ORDER BY mt, product_id) AS rank FROM qu), h AS (SELECT *, count(CASE WHEN NOT known THEN 1 END) OVER "
-    "(PARTITION BY tenant ORDER BY rank ROWS UNBOUNDED PRECEDING) AS nth FROM k WHERE rank <= 500) SELECT tenant, product_id, created, known, "
+    "(PARTITION BY tenant ORDER BY rank ROWS UNBOUNDED PRECEDING) AS nth FROM k) SELECT tenant, product_id, created, known, "
     "CASE WHEN known OR nth <= CASE tenant WHEN 'north' THEN 3 ELSE 20 END THEN 'scan' ELSE 'hold' END AS action FROM h"
 )
 O["stream_recheck"] = (
@@ -596,7 +595,7 @@ O["daily_snapshot"] = (
 )
 O["clean_streak"] = (
     f"WITH {SCANS}, d AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY date DESC) AS rn, max(date) OVER (PARTITION BY tenant) AS mx FROM snap), "
-    "x AS (SELECT tenant, min(CASE WHEN high <> 0 OR date_diff('day', date, mx) + 1 <> rn THEN rn END) AS stop, count(*) AS n FROM d WHERE rn <= 366 GROUP BY tenant) "
+    "x AS (SELECT tenant, min(CASE WHEN high <> 0 OR date_diff('day', date, mx) + 1 <> rn THEN rn END) AS stop, count(*) AS n FROM d GROUP BY tenant) "
     "SELECT tenant, coalesce(stop - 1, n) AS days FROM x"
 )
 O["snapshot_as_of"] = (
@@ -648,28 +647,25 @@ LIVE = (
 )
 PLAN = (
     f"{ITEM}, {LIVE}, vc AS ({O['check_vendor_casing']}), pl AS (SELECT tenant, id AS product_id, pos, trim(vendor) AS before, suggested AS after, "
-    "CASE WHEN trim(vendor) = suggested THEN 'unchanged' WHEN trim(vendor) <> trim(scanned) THEN 'skipped' ELSE 'write' END AS act, "
-    "row_number() OVER (PARTITION BY tenant ORDER BY pos) AS irank FROM live JOIN vc ON vc.product_id = live.id), "
-    "pn AS (SELECT *, CASE WHEN act = 'write' THEN row_number() OVER (PARTITION BY tenant, act ORDER BY pos) END AS wn, (irank - 1) // 20 AS rd FROM pl)"
+    "CASE WHEN trim(vendor) = suggested THEN 'unchanged' WHEN trim(vendor) <> trim(scanned) THEN 'skipped' ELSE 'fixed' END AS act "
+    "FROM live JOIN vc ON vc.product_id = live.id)"
 )
 O["fix_dominant_spelling"] = (
-    f"WITH {PLAN} SELECT tenant, product_id, before, after, CASE WHEN act <> 'write' THEN act WHEN wn <= 100 THEN 'fixed' ELSE 'over_budget' END AS action FROM pn"
+    f"WITH {PLAN} SELECT tenant, product_id, before, after, act AS action FROM pl"
 )
 O["fix_budget"] = (
-    f"WITH {PLAN}, lr AS (SELECT tenant, max(rd) AS last FROM pn WHERE wn = 10 GROUP BY tenant) SELECT tenant, count(CASE WHEN wn <= 10 THEN 1 END) AS fixed, "
-    "count(CASE WHEN act = 'skipped' AND (last IS NULL OR rd <= last) THEN 1 END) AS skipped, "
-    "count(CASE WHEN rd > last THEN 1 WHEN wn > 10 THEN 1 END) AS over_budget FROM pn LEFT JOIN lr USING (tenant) GROUP BY tenant"
+    f"WITH {PLAN} SELECT tenant, count(CASE WHEN act = 'fixed' THEN 1 END) AS fixed, count(CASE WHEN act = 'skipped' THEN 1 END) AS skipped, "
+    "count(CASE WHEN act = 'unchanged' THEN 1 END) AS unchanged FROM pl GROUP BY tenant"
 )
 O["fix_clear_compare_at"] = (
-    f"WITH {VARIANT}, w AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY pos, variant_pos, id) AS wn FROM v0 WHERE cc <= pc) "
-    f"SELECT tenant, product_id, id AS target_id, {m('cc')} AS before, CASE WHEN wn <= 100 THEN 'fixed' ELSE 'over_budget' END AS action FROM w"
+    f"WITH {VARIANT} SELECT tenant, product_id, id AS target_id, {m('cc')} AS before, 'fixed' AS action FROM v0 WHERE cc <= pc"
 )
 O["apply_fixes"] = (
-    f"WITH {PLAN} SELECT live.tenant, live.id AS product_id, CASE WHEN pn.act = 'write' AND wn <= 100 THEN pn.after ELSE live.vendor END AS vendor "
-    "FROM live LEFT JOIN pn ON pn.product_id = live.id"
+    f"WITH {PLAN} SELECT live.tenant, live.id AS product_id, CASE WHEN pl.act = 'fixed' THEN CASE WHEN live.pos % 3 = 0 THEN pl.after ELSE concat('New ', pl.after) END "
+    "ELSE live.vendor END AS vendor FROM live LEFT JOIN pl ON pl.product_id = live.id"
 )
 O["undo_batch"] = (
-    f"WITH {LOG} SELECT tenant, target_id, field, CASE WHEN event_id % 11 <> 0 AND event_id % 5 <> 0 THEN 'undone' ELSE 'stale' END AS outcome FROM lg WHERE NOT undone"
+    f"WITH {LOG} SELECT tenant, target_id, field, CASE WHEN event_id % 11 <> 0 AND event_id % 5 <> 0 THEN 'undone' ELSE 'stale' END AS outcome FROM lg WHERE NOT undone AND tenant = 't1'"
 )
 O["undo_closes_entries"] = f"WITH {LOG} SELECT tenant, field, undone OR field = 'vendor' AS undone, count(*) AS n FROM lg GROUP BY ALL"
 O["recent_fixes"] = (
@@ -678,7 +674,7 @@ O["recent_fixes"] = (
     "SELECT tenant, rank, batch_id, rule_id, count, pc AS product_count, CASE WHEN pc = 1 THEN title END AS product_title, strftime(mt, '%Y-%m-%d %H:%M:%S') AS \"at\" FROM r WHERE rank <= 5"
 )
 O["fix_batch_detail"] = (
-    f"WITH {LOG} SELECT tenant, product_id, min(title) AS title, count(*) AS changes, string_agg(DISTINCT field, ',' ORDER BY field) AS fields FROM lg WHERE NOT undone GROUP BY ALL"
+    f"WITH {LOG} SELECT tenant, product_id, min(title) AS title, count(*) AS changes, string_agg(DISTINCT field, ',' ORDER BY field) AS fields FROM lg WHERE NOT undone AND tenant = 't2' GROUP BY ALL"
 ).replace("GROUP BY ALL", "GROUP BY tenant, product_id")
 O["fixed_in_window"] = f"WITH {LOG} SELECT tenant, count(*) AS fixed FROM lg WHERE NOT undone AND ts >= timestamp '2024-01-23' GROUP BY tenant"
 
@@ -701,7 +697,7 @@ O["validate_attribute_types"] = (
 O["validate_finding_keys"] = (
     "SELECT CASE WHEN l_returnflag = 'A' THEN 'missing_sku' ELSE 'spelling' END AS rule_id, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' AND l_linenumber NOT IN (1, 2, 4) GROUP BY ALL"
 )
-O["lint_attribute_rules"] = "SELECT p_partkey, p_partkey % 5 IN (1, 2, 3) AS refused FROM part"
+O["lint_attribute_rules"] = "SELECT p_partkey, p_partkey % 9 IN (1, 2, 3, 6, 7) AS refused FROM part"
 
 # ---- whole scan ----
 O["full_scan_summary"] = score_sql(
@@ -713,3 +709,18 @@ O["description_quality"] = (
     "(SELECT tenant, count(*) OVER (PARTITION BY tenant, low) AS n FROM doc WHERE length(low) >= 40) WHERE n >= 3) "
     "SELECT rule_id, 'low' AS severity, count(*) AS findings, count(DISTINCT tenant) AS tenants FROM f GROUP BY rule_id"
 )
+
+# ---- parametric checks on plain tables ----
+O["contains_any_of"] = (
+    "SELECT doc_id FROM documents WHERE " + " OR ".join(f"contains(lower({c}), '{w}')" for c in ("text", "source") for w in ("license", "copyright", "src1"))
+)
+O["pattern_violations"] = (
+    "SELECT p_partkey, trim(p_brand) <> '' AND NOT regexp_matches(p_brand, '^Brand#[0-4]') AS brand_off, "
+    "trim(p_name) <> '' AND regexp_matches(p_name, '(?i)ring') AS name_hit FROM part"
+)
+O["any_long_line"] = "SELECT doc_id FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 400)) > 0"
+O["learned_word_list"] = (
+    "WITH w AS (SELECT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z'']+'))) AS word FROM benchmark) "
+    "SELECT DISTINCT 'all' AS tenant, word FROM w WHERE word NOT IN (SELECT word FROM w WHERE item_id % 2 = 0)"
+)
+O["result_by_id"] = f"WITH {SCANS} SELECT tenant, scan_id, total, open FROM scans WHERE tenant = 't1' AND scan_id = (SELECT max(scan_id) FROM scans WHERE tenant = 't1')"

@@ -165,6 +165,44 @@ def _(spark, sf_dir):
     return out.select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "amount", "peers", F.col("median").cast("double").alias("median"))
 
 
+# ---- parametric checks on plain tables -----------------------------------------------------------
+
+@query("contains_any_of")
+def _(spark, sf_dir):
+    docs = b.table(spark, sf_dir, "documents")
+    return docs.filter(generic.contains_any(["text", "source"], ["license", "copyright", "src1"])).select("doc_id")
+
+
+@query("pattern_violations")
+def _(spark, sf_dir):
+    p = b.table(spark, sf_dir, "part")
+    return p.select(
+        "p_partkey", generic.pattern_violation("p_brand", "^Brand#[0-4]", negate=True).alias("brand_off"),
+        generic.pattern_violation("p_name", "(?i)ring").alias("name_hit"),
+    )
+
+
+@query("any_long_line")
+def _(spark, sf_dir):
+    docs = b.table(spark, sf_dir, "documents")
+    return docs.filter(generic.any_item(F.split("text", "\n"), lambda line: F.length(line) > 400)).select("doc_id")
+
+
+@query("learned_word_list")
+def _(spark, sf_dir):
+    """Words learned from benchmark items, without those taught by every second one."""
+    items = b.table(spark, sf_dir, "benchmark").select("item_id", F.explode(spelling.words_of(C("text"))).alias("word"))
+    words = items.select("item_id", F.lit("all").alias("tenant"), F.lower("word").alias("word"))
+    known = incremental.learn_words(spark.createDataFrame([], "tenant string, word string"), words)
+    return incremental.list_words(incremental.forget_words(known, words.filter("item_id % 2 = 0")))
+
+
+@query("result_by_id")
+def _(spark, sf_dir):
+    newest = event_scans(spark, sf_dir).filter("tenant = 't1'").agg(F.max("scan_id")).first()[0]
+    return store.by_id(event_scans(spark, sf_dir), "t1", newest or 0).select("tenant", "scan_id", "total", "open")
+
+
 # ---- spelling ------------------------------------------------------------------------------------
 
 def dictionary(spark: SparkSession, sf_dir: str, min_docs: int = 5) -> DataFrame:
@@ -179,8 +217,7 @@ def dictionary(spark: SparkSession, sf_dir: str, min_docs: int = 5) -> DataFrame
 
 @query("check_spelling")
 def _(spark, sf_dir):
-    items = catalog(spark, sf_dir, "doc").items.filter("tenant = 'en'")
-    found = spelling.misspellings(items, dictionary(spark, sf_dir), with_suggestions=False)
+    found = spelling.misspellings(catalog(spark, sf_dir, "doc").items, dictionary(spark, sf_dir), with_suggestions=False)
     return found.select(C("id").alias("product_id"), "word", "field")
 
 
@@ -267,7 +304,7 @@ def _(spark, sf_dir):
 
 @query("read_new_since")
 def _(spark, sf_dir):
-    found = reads.new_ids(catalog(spark, sf_dir, "part").items, F.lit("2001-03-01 00:00:00.5").cast("timestamp"), 2000)
+    found = reads.new_ids(catalog(spark, sf_dir, "part").items, F.lit("2001-03-01 00:00:00.5").cast("timestamp"))
     return found.select("tenant", "product_id")
 
 
@@ -384,12 +421,12 @@ def _(spark, sf_dir):
 
 @query("top_issues")
 def _(spark, sf_dir):
-    return summary.top_issues(base_findings(spark, sf_dir), without_areas=["seo"])
+    return summary.top_issues(base_findings(spark, sf_dir), 5, without_areas=["seo"])
 
 
 @query("search_findings")
 def _(spark, sf_dir):
-    return shown(summary.search_findings(base_findings(spark, sf_dir), "few_images", "RING"), "product_title")
+    return shown(summary.search_findings(base_findings(spark, sf_dir), "few_images", "RING", 100), "product_title")
 
 
 @query("finding_current_value")
@@ -432,6 +469,7 @@ def _(spark, sf_dir):
     findings, covered = _stored(spark, sf_dir)
     r = incremental.recheck(
         catalog(spark, sf_dir, "part"), _asked(spark, sf_dir), findings, covered, context(spark), BASE_RULES,
+        folder=scratch_path(spark, "touched"),
     )
     return shown(r.findings, "rule_id", "detail")
 
@@ -464,8 +502,7 @@ def _(spark, sf_dir):
 
 @query("learn_word")
 def _(spark, sf_dir):
-    items = catalog(spark, sf_dir, "doc").items.filter("tenant = 'en'")
-    found = spelling.misspellings(items, dictionary(spark, sf_dir), with_suggestions=False).select(
+    found = spelling.misspellings(catalog(spark, sf_dir, "doc").items, dictionary(spark, sf_dir), with_suggestions=False).select(
         "tenant", C("id").alias("product_id"), F.lit("spelling").alias("rule_id"), "word"
     )
     learned = b.table(spark, sf_dir, "benchmark").select(F.explode(spelling.words_of(C("text"))).alias("word")).select(F.lit("en").alias("tenant"), "word")
@@ -522,8 +559,14 @@ def event_changes(events: DataFrame) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = b.table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events as a stream of four files, each a micro-batch. The last repeats events of the first, and files hold
+    events of all times, so most of a later batch is late."""
+    events = b.table(spark, sf_dir, "events")
+    path = scratch_path(spark, "events")
+    dealt = events.withColumn("file", C("event_id") % 3).unionByName(events.filter("event_id % 3 = 0").withColumn("file", F.lit(3).cast("bigint")))
+    for number in range(4):
+        dealt.filter(C("file") == number).drop("file").coalesce(1).write.parquet(f"{path}/file-{number}")
+    raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
     return event_changes(raw).drop("event_id")
 
 
@@ -538,8 +581,9 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     out, checkpoint = scratch_path(spark, "recheck"), scratch_path(spark, "checkpoint")
     findings, covered = _stored(spark, sf_dir)
+    known = store.materialize(covered, "covered")
     ch.recheck_stream(
-        ch.distinct_changes(_event_stream(spark, sf_dir)), lambda s: b.part_catalog(s, sf_dir), lambda s: context(s), lambda s: covered,
+        _event_stream(spark, sf_dir), lambda s: b.part_catalog(s, sf_dir), lambda s: context(s), lambda s: known,
         out, checkpoint, BASE_RULES,
     ).awaitTermination()
     return shown(ch.current_findings(spark, findings, out), "rule_id", "detail")
@@ -622,14 +666,14 @@ def _(spark, sf_dir):
     counts = summary.quality_score(found, totals(spark, sf_dir)).select("tenant", "open")
     snaps = history.first_of_day(event_scans(spark, sf_dir)).withColumn("tenant", F.when(C("tenant") == "t0", "north").otherwise("south")).groupBy(
         "tenant", "date").agg(F.max("open").alias("open"), F.max("high").alias("high"))
-    out = history.digest(found, counts, snaps, F.lit("2024-01-30").cast("date"))
+    out = history.digest(found, counts, snaps, F.lit("2024-01-30").cast("date"), 5)
     return out.select("tenant", "open", "week_ago", "change", F.array_join(F.transform("top", lambda t: t["rule_id"]), ",").alias("top"))
 
 
 @query("scan_trend")
 def _(spark, sf_dir):
-    h = store.history(event_scans(spark, sf_dir), event_rules(spark, sf_dir))
-    return history.trend(h).select("tenant", "scan_id", "total", "open", "delta")
+    h = store.history(event_scans(spark, sf_dir), event_rules(spark, sf_dir), 12)
+    return history.trend(h, 12).select("tenant", "scan_id", "total", "open", "delta")
 
 
 @query("latest_result")
@@ -652,7 +696,7 @@ def _(spark, sf_dir):
 
 @query("retention")
 def _(spark, sf_dir):
-    return store.retained(event_scans(spark, sf_dir))
+    return store.retained(event_scans(spark, sf_dir), 20, 12)
 
 
 @query("tenant_erase")
@@ -694,21 +738,20 @@ def _live(spark: SparkSession, sf_dir: str):
     return type(c)(c.items.withColumn("vendor", vendor), c.variants, c.memberships)
 
 
-def _vendor_plan(spark: SparkSession, sf_dir: str, budget: int = 100):
+def _vendor_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = catalog_findings(catalog(spark, sf_dir, "part"), context(spark), ["vendor_casing"])
-    return fixes.plan_fix(found, _live(spark, sf_dir), "vendor_casing", budget), found
+    return fixes.plan_fix(found, _live(spark, sf_dir), "vendor_casing")
 
 
 @query("fix_dominant_spelling")
 def _(spark, sf_dir):
-    plan, _f = _vendor_plan(spark, sf_dir)
-    return plan.select("tenant", "product_id", "before", "after", "action")
+    return _vendor_plan(spark, sf_dir).select("tenant", "product_id", "before", "after", "action")
 
 
 @query("fix_budget")
 def _(spark, sf_dir):
-    plan, found = _vendor_plan(spark, sf_dir, 10)
-    return fixes.fix_result(plan, found, "vendor_casing", 10)
+    """What becomes of the planned changes, counted per tenant."""
+    return fixes.fix_result(_vendor_plan(spark, sf_dir))
 
 
 @query("fix_clear_compare_at")
@@ -721,8 +764,14 @@ def _(spark, sf_dir):
 
 @query("apply_fixes")
 def _(spark, sf_dir):
-    plan, _f = _vendor_plan(spark, sf_dir)
-    log = fixes.log_entries(plan, "vendor_casing", "b1", F.expr(b.AS_OF))
+    """Two batches over the same items, the older one and a newer one of which every third entry was undone."""
+    older = fixes.log_entries(_vendor_plan(spark, sf_dir), "vendor_casing", "b1", F.expr(b.AS_OF))
+    newer = older.withColumns({
+        "batch_id": F.lit("b2"), "created_at": C("created_at") + F.expr("interval 1 day"),
+        "after": fixes.as_json(F.concat(F.lit("New "), fixes.from_json_text(C("after")))),
+        "undone": C("product_id").cast("bigint") % 3 == 0,
+    })
+    log = older.unionByName(newer)
     items = _live(spark, sf_dir).items
     return fixes.apply_changes(items, log, "id", {"vendor": "vendor"}).select("tenant", C("id").alias("product_id"), "vendor")
 
@@ -734,7 +783,7 @@ def _(spark, sf_dir):
         "tenant", "target_id", "field",
         F.when(C("target_id").cast("bigint") % 5 == 0, F.lit("c")).otherwise(fixes.from_json_text(C("after"))).alias("now"),
     ).filter(C("target_id").cast("bigint") % 11 != 0)
-    one = fixes.plan_undo(log.withColumn("batch_id", F.lit("all")), now, "all")
+    one = fixes.plan_undo(log.withColumn("batch_id", F.lit("all")), now, "t1", "all")
     return one.select("tenant", "target_id", "field", "outcome")
 
 
@@ -747,13 +796,13 @@ def _(spark, sf_dir):
 
 @query("recent_fixes")
 def _(spark, sf_dir):
-    return fixes.recent_fixes(event_log(spark, sf_dir)).drop("label").withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
+    return fixes.recent_fixes(event_log(spark, sf_dir), 5).drop("label").withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("fix_batch_detail")
 def _(spark, sf_dir):
     log = event_log(spark, sf_dir).withColumn("batch_id", F.lit("all"))
-    return fixes.batch_detail(log, "all").withColumn("fields", F.array_join("fields", ","))
+    return fixes.batch_detail(log, "t2", "all").withColumn("fields", F.array_join("fields", ","))
 
 
 @query("fixed_in_window")
@@ -820,7 +869,8 @@ def _(spark, sf_dir):
 @query("lint_attribute_rules")
 def _(spark, sf_dir):
     rules = b.table(spark, sf_dir, "part").selectExpr(
-        "p_partkey", "CASE p_partkey % 5 WHEN 0 THEN '^[A-Z]+$' WHEN 1 THEN '(a+)+$' WHEN 2 THEN '(x)\\\\1' WHEN 3 THEN repeat('a', 201) ELSE '' END AS pattern"
+        "p_partkey", "CASE p_partkey % 9 WHEN 0 THEN '^[A-Z]+$' WHEN 1 THEN '(a+)+$' WHEN 2 THEN '(x)\\\\1' WHEN 3 THEN repeat('a', 201) "
+        "WHEN 4 THEN '^{.*}$' WHEN 5 THEN '[a[b]' WHEN 6 THEN '([a' WHEN 7 THEN 'a**' ELSE '' END AS pattern"
     )
     return validate.lint_attribute_rules(rules).select("p_partkey", C("error").isNotNull().alias("refused"))
 
@@ -831,10 +881,19 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Row and catalog checks of the parts, ignores applied, scored per tenant."""
     rules = [*BASE_RULES, "vendor_casing", "duplicate_title", "tag_casing"]
-    result = scan(catalog(spark, sf_dir, "part"), context(spark), rules, ignores(spark, sf_dir))
+    result = scan(catalog(spark, sf_dir, "part"), context(spark), rules, ignores(spark, sf_dir), folder=scratch_path(spark, "scan"))
     return result.summary
 
 
+@query("full_scan_all")
+def _(spark, sf_dir):
+    """All 61 checks over the parts as items and the line items as their variants, counted per tenant and check."""
+    words = store.materialize(dictionary(spark, sf_dir), "dictionary")
+    ctx = context(spark, attribute_rules=attribute_rules(spark), dictionary=words)
+    result = scan(catalog(spark, sf_dir, "offer"), ctx, folder=scratch_path(spark, "scan"))
+    return summary.rule_counts(result.findings)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short, long and duplicate descriptions of the documents, counted by check."""
     configure(spark)

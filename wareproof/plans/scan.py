@@ -36,6 +36,18 @@ class Context:
     types: DataFrame | None = None  # stored by an earlier scan
 
 
+def stored(catalog: Catalog, folder: str) -> Catalog:
+    """The feature tables written once below the caller's folder and read back. The branches of a scan then read
+    their columns from there instead of deriving all features from the source again, each for itself."""
+    def one(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return Catalog(
+        one(catalog.items, "items"), one(catalog.variants, "variants"), one(catalog.memberships, "memberships")
+    )
+
+
 def _union(parts: Sequence[DataFrame], catalog: Catalog) -> DataFrame:
     if not parts:
         return catalog.items.sparkSession.createDataFrame([], FINDING)
@@ -97,8 +109,7 @@ def run_checks(catalog: Catalog, ctx: Context, rules: Sequence[str] = RULE_IDS)
 class ScanResult:
     """What a scan produces; every part is a DataFrame still to be written or read."""
 
-    findings: DataFrame  # after ignores, before the cap
-    kept: DataFrame  # at most 5,000 per check
+    findings: DataFrame  # after ignores
     summary: DataFrame  # tenant, total, score, clean, open
     ignored: DataFrame | None
     profile: DataFrame
@@ -113,8 +124,12 @@ def scan(
     rules: Sequence[str] = RULE_IDS,
     ignores: DataFrame | None = None,
     disabled: DataFrame | None = None,
+    folder: str | None = None,
 ) -> ScanResult:
-    """A full scan of every tenant in the catalog. ``disabled`` turns checks off per tenant."""
+    """A full scan of every tenant in the catalog. ``disabled`` turns checks off per tenant. With ``folder``, a folder
+    all executors share, the source is read and its features are computed once, and so are the findings."""
+    if folder is not None:
+        catalog = stored(catalog, folder)
     profile = ctx.profile if ctx.profile is not None else catalog_profile(catalog, ctx.attribute_rules)
     types = ctx.types if ctx.types is not None else types_by_collection(catalog.items, catalog.memberships)
     names = ctx.names
@@ -124,10 +139,13 @@ def scan(
     found = run_checks(catalog, full, rules)
     if disabled is not None:
         found = summary.drop_disabled(found, disabled)
+    if folder is not None:
+        found.write.mode("overwrite").parquet(f"{folder}/findings")
+        found = found.sparkSession.read.schema(found.schema).parquet(f"{folder}/findings")
     visible = found if ignores is None else summary.apply_ignores(found, ignores)
     ignored = None if ignores is None else summary.ignored_counts(found, ignores)
     totals = profile.select("tenant", F.col("n_items").alias("total"))
     return ScanResult(
-        visible, summary.cap_findings(visible), summary.quality_score(visible, totals), ignored, profile, types,
+        visible, summary.quality_score(visible, totals), ignored, profile, types,
         names, catalog.items.select("tenant", F.col("id").alias("product_id")),
     )

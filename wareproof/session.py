@@ -9,13 +9,11 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings the operators rely on: UTC days, adaptive joins, and a top-k pruning limit that covers the
-# 5,000 findings kept per check.
+# Settings the operators rely on: UTC days and adaptive joins.
 SESSION_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
     # Building the suite makes thousands of Columns; recording a call site for each costs seconds.
     "spark.sql.dataFrameQueryContext.enabled": "false",
     # The virtual machine never compiles larger methods; Spark then splits the projection instead.

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wareproof.constants import NEW_ITEMS_PER_READ
 from wareproof.operators.skew import ranked
 from wareproof.sources.records import Catalog
 
@@ -48,19 +47,9 @@ def created_since(since: Column) -> Column:
     return F.col("created_at") >= F.date_trunc("second", since)
 
 
-def new_ids(items: DataFrame, since: Column, at_most: int = NEW_ITEMS_PER_READ) -> DataFrame:
-    """(tenant, product_id) of items created since, oldest first, at most so many per tenant.
-
-    The row limit prunes every group before the shuffle (the session allows limits up to 5,000).
-    """
-    w = Window.partitionBy("tenant").orderBy("created_at", "id")
-    return (
-        items.filter(created_since(since))
-        .select("tenant", "id", "created_at")
-        .withColumn("_rank", F.row_number().over(w))
-        .filter(F.col("_rank") <= at_most)
-        .select("tenant", F.col("id").alias("product_id"), "created_at")
-    )
+def new_ids(items: DataFrame, since: Column) -> DataFrame:
+    """(tenant, product_id, created_at) of all items created since."""
+    return items.filter(created_since(since)).select("tenant", F.col("id").alias("product_id"), "created_at")
 
 
 def attribute_value(meta: str, full_key: str) -> Column:

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wareproof.constants import KEEP_FULL_SCANS, KEEP_SCANS
 from wareproof.operators.history import first_of_day
 from wareproof.operators.registry import checks_table
 from wareproof.operators.summary import rule_counts
@@ -47,13 +47,30 @@ class Store:
             df = df.filter((F.col("tenant_bucket") == bucket(F.lit(tenant))) & (F.col("tenant") == tenant))
         return df.drop("tenant_bucket")
 
+    def exists(self, table: str) -> bool:
+        """Whether anything was written to a table yet."""
+        try:
+            self.spark.read.parquet(self.path(table))
+        except AnalysisException:
+            return False
+        return True
+
     def append(self, table: str, df: DataFrame) -> None:
         self._write(table, df, "append")
 
     def replace(self, table: str, df: DataFrame) -> None:
-        """Replace the folders that ``df`` has rows for. ``df`` may read the same table: the new files
-        are complete before the old ones go."""
-        self._write(table, df, "overwrite")
+        """Replace the whole table by ``df``. Folders that ``df`` has no rows for are emptied, each by an
+        empty file in its place, before the others are written."""
+        rows = materialize(df, table)
+        there = self.spark.read.parquet(self.path(table)).select("tenant_bucket").distinct()
+        left = rows.select(bucket(F.col("tenant")).alias("tenant_bucket")).distinct()
+        emptied = [r.tenant_bucket for r in there.join(left, "tenant_bucket", "left_anti").collect()]  # at most BUCKETS
+        self._write(table, rows, "overwrite")
+        for number in emptied:
+            self._empty(table, number, rows)
+
+    def _empty(self, table: str, number: int, like: DataFrame) -> None:
+        like.limit(0).write.mode("overwrite").parquet(f"{self.path(table)}/tenant_bucket={number}")
 
     def _write(self, table: str, df: DataFrame, mode: str) -> None:
         rows = df.withColumn("tenant_bucket", bucket(F.col("tenant")))
@@ -68,10 +85,9 @@ class Store:
         staged = materialize(rest, "erase")
         if staged.isEmpty():
             # A folder with no rows left would not be replaced: write it empty by its own path.
-            number = self.spark.range(1).select(bucket(F.lit(tenant))).first()[0]
-            rest.limit(0).write.mode("overwrite").parquet(f"{self.path(table)}/tenant_bucket={number}")
+            self._empty(table, self.spark.range(1).select(bucket(F.lit(tenant))).first()[0], rest)
         else:
-            self.replace(table, staged)
+            self._write(table, staged, "overwrite")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -93,8 +109,8 @@ def save_scan(
     full: bool = True,
     catalog_totals: DataFrame | None = None,
 ) -> None:
-    """Append a result of all its tenants. Counts come from all findings, the stored list is capped."""
-    from wareproof.operators.summary import cap_findings, quality_score
+    """Append a result of all its tenants, with all its findings."""
+    from wareproof.operators.summary import quality_score
 
     number = F.lit(scan_id).cast("bigint").alias("scan_id")
     all_findings = materialize(result.findings, "findings")
@@ -116,11 +132,15 @@ def save_scan(
         F.lit(read_at or created_at).cast("timestamp").alias("read_at"),
         F.lit(created_at).cast("timestamp").alias("created_at"),
     )
-    kept = cap_findings(all_findings)
-    store.append("findings", kept.withColumn("scan_id", number))
+    store.append("findings", all_findings.withColumn("scan_id", number))
     store.append("scan_rules", rule_counts(all_findings).withColumn("scan_id", number))
     store.append("scan_products", result.covered.withColumn("scan_id", number))
     store.append("scan_context", result.profile.drop("attribute_rules").withColumn("scan_id", number))
+    store.append("scan_types", result.types.withColumn("scan_id", number))
+    if result.names is not None:
+        store.append("scan_names", result.names.withColumn("scan_id", number))
+    if "attribute_rules" in result.profile.columns:
+        store.append("scan_attributes", result.profile.select("tenant", "attribute_rules").withColumn("scan_id", number))
     store.append("scans", header)
 
 
@@ -178,7 +198,7 @@ def saved_since(scans: DataFrame, reference: DataFrame) -> DataFrame:
     return ref.join(counts, "tenant", "left").select("tenant", F.coalesce("saved", F.lit(0)).alias("saved"))
 
 
-def history(scans: DataFrame, scan_rules: DataFrame, n: int = KEEP_FULL_SCANS) -> DataFrame:
+def history(scans: DataFrame, scan_rules: DataFrame, n: int) -> DataFrame:
     """The last ``n`` full scans, oldest first, each with its open count."""
     counts = scan_rules.groupBy("tenant", "scan_id").agg(F.sum("count").alias("open"))
     w = Window.partitionBy("tenant").orderBy(F.col("created_at").desc(), F.col("scan_id").desc())
@@ -191,7 +211,7 @@ def history(scans: DataFrame, scan_rules: DataFrame, n: int = KEEP_FULL_SCANS) -
     ).orderBy("tenant", "at")
 
 
-def retained(scans: DataFrame, rows: int = KEEP_SCANS, full_rows: int = KEEP_FULL_SCANS) -> DataFrame:
+def retained(scans: DataFrame, rows: int, full_rows: int) -> DataFrame:
     """(tenant, scan_id) that stay: the last ``rows`` results and the last ``full_rows`` full ones."""
     w = Window.partitionBy("tenant").orderBy(F.col("scan_id").desc())
     last = scans.select("tenant", "scan_id").withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= rows)
@@ -202,12 +222,15 @@ def retained(scans: DataFrame, rows: int = KEEP_SCANS, full_rows: int = KEEP_FUL
     return last.unionByName(last_full).select("tenant", "scan_id").distinct()
 
 
-def prune(store: Store, tables: tuple[str, ...] = ("findings", "scan_rules", "scan_products", "scan_context", "scans")) -> None:
-    """Drop what retention does not keep from every table."""
-    keep = materialize(retained(store.read("scans")), "retained")
+TABLES = ("findings", "scan_rules", "scan_products", "scan_context", "scan_types", "scan_names", "scan_attributes", "scans")
+
+
+def prune(store: Store, rows: int, full_rows: int, tables: tuple[str, ...] = TABLES) -> None:
+    """Drop what retention does not keep from every table that is there."""
+    keep = materialize(retained(store.read("scans"), rows, full_rows), "retained")
     for table in tables:
-        df = store.read(table)
-        store.replace(table, materialize(df.join(keep, ["tenant", "scan_id"], "left_semi"), table))
+        if store.exists(table):
+            store.replace(table, store.read(table).join(keep, ["tenant", "scan_id"], "left_semi"))
 
 
 def without_tenant(df: DataFrame, tenant: str) -> DataFrame:

@@ -9,15 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wareproof.constants import PENDING_PER_DRAIN
 from wareproof.operators.incremental import KEY, added_deleted, splice
 from wareproof.operators.registry import RULE_IDS
+from wareproof.operators.skew import ranked
 from wareproof.operators.summary import apply_ignores
-from wareproof.plans.scan import Context, row_findings
+from wareproof.plans.scan import Context, row_findings, stored
+from wareproof.schema import FINDING
 from wareproof.sources.reads import by_ids
 from wareproof.sources.records import Catalog
 
@@ -25,11 +27,6 @@ C = F.col
 CHANGE = "tenant string, product_id string, created boolean, at timestamp"
 
 
-def distinct_changes(events: DataFrame, within: str = "1 hour") -> DataFrame:
-    """Events of one item within a while collapse to one; the watermark bounds what is remembered."""
-    return events.withWatermark("at", within).dropDuplicatesWithinWatermark([*KEY, "created"])
-
-
 def _write(df: DataFrame, path: str, batch_id: int) -> None:
     df.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
@@ -48,19 +45,15 @@ def recheck_stream(
 ) -> StreamingQuery:
     """Recheck the changed items of every micro-batch.
 
-    The catalog is read anew per batch, so an event only says which item to look at and may repeat.
-    Tenants listed by ``queue_for`` are queued under ``out/pending`` instead.
+    The catalog is read anew per batch, so an event only says which item to look at: it may repeat or come late,
+    and nothing is remembered between batches. Tenants listed by ``queue_for`` are queued under ``out/pending``
+    instead, and so is a whole batch whose evaluation fails.
     """
 
-    def one_batch(batch: DataFrame, batch_id: int) -> None:
+    def evaluated(batch: DataFrame, ids: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        ids = batch.groupBy(*KEY).agg(F.bool_or(F.coalesce("created", F.lit(False))).alias("created"), F.min("at").alias("at"))
-        if queue_for is not None:
-            later = queue_for(spark).select("tenant").distinct()
-            _write(ids.join(later, "tenant", "left_semi"), f"{out}/pending", batch_id)
-            ids = ids.join(later, "tenant", "left_anti")
         catalog = load_catalog(spark)
-        part = by_ids(catalog, ids)
+        part = stored(by_ids(catalog, ids), f"{out}/features/batch={batch_id}")
         fresh = row_findings(part, context(spark), rules)
         if ignores is not None:
             fresh = apply_ignores(fresh, ignores(spark))
@@ -70,6 +63,19 @@ def recheck_stream(
         # The touched list goes last: a reader sees a batch only when its findings are complete.
         _write(ids.select(*KEY).join(changes, KEY, "left"), f"{out}/touched", batch_id)
 
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        ids = queue_items(batch)
+        later = None
+        if queue_for is not None:
+            listed = queue_for(batch.sparkSession).select("tenant").distinct()
+            later = ids.join(listed, "tenant", "left_semi")
+        try:
+            evaluated(batch, ids if later is None else ids.join(listed, "tenant", "left_anti"), batch_id)
+        except PySparkException:
+            later = ids
+        if later is not None:
+            _write(later, f"{out}/pending", batch_id)
+
     return (
         events.writeStream.foreachBatch(one_batch)
         .option("checkpointLocation", checkpoint)
@@ -78,16 +84,32 @@ def recheck_stream(
     )
 
 
+def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """A table of batches; empty while none was written."""
+    try:
+        return spark.read.option("mergeSchema", "true").parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], ddl)
+
+
 def current_findings(spark: SparkSession, base: DataFrame, out: str) -> DataFrame:
     """The stored findings with every rechecked item replaced by its latest batch."""
-    touched = spark.read.option("mergeSchema", "true").parquet(f"{out}/touched")
+    touched = _read(spark, f"{out}/touched", "tenant string, product_id string, change string, batch bigint")
     last = touched.groupBy(*KEY).agg(
         F.max("batch").alias("batch"), F.max_by("change", "batch").alias("change")
     )
-    fresh = spark.read.parquet(f"{out}/fresh").join(last.select(*KEY, "batch"), [*KEY, "batch"], "left_semi").drop("batch")
+    fresh = _read(spark, f"{out}/fresh", f"{FINDING}, batch bigint")
+    fresh = fresh.join(last.select(*KEY, "batch"), [*KEY, "batch"], "left_semi").drop("batch")
     return splice(base, last, fresh, last.filter("change = 'deleted'"))
 
 
+def compact(spark: SparkSession, base: DataFrame, out: str, to: str) -> DataFrame:
+    """Write the current findings to ``to``, the new base: with it, the batches up to now need not be read again.
+    Returns the new base."""
+    current_findings(spark, base, out).write.parquet(to)
+    return spark.read.parquet(to)
+
+
 # ---- the queue -----------------------------------------------------------------------------------
 
 def pending_stream(events: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -111,38 +133,47 @@ def queue_items(events: DataFrame) -> DataFrame:
     )
 
 
+TAKEN = "tenant string, product_id string, through bigint"
+
+
 def pending(spark: SparkSession, path: str) -> DataFrame:
-    """The queue over all batches written so far."""
-    return queue_items(spark.read.parquet(path))
+    """The queue over all batches written so far, without what was taken off it. Also (batch) the last batch
+    an item was queued in."""
+    queued = _read(spark, path, f"{CHANGE}, batch bigint")
+    taken = _read(spark, f"{path}-taken", TAKEN).groupBy(*KEY).agg(F.max("through").alias("_through"))
+    left = queued.join(taken, KEY, "left").filter(C("_through").isNull() | (C("batch") > C("_through")))
+    return left.groupBy(*KEY).agg(
+        F.bool_or(F.coalesce("created", F.lit(False))).alias("created"), F.min("at").alias("at"), F.max("batch").alias("batch")
+    )
+
+
+def take_off(scanned: DataFrame, path: str, drain_id: int) -> None:
+    """Take items (tenant, product_id, batch) of ``pending`` off the queue, up to the batch they were seen in: what
+    is queued later stays. Writes under its own number and may run twice."""
+    rows = scanned.select(*KEY, C("batch").alias("through"))
+    rows.write.mode("overwrite").parquet(f"{path}-taken/drain={drain_id}")
 
 
 def pending_count(queue: DataFrame) -> DataFrame:
     return queue.groupBy("tenant").agg(F.count(F.lit(1)).alias("pending"))
 
 
-def drain(
-    queue: DataFrame, covered: DataFrame, room: DataFrame | None = None, at_most: int = PENDING_PER_DRAIN
-) -> DataFrame:
-    """The oldest queued items with ``action`` scan or hold.
+def drain(queue: DataFrame, covered: DataFrame, room: DataFrame | None = None) -> DataFrame:
+    """The queued items with ``action`` scan or hold.
 
-    Items the stored result covers are always scanned; new ones while ``room`` (tenant, room) lasts.
+    Items the stored result covers are always scanned; new ones, oldest first, while ``room`` (tenant, room) lasts.
     """
-    oldest = Window.partitionBy("tenant").orderBy("at", "product_id")
-    head = queue.withColumn("rank", F.row_number().over(oldest)).filter(C("rank") <= at_most)
     known = covered.select(*KEY).distinct().withColumn("known", F.lit(True))
-    flagged = head.join(known, KEY, "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    # At most ``at_most`` rows per tenant from here on.
-    nth_new = F.count_if(~C("known")).over(
-        Window.partitionBy("tenant").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    flagged = flagged.withColumn("_nth", nth_new)
+    flagged = queue.join(known, KEY, "left").withColumn("known", F.coalesce("known", F.lit(False)))
     if room is None:
-        allowed = F.lit(True)
-    else:
-        flagged = flagged.join(room.select("tenant", "room"), "tenant", "left")
-        allowed = C("room").isNull() | (C("_nth") <= F.greatest(F.lit(0), C("room")))
-    action = F.when(C("known") | allowed, F.lit("scan")).otherwise("hold")
-    return flagged.select(*KEY, "created", "rank", "known", action.alias("action"))
+        return flagged.withColumn("action", F.lit("scan"))
+    # New items are numbered by the second they were queued in, slice by slice: no task holds a whole tenant.
+    new = flagged.filter(~C("known")).withColumn("_second", F.unix_timestamp("at"))
+    new = ranked(new, ["tenant"], ["_second", "at", "product_id"], "_nth", slice_width=86_400)
+    new = new.join(room.select("tenant", "room"), "tenant", "left")
+    fits = C("room").isNull() | (C("_nth") <= F.greatest(F.lit(0), C("room")))
+    new = new.withColumn("action", F.when(fits, F.lit("scan")).otherwise("hold")).drop("_second", "_nth", "room")
+    return flagged.filter("known").withColumn("action", F.lit("scan")).unionByName(new)
 
 
 def drained(drain_plan: DataFrame) -> DataFrame:
