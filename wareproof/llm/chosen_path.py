@@ -11,10 +11,11 @@ pivot, the class whose sketch agrees best with the node's most common tokens: th
 which they resemble more than each other. Of those surely above the threshold seven in eight leave with their link to it, the
 rest branch on. That takes time in proportion to a group, not to its square.
 
-Links are confirmed on the full sets in two rounds, so that a group does not list all its pairs. First come those with
+Links are confirmed on the full sets in two rounds, so that a group never lists all its pairs. First come those with
 pivots, and in leaves the best of every class and those with the leaf's most central class. Then leaves are compared
-once more, and all candidates between classes that are not connected yet are confirmed; the others cannot change a
-component.
+once more for candidates between classes that are not connected yet; the others cannot change a component. Classes that have
+some go to a task of their leaf with their full sets, which confirms all of these candidates and returns a
+forest of the links.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ CANDIDATE = TOKENS // 2
 SURE = TOKENS * 84 // 100
 BATCH_BYTES = 4_000_000
 CACHE = 32_768
+STRIP = 4096
 
 _random = random.Random(20170619)
 _FACTORS = np.array([_random.getrandbits(64) | 1 for _ in range(SHINGLE)], dtype=np.uint64)
@@ -156,38 +158,100 @@ def _central_row(bits: np.ndarray) -> int:
     return int((bits == np.array(most, dtype=np.uint8)).sum(axis=1).argmax())
 
 
-def _leaves(pick):
-    """Pairs of the members of every leaf that ``pick`` (bits, candidates, agreement, labels) names."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets = batch.column("members").offsets.to_numpy()
-            members = batch.column("members").values
-            cls, n, label = (members.field(c).to_numpy() for c in ("cls", "n_shingles", "label"))
-            bits = np.frombuffer(b"".join(members.field("bits").to_pylist()), dtype=np.uint8).reshape(-1, TOKENS)
-            found = [np.zeros((0, 2), dtype=np.int64)]
-            for start, stop in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                own = slice(start, stop)
-                agree = _agreement(bits[own])
-                near = (agree >= CANDIDATE) & _size_fits(n[own][:, None], n[own][None, :])
-                np.fill_diagonal(near, False)
-                if near.any():
-                    i, j = pick(bits[own], near, agree, label[own])
-                    found.append(np.stack([cls[own][i], cls[own][j]], axis=1))
-            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-    return run
-
-
-def _best_and_central(bits: np.ndarray, near: np.ndarray, agree: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    some = np.flatnonzero(near.any(axis=1))
-    best = np.where(near[some], agree[some], 0).argmax(axis=1)
-    center = _central_row(bits[some])
-    around = np.flatnonzero(near[some[center]])
-    return np.concatenate([some, np.full(len(around), some[center])]), np.concatenate([best, around])
-
-
-def _not_connected(bits: np.ndarray, near: np.ndarray, agree: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.nonzero(np.triu(near & (label[:, None] != label[None, :])))
+def _members(batch: pa.RecordBatch, blob: str) -> Iterator[tuple]:
+    """The leaves of a batch: node, classes, sizes, labels and ``blob`` of their members."""
+    offsets = batch.column("members").offsets.to_numpy()
+    members = batch.column("members").values
+    cls, n, label = (members.field(c).to_numpy() for c in ("cls", "n_shingles", "label"))
+    blobs = members.field(blob)
+    for node, start, stop in zip(batch.column("node").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield node, cls[start:stop], n[start:stop], label[start:stop], blobs.slice(start, stop - start)
+
+
+def _candidates(n: np.ndarray, blobs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, agreement and which pairs are candidates."""
+    bits = np.frombuffer(b"".join(blobs.to_pylist()), dtype=np.uint8).reshape(-1, TOKENS)
+    agree = _agreement(bits)
+    near = (agree >= CANDIDATE) & _size_fits(n[:, None], n[None, :])
+    np.fill_diagonal(near, False)
+    return bits, agree, near
+
+
+def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In every leaf the best candidate of every class, and those of the most central class."""
+    for batch in batches:
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        for _, cls, n, _, blobs in _members(batch, "bits"):
+            bits, agree, near = _candidates(n, blobs)
+            some = np.flatnonzero(near.any(axis=1))
+            if len(some):
+                best = np.where(near[some], agree[some], 0).argmax(axis=1)
+                center = some[_central_row(bits[some])]
+                around = np.flatnonzero(near[center])
+                found += [np.stack([cls[some], cls[best]], axis=1), np.stack([np.full(len(around), cls[center]), cls[around]], axis=1)]
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of leaves with a candidate that is not connected with them."""
+    for batch in batches:
+        nodes, classes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for node, cls, n, label, blobs in _members(batch, "bits"):
+            apart = _candidates(n, blobs)[2] & (label[:, None] != label[None, :])
+            some = np.flatnonzero(apart.any(axis=1))
+            nodes.append(np.full(len(some), node, dtype=np.int64))
+            classes.append(cls[some])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(classes))], ["node", "cls"])
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections. Shingles of two members or more are the columns of a matrix, a strip at a time."""
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held[at] > 1
+    of, at = of[shared], np.unique(at[shared], return_inverse=True)[1]
+    order = np.argsort(at, kind="stable")
+    of, at = of[order], at[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for first in range(0, int(at.max(initial=-1)) + 1, STRIP):
+        lo, hi = np.searchsorted(at, [first, first + STRIP])
+        strip = np.zeros((len(sets), STRIP), dtype=np.float32)
+        strip[of[lo:hi], at[lo:hi] - first] = 1
+        out += strip @ strip.T
+    return out.astype(np.int64)
+
+
+def _forest(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> list[int]:
+    """Places of links that connect the labels which all links (i, j) connect."""
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    keep = []
+    for k, (a, b) in enumerate(zip(label[i].tolist(), label[j].tolist(), strict=True)):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[a] = b
+            keep.append(k)
+    return keep
+
+
+def _confirmed_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of the links of every leaf between classes that were not connected, confirmed on the full sets."""
+    for batch in batches:
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        for _, cls, n, label, blobs in _members(batch, "shingles"):
+            common = _common([np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in blobs])
+            linked = 100 * common >= PERCENT * (n[:, None] + n[None, :] - common)
+            i, j = np.nonzero(np.triu(linked & (label[:, None] != label[None, :])))
+            keep = _forest(i, j, label)
+            found.append(np.stack([cls[i[keep]], cls[j[keep]]], axis=1))
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def _with_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +322,7 @@ def grow(classes: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     while True:
         level = written(level, "level")
         sizes = level.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        members = written(level.join(sizes, "node"), "members")
+        members = written(level.join(written(sizes, "sizes"), "node"), "members")
         leaves.append(members.filter(F.col("size") <= LIMIT).select("node", "cls"))
         big = members.filter(F.col("size") > LIMIT)
         if big.isEmpty():
@@ -276,17 +340,11 @@ def grow(classes: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, stars, none)
 
 
-def _compared(leaves: DataFrame, classes: DataFrame, labels: DataFrame | None, pick) -> DataFrame:
-    """Distinct pairs of the classes of leaves; with labels, of leaves that hold more than one."""
-    slim = classes.select("cls", "n_shingles", "bits")
-    if labels is None:
-        slim = slim.withColumn("label", F.col("cls"))
-    else:
-        known = labels.withColumnRenamed("v", "cls")
-        slim = written(slim.join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
-    grouped = leaves.join(slim, "cls").groupBy("node").agg(
-        F.collect_list(F.struct("cls", "n_shingles", "bits", "label")).alias("members"), F.min("label").alias("x"), F.max("label").alias("y"))
-    return grouped.filter("x != y").select("members").mapInArrow(_leaves(pick), PAIRS).distinct()
+def _grouped(leaves: DataFrame, facts: DataFrame, blob: str) -> DataFrame:
+    """(node, members) of the leaves that hold more than one label; facts: cls, n_shingles, label and ``blob``."""
+    grouped = leaves.join(facts, "cls").groupBy("node").agg(
+        F.collect_list(F.struct("cls", "n_shingles", "label", blob)).alias("members"), F.min("label").alias("x"), F.max("label").alias("y"))
+    return grouped.filter("x != y").select("node", "members")
 
 
 # ---- confirmed links -----------------------------------------------------------------------------
@@ -313,17 +371,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def links(rows: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
     """Confirmed links (a, b) between classes that hold their components together."""
     leaves, stars = grow(classes, seed)
-    first = written(_compared(leaves, classes, None, _best_and_central).union(stars).distinct(), "first")
+    slim = classes.select("cls", "n_shingles", "bits")
+    alone = _grouped(leaves, slim.withColumn("label", F.col("cls")), "bits")
+    first = written(alone.mapInArrow(_first_pairs, PAIRS).union(stars).distinct(), "first")
     # Whoever has a candidate has its best one among the first.
     ends = first.select(F.col("a").alias("cls")).union(first.select("b")).distinct()
     needed = written(ends.join(classes.select("cls", "n_shingles", F.col("rep").alias("doc_id")), "cls"), "needed")
     # The documents needed grow with the corpus, so their texts are fetched by a shuffled join whatever their number.
     texts = rows.join(needed.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_with_sets, SETS)
     # Rows that share an id have sets of their own: only those of the classes count.
-    sets = written(texts.join(needed.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    sets = written(texts.join(needed.select("cls", "n_shingles"), "cls").dropDuplicates(["cls"]), "sets")
     linked = written(confirmed(first, sets), "links")
-    second = _compared(leaves, classes, components(linked), _not_connected).join(first, ["a", "b"], "left_anti")
-    return linked.union(written(confirmed(second, sets), "links"))
+    label = F.coalesce("label", "cls").alias("label")
+    labels = written(needed.select("cls").join(components(linked).withColumnRenamed("v", "cls"), "cls", "left").select("cls", label), "of")
+    open_members = _grouped(leaves, slim.join(labels, "cls"), "bits").mapInArrow(_open_members, "node bigint, cls bigint")
+    last = _grouped(written(open_members, "open"), sets.join(labels, "cls"), "shingles")
+    return linked.union(written(last.mapInArrow(_confirmed_leaves, PAIRS).distinct(), "links"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
