@@ -6,8 +6,8 @@ of more than ``SHARD`` vectors is split by a hash, so a crowded spot is several
 routing vector above, and the largest norm below it; a leaf entry has its distance to the routing vector of its page.
 
 An inner product follows from norms and the distance, 2 <q, x> = |q|^2 + |x|^2 - d(q, x)^2, so distances bound it from
-above. A search opens nodes from the highest bound down until no bound reaches the k-th score; before a distance is
-computed, the triangle inequality over the stored ones may already rule the node or entry out. A block of queries
+above. A block of queries opens nodes from the highest bound down until no bound reaches a k-th score; before a distance is
+computed, the triangle inequality over the stored ones may already rule the node or entry out. It
 starts with the k-th scores among the sample, and meets every shard once, joined by the shard's number.
 """
 
@@ -30,8 +30,6 @@ SHARD = 4096
 PAGE = 64
 FAN = 16
 BLOCK = 256
-#: Above this size of a component, products may leave 64 bits; such vectors are compared as Python's whole numbers.
-WIDE = 1 << 24
 
 VECTORS = "vec_id bigint, dim int, near int, vec binary"
 TREES = "shard bigint, ids binary, vecs binary, entry_distance binary, nodes binary"
@@ -90,68 +88,93 @@ def build(vecs: np.ndarray, page: int = PAGE, fan: int = FAN) -> tuple[np.ndarra
     return order, out, entry
 
 
-class Best:
-    """The k best (score, smaller id first) so far."""
+def products(vecs: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Whole inner products, a row per query; beyond 64 bits they stop at the ends of the range."""
+    most = int(np.abs(vecs).max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(1, vecs.shape[1])
+    if most < 1 << 53:  # then sums of doubles are exact, and faster
+        return (queries.astype(np.float64) @ vecs.T.astype(np.float64)).astype(np.int64)
+    if most < 1 << 63:
+        return queries @ vecs.T
+    ends = np.iinfo(np.int64)
+    whole = queries.astype(object) @ vecs.T.astype(object)
+    return np.array([[min(max(int(v), ends.min), ends.max) for v in row] for row in whole], dtype=np.int64).reshape(len(queries), len(vecs))
+
 
-    def __init__(self, k: int, floor: float):
-        self.k, self.floor = k, floor
-        self.score, self.ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+class Best:
+    """The k best scores of every query so far, smaller ids first among equals."""
 
-    @property
-    def bound(self) -> float:
-        """Scores below it cannot be among the k best; those equal to it can."""
-        return max(self.floor, float(self.score[-1])) if len(self.score) >= self.k else self.floor
+    def __init__(self, k: int, floors: np.ndarray):
+        self.k, self.bound = k, floors.copy()
+        self.score = [np.zeros(0, dtype=np.int64) for _ in floors]
+        self.ids = [np.zeros(0, dtype=np.int64) for _ in floors]
 
-    def add(self, score: np.ndarray, ids: np.ndarray) -> None:
-        score, ids = np.concatenate([self.score, score]), np.concatenate([self.ids, ids])
+    def add(self, q: int, score: np.ndarray, ids: np.ndarray) -> None:
+        """Rows for query ``q``. Scores below ``bound`` cannot be among the k best; those equal to it can."""
+        score, ids = np.concatenate([self.score[q], score]), np.concatenate([self.ids[q], ids])
         keep = np.lexsort((ids, -score))[: self.k]
-        self.score, self.ids = score[keep], ids[keep]
-
+        self.score[q], self.ids[q] = score[keep], ids[keep]
+        if len(keep) == self.k:
+            self.bound[q] = max(self.bound[q], float(score[keep[-1]]))
 
-def products(vecs: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Whole inner products; beyond 64 bits they stop at the ends of the range."""
-    if max(np.abs(vecs).max(initial=0), np.abs(query).max(initial=0)) < WIDE:
-        return vecs @ query
-    ends = np.iinfo(np.int64)
-    return np.array([min(max(int(v), ends.min), ends.max) for v in vecs.astype(object) @ query.astype(object)], dtype=np.int64)
 
+def search(tree: tuple[np.ndarray, ...], query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> tuple[Best, int]:
+    """The k best rows of a tree, other than its own, with scores of at least its floor, for every query of a block; and
+    how many distances and products were computed.
 
-def search(tree: tuple[np.ndarray, ...], query_id: int, query: np.ndarray, k: int, floor: float) -> tuple[Best, int]:
-    """The k best rows of a tree other than the query's own with scores of at least ``floor``, and how many
-    distances and products were computed."""
+    Queries go through the tree together, nodes with the highest bound of any query first; at a node only those go
+    on whose bound there reaches their k-th score.
+    """
     ids, vecs, x, norms, entry, nodes = tree
-    q = query.astype(np.float64)
-    own = float((q**2).sum())
-    slack = 1e-9 * (own + float(norms.max(initial=0))) + 1e-6
-    best, computed = Best(k, floor), 1
-
-    def upper(norm, least):
-        return (own + norm - np.maximum(least, 0) ** 2) / 2 + slack
-
-    to_root = float(np.linalg.norm(q - x[nodes[0]["center"]]))
-    heap = [(-upper(nodes[0]["norm"], to_root - nodes[0]["radius"]), 0, to_root)]
+    q = queries.astype(np.float64)
+    own = (q**2).sum(axis=1)
+    slack = 1e-9 * (own.max(initial=0) + float(norms.max(initial=0))) + 1e-6
+    loose = 1e-6 * np.sqrt(own.max(initial=0) + float(norms.max(initial=0))) + 1e-9  # of a root of a difference of squares
+    best = Best(k, floors)
+
+    def distances(who: np.ndarray, centers: np.ndarray) -> np.ndarray:
+        square = own[who][:, None] + norms[centers][None, :] - 2 * q[who] @ x[centers].T
+        return np.sqrt(np.maximum(square, 0))
+
+    def upper(who: np.ndarray, norm: np.ndarray, least: np.ndarray) -> np.ndarray:
+        return (own[who][:, None] + norm[None, :] - np.maximum(least - loose, 0) ** 2) / 2 + slack
+
+    everyone, root = np.arange(len(q)), np.zeros(1, dtype=np.int64)
+    to_root, computed = distances(everyone, nodes["center"][root]), len(q)
+    bounds = upper(everyone, nodes["norm"][root], to_root - nodes["radius"][root])[:, 0]
+    heap = [(-float(bounds.max()), 0, everyone, bounds, to_root[:, 0])] if len(q) else []
     while heap:
-        bound, at, distance = heapq.heappop(heap)
-        if -bound < best.bound:
-            break
+        _, at, who, bounds, distance = heapq.heappop(heap)
+        on = bounds >= best.bound[who]
+        who, distance = who[on], distance[on]
+        if not len(who):
+            continue
         node = nodes[at]
         if node["n"] == 0:
             rows = np.arange(node["first"], node["last"])
-            rows = rows[upper(norms[rows], np.abs(distance - entry[rows])) >= best.bound]
-            rows = rows[ids[rows] != query_id]
-            computed += len(rows)
-            if len(rows):
-                best.add(products(vecs[rows], query), ids[rows])
+            open_ = upper(who, norms[rows], np.abs(distance[:, None] - entry[rows][None, :])) >= best.bound[who][:, None]
+            open_ &= ids[rows][None, :] != query_ids[who][:, None]
+            some, wanted = np.flatnonzero(open_.any(axis=0)), np.flatnonzero(open_.any(axis=1))
+            if not len(some):
+                continue
+            score = products(vecs[rows[some]], queries[who[wanted]])
+            computed += score.size
+            good = open_[np.ix_(wanted, some)] & (score >= best.bound[who[wanted]][:, None])
+            for i in np.flatnonzero(good.any(axis=1)).tolist():
+                best.add(int(who[wanted[i]]), score[i, good[i]], ids[rows[some[good[i]]]])
             continue
         below = np.arange(node["child"], node["child"] + node["n"])
-        below = below[upper(nodes["norm"][below], np.abs(distance - nodes["up"][below]) - nodes["radius"][below]) >= best.bound]
-        computed += len(below)
-        far = _distances(x[nodes["center"][below]], q)
-        for u, b, d in zip(upper(nodes["norm"][below], far - nodes["radius"][below]), below.tolist(), far.tolist(), strict=True):
-            if u >= best.bound:
-                heapq.heappush(heap, (-u, b, d))
-    keep = best.score >= floor
-    best.score, best.ids = best.score[keep], best.ids[keep]
+        least = np.abs(distance[:, None] - nodes["up"][below][None, :]) - nodes["radius"][below][None, :]
+        open_ = upper(who, nodes["norm"][below], least) >= best.bound[who][:, None]
+        below, open_ = below[open_.any(axis=0)], open_[:, open_.any(axis=0)]
+        if not len(below):
+            continue
+        far = distances(who, nodes["center"][below])
+        computed += far.size
+        reach = np.where(open_, upper(who, nodes["norm"][below], far - nodes["radius"][below][None, :]), -np.inf)
+        for c, child in enumerate(below.tolist()):
+            on = reach[:, c] >= best.bound[who]
+            if on.any():
+                heapq.heappush(heap, (-float(reach[on, c].max()), child, who[on], reach[on, c], far[on, c]))
     return best, computed
 
 
@@ -228,12 +251,14 @@ def index(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> tuple[DataFrame,
 
 
 def _searches(k: int, sample: dict[int, tuple[np.ndarray, np.ndarray]]):
-    def floor(query_id: int, query: np.ndarray) -> float:
-        if len(query) not in sample:
-            return -np.inf
-        ids, vecs = sample[len(query)]
-        scores = np.sort(products(vecs[ids != query_id], query))
-        return float(scores[-k]) if len(scores) >= k else -np.inf
+    def floors(query_ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """The k-th scores among the sample."""
+        if queries.shape[1] not in sample:
+            return np.full(len(queries), -np.inf)
+        ids, vecs = sample[queries.shape[1]]
+        scores = products(vecs, queries).astype(np.float64)
+        scores[query_ids[:, None] == ids[None, :]] = -np.inf
+        return np.sort(scores, axis=1)[:, -k] if len(ids) >= k else np.full(len(queries), -np.inf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,12 +272,10 @@ def _searches(k: int, sample: dict[int, tuple[np.ndarray, np.ndarray]]):
                 x = vecs.astype(np.float64)
                 tree = (ids, vecs, x, (x**2).sum(axis=1), entry, nodes)
                 queries = batch.column("queries")[row].values
-                q_ids, found = queries.field("vec_id").to_pylist(), []
-                for q_id, q in zip(q_ids, _matrix(queries.field("vec").to_pylist(), dim), strict=True):
-                    found.append(search(tree, q_id, q, k, floor(q_id, q))[0])
+                q_ids, q = queries.field("vec_id").to_numpy(), _matrix(queries.field("vec").to_pylist(), dim)
+                best, _ = search(tree, q_ids, q, k, floors(q_ids, q))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(np.array(q_ids, dtype=np.int64), [len(b.ids) for b in found])),
-                    pa.array(np.concatenate([b.ids for b in found])), pa.array(np.concatenate([b.score for b in found])),
+                    pa.array(np.repeat(q_ids, [len(x) for x in best.ids])), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.score)),
                 ], ["query_id", "vec_id", "score"])
     return run
 
