@@ -137,7 +137,8 @@ def taken(sized: DataFrame, sources: DataFrame, seed: int = 0) -> DataFrame:
     )
     length = F.col("end") - F.col("begin")
     part = F.greatest(F.least(F.col("end"), F.coalesce("part", F.lit(0))) - F.col("begin"), F.lit(0))
-    words = members(sized, sources).join(drawn, ["number", "block"]).select("row", (F.col("whole") * length + part).alias("words"))
+    # Spark takes exploded slots for as small as the sources they come from; they grow with the corpus: no broadcast.
+    words = members(sized, sources).join(drawn.hint("merge"), ["number", "block"]).select("row", (F.col("whole") * length + part).alias("words"))
     return words.groupBy("row").agg(F.sum("words").alias("taken"))
 
 
@@ -167,5 +168,5 @@ def mixed_blocks(docs: DataFrame, seed: int = 0, n_shards: int = SHARDS, doc_id:
         "number", "block", F.struct("begin", F.slice(words, (F.col("first") + 1).cast("int"), (F.col("end") - F.col("begin")).cast("int")).alias("w")).alias("piece"),
     )
     blocks = pieces.groupBy("number", "block").agg(F.flatten(F.transform(F.sort_array(F.collect_list("piece")), lambda p: p["w"])).alias("w"))
-    drawn = slots(sources, seed, n_shards).join(blocks, ["number", "block"])
+    drawn = slots(sources, seed, n_shards).hint("merge").join(blocks, ["number", "block"])
     return drawn.select("shard", "number", "slot", F.array_join(F.slice("w", 1, F.col("take").cast("int")), " ").alias("text"))
