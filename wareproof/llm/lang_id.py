@@ -99,8 +99,8 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, held = ngrams(batch.column("text").to_pylist())
         found = [np.unique(one, return_counts=True) for one in np.split(features, np.cumsum(held)[:-1])]
         yield pa.RecordBatch.from_arrays([
-            batch.column("lang"), batch.column("h"), pa.array([x for x, _ in found], pa.list_(pa.int32())),
-            pa.array([n for _, n in found], pa.list_(pa.int64())),
+            batch.column("lang"), batch.column("h"), pa.array([x.astype("<i4").tobytes() for x, _ in found], pa.binary()),
+            pa.array([n.astype("<i4").tobytes() for _, n in found], pa.binary()),
         ], ["lang", "h", "features", "counts"])
 
 
@@ -172,20 +172,22 @@ def fit(learning: DataFrame, train_rows: int = TRAIN_ROWS, max_langs: int = MAX_
     if not langs:
         return None
     names = sorted(langs)
+    table = counted.filter("feature >= 0").select("feature", "n").toArrow()
     frequency = np.zeros(DIM)
-    for r in counted.filter("feature >= 0").collect():
-        frequency[r.feature] = r.n
+    frequency[table.column("feature").to_numpy()] = table.column("n").to_numpy()
     idf = np.log((1 + sum(langs.values())) / (1 + frequency)) + 1
     share = F.element_at(F.create_map(*(F.lit(x) for n in names for x in (n, train_rows / len(names) / langs[n]))), F.col("lang"))
     drawn = learning.filter(F.col("lang").isin(names)).filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
-    rows = drawn.orderBy("h", "lang", F.length("text")).limit(2 * train_rows).mapInArrow(
-        _examples, "lang string, h bigint, features array<int>, counts array<bigint>").collect()
-    rows = sorted((r for r in rows if r.features), key=lambda r: (r.h, r.lang, r.features, r.counts))
+    table = drawn.orderBy("h", "lang", F.length("text")).limit(2 * train_rows).mapInArrow(
+        _examples, "lang string, h bigint, features binary, counts binary").toArrow()
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("h", "lang", "features", "counts")), strict=True))
     examples = []
-    for r in rows:
-        features = np.array(r.features)
-        values = 100 * np.array(r.counts) / sum(r.counts) * idf[features]
-        examples.append((np.append(features, DIM), np.append(values, 1.0), names.index(r.lang)))
+    for _, lang, features, counts in rows:
+        if features:
+            features, counts = np.frombuffer(features, dtype="<i4"), np.frombuffer(counts, dtype="<i4")
+            values = (100 / counts.sum() * counts * idf[features]).astype(np.float32)
+            examples.append((np.append(features, np.int32(DIM)), np.append(values, np.float32(1)), names.index(lang)))
+    del table, rows
     spare = examples[::5] if len(examples) >= 5 * len(names) else []
     w = ftrl([x for i, x in enumerate(examples) if not spare or i % 5], len(names))
     logits = np.array([values @ w[features] for features, values, _ in spare]).reshape(-1, len(names))
