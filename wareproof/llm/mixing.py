@@ -30,6 +30,7 @@ MOST = 2
 BLOCK = 64
 BUCKET_DOCS = 4096
 CHUNK = 16_384
+MAX_TASKS = 10_000
 ROUNDS = 8
 SHARDS = 64
 WORD = r"[^\x20\x09-\x0D]+"
@@ -103,7 +104,10 @@ def slots(sources: DataFrame, seed: int = 0, n_shards: int = SHARDS) -> DataFram
     quota = quota.withColumn("draws", draws).filter("draws > 0").select("number", "blocks", "source_size", "passes", "reach", "draws")
     chunks = quota.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(draws - 1) DIV {CHUNK}"))))
     last = F.least((F.col("chunk") + 1) * CHUNK, F.col("draws")) - 1
-    rows = chunks.repartition("number", "chunk").withColumn("slot", F.explode(F.sequence(F.col("chunk") * CHUNK, last)))
+    # Few short rows become many: the number of tasks follows the slots, not the size of the rows.
+    n_slots = (sources.agg(F.sum("words")).first()[0] or 0) // BLOCK
+    n_tasks = min(MAX_TASKS, n_slots // (4 * CHUNK) + 1)
+    rows = chunks.repartition(n_tasks, "number", "chunk").withColumn("slot", F.explode(F.sequence(F.col("chunk") * CHUNK, last)))
     rows = permuted(rows, F.col("slot") % F.col("blocks"), "block", seed)
     in_block = F.least(F.lit(BLOCK).cast("bigint"), F.col("source_size") - F.col("block") * BLOCK)
     left = F.col("reach") - (F.col("slot") - F.col("passes") * F.col("blocks")) * BLOCK
