@@ -11,8 +11,8 @@ pivot, the class whose sketch agrees best with the node's most common tokens: th
 which they resemble more than each other. Of those surely above the threshold seven in eight leave with their link to it, the
 rest branch on. That takes time in proportion to a group, not to its square.
 
-Links are confirmed on the full sets in two rounds, so that a group never lists all its pairs. First come those with
-pivots, and in leaves the best of every class and those with the leaf's most central class. Then leaves are compared
+Links are confirmed on the full sets in two rounds, so that a group never lists all its pairs. First come, for
+every class, its best candidate in any leaf and its best among the pivots and the most central classes of its leaves. Then leaves are compared
 once more for candidates between classes that are not connected yet; the others cannot change a component. Classes that have
 some go to a task of their leaf with their full sets, which confirms all of these candidates and returns a
 forest of the links.
@@ -138,6 +138,7 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- the trees -----------------------------------------------------------------------------------
 
 PAIRS = "a bigint, b bigint"
+FIRST = "cls bigint, other bigint, agree int, central boolean"
 
 
 def _size_fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -178,9 +179,9 @@ def _candidates(n: np.ndarray, blobs: pa.Array) -> tuple[np.ndarray, np.ndarray,
 
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In every leaf the best candidate of every class, and those of the most central class."""
+    """In every leaf the best candidate of every class, and the most central class for those it is a candidate of."""
     for batch in batches:
-        found = [np.zeros((0, 2), dtype=np.int64)]
+        found = [np.zeros((0, 4), dtype=np.int64)]
         for _, cls, n, _, blobs in _members(batch, "bits"):
             bits, agree, near = _candidates(n, blobs)
             some = np.flatnonzero(near.any(axis=1))
@@ -188,9 +189,12 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 best = np.where(near[some], agree[some], 0).argmax(axis=1)
                 center = some[_central_row(bits[some])]
                 around = np.flatnonzero(near[center])
-                found += [np.stack([cls[some], cls[best]], axis=1), np.stack([np.full(len(around), cls[center]), cls[around]], axis=1)]
-        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                found.append(np.stack([cls[some], cls[best], agree[some, best], np.zeros(len(some), dtype=np.int64)], axis=1))
+                found.append(np.stack([cls[around], np.full(len(around), cls[center]), agree[around, center], np.ones(len(around), dtype=np.int64)], axis=1))
+        rows = np.concatenate(found)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3] == 1)], ["cls", "other", "agree", "central"]
+        )
 
 
 def _open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +320,7 @@ def _central(big: DataFrame) -> DataFrame:
 
 
 def grow(classes: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """The leaves of all trees (node, cls), and the candidate pairs (a, b) with pivots of larger nodes."""
+    """The leaves of all trees (node, cls), and the candidates among the pivots of larger nodes (``FIRST``)."""
     leaves, stars = [], []
     level = classes.select("cls", F.explode(_roots(seed)).alias("node"))
     while True:
@@ -332,11 +336,10 @@ def grow(classes: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
         pivots = written(_central(big).join(own, "pivot"), "pivots")
         schema = "node bigint, cls bigint, pivot bigint, sketch array<int>, agree int"
         compared = written(big.join(pivots, "node").filter("cls != pivot").mapInArrow(_with_pivot, schema), "compared")
-        pair = [F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")]
-        stars.append(compared.filter(F.col("agree") >= CANDIDATE).select(*pair))
+        stars.append(compared.filter(F.col("agree") >= CANDIDATE).select("cls", F.col("pivot").alias("other"), "agree", F.lit(True).alias("central")))
         stays = (F.col("agree") < SURE) | (F.pmod(F.xxhash64("cls", "node"), F.lit(STAY)) == 0)
         level = compared.filter(stays).select("cls", F.explode(_children()).alias("node"))
-    none = classes.sparkSession.createDataFrame([], PAIRS)
+    none = classes.sparkSession.createDataFrame([], FIRST)
     return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, stars, none)
 
 
@@ -373,7 +376,10 @@ def links(rows: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
     leaves, stars = grow(classes, seed)
     slim = classes.select("cls", "n_shingles", "bits")
     alone = _grouped(leaves, slim.withColumn("label", F.col("cls")), "bits")
-    first = written(alone.mapInArrow(_first_pairs, PAIRS).union(stars).distinct(), "first")
+    # Over all trees, a class keeps its best candidate and its best among pivots and central classes: two pairs at most.
+    kept = alone.mapInArrow(_first_pairs, FIRST).union(stars).groupBy("cls", "central").agg(F.max(F.struct("agree", "other")).alias("m"))
+    first = kept.select(F.least("cls", "m.other").alias("a"), F.greatest("cls", "m.other").alias("b"))
+    first = written(first.distinct(), "first")
     # Whoever has a candidate has its best one among the first.
     ends = first.select(F.col("a").alias("cls")).union(first.select("b")).distinct()
     needed = written(ends.join(classes.select("cls", "n_shingles", F.col("rep").alias("doc_id")), "cls"), "needed")
