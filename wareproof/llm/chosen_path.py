@@ -12,10 +12,10 @@ which they resemble more than each other. Of those surely above the threshold se
 rest branch on. That takes time in proportion to a group, not to its square.
 
 Links are confirmed on the full sets in two rounds, so that a group never lists all its pairs. First come, for
-every class, its best candidate in any leaf and its best among the pivots and the most central classes of its leaves. Then leaves are compared
-once more for candidates between classes that are not connected yet; the others cannot change a component. Classes that have
-some go to a task of their leaf with their full sets, which confirms all of these candidates and returns a
-forest of the links.
+every class, its best candidate in any leaf and its best among the pivots and the most central classes of its leaves. Then
+leaves are compared once more, and pairs with pivots looked through, for candidates between classes that are not connected
+yet; the others cannot change a component. Classes of leaves that have some go to a task of their leaf with their full
+sets, which confirms all of these candidates and returns a forest of the links.
 """
 
 from __future__ import annotations
@@ -381,7 +381,7 @@ def links(rows: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
     first = kept.select(F.least("cls", "m.other").alias("a"), F.greatest("cls", "m.other").alias("b"))
     first = written(first.distinct(), "first")
     # Whoever has a candidate has its best one among the first.
-    ends = first.select(F.col("a").alias("cls")).union(first.select("b")).distinct()
+    ends = first.select(F.col("a").alias("cls")).union(first.select("b")).union(stars.select("other")).distinct()
     needed = written(ends.join(classes.select("cls", "n_shingles", F.col("rep").alias("doc_id")), "cls"), "needed")
     # The documents needed grow with the corpus, so their texts are fetched by a shuffled join whatever their number.
     texts = rows.join(needed.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_with_sets, SETS)
@@ -392,7 +392,12 @@ def links(rows: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
     labels = written(needed.select("cls").join(components(linked).withColumnRenamed("v", "cls"), "cls", "left").select("cls", label), "of")
     open_members = _grouped(leaves, slim.join(labels, "cls"), "bits").mapInArrow(_open_members, "node bigint, cls bigint")
     last = _grouped(written(open_members, "open"), sets.join(labels, "cls"), "shingles")
-    return linked.union(written(last.mapInArrow(_confirmed_leaves, PAIRS).distinct(), "links"))
+    in_leaves = written(last.mapInArrow(_confirmed_leaves, PAIRS).distinct(), "links")
+    # What is open between classes and pivots of larger nodes: at most a pair for every class in such a node.
+    ends_apart = stars.select("cls", "other").join(labels, "cls").join(labels.select(F.col("cls").alias("other"), F.col("label").alias("of")), "other")
+    open_stars = ends_apart.filter("label != of").select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
+    with_pivots = written(confirmed(open_stars.join(first, ["a", "b"], "left_anti"), sets), "links")
+    return linked.union(in_leaves).union(with_pivots)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
