@@ -129,6 +129,31 @@ def test_components_are_those_of_all_pairs(spark, documents, edges, monkeypatch,
     assert got == plain_components(rows)
 
 
+def edited(rest, words, n, name):
+    """``words`` with ``n`` of them new, at places taken from ``rest``."""
+    own = list(words)
+    for _ in range(n):
+        k = rest.pop()
+        own[k] = f"{name}x{k}"
+    return own
+
+
+@pytest.mark.parametrize("limit", [200, 50])
+def test_chains_that_hang_from_one_member_of_a_large_group(spark, monkeypatch, limit):
+    monkeypatch.setattr(chosen_path, "LIMIT", limit)
+    draw, base = np.random.default_rng(8), words(200, 3, "kern").split()
+    texts = [base]
+    for i in range(2000):
+        rest = draw.permutation(200).tolist()
+        texts.append(edited(rest, base, 2, f"m{i}"))  # 0.90 of the base
+        if i < 40:
+            texts.append(edited(rest, texts[-1], 5, f"y{i}"))  # 0.77 of its member, about 0.70 of the base
+            texts.append(edited(rest, texts[-1], 5, f"z{i}"))  # 0.77 of the one before
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(6)
+    got = chosen_path.near_duplicates(df)
+    assert [r.doc_id for r in got.filter("component_id != 0").collect()] == []
+
+
 def test_near_duplicate_edges(edges, clashing, no_rows):
     got = rows_of(chosen_path.near_duplicates(edges))
     by_id = {r[0]: r for r in got}

@@ -16,6 +16,10 @@ every class, its best candidate in any leaf and its best among the pivots and th
 leaves are compared once more, and pairs with pivots looked through, for candidates between classes that are not connected
 yet; the others cannot change a component. Classes of leaves that have some go to a task of their leaf with their full
 sets, which confirms all of these candidates and returns a forest of the links.
+
+A class that left a large node took its other links of that tree with it. So the large nodes at the roots grow again, nobody
+leaving, as long as they hold more than one component: only candidates between components are missing then. A node whose classes are
+all of one component but for ``LIMIT`` / 2 needs no children: every slice of that component meets all the others in a leaf.
 """
 
 from __future__ import annotations
@@ -319,9 +323,10 @@ def _central(big: DataFrame) -> DataFrame:
     return scored.groupBy("node").agg(F.max(F.struct("agree", F.xxhash64("node", "cls"), "cls")).alias("p")).select("node", F.col("p.cls").alias("pivot"))
 
 
-def grow(classes: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """The leaves of all trees (node, cls), and the candidates among the pivots of larger nodes (``FIRST``)."""
-    leaves, stars = [], []
+def grow(classes: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The leaves of all trees (node, cls), the candidates among the pivots of larger nodes (``FIRST``), and the members
+    (node, cls) of larger nodes at the roots, if any."""
+    leaves, stars, roots = [], [], None
     level = classes.select("cls", F.explode(_roots(seed)).alias("node"))
     while True:
         level = written(level, "level")
@@ -332,6 +337,7 @@ def grow(classes: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
         if big.isEmpty():
             break
         big = written(big.join(classes, "cls"), "big")
+        roots = big.select("node", "cls") if roots is None else roots
         own = classes.select(F.col("cls").alias("pivot"), F.col("n_shingles").alias("p_n"), F.col("bits").alias("p_bits"))
         pivots = written(_central(big).join(own, "pivot"), "pivots")
         schema = "node bigint, cls bigint, pivot bigint, sketch array<int>, agree int"
@@ -340,7 +346,37 @@ def grow(classes: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
         stays = (F.col("agree") < SURE) | (F.pmod(F.xxhash64("cls", "node"), F.lit(STAY)) == 0)
         level = compared.filter(stays).select("cls", F.explode(_children()).alias("node"))
     none = classes.sparkSession.createDataFrame([], FIRST)
-    return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, stars, none)
+    return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, stars, none), roots
+
+
+def regrow(roots: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Leaves (node, cls) below ``roots`` in which classes of different labels (cls, label) meet; nobody leaves a node."""
+    leaves = []
+    facts = written(classes.join(labels, "cls").select("cls", "label", "sketch"), "facts")
+    level = roots
+    while True:
+        placed = written(level.join(facts.select("cls", "label", F.xxhash64("sketch").alias("h")), "cls"), "level")
+        counts = placed.groupBy("node", "label").agg(F.count("*").alias("n"), F.min("h").alias("x"), F.max("h").alias("y"))
+        sizes = counts.groupBy("node").agg(
+            F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most"), (F.min("x") < F.max("y")).alias("parts"))
+        mixed = sizes.filter("size > most.n").select("node", "size", "parts", F.col("most.label").alias("of"), (F.col("size") - F.col("most.n")).alias("rest"))
+        members = written(placed.join(written(mixed, "mixed"), "node"), "members")
+        small, few = F.col("size") <= LIMIT, F.col("rest") <= LIMIT // 2
+        leaves.append(members.filter(small).select("node", "cls"))
+        # The component with most classes is dealt into slices; the others go to all of them.
+        n = F.ceil((F.col("size") - F.col("rest")) / (F.lit(LIMIT) - F.col("rest")))
+        own = F.pmod(F.xxhash64("cls", "node"), n)
+        slices = F.when(F.col("label") == F.col("of"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("bigint"), n - 1))
+        leaves.append(members.filter(~small & few).select(F.explode(slices).alias("k"), "node", "cls").select(F.xxhash64("node", "k").alias("node"), "cls"))
+        # Classes of one sketch never part: every two slices of them meet.
+        n = F.ceil(2 * F.col("size") / LIMIT)
+        own = F.pmod(F.xxhash64("cls", "node"), n)
+        pairs = members.filter(~small & ~few & ~F.col("parts")).select("node", "cls", own.alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("k"))
+        leaves.append(pairs.select(F.xxhash64("node", F.least("i", "k"), F.greatest("i", "k")).alias("node"), "cls"))
+        large = members.filter(~small & ~few & F.col("parts")).select("node", "cls")
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, leaves)
+        level = large.join(facts.select("cls", "sketch"), "cls").select("cls", F.explode(_children()).alias("node"))
 
 
 def _grouped(leaves: DataFrame, facts: DataFrame, blob: str) -> DataFrame:
@@ -371,9 +407,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_confirmed, "a bigint, b bigint")
 
 
+def _sets_of(ends: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, n_shingles, shingles) of the classes ``ends``."""
+    needed = written(ends.join(classes.select("cls", "n_shingles", F.col("rep").alias("doc_id")), "cls"), "needed")
+    # The documents needed grow with the corpus, so their texts are fetched by a shuffled join whatever their number.
+    texts = rows.join(needed.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_with_sets, SETS)
+    # Rows that share an id have sets of their own: only those of the classes count.
+    return written(texts.join(needed.select("cls", "n_shingles"), "cls").dropDuplicates(["cls"]), "sets")
+
+
+def _labels(of: DataFrame, linked: DataFrame) -> DataFrame:
+    """(cls, label) of the classes ``of``: their component by the links, or themselves."""
+    label = F.coalesce("label", "cls").alias("label")
+    return written(of.select("cls").join(components(linked).withColumnRenamed("v", "cls"), "cls", "left").select("cls", label), "of")
+
+
+def _open(leaves: DataFrame, slim: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, cls): the members of leaves with a candidate of another label."""
+    grouped = _grouped(leaves, slim.join(labels, "cls"), "bits")
+    return written(grouped.mapInArrow(_open_members, "node bigint, cls bigint"), "open")
+
+
+def _links_of_leaves(open_members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): a forest of the links between open members."""
+    last = _grouped(open_members, sets.join(labels, "cls"), "shingles")
+    return written(last.mapInArrow(_confirmed_leaves, PAIRS).distinct(), "links")
+
+
 def links(rows: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
     """Confirmed links (a, b) between classes that hold their components together."""
-    leaves, stars = grow(classes, seed)
+    leaves, stars, roots = grow(classes, seed)
     slim = classes.select("cls", "n_shingles", "bits")
     alone = _grouped(leaves, slim.withColumn("label", F.col("cls")), "bits")
     # Over all trees, a class keeps its best candidate and its best among pivots and central classes: two pairs at most.
@@ -382,22 +445,23 @@ def links(rows: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
     first = written(first.distinct(), "first")
     # Whoever has a candidate has its best one among the first.
     ends = first.select(F.col("a").alias("cls")).union(first.select("b")).union(stars.select("other")).distinct()
-    needed = written(ends.join(classes.select("cls", "n_shingles", F.col("rep").alias("doc_id")), "cls"), "needed")
-    # The documents needed grow with the corpus, so their texts are fetched by a shuffled join whatever their number.
-    texts = rows.join(needed.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_with_sets, SETS)
-    # Rows that share an id have sets of their own: only those of the classes count.
-    sets = written(texts.join(needed.select("cls", "n_shingles"), "cls").dropDuplicates(["cls"]), "sets")
+    sets = _sets_of(ends, rows, classes)
     linked = written(confirmed(first, sets), "links")
-    label = F.coalesce("label", "cls").alias("label")
-    labels = written(needed.select("cls").join(components(linked).withColumnRenamed("v", "cls"), "cls", "left").select("cls", label), "of")
-    open_members = _grouped(leaves, slim.join(labels, "cls"), "bits").mapInArrow(_open_members, "node bigint, cls bigint")
-    last = _grouped(written(open_members, "open"), sets.join(labels, "cls"), "shingles")
-    in_leaves = written(last.mapInArrow(_confirmed_leaves, PAIRS).distinct(), "links")
+    labels = _labels(sets, linked)
+    in_leaves = _links_of_leaves(_open(leaves, slim, labels), sets, labels)
     # What is open between classes and pivots of larger nodes: at most a pair for every class in such a node.
     ends_apart = stars.select("cls", "other").join(labels, "cls").join(labels.select(F.col("cls").alias("other"), F.col("label").alias("of")), "other")
     open_stars = ends_apart.filter("label != of").select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
     with_pivots = written(confirmed(open_stars.join(first, ["a", "b"], "left_anti"), sets), "links")
-    return linked.union(in_leaves).union(with_pivots)
+    linked = linked.union(in_leaves).union(with_pivots)
+    if roots is None:
+        return linked
+    # What left large nodes, between the components found so far.
+    labels = _labels(classes, linked)
+    open_members = _open(regrow(roots, classes, labels), slim, labels)
+    more = open_members.select("cls").distinct().join(sets.select("cls"), "cls", "left_anti")
+    sets = sets.union(_sets_of(more, rows, classes).select(*sets.columns))
+    return linked.union(_links_of_leaves(open_members, sets, labels))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
