@@ -106,6 +106,13 @@ def test_base_spans_are_those_of_the_patterns():
         assert sorted(pii.base_spans(text)) == sorted(plain_base(text)), text
 
 
+def test_address_parts_of_many_zeros():
+    zeros = "0" * 5000
+    for text, ends in ((f"{zeros}.1.2.3", True), (f"1.2.3.{zeros}", True), (f"{zeros}256.1.2.3", False), (f"1.2.3.{zeros}255", True)):
+        found = [(s, e) for s, e, kind in pii.base_spans(text) if kind == "ip"]
+        assert found == ([(0, len(text))] if ends else [])
+
+
 def test_further_spans_need_checks_and_words():
     def kinds(text):
         return [k for _, _, k in pii.find_spans(text)[1]]

@@ -87,7 +87,7 @@ def base_spans(text: str) -> list[Span]:
     """Base spans that pass their checks."""
     found = emails(text)
     for m in IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m[0].split(".")):
+        if all(len(part) <= 3 and int(part or "0") <= 255 for part in (x.lstrip("0") for x in m[0].split("."))):
             found.append((m.start(), m.end(), "ip"))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(digits := _digits(m[0])) <= 19 and luhn(digits):
