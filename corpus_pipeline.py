@@ -37,11 +37,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays. Rows that share an id stay or go together;
+    """Of each group of near copies the document with the smallest id stays. Rows that share an id stay or go each by its text;
     rows without one stay."""
     ship(spark)
-    dropped = chosen_path.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(written(dropped, "dropped"), "doc_id", "left_anti").select(*docs.columns)
+    dropped = chosen_path.judged_rows(docs).filter("NOT kept").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("doc_id", "text") == F.col("__h"))
+    return docs.join(written(dropped, "dropped"), same, "left_anti").select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

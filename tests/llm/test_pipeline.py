@@ -69,6 +69,13 @@ def test_stages_over_edges(spark, edges, clashing, no_rows, tokenizers_at):
         assert docs.count() == 0
 
 
+def test_a_clean_text_stays_whose_id_has_a_near_copy_too(spark):
+    one, other = " ".join(f"a{k}" for k in range(80)), " ".join(f"b{k}" for k in range(80))
+    rows = [(1, one), (2, one + " ende"), (2, other), (3, one), (None, one)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert rows_of(got) == sorted([(1, one), (2, other), (None, one)], key=repr)
+
+
 def test_mixing_moves_the_shares_to_the_targets(spark):
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(30)), "en", ("a", "b", "c")[min(i % 5, 2)], 0) for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")

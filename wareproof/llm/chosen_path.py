@@ -57,7 +57,7 @@ _FACTORS = np.array([_random.getrandbits(64) | 1 for _ in range(SHINGLE)], dtype
 _FLIPS = np.array([_random.getrandbits(64) for _ in range(TOKENS)], dtype=np.uint64)
 _ODDS = np.array([_random.getrandbits(64) | 1 for _ in range(TOKENS)], dtype=np.uint64)
 
-SIGNED = "doc_id bigint, n_shingles bigint, cls bigint, sketch array<int>, bits binary"
+SIGNED = "doc_id bigint, h bigint, n_shingles bigint, cls bigint, sketch array<int>, bits binary"
 SETS = "cls bigint, shingles binary"
 
 
@@ -125,10 +125,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens[filled] = sketches([sets[i] for i in filled])
         offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * TOKENS)
         yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), pa.array(sizes), pa.array(_digests(sets)),
+            batch.column("doc_id"), batch.column("h"), pa.array(sizes), pa.array(_digests(sets)),
             pa.ListArray.from_arrays(offsets, pa.array(tokens.reshape(-1).view(np.int32))),
             pa.array([row.tobytes() for row in tokens.astype(np.uint8)], pa.binary()),
-        ], ["doc_id", "n_shingles", "cls", "sketch", "bits"])
+        ], ["doc_id", "h", "n_shingles", "cls", "sketch", "bits"])
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -473,7 +473,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     an id are linked by their own texts. A row without an id is linked with nothing, has no component and is kept. Other columns are ignored; an
     empty table gives no rows.
     """
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    return judged_rows(docs, doc_id, text, seed).drop("h")
+
+
+def judged_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
+    """``near_duplicates`` with a hash ``h`` of id and text, which tells rows that share an id apart."""
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.xxhash64(doc_id, text).alias("h"))
     signed = written(rows.mapInArrow(_signed, SIGNED), "signed")
     taking_part = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = written(taking_part.groupBy("cls", "n_shingles").agg(
@@ -486,7 +491,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = signed.drop("sketch", "bits").join(of_class, "cls", "left")
     linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     component = F.when(linked, F.col("smallest")).otherwise(F.col("doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    return placed.select("doc_id", "h", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
 # The same over all pairs of documents that share a shingle, for documents with distinct ids.
