@@ -7,7 +7,20 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wareproof.llm import chosen_path, lang_id, line_runs, mixing, mtree, pii, quality, sampling, simple8b, token_counts
+from wareproof.llm import (
+    chosen_path,
+    lang_id,
+    line_runs,
+    mixing,
+    mtree,
+    pii,
+    quality,
+    sampling,
+    simple8b,
+    token_counts,
+    toxicity,
+    whitening,
+)
 from wareproof.llm.common import ship, table
 from wareproof.session import scratch_path
 
@@ -95,3 +108,13 @@ ORACLES["op5_mtree"] = mtree.SQL
 @query
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.language_id(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
