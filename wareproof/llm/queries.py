@@ -14,6 +14,7 @@ from wareproof.llm import (
     mixing,
     mtree,
     pii,
+    prefix_trie,
     quality,
     sampling,
     simple8b,
@@ -110,6 +111,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.language_id(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_prefix_trie"] = prefix_trie.SQL
+
+
 @query
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
