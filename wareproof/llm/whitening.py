@@ -48,9 +48,12 @@ def _sums(rows: DataFrame, array: str) -> list:
 
 
 def _blocks(rows: DataFrame, array: str, n: int, d: int) -> BlockMatrix:
-    """Rows (row, array) in blocks as wide as a row."""
+    """Rows (row, array) in blocks as wide as a row, written once: a product reads its factors several times."""
     frame = MLUtils.convertVectorColumnsFromML(rows.select("row", array_to_vector(array).alias("v")), "v")
-    return IndexedRowMatrix(frame, n, d).toBlockMatrix(BLOCK_ROWS, d)
+    dealt = IndexedRowMatrix(frame, n, d).toBlockMatrix(BLOCK_ROWS, d)
+    frame = callMLlibFunc("getMatrixBlocks", dealt._java_matrix_wrapper._java_model)
+    stored = written(frame.select(F.col("_1").cast("struct<_1:bigint,_2:bigint>").alias("_1"), "_2"), "blocks")
+    return BlockMatrix(callMLlibFunc("createBlockMatrix", stored, BLOCK_ROWS, d, n, d), BLOCK_ROWS, d)
 
 
 def _product(left: BlockMatrix, right: BlockMatrix, splits: int) -> BlockMatrix:
