@@ -17,11 +17,12 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -171,22 +172,15 @@ def _as_bytes(word: str) -> str:
     return word.encode().decode("latin-1").translate(_BYTE_NAMES)
 
 
-class _Slots(dict):
-    """Numbers for words in the order in which they are first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
-
-
 class WordEncoder:
     """Token ids of words, each distinct word encoded once while it is remembered.
 
     For tokenizers that lower letters and drop white space: no pre-token crosses it, so the ids of a text are those
     of its words in order. A word's last full stop or comma after a plain letter is a pre-token of its own. A word of
     small letters in their usual form is one pre-token as it stands and goes straight to the tokenizer's model, as bytes;
-    other words of letters are encoded many at a time and come apart where tokens end a pre-token; all others take the whole way one by one. At
-    most ``limit`` words, and those of one batch more, are remembered; then the memory starts afresh.
+    other words of letters are encoded many at a time and come apart where tokens end a pre-token; all others take the whole way one by one.
+    Texts are split and their words numbered by Arrow, so that only the distinct words of a batch are looked up. At
+    most ``limit`` words are remembered: before a batch that would pass it, and after one that does alone, the memory starts afresh.
     """
 
     GROUP = 2000
@@ -206,11 +200,12 @@ class WordEncoder:
         self.marks = np.array([m[0] for m in marks], dtype=np.uint32)
         self.forget()
         whole = self._encoded([" ".join(self.PROBE)])[0]
-        if self.ids(self.words_of(" ".join(self.PROBE).encode()))[0].tolist() != whole:
+        if self.text_ids(pa.array([" ".join(self.PROBE)], pa.binary()))[0].tolist() != whole:
             raise ValueError("words of this tokenizer cannot be encoded apart")
+        self.forget()
 
     def forget(self) -> None:
-        self.slots = _Slots()
+        self.slots: dict[bytes, int] = {}
         self.starts = np.zeros(0, dtype=np.int64)
         self.lengths = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.uint32)
@@ -255,21 +250,48 @@ class WordEncoder:
         self.lengths = np.concatenate([self.lengths, own])
         self.flat = np.concatenate([self.flat, ids])
 
-    def words_of(self, text: bytes | None) -> list[bytes]:
-        """The words of a text. Letters are lowered here unless a special token may stand in it, which is told by case."""
-        text = text or b""
-        return text.split() if b"<|" in text else text.lower().split()
-
     def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after the other, and how many each has."""
-        if len(self.slots) > self.limit:
+        coded = pa.array(words, pa.binary()).dictionary_encode()
+        return self._coded_ids(coded.indices.to_numpy(), coded.dictionary.to_pylist())
+
+    def text_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (binary, UTF-8) one after the other, and how many each has; a null text has none.
+
+        Letters are lowered here unless a special token may stand in a text, which is told by case."""
+        own = texts.view(pa.string())
+        lowered, special = pc.ascii_lower(own), pc.fill_null(pc.match_substring(own, "<|"), False)
+        if pc.any(special).as_py():
+            lowered = pc.if_else(special, own, lowered)
+        split = pc.ascii_split_whitespace(lowered)
+        bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy())))
+        coded = split.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy(), coded.dictionary.view(pa.binary()).to_pylist()
+        if b"" in words:  # white space at the ends of a text
+            empty = words.index(b"")
+            filled = codes != empty
+            bounds = np.concatenate(([0], np.cumsum(filled)))[bounds]
+            codes = codes[filled]
+            codes = codes - (codes > empty)
+            words.pop(empty)
+        ids, per_word = self._coded_ids(codes, words)
+        return ids, np.diff(np.concatenate(([0], np.cumsum(per_word)))[bounds])
+
+    def _coded_ids(self, codes: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``ids`` of the words that ``codes`` number in the distinct ``words``."""
+        fresh = [w for w in words if w not in self.slots]
+        if fresh and self.slots and len(self.slots) + len(fresh) > self.limit:
             self.forget()
-        known = len(self.slots)
-        at = np.fromiter(map(self.slots.__getitem__, words), dtype=np.int64, count=len(words))
-        if len(self.slots) > known:
-            self._learn(list(islice(self.slots, known, None)))
+            fresh = words
+        if fresh:
+            self.slots.update(zip(fresh, range(len(self.slots), len(self.slots) + len(fresh)), strict=True))
+            self._learn(fresh)
+        at = np.fromiter(map(self.slots.__getitem__, words), dtype=np.int64, count=len(words))[codes]
         lengths = self.lengths[at]
-        return self.flat[spread_ranges(self.starts[at], lengths)], lengths
+        ids = self.flat[spread_ranges(self.starts[at], lengths)]
+        if len(self.slots) > self.limit:
+            self.forget()
+        return ids, lengths
 
 
 @lru_cache(maxsize=1)
@@ -287,10 +309,7 @@ def _segments(tokenizer: str, end_id: int, segment_bytes: int):
         shard, segment, first = TaskContext.get().partitionId(), 0, 0
         encoder = word_encoder(tokenizer, CACHED_WORDS)
         for batch in parts(batches, "text", segment_bytes):
-            words = [encoder.words_of(text) for text in batch.column("text").to_pylist()]
-            ids, per_word = encoder.ids([w for one in words for w in one])
-            ends = np.concatenate(([0], np.cumsum(per_word)))[np.cumsum([len(w) for w in words])]
-            lengths = np.diff(ends, prepend=0)
+            ids, lengths = encoder.text_ids(batch.column("text"))
             packed, offsets = encode(_with_end(ids, lengths, end_id))
             n = len(ids) + len(lengths)
             yield pa.RecordBatch.from_pydict({
