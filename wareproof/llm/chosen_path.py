@@ -15,7 +15,7 @@ Links are confirmed on the full sets in two rounds, so that a group never lists
 every class, its best candidate in any leaf and its best among the pivots and the most central classes of its leaves. Then
 leaves are compared once more, and pairs with pivots looked through, for candidates between classes that are not connected
 yet; the others cannot change a component. Classes of leaves that have some go to a task of their leaf with their full
-sets, which confirms all of these candidates and returns a forest of the links.
+sets, which confirms all of these candidates and returns a forest of the links. Sets too large to meet are compared in ranges of shingles.
 
 A class that left a large node took its other links of that tree with it. So the large nodes at the roots grow again, nobody
 leaving, as long as they hold more than one component: only candidates between components are missing then. A node whose classes are
@@ -31,6 +31,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,11 @@ CANDIDATE = TOKENS // 2
 #: Sketches that agree in more tokens leave a large node: a pair below the threshold does so once in 60.
 SURE = TOKENS * 84 // 100
 BATCH_BYTES = 4_000_000
+#: Tokens of a place that a summary counts, and parts in the first round that merges summaries.
+COUNTERS = 8
+MERGED_PARTS = 64
+#: Full sets of a leaf are compared together up to so many bytes; those of a larger one are cut into ranges of shingles.
+TILE_BYTES = 32_000_000
 CACHE = 32_768
 STRIP = 4096
 
@@ -262,6 +268,54 @@ def _confirmed_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of every member cut into ``tiles`` ranges of shingles, a row each."""
+    for batch in parts(batches, "shingles", BATCH_BYTES):
+        for row in batch.to_pylist():
+            shingles = np.frombuffer(row["shingles"], dtype=np.uint64)
+            edges = [(k << 64) // row["tiles"] for k in range(1, row["tiles"])]
+            cuts = np.split(shingles, np.searchsorted(shingles, np.array(edges, dtype=np.uint64)))
+            same = {c: [row[c]] * len(cuts) for c in ("node", "cls", "n_shingles", "label")}
+            yield pa.RecordBatch.from_pydict({
+                **{c: pa.array(v, pa.int64()) for c, v in same.items()}, "tile": pa.array(range(len(cuts)), pa.int64()),
+                "shingles": pa.array([c.tobytes() for c in cuts], pa.binary())})
+
+
+def _tile_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a tile its members share, as a matrix in the order of classes."""
+    for batch in batches:
+        for node, cls, n, label, blobs in _members(batch, "shingles"):
+            order = np.argsort(cls)
+            common = _common([np.frombuffer(blobs[i].as_buffer(), dtype=np.uint64) for i in order.tolist()])
+            yield pa.RecordBatch.from_pydict({
+                "node": pa.array([node], pa.int64()), **{c: pa.array([v[order]], pa.list_(pa.int64())) for c, v in (("cls", cls), ("n", n), ("label", label))},
+                "common": pa.array([common.astype("<i4").tobytes()], pa.binary())})
+
+
+def _summed_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of the links of every node from the sum of its tiles, which come one after the other."""
+    last, total, facts = None, None, None
+
+    def links() -> pa.RecordBatch:
+        cls, n, label = (np.array(f, dtype=np.int64) for f in facts)
+        i, j = np.nonzero(np.triu((100 * total >= PERCENT * (n[:, None] + n[None, :] - total)) & (label[:, None] != label[None, :])))
+        keep = _forest(i, j, label)
+        pairs = np.sort(np.stack([cls[i[keep]], cls[j[keep]]], axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            node, common = batch.column("node")[k].as_py(), np.frombuffer(batch.column("common")[k].as_buffer(), dtype="<i4").astype(np.int64)
+            if node != last:
+                if total is not None:
+                    yield links()
+                last, facts = node, [batch.column(c)[k].as_py() for c in ("cls", "n", "label")]
+                total = np.zeros((len(facts[0]),) * 2, dtype=np.int64)
+            total += common.reshape(total.shape)
+    if total is not None:
+        yield links()
+
+
 def _with_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own, pivot = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, TOKENS) for c in ("bits", "p_bits"))
@@ -292,34 +346,75 @@ def _children() -> Column:
     return F.when(has_two, F.array_distinct(F.array(child(0), child(1)))).otherwise(F.array(child(0)))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of a batch by node and place, counted."""
+def _reduced(of: np.ndarray, place: np.ndarray, token: np.ndarray, n: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per group and place the ``COUNTERS`` most common tokens and their counts, less the count of the next: the summary of Misra and
+    Gries. Summaries merge by adding and reducing again; counts are too low by a ninth of the rows at most, so a token of more than that share stays."""
+    keys, at = np.unique((of * TOKENS + place) * 256 + token, return_inverse=True)
+    sums = np.bincount(at, weights=n).astype(np.int64)
+    cell = keys // 256
+    order = np.lexsort((-sums, cell))
+    cell, sums, keys = cell[order], sums[order], keys[order]
+    rank = np.arange(len(cell)) - np.searchsorted(cell, cell)
+    tokens = np.zeros((groups * TOKENS, COUNTERS), dtype=np.uint8)
+    counts = np.zeros((groups * TOKENS, COUNTERS), dtype=np.int64)
+    over = np.zeros(groups * TOKENS, dtype=np.int64)
+    over[cell[rank == COUNTERS]] = sums[rank == COUNTERS]
+    kept = rank < COUNTERS
+    tokens[cell[kept], rank[kept]] = keys[kept] % 256
+    counts[cell[kept], rank[kept]] = sums[kept] - over[cell[kept]]
+    return tokens.reshape(groups, TOKENS, COUNTERS), counts.reshape(groups, TOKENS, COUNTERS)
+
+
+def _summarized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A summary of the common tokens for every node of a batch: one row each."""
+    part = TaskContext.get().partitionId()
     for batch in batches:
         nodes, of = np.unique(batch.column("node").to_numpy(), return_inverse=True)
         bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), dtype=np.uint8).reshape(-1, TOKENS)
-        keys, n = np.unique((of[:, None] * TOKENS + np.arange(TOKENS)) * 256 + bits, return_counts=True)
-        place, token = np.divmod(keys, 256)
-        of, j = np.divmod(place, TOKENS)
+        place = np.tile(np.arange(TOKENS), len(bits))
+        tokens, counts = _reduced(np.repeat(of, TOKENS), place, bits.reshape(-1).astype(np.int64), np.ones(bits.size), len(nodes))
+        yield pa.RecordBatch.from_arrays([
+            pa.array(nodes), pa.array(np.full(len(nodes), part, dtype=np.int32)), pa.array([t.tobytes() for t in tokens], pa.binary()),
+            pa.array([c.tobytes() for c in counts], pa.binary())], ["node", "part", "tokens", "counts"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One summary of those of a row."""
+    for batch in batches:
+        tokens, counts = [], []
+        for found in batch.column("all").to_pylist():
+            own = np.frombuffer(b"".join(f["tokens"] for f in found), dtype=np.uint8).reshape(-1, TOKENS, COUNTERS)
+            n = np.frombuffer(b"".join(f["counts"] for f in found), dtype=np.int64).reshape(own.shape)
+            at = np.nonzero(n)
+            t, c = _reduced(np.zeros(len(at[0]), dtype=np.int64), at[1], own[at].astype(np.int64), n[at], 1)
+            tokens.append(t.tobytes())
+            counts.append(c.tobytes())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes[of]), pa.array(j, pa.int32()), pa.array(token, pa.int32()), pa.array(n, pa.int64())], ["node", "j", "token", "n"]
-        )
+            [batch.column("node"), batch.column("part"), pa.array(tokens, pa.binary()), pa.array(counts, pa.binary())], ["node", "part", "tokens", "counts"])
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many places a class has its node's most common token."""
     for batch in batches:
         bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), dtype=np.uint8).reshape(-1, TOKENS)
-        common = batch.column("common").flatten().to_numpy().reshape(-1, TOKENS)
+        common = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), dtype=np.uint8).reshape(-1, TOKENS, COUNTERS)[:, :, 0]
         yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("cls"), pa.array((bits == common).sum(axis=1))], ["node", "cls", "agree"])
 
 
+SUMMARY = "node bigint, part int, tokens binary, counts binary"
+
+
 def _central(big: DataFrame) -> DataFrame:
-    """(node, pivot): of each node the class with the most common tokens; on ties a hash decides."""
+    """(node, pivot): of each node the class with the most common tokens; on ties a hash decides.
+
+    Tokens are summarized per batch, and summaries merged in two rounds, so that no task reads those of all batches of a large node at
+    their full number."""
     slim = big.select("node", "cls", "bits")
-    tokens = slim.mapInArrow(_counted, "node bigint, j int, token int, n bigint").groupBy("node", "j", "token").agg(F.sum("n").alias("n"))
-    most = tokens.groupBy("node", "j").agg(F.max(F.struct("n", "token")).alias("m"))
-    common = most.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", F.col("m.token").alias("t")))), lambda x: x["t"]).alias("common"))
-    scored = slim.join(written(common, "common"), "node").mapInArrow(_scored, "node bigint, cls bigint, agree bigint")
+    common = written(slim.mapInArrow(_summarized, SUMMARY), "summaries")
+    for part in (F.col("part") % MERGED_PARTS, F.lit(0)):
+        lists = common.groupBy("node", part.cast("int").alias("part")).agg(F.collect_list(F.struct("tokens", "counts")).alias("all"))
+        common = lists.mapInArrow(_merged, SUMMARY)
+    scored = slim.join(written(common.select("node", "tokens"), "common"), "node").mapInArrow(_scored, "node bigint, cls bigint, agree bigint")
     return scored.groupBy("node").agg(F.max(F.struct("agree", F.xxhash64("node", "cls"), "cls")).alias("p")).select("node", F.col("p.cls").alias("pivot"))
 
 
@@ -429,9 +524,24 @@ def _open(leaves: DataFrame, slim: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _links_of_leaves(open_members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): a forest of the links between open members."""
-    last = _grouped(open_members, sets.join(labels, "cls"), "shingles")
-    return written(last.mapInArrow(_confirmed_leaves, PAIRS).distinct(), "links")
+    """(a, b): a forest of the links between open members.
+
+    The sets of a leaf meet in one row while they are ``TILE_BYTES`` together. Sets of a larger leaf are cut into ranges of shingles; what members share
+    is counted per range and the counts are added, a leaf after the other, so that no row holds more than a tile or a matrix of counts."""
+    facts = sets.join(labels, "cls")
+    sizes = open_members.join(facts.select("cls", "n_shingles"), "cls").groupBy("node").agg(F.sum("n_shingles").alias("size"))
+    sizes = written(sizes.select("node", F.ceil(8 * F.col("size") / TILE_BYTES).alias("tiles")), "tiles")
+    small = _grouped(open_members.join(sizes.filter("tiles <= 1"), "node").select("node", "cls"), facts, "shingles").mapInArrow(_confirmed_leaves, PAIRS)
+    large = sizes.filter("tiles > 1")
+    if large.isEmpty():
+        return written(small.distinct(), "links")
+    schema = "node bigint, cls bigint, n_shingles bigint, label bigint, tile bigint, shingles binary"
+    cut = open_members.join(large, "node").join(facts, "cls").select("node", "tiles", "cls", "n_shingles", "label", "shingles").mapInArrow(_tiles, schema)
+    tiles = cut.groupBy("node", "tile").agg(F.collect_list(F.struct("cls", "n_shingles", "label", "shingles")).alias("members"))
+    schema = "node bigint, cls array<bigint>, n array<bigint>, label array<bigint>, common binary"
+    counts = tiles.select("node", "members").mapInArrow(_tile_counts, schema)
+    summed = counts.repartition("node").sortWithinPartitions("node").mapInArrow(_summed_tiles, PAIRS)
+    return written(small.union(summed).distinct(), "links")
 
 
 def links(rows: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
