@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_rows import rows_of, words
 from pyspark.sql import functions as F
@@ -154,6 +155,64 @@ def test_chains_that_hang_from_one_member_of_a_large_group(spark, monkeypatch, l
     assert [r.doc_id for r in got.filter("component_id != 0").collect()] == []
 
 
+def test_sets_that_are_too_large_to_meet_are_compared_in_tiles(spark, monkeypatch):
+    """Long texts that are candidates of each other and mostly no links: all stay open up to the full sets."""
+    draw, base = np.random.default_rng(2), words(3000, 5, "lang").split()
+    rows = []
+    for i in range(80):
+        rest = draw.permutation(3000).tolist()
+        rows.append((i, " ".join(edited(rest, base, 60 if i % 8 == 0 else 170, f"m{i}"))))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = plain_components(rows)
+    assert Counter(tuple(r) for r in chosen_path.near_duplicates(df).collect()) == want
+    sizes, grouped = [], chosen_path._tile_counts
+
+    def watched(batches):
+        for batch in batches:
+            for _, _, _, _, blobs in chosen_path._members(batch, "shingles"):
+                assert sum(len(b.as_py()) for b in blobs) < 3 * 200_000
+            yield from grouped(iter([batch]))
+
+    monkeypatch.setattr(chosen_path, "TILE_BYTES", 200_000)
+    monkeypatch.setattr(chosen_path, "_tile_counts", watched)
+    split = chosen_path._links_of_leaves
+    monkeypatch.setattr(chosen_path, "_links_of_leaves", lambda *a: sizes.append(1) or split(*a))
+    assert Counter(tuple(r) for r in chosen_path.near_duplicates(df).collect()) == want
+    assert sizes
+
+
+def test_tiles_add_up_to_whole_sets():
+    draw = np.random.default_rng(4)
+    sets = [np.unique(draw.integers(0, 1 << 63, size=n, dtype=np.uint64) * np.uint64(2)) for n in (0, 1, 40, 300)]
+    sets = [np.unique(np.concatenate([s, sets[3][::3]])) for s in sets]
+    rows = pa.RecordBatch.from_pydict({
+        "node": pa.array([1] * 4, pa.int64()), "tiles": pa.array([5] * 4, pa.int64()), "cls": pa.array(range(4), pa.int64()),
+        "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "label": pa.array(range(4), pa.int64()),
+        "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+    cut = pa.Table.from_batches(list(chosen_path._tiles(iter([rows])))).to_pylist()
+    for c, s in enumerate(sets):
+        own = [np.frombuffer(r["shingles"], dtype=np.uint64) for r in cut if r["cls"] == c]
+        assert len(own) == 5 and np.concatenate(own).tolist() == s.tolist()
+
+
+def test_summaries_keep_the_most_common_tokens():
+    draw = np.random.default_rng(6)
+    bits = draw.integers(0, 256, size=(900, chosen_path.TOKENS))
+    bits[:300] = bits[0]  # a third are copies
+    place = np.tile(np.arange(chosen_path.TOKENS), 100)
+    tokens, counts = [], []
+    for k in range(9):  # merged from nine batches
+        own = draw.permutation(900)[:100] if k < 0 else np.arange(k, 900, 9)
+        t, c = chosen_path._reduced(np.zeros(6400, dtype=np.int64), place, bits[own].reshape(-1), np.ones(6400), 1)
+        tokens.append(t[0])
+        counts.append(c[0])
+    t, n = np.stack(tokens), np.stack(counts)
+    at = np.nonzero(n)
+    merged, left = chosen_path._reduced(np.zeros(len(at[0]), dtype=np.int64), at[1], t[at].astype(np.int64), n[at], 1)
+    assert merged[0, :, 0].tolist() == bits[0].tolist()
+    assert (left[0, :, 0] <= 310).all() and (left[0, :, 0] >= 300 - 900 // 9).all()
+
+
 def test_near_duplicate_edges(edges, clashing, no_rows):
     got = rows_of(chosen_path.near_duplicates(edges))
     by_id = {r[0]: r for r in got}
