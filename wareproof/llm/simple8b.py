@@ -168,8 +168,14 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_NAMES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
-def _as_bytes(word: str) -> str:
-    return word.encode().decode("latin-1").translate(_BYTE_NAMES)
+def _as_bytes(words: list[str]) -> list[str]:
+    beyond = [i for i, w in enumerate(words) if not w.isascii()]
+    if beyond:
+        named = "\n".join([words[i] for i in beyond]).encode().decode("latin-1").translate(_BYTE_NAMES)
+        words = list(words)
+        for i, w in zip(beyond, named.split(chr(_BYTE_NAMES[ord("\n")])), strict=True):
+            words[i] = w
+    return words
 
 
 class WordEncoder:
@@ -177,8 +183,8 @@ class WordEncoder:
 
     For tokenizers that lower letters and drop white space: no pre-token crosses it, so the ids of a text are those
     of its words in order. A word's last full stop or comma after a plain letter is a pre-token of its own. A word of
-    small letters in their usual form is one pre-token as it stands and goes straight to the tokenizer's model, as bytes;
-    other words of letters are encoded many at a time and come apart where tokens end a pre-token; all others take the whole way one by one.
+    small letters in their usual form is one pre-token as it stands and goes straight to the tokenizer's model, as bytes. These, and
+    other words of letters, are encoded many at a time and come apart where tokens end a pre-token; all others take the whole way one by one.
     Texts are split and their words numbered by Arrow, so that only the distinct words of a batch are looked up. At
     most ``limit`` words are remembered: before a batch that would pass it, and after one that does alone, the memory starts afresh.
     """
@@ -188,9 +194,11 @@ class WordEncoder:
 
     def __init__(self, path: str, limit: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
@@ -219,20 +227,28 @@ class WordEncoder:
         for t in stems:
             kind = others if not t.isalpha() else plain if t.islower() and is_normalized("NFC", t) else letters
             kind.append(t)
-        tokenize = self.tokenizer.model.tokenize
-        ids = [[token.id for token in tokenize(t if t.isascii() else _as_bytes(t))] for t in plain]
-        for at in range(0, len(letters), self.GROUP):
-            group = letters[at:at + self.GROUP]
-            joined = self._encoded([" ".join(group)])[0]
-            ends = (np.flatnonzero(self.ends[joined]) + 1).tolist()
+        found = [self._grouped(self.bare, _as_bytes(plain)), self._grouped(self.tokenizer, letters), self._listed(self._encoded(others))]
+        flat, lengths = (np.concatenate(x) for x in zip(*found, strict=True))
+        return flat, lengths, dict(zip(chain(plain, letters, others), range(len(lengths)), strict=True))
+
+    def _listed(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths.sum())), lengths
+
+    def _grouped(self, tokenizer, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of stems that are a pre-token each, encoded many at a time."""
+        flat, lengths = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
+        for at in range(0, len(stems), self.GROUP):
+            group = stems[at:at + self.GROUP]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(group):
-                ids += [joined[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+                own = np.diff(ends, prepend=0)
             else:  # lowering turned a letter into more than letters
-                ids += self._encoded(group)
-        ids += self._encoded(others)
-        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths.sum()))
-        return flat, lengths, dict(zip(chain(plain, letters, others), range(len(ids)), strict=True))
+                ids, own = self._listed([e.ids for e in tokenizer.encode_batch_fast(group, add_special_tokens=False)])
+            flat.append(ids)
+            lengths.append(own)
+        return np.concatenate(flat), np.concatenate(lengths)
 
     def _learn(self, words: list[bytes]) -> None:
         texts = b"\n".join(words).decode("utf-8", "replace").split("\n")
@@ -266,7 +282,7 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(lowered)
         bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy())))
         coded = split.flatten().dictionary_encode()
-        codes, words = coded.indices.to_numpy(), coded.dictionary.view(pa.binary()).to_pylist()
+        codes, words = coded.indices.to_numpy(), coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         if b"" in words:  # white space at the ends of a text
             empty = words.index(b"")
             filled = codes != empty
