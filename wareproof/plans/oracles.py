@@ -424,7 +424,8 @@ O["jsonl_rebuild"] = (
     f"WITH {ITEM}, {IMAGES}, sm AS (SELECT id, count(*) AS n, count(CASE WHEN px < 800 THEN 1 END) AS s FROM img GROUP BY id), "
     "l AS (SELECT cast(l_partkey as string) AS id, count(*) AS n FROM lineitem GROUP BY ALL) "
     "SELECT tenant, item.id AS product_id, title, vendor, coalesce(l.n, 0) AS n_variants, coalesce(sm.n, 0) AS n_media, coalesce(sm.s, 0) AS n_small_images, "
-    "CASE WHEN tags_text = '' THEN 0 ELSE len(string_split(tags_text, ' ')) END AS n_tags, false AS any_tracked "
+    "CASE WHEN tags_text = '' THEN 0 ELSE len(string_split(tags_text, ' ')) END AS n_tags, false AS any_tracked, "
+    "row_number() OVER (PARTITION BY tenant ORDER BY CASE WHEN pos % 4 = 0 THEN 0 ELSE 1 END, CASE WHEN pos % 4 = 0 THEN -pos ELSE pos END) AS place "
     "FROM item LEFT JOIN sm ON sm.id = item.id LEFT JOIN l ON l.id = item.id"
 )
 O["scan_limit"] = (

@@ -13,6 +13,7 @@ from wareproof.operators import (
 from wareproof.operators import profile as prof
 from wareproof.operators.item_checks import Limits
 from wareproof.operators.rows import exploded_rows
+from wareproof.operators.skew import ranked
 from wareproof.plans import bindings as b
 from wareproof.plans.scan import Context, catalog_findings, row_findings, scan
 from wareproof.schema import ATTRIBUTE_RULE
@@ -263,11 +264,12 @@ def _(spark, sf_dir):
 
 @query("jsonl_rebuild")
 def _(spark, sf_dir):
-    """Items and variants written as an export and read back."""
+    """Items and variants written as an export of several files and read back. A quarter of the items stands in an earlier file
+    too, in an older version and in reverse order: the later line counts, at the place of the first."""
     items = b.part_records(spark, sf_dir)
     parents = items.select(
         "tenant", "id", "title", "handle", C("total_inventory").alias("totalInventory"), "vendor", "tags",
-        F.struct(C("variants_count").alias("count")).alias("variantsCount"),
+        F.struct(C("variants_count").alias("count")).alias("variantsCount"), "pos",
     )
     children = b.offers(spark, sf_dir).select(
         "tenant", "id", C("product_id").alias("__parentId"), F.lit("ProductVariant").alias("__typename"), "title", "sku",
@@ -277,14 +279,16 @@ def _(spark, sf_dir):
         "tenant", F.concat_ws("-", "__parentId", "_m.id").alias("id"), "__parentId", F.lit("MediaImage").alias("__typename"),
         F.struct(C("_m.width").alias("width"), C("_m.height").alias("height")).alias("image"),
     )
+    older = parents.filter("pos % 4 = 0").withColumns({"title": F.concat(F.lit("old "), "title"), "vendor": F.lit("nobody")})
     path = scratch_path(spark, "export")
-    lines = children.unionByName(parents, allowMissingColumns=True).unionByName(media, allowMissingColumns=True)
-    lines.write.json(path)
-    rebuilt = export.read_export(spark, path)
-    return rebuilt.items.select(
-        "tenant", C("id").alias("product_id"), "title", "vendor", "n_variants", "n_media", "n_small_images",
-        F.size("tags").alias("n_tags"), "any_tracked",
-    )
+    older.orderBy(C("pos").desc()).drop("pos").write.json(f"{path}/1")
+    children.unionByName(media, allowMissingColumns=True).write.json(f"{path}/2")
+    parents.orderBy("pos").drop("pos").write.json(f"{path}/3")
+    rebuilt = export.read_export(spark, f"{path}/*")
+    placed = store.materialize(rebuilt.items.select(
+        "tenant", "pos", "id", "title", "vendor", "n_variants", "n_media", "n_small_images", F.size("tags").alias("n_tags"), "any_tracked",
+    ), "rebuilt")
+    return ranked(placed, ["tenant"], ["pos", "id"], "place").drop("pos").withColumnRenamed("id", "product_id")
 
 
 @query("scan_limit")

@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wareproof.schema import EXPORT_LINE
+from wareproof.sources.lines import read_json_lines
 from wareproof.sources.records import Catalog, from_tables
 
 C = F.col
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Typed lines with their place in the file order; blank and damaged lines are dropped."""
-    lines = spark.read.schema(EXPORT_LINE).json(path)
-    placed = lines.withColumn("line", F.monotonically_increasing_id())
+    """Typed lines with their place in the order of files and lines; blank and damaged lines are dropped."""
+    placed = read_json_lines(spark, path, EXPORT_LINE, "line")
     return placed.filter(C("id").isNotNull()).withColumn("tenant", F.coalesce("tenant", F.lit("")))
 
 
@@ -101,7 +101,7 @@ def child_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def read_export(spark: SparkSession, path: str) -> Catalog:
-    """Feature tables from an export file."""
+    """Feature tables from an export in one file or several; a later file goes on where the one before ends."""
     lines = read_lines(spark, path)
     variants, media, memberships = child_tables(lines)
     return from_tables(item_lines(lines), variants.withColumnRenamed("line", "variant_pos"), media, memberships)

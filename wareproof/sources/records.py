@@ -19,6 +19,7 @@ from wareproof.functions.text import blank_if_null
 from wareproof.operators.rows import median_of_bounds, with_median_bounds
 from wareproof.operators.skew import attach_groups
 from wareproof.schema import RECORD, VARIANT_FIELDS
+from wareproof.sources.lines import read_json_lines
 
 ITEM_BASE = [
     "tenant", "pos", "id", "title", "handle", "status", "created_at", "updated_at", "published_at",
@@ -48,8 +49,10 @@ class Catalog:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """JSON records with the fixed schema; damaged lines come back as null rows, never as failures."""
-    return spark.read.schema(RECORD).json(path)
+    """JSON records with the fixed schema; damaged lines come back as null rows, never as failures. A record
+    without a ``pos`` takes the place of its line in the order of files and lines."""
+    records = read_json_lines(spark, path, RECORD, "_line")
+    return records.withColumn("pos", F.coalesce("pos", "_line")).drop("_line")
 
 
 # ---- normalizing ---------------------------------------------------------------------------------
@@ -110,7 +113,7 @@ def meta_map(metafields: Column) -> Column:
 def normalize_records(records: DataFrame) -> DataFrame:
     """Nested records with the fixed schema, defaults filled and money typed.
 
-    Without a ``pos`` the file order stands in for the catalog order.
+    Without a ``pos`` the order of the rows stands in for the catalog order.
     """
     df = with_missing_columns(records, RECORD, records.sparkSession)
     return df.select(
