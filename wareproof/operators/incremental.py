@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from wareproof.functions.text import blank_if_null, js_trim
 from wareproof.operators.registry import CATALOG_RULES, RULE_IDS
+from wareproof.operators.rolling import State, moved, signed
 from wareproof.operators.summary import apply_ignores, known_findings
 from wareproof.operators.validate import pattern_error
 from wareproof.plans.scan import Context, row_findings, stored
+from wareproof.sources.buckets import ItemTables
 from wareproof.sources.reads import by_ids, new_ids
 from wareproof.sources.records import Catalog
 
@@ -71,7 +73,7 @@ def splice(
 
 
 def recheck(
-    catalog: Catalog,
+    catalog: Catalog | ItemTables,
     ids: DataFrame,
     findings: DataFrame,
     covered: DataFrame,
@@ -82,7 +84,7 @@ def recheck(
     folder: str | None = None,
 ) -> Recheck:
     """Re-run the row checks on the given items and splice the outcome into the stored findings. With ``folder``
-    the features of the given items are written there once for all checks."""
+    the features of the given items are written there once for all checks; of a catalog in buckets only theirs are read."""
     part = by_ids(catalog, ids)
     if folder is not None:
         part = stored(part, folder)
@@ -99,14 +101,26 @@ def recheck(
     return Recheck(out, now_covered, changes, fresh)
 
 
-def adjusted_totals(totals: DataFrame, changes: DataFrame) -> DataFrame:
-    """(tenant, total) moved by the added and deleted items."""
-    delta = changes.groupBy("tenant").agg(
-        F.sum(F.when(C("change") == "added", 1).otherwise(-1)).alias("_d")
-    )
-    return totals.join(delta, "tenant", "left").select(
-        "tenant", F.greatest(F.lit(0), C("total") + F.coalesce("_d", F.lit(0))).cast("bigint").alias("total")
-    )
+def refreshed(
+    tables: ItemTables, ids: DataFrame, covered: DataFrame, ctx: Context, state: State, rules: Sequence[str] = RULE_IDS,
+    ignores: DataFrame | None = None, acted_on: str | None = None, folder: str | None = None,
+) -> tuple[Recheck, State]:
+    """``recheck`` of tables in buckets, with the sums moved along: the outcome for the given items alone, and the state after it.
+
+    ``tables`` hold the findings under ``findings`` and may hold the sums by item under ``item_sums``: of both, as of the features, only the buckets of the
+    given items are read, and the sums by item that come back are those of these buckets. The other findings stay as they are."""
+    numbers = tables.numbers(ids)
+    here = tables.read("findings", numbers)
+    if "item_sums" in tables.schemas:
+        state = State(tables.read("item_sums", numbers), state.rules, state.tenants)
+    out = recheck(tables, ids, here, covered, ctx, rules, ignores, acted_on, folder)
+    if folder is not None:
+        out.findings.write.mode("overwrite").parquet(f"{folder}/spliced")
+        spliced = out.findings.sparkSession.read.schema(out.findings.schema).parquet(f"{folder}/spliced")
+        out = Recheck(spliced, out.covered, out.changes, out.fresh)
+    touched = ids.select(*KEY).distinct()
+    before, after = (known_findings(f).join(touched, KEY, "left_semi") for f in (here, out.findings))
+    return out, moved(state, signed(before, after), out.changes)
 
 
 def scan_new(

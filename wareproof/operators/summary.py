@@ -75,14 +75,19 @@ def quality_score(findings: DataFrame, totals: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_dirty"),
         F.sum("_n").alias("open"),
     )
+    return score_of(totals.join(per_tenant, "tenant", "left").withColumnsRenamed({"_lost": "lost", "_dirty": "dirty"}))
+
+
+def score_of(sums: DataFrame) -> DataFrame:
+    """(tenant, total, score, clean, open) from sums per tenant: total, lost (half points), dirty and open."""
     total = F.col("total").cast("bigint")
-    lost = F.coalesce(F.col("_lost"), F.lit(0))
+    lost = F.coalesce(F.col("lost"), F.lit(0))
     # round(100 - lost / 2 / total * 10) with halves rounded up, in integers
     score = F.when(total > 0, F.greatest(F.lit(0).cast("bigint"), _round_up_half(total * 100 - lost * 5, total)))
-    return totals.join(per_tenant, "tenant", "left").select(
+    return sums.select(
         "tenant", total.alias("total"),
         F.coalesce(score, F.lit(100).cast("bigint")).alias("score"),
-        F.greatest(F.lit(0).cast("bigint"), total - F.coalesce("_dirty", F.lit(0))).alias("clean"),
+        F.greatest(F.lit(0).cast("bigint"), total - F.coalesce("dirty", F.lit(0))).alias("clean"),
         F.coalesce("open", F.lit(0)).cast("bigint").alias("open"),
     )
 

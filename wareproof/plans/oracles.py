@@ -540,6 +540,27 @@ O["recheck_merge"] = (
     f"WITH {STORED} SELECT product_id, rule_id, detail FROM stored WHERE product_id NOT IN (SELECT id FROM asked) OR (rule_id = 'vendor_casing' AND NOT starts_with(product_id, 'x')) "
     "UNION ALL SELECT product_id, rule_id, detail FROM f WHERE product_id IN (SELECT id FROM asked)"
 )
+PTS = ", ".join(f"('{r}', { {'high': 6, 'medium': 3, 'low': 1}[META[r]['severity']]})" for r in RULE_IDS)
+AFTER = (
+    f"{STORED}, after AS (SELECT tenant, product_id, rule_id FROM stored WHERE product_id NOT IN (SELECT id FROM asked) OR (rule_id = 'vendor_casing' AND NOT starts_with(product_id, 'x')) "
+    "UNION ALL SELECT tenant, product_id, rule_id FROM f WHERE product_id IN (SELECT id FROM asked)), "
+    "now AS (SELECT tenant, id FROM covered WHERE NOT (starts_with(id, 'x') AND id IN (SELECT id FROM asked)) "
+    "UNION SELECT tenant, id FROM asked WHERE NOT starts_with(id, 'x'))"
+)
+O["recheck_summary"] = (
+    f"WITH {AFTER}, w(rule_id, pts) AS (VALUES {PTS}), p AS (SELECT tenant, product_id, least(20, sum(pts)) AS lost, count(*) AS n FROM after JOIN w USING (rule_id) GROUP BY ALL), "
+    "t AS (SELECT tenant, count(*) AS total FROM now GROUP BY tenant), a AS (SELECT tenant, sum(lost) AS lost, count(*) AS dirty, sum(n) AS open FROM p GROUP BY tenant) "
+    "SELECT tenant, total, cast(greatest(0, floor(100 - lost * 5.0 / total + 0.5)) as bigint) AS score, total - dirty AS clean, cast(open as bigint) AS open FROM t JOIN a USING (tenant)"
+)
+COUNTS = (
+    "x AS (SELECT tenant, rule_id, count(*) AS n FROM stored GROUP BY ALL), y AS (SELECT tenant, rule_id, count(*) AS n FROM after GROUP BY ALL) "
+    "SELECT tenant, rule_id, coalesce(x.n, 0) AS before, coalesce(y.n, 0) AS after FROM x FULL JOIN y USING (tenant, rule_id)"
+)
+O["recheck_rule_counts"] = f"WITH {AFTER}, {COUNTS}"
+O["refresh_check_counts"] = (
+    "WITH " + AFTER.replace(STORED, STORED + ", listed AS (SELECT tenant, product_id AS id FROM stored WHERE rule_id = 'few_images')").replace("FROM asked", "FROM listed") + f", {COUNTS}"
+    + " WHERE rule_id = 'few_images'"
+)
 O["added_deleted"] = (
     f"WITH {STORED} SELECT tenant, id AS product_id, CASE WHEN starts_with(id, 'x') THEN 'deleted' ELSE 'added' END AS change FROM asked "
     "WHERE (starts_with(id, 'x') AND id IN (SELECT id FROM covered)) OR (NOT starts_with(id, 'x') AND id NOT IN (SELECT id FROM covered))"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wareproof.operators import (
-    fixes, generic, history, incremental, registry, spelling, summary, validate,
+    fixes, generic, history, incremental, registry, rolling, spelling, summary, validate,
 )
 from wareproof.operators import profile as prof
 from wareproof.operators.item_checks import Limits
@@ -19,6 +19,7 @@ from wareproof.plans.scan import Context, catalog_findings, row_findings, scan
 from wareproof.schema import ATTRIBUTE_RULE
 from wareproof.session import configure, scratch_path
 from wareproof.sources import export, reads, store
+from wareproof.sources.buckets import ItemTables
 from wareproof.streaming import changes as ch
 
 C = F.col
@@ -450,16 +451,30 @@ def _(spark, sf_dir):
 
 # ---- incremental ---------------------------------------------------------------------------------
 
-def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _tables(spark: SparkSession, sf_dir: str) -> ItemTables:
+    """The features of the parts, written once in buckets of items."""
+    return ItemTables(spark, scratch_path(spark, "tables"), 16).store(catalog(spark, sf_dir, "part"))
+
+
+def _stored(spark: SparkSession, sf_dir: str, tables: ItemTables | None = None) -> tuple[DataFrame, DataFrame]:
     """Findings and covered ids of an older scan: one item in ten was not there yet, and two items
     that are gone by now were."""
-    base = base_findings(spark, sf_dir).filter("pos % 10 <> 0").withColumn("detail", F.concat(F.lit("old "), F.coalesce("detail", F.lit(""))))
-    twin = catalog_findings(catalog(spark, sf_dir, "part"), context(spark), ["vendor_casing"]).filter("pos % 10 <> 0")
+    part = catalog(spark, sf_dir, "part") if tables is None else tables.catalog()
+    base = row_findings(part, context(spark), BASE_RULES).filter("pos % 10 <> 0").withColumn("detail", F.concat(F.lit("old "), F.coalesce("detail", F.lit(""))))
+    twin = catalog_findings(part, context(spark), ["vendor_casing"]).filter("pos % 10 <> 0")
     gone = base.filter("rule_id = 'few_images'").withColumn("product_id", F.concat(F.lit("x"), "product_id"))
-    covered = catalog(spark, sf_dir, "part").items.filter("pos % 10 <> 0").select("tenant", C("id").alias("product_id"))
+    covered = part.items.filter("pos % 10 <> 0").select("tenant", C("id").alias("product_id"))
     return base.unionByName(twin).unionByName(gone), covered.unionByName(gone.select("tenant", "product_id"))
 
 
+def _stored_tables(spark: SparkSession, sf_dir: str) -> tuple[ItemTables, DataFrame]:
+    """``_stored`` with the findings, written in the same buckets, and the covered ids."""
+    tables = _tables(spark, sf_dir)
+    findings, covered = _stored(spark, sf_dir, tables)
+    tables.write("findings", findings)
+    return tables, store.materialize(covered, "covered")
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids to recheck: everything of one brand, new or known, and everything that is gone."""
     p = b.table(spark, sf_dir, "part").filter("p_brand = 'Brand#7' or p_partkey % 41 = 0").selectExpr(
@@ -470,14 +485,44 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("recheck_merge")
 def _(spark, sf_dir):
-    findings, covered = _stored(spark, sf_dir)
+    tables, covered = _stored_tables(spark, sf_dir)
     r = incremental.recheck(
-        catalog(spark, sf_dir, "part"), _asked(spark, sf_dir), findings, covered, context(spark), BASE_RULES,
+        tables, store.materialize(_asked(spark, sf_dir), "asked"), tables.read("findings"), covered, context(spark), BASE_RULES,
         folder=scratch_path(spark, "touched"),
     )
     return shown(r.findings, "rule_id", "detail")
 
 
+def _refreshed(spark: SparkSession, sf_dir: str, asked: DataFrame, acted_on: str | None = None) -> tuple[rolling.State, rolling.State]:
+    """The sums before and after a recheck that reads only the buckets of the items asked for."""
+    tables, covered = _stored_tables(spark, sf_dir)
+    held = covered.groupBy("tenant").agg(F.count(F.lit(1)).alias("total"))
+    before = rolling.state_of(tables.read("findings"), held)
+    tables.write("item_sums", before.items)
+    before = rolling.State(before.items, store.materialize(before.rules, "rules"), store.materialize(before.tenants, "tenants"))
+    _, after = incremental.refreshed(
+        tables, store.materialize(asked, "asked"), covered, context(spark), before, BASE_RULES, acted_on=acted_on, folder=scratch_path(spark, "touched"))
+    return before, after
+
+
+@query("recheck_summary")
+def _(spark, sf_dir):
+    """Totals, scores and counts after a recheck, moved from those before by what came and went."""
+    return rolling.summary_of(_refreshed(spark, sf_dir, _asked(spark, sf_dir))[1])
+
+
+@query("recheck_rule_counts")
+def _(spark, sf_dir):
+    return rolling.rule_changes(*_refreshed(spark, sf_dir, _asked(spark, sf_dir)))
+
+
+@query("refresh_check_counts")
+def _(spark, sf_dir):
+    """One check refreshed: the items it lists are looked at again; its counts before and after."""
+    listed = store.materialize(incremental.items_of_check(_stored(spark, sf_dir)[0], "few_images"), "listed")
+    return rolling.rule_changes(*_refreshed(spark, sf_dir, listed, "few_images"), "few_images")
+
+
 @query("added_deleted")
 def _(spark, sf_dir):
     _, covered = _stored(spark, sf_dir)
@@ -568,8 +613,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = b.table(spark, sf_dir, "events")
     path = scratch_path(spark, "events")
     dealt = events.withColumn("file", C("event_id") % 3).unionByName(events.filter("event_id % 3 = 0").withColumn("file", F.lit(3).cast("bigint")))
-    for number in range(4):
-        dealt.filter(C("file") == number).drop("file").coalesce(1).write.parquet(f"{path}/file-{number}")
+    dealt.hint("rebalance", "file").write.partitionBy("file").parquet(path)
     raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
     return event_changes(raw).drop("event_id")
 
@@ -584,13 +628,11 @@ def _(spark, sf_dir):
 @query("stream_recheck")
 def _(spark, sf_dir):
     out, checkpoint = scratch_path(spark, "recheck"), scratch_path(spark, "checkpoint")
-    findings, covered = _stored(spark, sf_dir)
-    known = store.materialize(covered, "covered")
+    tables, known = _stored_tables(spark, sf_dir)
     ch.recheck_stream(
-        _event_stream(spark, sf_dir), lambda s: b.part_catalog(s, sf_dir), lambda s: context(s), lambda s: known,
-        out, checkpoint, BASE_RULES,
+        _event_stream(spark, sf_dir), lambda s: tables, lambda s: context(s), lambda s: known, out, checkpoint, BASE_RULES,
     ).awaitTermination()
-    return shown(ch.current_findings(spark, findings, out), "rule_id", "detail")
+    return shown(ch.current_findings(spark, tables.read("findings"), out), "rule_id", "detail")
 
 
 @query("drain_pending")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wareproof.operators.skew import ranked
+from wareproof.sources.buckets import ItemTables
 from wareproof.sources.records import Catalog
 
 
@@ -30,8 +31,11 @@ def limited(catalog: Catalog, n: int) -> tuple[Catalog, DataFrame]:
     return _subset(catalog, first_items(catalog.items, n)), totals
 
 
-def by_ids(catalog: Catalog, ids: DataFrame) -> Catalog:
-    """The given items (tenant, product_id). Ids that no longer exist are simply absent."""
+def by_ids(catalog: Catalog | ItemTables, ids: DataFrame) -> Catalog:
+    """The given items (tenant, product_id). Ids that no longer exist are simply absent. Of tables in buckets only
+    those of the given items are read."""
+    if isinstance(catalog, ItemTables):
+        catalog = catalog.catalog(catalog.numbers(ids))
     wanted = ids.select("tenant", F.col("product_id").alias("id")).distinct()
     return _subset(catalog, catalog.items.join(wanted, ["tenant", "id"], "left_semi"))
 

@@ -21,6 +21,7 @@ from wareproof.operators.summary import apply_ignores
 from wareproof.plans.scan import Context, row_findings, stored
 from wareproof.schema import FINDING
 from wareproof.sources.reads import by_ids
+from wareproof.sources.buckets import ItemTables
 from wareproof.sources.records import Catalog
 
 C = F.col
@@ -33,7 +34,7 @@ def _write(df: DataFrame, path: str, batch_id: int) -> None:
 
 def recheck_stream(
     events: DataFrame,
-    load_catalog: Callable[[SparkSession], Catalog],
+    load_catalog: Callable[[SparkSession], Catalog | ItemTables],
     context: Callable[[SparkSession], Context],
     covered: Callable[[SparkSession], DataFrame],
     out: str,
@@ -45,8 +46,8 @@ def recheck_stream(
 ) -> StreamingQuery:
     """Recheck the changed items of every micro-batch.
 
-    The catalog is read anew per batch, so an event only says which item to look at: it may repeat or come late,
-    and nothing is remembered between batches. Tenants listed by ``queue_for`` are queued under ``out/pending``
+    The catalog is read anew per batch, of tables in buckets only those of the changed items, so an event only says which item to look at: it may
+    repeat or come late, and nothing is remembered between batches. Tenants listed by ``queue_for`` are queued under ``out/pending``
     instead, and so is a whole batch whose evaluation fails.
     """
 
