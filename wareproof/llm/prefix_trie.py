@@ -7,8 +7,9 @@ number in that interval. A batch of classes locates its exit nodes by fat binary
 the handles per step, log2 of the longest conversation many. Where classes leave an edge it is split; what is new below is
 grouped by prefix, and prefixes that branch or end become nodes. Batches grow, so that few are needed.
 
-In the finished trie sums over subtrees are taken by doubling: in each round a node hands its sum to the ancestor twice as far away
-as in the last, so that rounds count the logarithm of the height. Edges are expanded to a row per depth last.
+In the finished trie sums over subtrees are taken by doubling: in each round a node hands its sums to the ancestor twice as far away
+as in the last, so that rounds count the logarithm of the height. What sharing saves below a node follows from sums that need no order: bytes of
+whole conversations that end there, and bytes of its edges. Edges are expanded to a row per depth last.
 No step holds a conversation, or all that share a prefix, in one place; only the digest of the ends of a node, which is a hash of
 one text, reads its sorted ids one after the other in one task, as a stream.
 """
@@ -26,7 +27,7 @@ from wareproof.llm.common import written
 from wareproof.llm.order import numbered
 
 #: Shares of the classes in the batches that are inserted one after the other.
-BATCHES = (1, 4, 16)
+BATCHES = (1, 8)
 #: Depths that a window over one conversation takes at a time; totals of such slices carry on.
 SLICE = 4096
 #: Steps of the search between two written tables.
@@ -36,19 +37,21 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 
 # ---- conversations as prefix hashes --------------------------------------------------------------
 
-def running(rows: DataFrame, key: str, place: str, folds: dict, before: bool = False) -> DataFrame:
+def running(rows: DataFrame, key: str, place: str, folds: dict, longest: int, before: bool = False) -> DataFrame:
     """``rows`` with the running ``folds`` (name: (function, column)) of each key by ``place``, up to the row or, with ``before``, to the
-    one before. A key is cut into slices of places; the folds of the slices before are joined in."""
+    one before. A key is cut into slices of places; the folds of the slices before are joined in, if there are places beyond the first slice."""
+    last = -1 if before else 0
+    if longest < SLICE:
+        whole = Window.partitionBy(key).orderBy(place).rowsBetween(Window.unboundedPreceding, last)
+        return rows.select("*", *(fold(c).over(whole).alias(n) for n, (fold, c) in folds.items()))
     sliced = rows.withColumn("__slice", F.floor(F.col(place) / SLICE))
     totals = sliced.groupBy(key, "__slice").agg(*(fold(c).alias(f"__{n}") for n, (fold, c) in folds.items()))
     earlier = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(key, "__slice", *(fold(F.col(f"__{n}")).over(earlier).alias(f"__{n}") for n, (fold, _) in folds.items()))
-    inside = Window.partitionBy(key, "__slice").orderBy(place).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    inside = Window.partitionBy(key, "__slice").orderBy(place).rowsBetween(Window.unboundedPreceding, last)
     own = sliced.select("*", *(fold(c).over(inside).alias(f"__o_{n}") for n, (fold, c) in folds.items()))
     joined = own.join(totals, [key, "__slice"])
-    both = {}
-    for n, (fold, _) in folds.items():
-        both[n] = MERGES[fold](F.col(f"__{n}"), F.col(f"__o_{n}"))
+    both = {n: MERGES[fold](F.col(f"__{n}"), F.col(f"__o_{n}")) for n, (fold, _) in folds.items()}
     return joined.select(*rows.columns, *(c.alias(n) for n, c in both.items()))
 
 
@@ -92,48 +95,56 @@ def rebuilt(turns: DataFrame, step: int = 5, heads: int = 9) -> tuple[DataFrame,
     return convs.select("conv", "m"), own.unionByName(first.select("conv", (F.col("pos") + 1).alias("d"), "role", "digest", "t"))
 
 
-def classes_of(convs: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct conversations (cls, m, x, y, copies, sha) with their smallest id, length, hash, number of copies and digest of their ids, and
-    their prefixes (cls, d, x, y, ox, oy, b, t): hash, hash of the prefix before, bytes so far and of the last turn."""
+CLASS = "m bigint, x bigint, y bigint, bytes bigint, cls bigint, copies bigint, sha string"
+
+
+def classes_of(convs: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Distinct conversations (``CLASS``) with length, hash, bytes, smallest id, number of copies and digest of their ids; their
+    prefixes (cls, d, x, y, ox, oy, b, t): hash, hash of the prefix before, bytes so far and of the last turn; and the longest length."""
     hashed = turns.select("conv", "d", "t", *(F.xxhash64(F.lit(s), "d", "role", "digest").alias(n) for n, s in (("ex", 1), ("ey", 2))))
     hashed = written(hashed, "hashed")
-    ends = hashed.groupBy("conv").agg(F.bit_xor("ex").alias("x"), F.bit_xor("ey").alias("y"))
+    ends = hashed.groupBy("conv").agg(F.bit_xor("ex").alias("x"), F.bit_xor("ey").alias("y"), F.sum("t").alias("bytes"))
     zero = F.lit(0).cast("bigint")
-    ends = written(convs.join(ends, "conv", "left").select("conv", "m", F.coalesce("x", zero).alias("x"), F.coalesce("y", zero).alias("y")), "ends")
-    classes = ends.groupBy("m", "x", "y").agg(F.min("conv").alias("cls"), F.count("*").alias("copies"))
-    members = ends.join(classes.select("m", "x", "y", "cls"), ["m", "x", "y"]).select("cls", "conv")
-    digests = members.repartition("cls").sortWithinPartitions("cls", "conv").mapInArrow(_digests, "cls bigint, sha string")
-    classes = written(classes.join(digests, "cls"), "classes")
+    ends = convs.join(ends, "conv", "left").select("conv", "m", *(F.coalesce(c, zero).alias(c) for c in ("x", "y", "bytes")))
+    key = ["m", "x", "y"]
+    dealt = ends.repartition(*key).sortWithinPartitions(*key, "conv").select(*key, "bytes", "conv")
+    classes = written(dealt.mapInArrow(_classes, CLASS), "classes")
+    longest = classes.agg(F.max("m")).first()[0] or 0
     own = hashed.join(classes.select(F.col("cls").alias("conv")), "conv").withColumnRenamed("conv", "cls")
     folds = {"x": (F.bit_xor, F.col("ex")), "y": (F.bit_xor, F.col("ey")), "b": (F.sum, F.col("t"))}
-    prefixes = running(own, "cls", "d", folds)
+    prefixes = running(own, "cls", "d", folds, longest)
     before = (F.col("x").bitwiseXOR(F.col("ex")).alias("ox"), F.col("y").bitwiseXOR(F.col("ey")).alias("oy"))
-    return classes, written(prefixes.select("cls", "d", "x", "y", *before, "b", "t"), "prefixes")
+    return classes, written(prefixes.select("cls", "d", "x", "y", *before, "b", "t"), "prefixes"), longest
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SHA-256 of the decimal ids of every class, comma-joined; rows come sorted by class and id."""
-    current, digest = None, None
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per class; conversations come sorted by class and id. Ids are digested as they come: SHA-256 of the decimal ones, comma-joined."""
+    key, head, copies, digest = None, None, 0, None
+    names = ["m", "x", "y", "bytes", "cls", "copies", "sha"]
+    kinds = [pa.int64()] * 6 + [pa.string()]
     for batch in batches:
-        names, shas = [], []
-        for cls, conv in zip(batch.column("cls").to_pylist(), batch.column("conv").to_pylist(), strict=True):
-            if cls != current:
+        rows = []
+        for m, x, y, size, conv in zip(*(batch.column(c).to_pylist() for c in ("m", "x", "y", "bytes", "conv")), strict=True):
+            if (m, x, y) != key:
                 if digest is not None:
-                    names.append(current)
-                    shas.append(digest.hexdigest())
-                current, digest = cls, hashlib.sha256(b"%d" % conv)
+                    rows.append((*head, copies, digest.hexdigest()))
+                key, head, copies, digest = (m, x, y), (m, x, y, size, conv), 1, hashlib.sha256(b"%d" % conv)
             else:
+                copies += 1
                 digest.update(b",%d" % conv)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(shas, pa.string())], ["cls", "sha"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
     if digest is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), pa.array([digest.hexdigest()], pa.string())], ["cls", "sha"])
+        last = (*head, copies, digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(last, kinds, strict=True)], names)
 
 
 # ---- the z-fast trie -----------------------------------------------------------------------------
 # Nodes: e, x, y (length and hash of the extent), p, px, py (those of the parent), rep (a class that has the extent),
-# f, fx, fy (the handle), cx, cy (hash of the first prefix below the parent). The root has no row here: length 0, hash 0.
+# f, fx, fy (the handle), cx, cy (hash of the first prefix below the parent), b, pb (bytes of the extent and of the parent's). The root
+# has no row here: length 0, hash 0.
 
-NODE = "e bigint, x bigint, y bigint, p bigint, px bigint, py bigint, rep bigint, f bigint, fx bigint, fy bigint, cx bigint, cy bigint"
+NODE = ["e", "x", "y", "p", "px", "py", "rep", "f", "fx", "fy", "cx", "cy", "b", "pb"]
+CARRIED = ["e", "x", "y", "rep", "p", "px", "py", "b"]
 
 
 def two_fattest(a: str, b: str) -> Column:
@@ -147,78 +158,85 @@ def _prefix(prefixes: DataFrame, cls: str, d: str, x: str, y: str) -> DataFrame:
 
 
 def located(batch: DataFrame, prefixes: DataFrame, nodes: DataFrame, longest: int, every: DataFrame) -> DataFrame:
-    """Where the classes of a batch (cls, m) leave the trie: (cls, m, l, lx, ly) with the length and hash of the prefix
-    they share with it, and the node (e, x, y, rep, p, px, py) on whose edge that ends, or nulls if it ends at a node. ``prefixes`` are
+    """Where the classes of a batch (cls, m) leave the trie: (cls, m, l, lx, ly, lb) with the length, hash and bytes of the prefix
+    they share with it, and the node (``CARRIED``) on whose edge that ends, or nulls if it ends at a node. ``prefixes`` are
     those of the batch, ``every`` those of all classes."""
     zero = F.lit(0).cast("bigint")
     none = F.lit(None).cast("bigint")
-    state = batch.select("cls", "m", zero.alias("a"), F.col("m").alias("b"), zero.alias("e"), zero.alias("x"), zero.alias("y"), none.alias("rep"), none.alias("p"), none.alias("px"), none.alias("py"))
-    handles = nodes.select("f", F.col("fx").alias("hx"), F.col("fy").alias("hy"), *(F.col(c).alias(f"n_{c}") for c in ("e", "x", "y", "rep", "p", "px", "py")))
+    start = {c: zero if c in ("e", "x", "y", "b") else none for c in CARRIED}
+    state = batch.select("cls", "m", zero.alias("low"), F.col("m").alias("high"), *(v.alias(c) for c, v in start.items()))
+    handles = nodes.select("f", F.col("fx").alias("hx"), F.col("fy").alias("hy"), *(F.col(c).alias(f"n_{c}") for c in CARRIED))
     of = _prefix(prefixes, "cls", "f", "hx", "hy")
     for step in range(longest.bit_length()):
-        asked = state.withColumn("f", two_fattest("a", "b")).join(of, ["cls", "f"], "left")
+        asked = state.withColumn("f", two_fattest("low", "high")).join(of, ["cls", "f"], "left")
         found = asked.join(handles, ["f", "hx", "hy"], "left")
         hit = F.col("n_e").isNotNull()
         state = found.select(
-            "cls", "m", F.when(hit, F.col("n_e")).otherwise(F.col("a")).alias("a"),
-            F.when(F.col("f").isNull() | hit, F.col("b")).otherwise(F.col("f") - 1).alias("b"),
-            *(F.when(hit, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in ("e", "x", "y", "rep", "p", "px", "py")))
+            "cls", "m", F.when(hit, F.col("n_e")).otherwise(F.col("low")).alias("low"),
+            F.when(F.col("f").isNull() | hit, F.col("high")).otherwise(F.col("f") - 1).alias("high"),
+            *(F.when(hit, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in CARRIED))
         if step % STEPS == STEPS - 1:
             state = written(state, "search")
     # The last node found: does the class have all of its extent, and does it go on below it?
     at = state.join(_prefix(prefixes, "cls", "e", "hx", "hy"), ["cls", "e"], "left").withColumn(
         "whole", (F.col("e") == 0) | F.coalesce((F.col("hx") == F.col("x")) & (F.col("hy") == F.col("y")), F.lit(False))).drop("hx", "hy")
     at = at.withColumn("d1", F.when(F.col("whole"), F.col("e") + 1)).join(_prefix(prefixes, "cls", "d1", "cx", "cy"), ["cls", "d1"], "left")
-    children = nodes.select(F.col("p").alias("e"), "cx", "cy", *(F.col(c).alias(f"n_{c}") for c in ("e", "x", "y", "rep", "p", "px", "py")))
+    children = nodes.select(F.col("p").alias("e"), "cx", "cy", *(F.col(c).alias(f"n_{c}") for c in CARRIED))
     at = written(at.join(children, ["e", "cx", "cy"], "left"), "exits")
     through = F.col("whole") & F.col("n_e").isNull()
-    exits = at.select("cls", "m", "whole", through.alias("through"), F.col("e").alias("l"), F.col("x").alias("lx"), F.col("y").alias("ly"),
-                      *(F.when(through, none).when(F.col("whole"), F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in ("e", "x", "y", "rep", "p", "px", "py")))
+    exits = at.select("cls", "m", through.alias("through"), F.col("e").alias("l"), F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("b").alias("lb"),
+                      *(F.when(through, none).when(F.col("whole"), F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in CARRIED))
     # On an edge: the longest prefix that the class shares with the node's extent.
     edges = exits.filter("NOT through").select("cls", "rep", F.explode(F.sequence(F.col("p") + 1, F.least("m", "e"))).alias("d"))
-    shared = edges.join(_prefix(prefixes, "cls", "d", "hx", "hy"), ["cls", "d"]).join(_prefix(every, "rep", "d", "hx", "hy"), ["rep", "d", "hx", "hy"])
-    shared = shared.groupBy("cls").agg(F.max(F.struct("d", "hx", "hy")).alias("s"))
+    own = prefixes.select("cls", "d", F.col("x").alias("hx"), F.col("y").alias("hy"), F.col("b").alias("hb"))
+    shared = edges.join(own, ["cls", "d"]).join(_prefix(every, "rep", "d", "hx", "hy"), ["rep", "d", "hx", "hy"])
+    shared = shared.groupBy("cls").agg(F.max(F.struct("d", "hx", "hy", "hb")).alias("s"))
+    ends = {"l": "d", "lx": "hx", "ly": "hy", "lb": "hb"}
     return exits.join(shared, "cls", "left").select(
-        "cls", "m", F.coalesce("s.d", "l").alias("l"), F.when(F.col("s").isNull(), F.col("lx")).otherwise(F.col("s.hx")).alias("lx"),
-        F.when(F.col("s").isNull(), F.col("ly")).otherwise(F.col("s.hy")).alias("ly"), "e", "x", "y", "rep", "p", "px", "py")
+        "cls", "m", *(F.when(F.col("s").isNull(), F.col(c)).otherwise(F.col(f"s.{s}")).alias(c) for c, s in ends.items()), *CARRIED)
 
 
-def inserted(batch: DataFrame, prefixes: DataFrame, nodes: DataFrame, longest: int, every: DataFrame) -> DataFrame:
-    """The nodes after a batch of classes (cls, m)."""
-    exits = written(located(batch, prefixes, nodes, longest, every), "located")
-    # Edges that classes leave: split where they do.
+def inserted(batch: DataFrame, prefixes: DataFrame, nodes: DataFrame | None, longest: int, every: DataFrame) -> DataFrame:
+    """The nodes after a batch of classes (cls, m); ``nodes`` is None while there is none but the root."""
     key = ["e", "x", "y"]
-    on_edge = exits.filter("e IS NOT NULL")
-    points = on_edge.select(*key, "rep", "p", "px", "py", "l", "lx", "ly").distinct()
-    ends = points.select(*key, "rep", "p", "px", "py", F.col("e").alias("l"), F.col("x").alias("lx"), F.col("y").alias("ly")).distinct()
-    along = Window.partitionBy(*key).orderBy("l")
-    above = F.lag(F.struct(F.col("l").alias("p"), F.col("lx").alias("px"), F.col("ly").alias("py"))).over(along)
-    above = F.coalesce(above, F.struct("p", "px", "py"))
-    split = points.union(ends).withColumn("above", above).select(F.col("l").alias("e"), F.col("lx").alias("x"), F.col("ly").alias("y"), "above.*", "rep")
+    if nodes is None:
+        zero = F.lit(0).cast("bigint")
+        exits = batch.select("cls", "m", *(zero.alias(c) for c in ("l", "lx", "ly", "lb")))
+    else:
+        exits = written(located(batch, prefixes, nodes, longest, every), "located")
     # What is new: prefixes longer than the shared ones. They are nodes where they end or branch.
     fresh = written(prefixes.join(exits.select("cls", "m", "l", "lx", "ly"), "cls").filter("d > l"), "fresh")
-    groups = fresh.groupBy("d", "x", "y", "ox", "oy").agg(F.min("cls").alias("rep"), F.max(F.col("d") == F.col("m")).alias("ends"))
+    groups = fresh.groupBy("d", "x", "y", "ox", "oy").agg(F.min("cls").alias("rep"), F.max(F.col("d") == F.col("m")).alias("ends"), F.min("b").alias("b"))
     groups = written(groups, "groups")
     children = groups.groupBy((F.col("d") - 1).alias("d"), F.col("ox").alias("x"), F.col("oy").alias("y")).agg(F.count("*").alias("children"))
-    made = written(groups.join(children, ["d", "x", "y"], "left").filter("ends OR children > 1").select("d", "x", "y", "rep"), "made")
+    made = written(groups.join(children, ["d", "x", "y"], "left").filter("ends OR children > 1").select("d", "x", "y", "rep", "b"), "made")
     # The parent of a new node is the last node before it on the way of its class.
     marks = made.select("d", "x", "y", F.lit(True).alias("is_node"))
-    way = fresh.join(made.select(F.col("rep").alias("cls")).distinct(), "cls").join(marks, ["d", "x", "y"], "left")
+    way = fresh.join(made.select(F.col("rep").alias("cls")), "cls", "left_semi").join(marks, ["d", "x", "y"], "left")
     last = F.when(F.col("is_node"), F.struct(F.col("d").alias("p"), F.col("x").alias("px"), F.col("y").alias("py")))
-    way = running(way, "cls", "d", {"above": (F.max, last)}, before=True)
+    way = running(way, "cls", "d", {"above": (F.max, last)}, longest, before=True)
     start = F.struct(F.col("l").alias("p"), F.col("lx").alias("px"), F.col("ly").alias("py"))
     way = way.filter("is_node").select("d", "x", "y", F.col("cls").alias("rep"), F.coalesce("above", start).alias("above"))
-    below = made.join(way, ["d", "x", "y", "rep"]).select(F.col("d").alias("e"), "x", "y", "above.*", "rep")
-    changed = written(split.unionByName(below), "changed").withColumns({"f": two_fattest("p", "e"), "d1": F.col("p") + 1})
-    changed = changed.join(_prefix(every, "rep", "f", "fx", "fy"), ["rep", "f"]).join(_prefix(every, "rep", "d1", "cx", "cy"), ["rep", "d1"])
-    kept = nodes.join(ends.select(*key), key, "left_anti")
-    return written(kept.unionByName(changed.select(*nodes.columns)), "nodes")
-
-
-def build(classes: DataFrame, prefixes: DataFrame, batches: tuple[int, ...] = BATCHES) -> DataFrame:
+    below = made.join(way, ["d", "x", "y", "rep"]).select(F.col("d").alias("e"), "x", "y", "above.*", "rep", "b")
+    if nodes is not None:
+        # Edges that classes leave: split where they do.
+        on_edge = exits.filter("e IS NOT NULL")
+        points = on_edge.select(*CARRIED, "l", "lx", "ly", "lb")
+        itself = on_edge.select(*CARRIED, F.col("e").alias("l"), F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("b").alias("lb"))
+        along = Window.partitionBy(*key).orderBy("l")
+        above = F.lag(F.struct(F.col("l").alias("p"), F.col("lx").alias("px"), F.col("ly").alias("py"))).over(along)
+        split = points.union(itself).distinct().withColumn("above", F.coalesce(above, F.struct("p", "px", "py")))
+        below = below.unionByName(split.select(F.col("l").alias("e"), F.col("lx").alias("x"), F.col("ly").alias("y"), "above.*", "rep", F.col("lb").alias("b")))
+        nodes = nodes.join(on_edge.select(*key), key, "left_anti")
+    changed = written(below, "changed").withColumns({"f": two_fattest("p", "e"), "d1": F.col("p") + 1})
+    first = every.select(F.col("cls").alias("rep"), F.col("d").alias("d1"), F.col("x").alias("cx"), F.col("y").alias("cy"), (F.col("b") - F.col("t")).alias("pb"))
+    changed = changed.join(_prefix(every, "rep", "f", "fx", "fy"), ["rep", "f"]).join(first, ["rep", "d1"]).select(*NODE)
+    return written(changed if nodes is None else nodes.unionByName(changed), "nodes")
+
+
+def build(classes: DataFrame, prefixes: DataFrame, longest: int, batches: tuple[int, ...] = BATCHES) -> DataFrame:
     """The nodes of the trie of all classes, without the root."""
-    nodes = classes.sparkSession.createDataFrame([], NODE)
-    longest = classes.agg(F.max("m")).first()[0] or 0
+    nodes = None
     draw = F.pmod(F.xxhash64(F.lit("batch"), "cls"), F.lit(sum(batches)))
     low = 0
     for share in batches:
@@ -230,29 +248,16 @@ def build(classes: DataFrame, prefixes: DataFrame, batches: tuple[int, ...] = BA
 
 # ---- what the nodes hold -------------------------------------------------------------------------
 
-def subtree_sums(nodes: DataFrame, folds: dict, hops: list[DataFrame] | None = None) -> tuple[DataFrame, list[DataFrame]]:
-    """``folds`` (column: function) over every node's subtree, itself included, and the ancestors at distances 1, 2, 4, ...
-
-    ``nodes`` have ``v``, ``up`` (their parent's, null at the root) and the columns. ``hops`` of an earlier call spare the search of ancestors."""
-    known, hops = hops is not None, list(hops or [])
-    sums, ways = nodes.select("v", *folds), nodes.select("v", "up")
-    at = 0
-    while True:
-        if known:
-            if at == len(hops):
-                return sums, hops
-            ways = hops[at]
-        elif ways.filter("up IS NOT NULL").isEmpty():
-            return sums, hops
-        else:
-            hops.append(ways)
-        handed = sums.join(ways.filter("up IS NOT NULL"), "v").groupBy(F.col("up").alias("v")).agg(*(f(c).alias(f"__{c}") for c, f in folds.items()))
-        merged = sums.join(handed, "v", "left").select("v", *(MERGED[f](F.col(c), F.col(f"__{c}")).alias(c) for c, f in folds.items()))
-        sums = written(merged, "sums")
-        if not known:
-            further = ways.select(F.col("v").alias("up"), F.col("up").alias("next"))
-            ways = written(ways.join(further, "up", "left").select("v", F.col("next").alias("up")), "hops")
-        at += 1
+def subtree_sums(nodes: DataFrame, folds: dict) -> DataFrame:
+    """``folds`` (column: function) over every node's subtree, itself included. ``nodes`` have ``v``, ``up`` (their parent's, null at the root) and
+    the columns."""
+    nodes = nodes.select("v", "up", *folds)
+    while not nodes.filter("up IS NOT NULL").isEmpty():
+        handed = nodes.filter("up IS NOT NULL").groupBy(F.col("up").alias("v")).agg(*(f(c).alias(f"__{c}") for c, f in folds.items()))
+        further = nodes.filter("up IS NOT NULL").select(F.col("v").alias("up"), F.col("up").alias("next"))
+        joined = nodes.join(handed, "v", "left").join(further, "up", "left")
+        nodes = written(joined.select("v", F.col("next").alias("up"), *(MERGED[f](F.col(c), F.col(f"__{c}")).alias(c) for c, f in folds.items())), "sums")
+    return nodes.drop("up")
 
 
 MERGED = {F.sum: lambda a, b: a + F.coalesce(b, F.lit(0)), F.min: lambda a, b: F.least(a, b)}
@@ -262,37 +267,32 @@ def node_rows(classes: DataFrame, prefixes: DataFrame, nodes: DataFrame) -> Data
     """A row per distinct prefix: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
     v, up = F.struct("e", "x", "y").alias("v"), F.struct(F.col("p").alias("e"), F.col("px").alias("x"), F.col("py").alias("y")).alias("up")
-    any_class = classes.limit(1)  # without a class there is no root
-    root = any_class.select(F.struct(zero.alias("e"), zero.alias("x"), zero.alias("y")).alias("v"), F.lit(None).cast("struct<e:bigint,x:bigint,y:bigint>").alias("up"), none.alias("rep"))
-    tree = written(nodes.select(v, up, "rep").unionByName(root), "tree")
-    children = tree.filter("up IS NOT NULL").groupBy(F.col("up").alias("v")).agg(F.count("*").alias("n_children"))
-    ends = classes.select(F.struct(F.col("m").alias("e"), "x", "y").alias("v"), "cls", "copies", "sha")
+    root = classes.limit(1).select(  # without a class there is no root
+        F.struct(zero.alias("e"), zero.alias("x"), zero.alias("y")).alias("v"), F.lit(None).cast("struct<e:bigint,x:bigint,y:bigint>").alias("up"),
+        none.alias("rep"), zero.alias("b"), zero.alias("pb"))
+    tree = nodes.select(v, up, "rep", "b", "pb").unionByName(root)
+    children = nodes.groupBy(up.alias("v")).agg(F.count("*").alias("n_children"))
+    ends = classes.select(F.struct(F.col("m").alias("e"), "x", "y").alias("v"), "cls", "copies", "sha", "bytes")
     facts = tree.join(children, "v", "left").join(ends, "v", "left").select(
-        "v", "up", "rep", F.coalesce("n_children", zero).alias("n_children"), F.coalesce("copies", zero).alias("n_convs"), F.col("cls").alias("conv_id"),
-        F.coalesce("sha", F.lit(EMPTY)).alias("sha"), F.col("n_children").isNull().cast("bigint").alias("n_leaves"))
+        "v", "up", "rep", "pb", F.coalesce("n_children", zero).alias("n_children"), F.coalesce("sha", F.lit(EMPTY)).alias("sha"),
+        F.coalesce("copies", zero).alias("n_convs"), F.col("cls").alias("conv_id"), F.col("n_children").isNull().cast("bigint").alias("n_leaves"),
+        F.coalesce(F.col("copies") * F.col("bytes"), zero).alias("whole"), (F.col("b") - F.col("pb")).alias("edges"))
     facts = written(facts, "facts")
-    sums, hops = subtree_sums(facts, {"n_convs": F.sum, "conv_id": F.min, "n_leaves": F.sum})
-    whole = written(facts.select("v", "up", "rep", "n_children", "sha").join(sums, "v"), "whole")
+    sums = subtree_sums(facts, {"n_convs": F.sum, "conv_id": F.min, "n_leaves": F.sum, "whole": F.sum, "edges": F.sum})
+    parents = sums.select(F.col("v").alias("up"), F.col("conv_id").alias("up_conv"))
+    full = facts.select("v", "up", "rep", "pb", "n_children", "sha").join(sums, "v").join(parents, "up", "left")
     # Edges, a row per depth.
     top = F.coalesce("up.e", F.lit(-1).cast("bigint")) + 1
-    depths = whole.select("v", "rep", F.explode(F.sequence(top, F.col("v.e"))).alias("d"))
-    own = prefixes.select(F.col("cls").alias("rep"), "d", "b", "t")
-    edges = written(depths.filter("d > 0").join(own, ["rep", "d"]).select("v", "d", "b", "t"), "edges")
-    length = edges.groupBy("v").agg(F.sum("t").alias("bytes"), F.max("b").alias("last"))
-    saved = whole.join(length, "v", "left").select(
-        "v", "up", F.coalesce("last", zero).alias("last"), ((F.col("n_convs") - 1) * F.coalesce("bytes", zero)).alias("edge_saved"))
-    saved = written(saved.withColumn("saved", F.col("edge_saved")), "saved")
-    total, _ = subtree_sums(saved.select("v", "up", "saved"), {"saved": F.sum}, hops)
-    below = total.join(saved.select("v", "last", "edge_saved"), "v").select("v", "last", (F.col("saved") - F.col("edge_saved")).alias("below"))
-    parents = whole.select(F.col("v").alias("up"), F.col("conv_id").alias("up_conv"))
-    nodes_full = written(whole.join(below, "v").join(parents, "up", "left").drop("rep"), "nodes-full")
+    rows = full.withColumn("d", F.explode(F.sequence(top, F.col("v.e"))))
+    own = prefixes.select(F.col("cls").alias("rep"), "d", (F.col("b") - F.col("t")).alias("before"))
+    rows = rows.join(own, ["rep", "d"], "left").withColumn("before", F.coalesce("before", zero))
     at_end, at_top = F.col("d") == F.col("v.e"), F.col("d") == top
-    rows = nodes_full.join(edges.unionByName(root.select("v", zero.alias("d"), zero.alias("b"), zero.alias("t"))), "v")
+    # All bytes of the conversations from here on, less those that are stored once.
+    saved = F.col("whole") - F.col("n_convs") * F.col("before") - F.col("edges") + F.col("before") - F.col("pb")
     return rows.select(
         "conv_id", F.col("d").alias("depth"), F.when(at_top, F.col("up_conv")).otherwise(F.col("conv_id")).alias("parent_conv_id"), "n_convs",
         F.when(at_end, F.col("n_children")).otherwise(F.lit(1).cast("bigint")).alias("n_children"), "n_leaves",
-        (F.col("below") + (F.col("n_convs") - 1) * (F.col("last") - F.col("b") + F.col("t"))).alias("saved_tokens"),
-        F.when(at_end, F.col("sha")).otherwise(F.lit(EMPTY)).alias("ends_sha256"))
+        saved.alias("saved_tokens"), F.when(at_end, F.col("sha")).otherwise(F.lit(EMPTY)).alias("ends_sha256"))
 
 
 def prefix_trie(table: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", batches: tuple[int, ...] = BATCHES) -> DataFrame:
@@ -303,8 +303,8 @@ def prefix_trie(table: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     Equal conversations are members of the same nodes. Other columns are ignored; an empty table gives no rows, not even a root.
     """
     convs, turns = rebuilt(turns_of(table, conv_id, turn, role, text))
-    classes, prefixes = classes_of(convs, turns)
-    return node_rows(classes, prefixes, build(classes, prefixes, batches))
+    classes, prefixes, longest = classes_of(convs, turns)
+    return node_rows(classes, prefixes, build(classes, prefixes, longest, batches))
 
 
 # The same from all prefixes of all conversations, told apart by the digests of their turns in order.
