@@ -4,8 +4,9 @@ Sparse multinomial logistic regression on TF-IDF weights of hashed character n-g
 follow-the-regularised-leader (McMahan and others, 2013) under an elastic-net penalty, then calibrated by a temperature.
 
 Document frequencies are counted over all learning rows, in tasks, with the sums of a partition shuffled. The
-classifier is fitted on the driver to a sample of at most ``TRAIN_ROWS`` of them, equally many per language as far
-as there are; a fifth of the sample is held back for the temperature. Prediction reads whole texts and only sums
+classifier is fitted on the driver to a sample of about ``TRAIN_ROWS`` of them, equally many per language as far
+as there are, and about ``LEAST_ROWS`` of every language at least; a fifth of the sample is held back for the temperature. Every language is
+learned; most weights are zero and only the others are kept. Prediction reads whole texts and only sums
 weights: the term frequency is the n-gram's share of the text's n-grams, so a text needs no table of its own.
 """
 
@@ -25,7 +26,7 @@ BITS = 16
 DIM = 1 << BITS
 SIZES = (1, 2, 3)
 TRAIN_ROWS = 4000
-MAX_LANGS = 200
+LEAST_ROWS = 20
 PASSES = 2
 ALPHA, BETA, L1, L2 = 0.2, 1.0, 0.05, 0.01
 BATCH_BYTES = 2_000_000
@@ -108,13 +109,21 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """``weights``: DIM x languages, with the inverse document frequencies in them; ``bias`` per language."""
+    """``weights``: per language the features whose weight is not zero and their weights, with the inverse document frequencies in them;
+    ``bias`` per language."""
 
     langs: list[str]
-    weights: np.ndarray
+    weights: list[tuple[np.ndarray, np.ndarray]]
     bias: np.ndarray
     temperature: float
 
+    def column(self, lang: int) -> np.ndarray:
+        """The weights of all features for one language."""
+        out = np.zeros(DIM, dtype=np.float32)
+        features, values = self.weights[lang]
+        out[features] = values
+        return out
+
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
     e = np.exp(logits - logits.max(axis=-1, keepdims=True))
@@ -128,7 +137,7 @@ def _proximal(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, passes: int = PASSES) -> np.ndarray:
     """Weights, DIM + 1 x languages (the last row is the bias), from (features, values, language) examples."""
-    z, n = np.zeros((DIM + 1, n_langs)), np.zeros((DIM + 1, n_langs))
+    z, n = np.zeros((DIM + 1, n_langs), dtype=np.float32), np.zeros((DIM + 1, n_langs), dtype=np.float32)
     for _ in range(passes):
         for features, values, lang in examples:
             w = _proximal(z[features], n[features])
@@ -160,15 +169,15 @@ def best_temperature(logits: np.ndarray, langs: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def fit(learning: DataFrame, train_rows: int = TRAIN_ROWS, max_langs: int = MAX_LANGS) -> Model | None:
+def fit(learning: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     """A model from (text, lang, h); ``h`` is a hash that picks the sample. None if nothing can be learned.
 
-    To the driver come a count per feature and language, and the sample: about ``train_rows`` rows, never more than
-    twice as many, with at most DIM features each. Of more than ``max_langs`` languages the rarest are not learned.
+    To the driver come a count per feature and language, and the sample: about ``train_rows`` rows, or ``LEAST_ROWS`` per language where these are more, never
+    more than twice as many, with at most DIM features each. The fit holds 8 bytes per feature and language.
     """
     counted = learning.mapInArrow(_document_counts, "feature int, lang string, n bigint")
     counted = written(counted.groupBy("feature", "lang").agg(F.sum("n").alias("n")), "document-counts")
-    langs = {r.lang: r.n for r in counted.filter("feature < 0").orderBy(F.col("n").desc(), "lang").limit(max_langs).collect()}
+    langs = {r.lang: r.n for r in counted.filter("feature < 0").collect()}
     if not langs:
         return None
     names = sorted(langs)
@@ -176,10 +185,12 @@ def fit(learning: DataFrame, train_rows: int = TRAIN_ROWS, max_langs: int = MAX_
     frequency = np.zeros(DIM)
     frequency[table.column("feature").to_numpy()] = table.column("n").to_numpy()
     idf = np.log((1 + sum(langs.values())) / (1 + frequency)) + 1
-    share = F.element_at(F.create_map(*(F.lit(x) for n in names for x in (n, train_rows / len(names) / langs[n]))), F.col("lang"))
+    each = max(train_rows / len(names), LEAST_ROWS)
+    share = F.element_at(F.create_map(*(F.lit(x) for n in names for x in (n, each / langs[n]))), F.col("lang"))
     drawn = learning.filter(F.col("lang").isin(names)).filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
-    table = drawn.orderBy("h", "lang", F.length("text")).limit(2 * train_rows).mapInArrow(
-        _examples, "lang string, h bigint, features binary, counts binary").toArrow()
+    # Features are made where the texts are; only they travel.
+    found = drawn.mapInArrow(_examples, "lang string, h bigint, features binary, counts binary")
+    table = found.orderBy("h", "lang").limit(int(2 * each * len(names))).toArrow()
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("h", "lang", "features", "counts")), strict=True))
     examples = []
     for _, lang, features, counts in rows:
@@ -192,7 +203,11 @@ def fit(learning: DataFrame, train_rows: int = TRAIN_ROWS, max_langs: int = MAX_
     w = ftrl([x for i, x in enumerate(examples) if not spare or i % 5], len(names))
     logits = np.array([values @ w[features] for features, values, _ in spare]).reshape(-1, len(names))
     temperature = best_temperature(logits, np.array([lang for _, _, lang in spare], dtype=np.int64))
-    return Model(names, (w[:DIM] * idf[:, None] * 100).astype(np.float32), w[DIM], temperature)
+    kept = []
+    for column in w[:DIM].T:
+        features = np.flatnonzero(column).astype(np.int32)
+        kept.append((features, (column[features] * idf[features] * 100).astype(np.float32)))
+    return Model(names, kept, w[DIM], temperature)
 
 
 def predict(texts: list[str | None], model: Model | None) -> tuple[list[str], np.ndarray]:
@@ -203,7 +218,7 @@ def predict(texts: list[str | None], model: Model | None) -> tuple[list[str], np
     if model is None or not len(some):
         return langs, scores
     starts = (np.cumsum(held) - held)[some]
-    sums = np.stack([np.add.reduceat(column[features], starts, dtype=np.float64) for column in model.weights.T], axis=1)
+    sums = np.stack([np.add.reduceat(model.column(k)[features], starts, dtype=np.float64) for k in range(len(model.langs))], axis=1)
     p = _softmax((sums / held[some, None] + model.bias) / model.temperature)
     best = p.argmax(axis=1)
     for i, lang in zip(some.tolist(), best.tolist(), strict=True):
@@ -229,7 +244,7 @@ def predicted(docs: DataFrame, model: Model | None, text: str = "text", names: t
     """``docs`` with the predicted language and its score in columns ``names``, in place of any of these names."""
     columns = [c for c in docs.columns if c not in names]
     fields = docs.select(*columns).schema
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # DIM x languages at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # DIM x languages at most, most of it zero and left out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, text, BATCH_BYTES):
