@@ -1,11 +1,13 @@
 """Operator 9: mixing sources to target weights.
 
 The documents of a source, in the order of a hash, are one long row of words, packed into blocks of ``BLOCK``
-words. A source's target is a number of draws (slots): whole passes over its blocks and a part of one more. In every pass
+words. A source's target is a number of draws (slots): whole passes over its blocks and a part of one more. First every output shard draws
+how many slots each source gets in it: independent Poisson counts with the sources' shares as means, which given a shard's
+size are a multinomial draw over the sources. The counts of a source are then brought to its number of slots, in proportion and in whole numbers,
+so that targets are met. A shard's slots come from these counts, one range of slots per shard and source. In every pass
 a pseudorandom permutation of the source's block numbers says which block a slot takes, so no block is
 taken more often than passes begin, and block numbers join slots to the documents in them. The last slot of a source
-takes only as many words as are missing. Every slot draws its output shard; the counts of a source over
-the shards are multinomial, and as its slots are given their sum is the target itself.
+takes only as many words as are missing.
 
 The permutation is swap-or-not (Hoang, Morris and Rogaway, 2012): a round maps x to K - x or leaves it, as a hash of
 the larger of the two says. It works for any length, undoes itself round by round and needs no sorting.
@@ -16,6 +18,8 @@ whole source.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +37,7 @@ CHUNK = 16_384
 MAX_TASKS = 10_000
 ROUNDS = 8
 SHARDS = 64
+SMALL_MEAN = 12
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -87,6 +92,42 @@ def permuted(df: DataFrame, place: Column, name: str, seed: int, inverse: bool =
     return df.withColumn(name, F.aggregate(F.array(*map(F.lit, reversed(rounds) if inverse else rounds)), place, swap_or_not))
 
 
+def uniform(seed: int, salt: int, *columns: str) -> Column:
+    """A number in (0, 1) hashed from the columns."""
+    return (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *columns), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+
+
+def poisson(mean: Column, seed: int, *columns: str) -> Column:
+    """A Poisson count hashed from the columns: by inversion for small means, from a normal number for large ones."""
+    u, v = uniform(seed, -2, *columns), uniform(seed, -3, *columns)
+    terms = F.aggregate(
+        F.sequence(F.lit(1), F.lit(8 * SMALL_MEAN)),
+        F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("sum"), F.lit(0).cast("bigint").alias("n")),
+        lambda a, k: F.struct(
+            (a["p"] * mean / k).alias("p"), (a["sum"] + a["p"] * mean / k).alias("sum"), F.when(a["sum"] < u, k.cast("bigint")).otherwise(a["n"]).alias("n")),
+        lambda a: a["n"],
+    )
+    z = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
+    return F.when(mean < SMALL_MEAN, terms).otherwise(F.greatest(F.lit(0), F.floor(mean + F.sqrt(mean) * z + 0.5)).cast("bigint"))
+
+
+def shard_counts(quota: DataFrame, seed: int, n_shards: int) -> DataFrame:
+    """``quota`` with a row per shard that gets slots of a source: ``shard``, ``first`` and ``count``, its range of the source's ``draws`` slots."""
+    every = quota.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
+    every = every.withColumn("drawn", poisson(F.col("draws") / float(n_shards), seed, "number", "shard"))
+    of = Window.partitionBy("number")  # a row per shard
+    upto = of.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    sums = every.withColumns({"all": F.sum("drawn").over(of), "sofar": F.sum("drawn").over(upto)})
+    # Nothing drawn for a small source: its slots go to one shard.
+    alone = F.pmod(F.xxhash64(F.lit(seed), F.lit(-4), "number"), F.lit(n_shards))
+    none = F.when(F.col("shard") >= alone, F.col("draws")).otherwise(0)
+    end = F.when(F.col("all") > 0, F.floor(F.col("sofar") / F.col("all") * F.col("draws") + 0.5).cast("bigint")).otherwise(none)
+    ends = sums.withColumn("end", F.least(end, F.col("draws")))
+    first = F.coalesce(F.lag("end").over(of.orderBy("shard")), F.lit(0).cast("bigint"))
+    counted = ends.withColumn("first", first).withColumn("count", F.col("end") - F.col("first"))
+    return counted.filter("count > 0").drop("drawn", "all", "sofar", "end")
+
+
 def slots(sources: DataFrame, seed: int = 0, n_shards: int = SHARDS) -> DataFrame:
     """(number, slot, block, take, shard): what every slot takes; ``take`` counts words from the block's start.
 
@@ -102,18 +143,19 @@ def slots(sources: DataFrame, seed: int = 0, n_shards: int = SHARDS) -> DataFram
     quota = quota.withColumn("reach", rest)
     draws = F.col("passes") * F.col("blocks") + F.expr(f"(reach + {BLOCK - 1}) DIV {BLOCK}")
     quota = quota.withColumn("draws", draws).filter("draws > 0").select("number", "blocks", "source_size", "passes", "reach", "draws")
-    chunks = quota.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(draws - 1) DIV {CHUNK}"))))
-    last = F.least((F.col("chunk") + 1) * CHUNK, F.col("draws")) - 1
+    counts = shard_counts(quota, seed, n_shards)
+    chunks = counts.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(count - 1) DIV {CHUNK}"))))
+    start = F.col("first") + F.col("chunk") * CHUNK
+    last = F.col("first") + F.least((F.col("chunk") + 1) * CHUNK, F.col("count")) - 1
     # Few short rows become many: the number of tasks follows the slots, not the size of the rows.
     n_slots = (sources.agg(F.sum("words")).first()[0] or 0) // BLOCK
     n_tasks = min(MAX_TASKS, n_slots // (4 * CHUNK) + 1)
-    rows = chunks.repartition(n_tasks, "number", "chunk").withColumn("slot", F.explode(F.sequence(F.col("chunk") * CHUNK, last)))
+    rows = chunks.repartition(n_tasks, "number", "shard", "chunk").withColumn("slot", F.explode(F.sequence(start, last)))
     rows = permuted(rows, F.col("slot") % F.col("blocks"), "block", seed)
     in_block = F.least(F.lit(BLOCK).cast("bigint"), F.col("source_size") - F.col("block") * BLOCK)
     left = F.col("reach") - (F.col("slot") - F.col("passes") * F.col("blocks")) * BLOCK
     take = F.when(F.col("slot") < F.col("passes") * F.col("blocks"), in_block).otherwise(F.least(in_block, left))
-    shard = F.pmod(F.xxhash64(F.lit(seed), F.lit(-1), "number", "slot"), F.lit(n_shards))
-    return rows.select("number", "slot", "block", take.alias("take"), (take < in_block).alias("partial"), shard.alias("shard"))
+    return rows.select("number", "slot", "block", take.alias("take"), (take < in_block).alias("partial"), "shard")
 
 
 def members(sized: DataFrame, sources: DataFrame) -> DataFrame:
