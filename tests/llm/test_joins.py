@@ -360,3 +360,47 @@ def test_blocks_of_the_mix_are_the_words_taken(documents):
     n_words = sum(len(r.text.split(" ")) for r in blocks)
     assert n_words == mixing.mix(documents).agg(F.sum("taken")).first()[0]
     assert max(len(r.text.split(" ")) for r in blocks) == mixing.BLOCK
+
+
+def test_words_taken_are_those_of_the_slots(documents, edges):
+    """A replay in plain Python: the words of every slot's block, counted by document."""
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = documents.select(*columns).unionByName(edges.select(*columns))
+    sized = mixing.sizes(docs, "doc_id", "text", "source")
+    sources = mixing.written(mixing.source_table(sized), "targets")
+    of_source = defaultdict(list)
+    for r in sorted(sized.collect(), key=lambda r: (r.h, r.row)):
+        of_source[r.source] += [r.row] * r.size
+    number = {r.number: r.source for r in sources.collect()}
+    want = Counter()
+    for r in mixing.slots(sources).collect():
+        words_of_block = of_source[number[r.number]][r.block * mixing.BLOCK:(r.block + 1) * mixing.BLOCK]
+        assert 0 < r["take"] <= len(words_of_block)
+        want.update(words_of_block[:r["take"]])
+    assert {r.row: r.taken for r in mixing.taken(sized, sources).collect() if r.taken} == dict(want)
+
+
+def test_slots_come_from_the_counts_of_shards(spark, documents):
+    sources = mixing.written(mixing.source_table(mixing.sizes(documents, "doc_id", "text", "source")), "targets")
+    got = mixing.slots(sources, seed=3, n_shards=8).collect()
+    by_source = defaultdict(list)
+    for r in got:
+        by_source[r.number].append((r.slot, r.shard))
+    counts = defaultdict(Counter)
+    for number, own in by_source.items():
+        assert sorted(s for s, _ in own) == list(range(len(own)))  # every slot in one shard
+        assert [k for _, k in sorted(own)] == sorted(k for _, k in own)  # a range of slots each
+        counts[number].update(k for _, k in own)
+    n = sum(len(own) for own in by_source.values())
+    chi = sum((c[k] - sum(c.values()) / 8) ** 2 / (sum(c.values()) / 8) for c in counts.values() for k in range(8))
+    freedom = 7 * len(counts)
+    assert n > 500 and abs(chi - freedom) < 5 * (2 * freedom) ** 0.5  # neither equal nor wilder than multinomial
+    other = mixing.slots(sources, seed=4, n_shards=8).collect()
+    assert Counter((r.number, r.shard) for r in other) != Counter((r.number, r.shard) for r in got)
+
+
+@pytest.mark.parametrize("mean", [0.3, 4.0, 11.5, 40.0, 2500.0])
+def test_poisson_counts(spark, mean):
+    rows = spark.range(20_000).select(mixing.poisson(F.lit(mean), 5, "id").alias("n"))
+    r = rows.agg(F.avg("n").alias("mean"), F.var_samp("n").alias("var"), F.min("n").alias("least")).first()
+    assert abs(r["mean"] - mean) < 5 * (mean / 20_000) ** 0.5 + 1e-3 and abs(r["var"] / mean - 1) < 0.06 and r["least"] >= 0

@@ -197,3 +197,105 @@ def test_sketches_merge(documents):
 def test_repeats_need_whole_windows(n):
     texts = [b" ".join([b"a"] * n), b"b"]
     assert quality.counts(texts)[4].tolist() == [n if n > 8 else 0, 0]
+
+
+# ---- 1: the fit; 4: long texts --------------------------------------------------------------------
+
+def test_every_language_is_learned(spark):
+    """More languages than any list holds, each with a letter pair of its own."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    langs = [f"l{k:03d}" for k in range(201)]
+    rows = [(k * 10 + i, " ".join([letters[k // 15] * 2 + letters[k % 15 + 5] * 3] * 6), langs[k]) for k in range(201) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = lang_id.fit(lang_id.learning_rows(docs))
+    assert model.langs == langs
+    got = lang_id.predicted(docs, model).collect()
+    assert sum(r.lang_pred == r.lang for r in got) > 0.9 * len(got)
+
+
+def test_no_labelled_rows_keep_documents_with_letters(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "ab", None), (2, "12", None), (3, None, None), (4, "é", None)], "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()) == [1, 4]
+
+
+def plain_ftrl(examples, n_langs, passes):
+    """Coordinate by coordinate."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f, k):
+        if abs(z[f, k]) <= lang_id.L1:
+            return 0.0
+        return -(z[f, k] - np.sign(z[f, k]) * lang_id.L1) / ((lang_id.BETA + np.sqrt(n[f, k])) / lang_id.ALPHA + lang_id.L2)
+
+    for _ in range(passes):
+        for features, values, lang in examples:
+            own = {(f, k): weight(f, k) for f in features for k in range(n_langs)}
+            logits = [sum(v * own[f, k] for f, v in zip(features, values)) for k in range(n_langs)]
+            e = np.exp(np.array(logits) - max(logits))
+            p = e / e.sum()
+            for f, v in zip(features, values):
+                for k in range(n_langs):
+                    g = v * (p[k] - (k == lang))
+                    sigma = (np.sqrt(n[f, k] + g * g) - np.sqrt(n[f, k])) / lang_id.ALPHA
+                    z[f, k] += g - sigma * own[f, k]
+                    n[f, k] += g * g
+    return weight
+
+
+def test_ftrl_against_a_plain_version():
+    draw = np.random.default_rng(7)
+    examples = []
+    for _ in range(60):
+        features = draw.choice(30, size=6, replace=False)
+        examples.append((np.append(features, lang_id.DIM), np.append(draw.random(6) * 2, 1.0), int(draw.integers(3))))
+    w, weight = lang_id.ftrl(examples, 3, passes=2), plain_ftrl(examples, 3, 2)
+    for f in [*range(30), lang_id.DIM]:
+        for k in range(3):
+            assert abs(w[f, k] - weight(f, k)) < 1e-3
+
+
+def test_temperature_against_a_grid():
+    draw = np.random.default_rng(8)
+    langs = draw.integers(4, size=500)
+    logits = draw.normal(size=(500, 4)) * 6
+    logits[np.arange(500), langs] += 5
+    n = len(langs)
+    target = np.full((n, 4), 1 / (n + 4))
+    target[np.arange(n), langs] = (n + 1) / (n + 4)
+
+    def loss(t):
+        x = logits / t
+        return -(target * (x - np.log(np.exp(x).sum(axis=1, keepdims=True)))).sum(axis=1).mean()
+
+    grid = np.exp(np.linspace(np.log(0.05), np.log(20), 4000))
+    assert abs(np.log(lang_id.best_temperature(logits, langs) / min(grid, key=loss))) < 0.01
+
+
+def test_further_spans_against_all_pairs(monkeypatch):
+    draw = random.Random(11)
+    parts = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "123-45-6789", "(555) 234-5678", "555-234-5678", "+49 30 1234567 call", "ssn", "iban", "phone", "4111 1111 1111 1111", "a@b.de", "x"]
+    for _ in range(300):
+        text = "".join(draw.choice(parts) + draw.choice([" ", "", "-", ", "]) for _ in range(draw.randrange(1, 40)))
+        base = pii.base_spans(text)
+        want = []
+        for kind, pattern in (("iban", pii.IBAN), ("ssn", pii.SSN), ("local_phone", pii.LOCAL_PHONE)):
+            for m in pattern.finditer(text):
+                if not pii._confirmed(kind, m[0]):
+                    continue
+                around = text[max(0, m.start() - pii.WINDOW):m.start()] + "\n" + text[m.end():m.end() + pii.WINDOW]
+                score = pii.CHECKED[kind] + pii.NEAR * bool(pii.CONTEXT[kind].search(around))
+                if score >= pii.THRESHOLD and all(m.end() <= s or e <= m.start() for s, e, _ in base + want):
+                    want.append((m.start(), m.end(), kind))
+        assert pii.more_spans(text, base) == want
+
+
+def test_long_texts_of_numbers_take_linear_time():
+    import time
+
+    text = "call phone 555-234-5678, mail a.b@c-d.org or ssn 123-45-6789, 10.0.0.1; " * 28_000  # 2 MB
+    start = time.process_time()
+    base, more = pii.find_spans(text)
+    assert time.process_time() - start < 5
+    assert len(base) == 2 * 28_000 and len(more) >= 28_000
