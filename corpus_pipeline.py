@@ -18,9 +18,12 @@ MIN_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, without a text, or of no language that the model is sure of, go."""
+    """Documents without a letter, without a text, or of no language that the model is sure of, go. Where there is no labelled row to
+    learn from, all documents with a letter stay."""
     ship(spark)
     model = lang_id.fit(lang_id.learning_rows(docs))
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = lang_id.predicted(docs, model, names=("__lang", "__score"))
     return found.filter((F.col("__lang") != lang_id.UNKNOWN) & (F.col("__score") >= MIN_SCORE)).select(*docs.columns)
 
