@@ -40,7 +40,7 @@ def _used(value: Column) -> Column:
 
 
 def duplicate_sku(catalog: Catalog, lim: Limits) -> DataFrame:
-    rows = catalog.variants.select(*VARIANT_SLIM).withColumn("_sku", tx.js_trim(tx.blank_if_null(C("sku"))))
+    rows = catalog.slim_variants.select(*VARIANT_SLIM).withColumn("_sku", tx.js_trim(tx.blank_if_null(C("sku"))))
     numbered = g.numbered_duplicates(rows, F.upper("_sku"), ["pos", "variant_pos", "id"])
     suffixed = _text(C("_sku"), "-", C("member").cast("string"))
     suggested = F.when(C("member") == 1, C("_sku")).otherwise(suffixed)
@@ -53,7 +53,7 @@ def duplicate_sku(catalog: Catalog, lim: Limits) -> DataFrame:
 
 def duplicate_barcode(catalog: Catalog, lim: Limits) -> DataFrame:
     code = tx.js_trim(tx.blank_if_null(C("barcode")))
-    rows = catalog.variants.select(*VARIANT_SLIM, "barcode").withColumn("_code", code).filter("_code != ''")
+    rows = catalog.slim_variants.select(*VARIANT_SLIM, "barcode").withColumn("_code", code).filter("_code != ''")
     key = F.upper(F.regexp_replace("_code", f"{tx.WS}|-", ""))
     groups = g.duplicate_key(rows, key, ["product_id", "id"], min_len=0)
     made = payload(
@@ -165,7 +165,7 @@ def tag_casing(catalog: Catalog, lim: Limits) -> DataFrame:
 
 
 def weight_units_mixed(catalog: Catalog, lim: Limits) -> DataFrame:
-    rows = catalog.variants.select(*VARIANT_SLIM, "weight", "weight_unit", "inventory_item_id")
+    rows = catalog.slim_variants.select(*VARIANT_SLIM, "weight", "weight_unit", "inventory_item_id")
     off = g.mixed_unit(
         rows, "weight_unit", "weight", ["pos", "variant_pos"], ["product_id", "id"], min_rows=lim.min_rows
     )
@@ -241,7 +241,7 @@ def option_values_inconsistent(catalog: Catalog, lim: Limits) -> DataFrame:
     names = colliding.select(*group, F.posexplode("_values.name").alias("_k", "_name"))
     # Title parts of the affected items only, counted before they meet the names.
     parts = (
-        catalog.variants.select("tenant", C("product_id").alias("id"), "title")
+        catalog.slim_variants.select("tenant", C("product_id").alias("id"), "title")
         .join(colliding.select("tenant", "id").distinct(), ["tenant", "id"], "left_semi")
         .select("tenant", "id", F.explode(F.split("title", " / ")).alias("_name"))
         .groupBy("tenant", "id", "_name").agg(F.count(F.lit(1)).alias("_uses"))

@@ -92,9 +92,9 @@ def grouped_attribute_rules(rules: DataFrame) -> DataFrame:
 def catalog_profile(catalog: Catalog, attribute_rules: DataFrame | None = None) -> DataFrame:
     """One row per tenant: n_items, n_variants_all, price_ending, common_vendor, attribute_rules."""
     vendors = common_vendors(catalog.items)
-    sizes = catalog.variants.groupBy("tenant").agg(F.count(F.lit(1)).alias("n_variants_all"))
+    sizes = catalog.slim_variants.groupBy("tenant").agg(F.count(F.lit(1)).alias("n_variants_all"))
     out = (
-        vendors.join(price_endings(catalog.variants), "tenant", "left")
+        vendors.join(price_endings(catalog.slim_variants), "tenant", "left")
         .join(sizes, "tenant", "left")
         .withColumns(
             {

@@ -65,7 +65,8 @@ def row_findings(catalog: Catalog, ctx: Context, rules: Sequence[str] = RULE_IDS
         parts.append(item_checks.item_findings(catalog.items, on_items, lim))
     on_variants = [r for r in variant_checks.VARIANT_CHECKS if r in wanted and r != "price_below_cost"]
     if on_variants:
-        parts.append(variant_checks.variant_findings(catalog.variants, on_variants, lim))
+        asks = any(r in variant_checks.SIBLING_RULES for r in on_variants)
+        parts.append(variant_checks.variant_findings(catalog.variants if asks else catalog.slim_variants, on_variants, lim))
     # Checks that quote the catalog profile: rows are narrowed before the profile joins them.
     if "missing_vendor" in wanted:
         vendors = ctx.profile if ctx.profile is not None else common_vendors(catalog.items)
@@ -80,8 +81,8 @@ def row_findings(catalog: Catalog, ctx: Context, rules: Sequence[str] = RULE_IDS
     if attributes is not None:
         parts.append(item_checks.item_findings(with_item_profile(catalog.items, attributes), on_attributes, lim))
     if "price_below_cost" in wanted:
-        endings = ctx.profile if ctx.profile is not None else ending_facts(catalog.variants)
-        below = with_variant_profile(catalog.variants.filter("price > 0 and price < cost"), endings)
+        endings = ctx.profile if ctx.profile is not None else ending_facts(catalog.slim_variants)
+        below = with_variant_profile(catalog.slim_variants.filter("price > 0 and price < cost"), endings)
         parts.append(variant_checks.variant_findings(below, ["price_below_cost"], lim))
     if "missing_product_type" in wanted:
         parts.append(catalog_checks.missing_product_type(catalog, lim, ctx.types))

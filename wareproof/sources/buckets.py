@@ -6,6 +6,7 @@ partition column, and all other folders are never opened. Big buckets are writte
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,17 +26,21 @@ def item_bucket(tenant: Column | str, item: Column | str, buckets: int) -> Colum
 
 @dataclass(frozen=True)
 class ItemTables:
-    """The feature tables of a catalog, and any other tables by item, below one folder that all executors share."""
+    """The feature tables of a catalog, and any other tables by item, below one folder that all executors share.
+
+    A table that is written again gets a new folder, so what was read of it before stays readable; ``folders`` names the present ones."""
 
     spark: SparkSession
     root: str
     buckets: int = BUCKETS
     schemas: dict[str, StructType] = field(default_factory=dict)
+    folders: dict[str, str] = field(default_factory=dict)
 
     def write(self, name: str, df: DataFrame, item: str = "product_id") -> None:
         rows = df.withColumn(BUCKET, item_bucket("tenant", item, self.buckets))
-        rows.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/{name}")
-        self.schemas[name] = rows.schema
+        folder = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        rows.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(folder)
+        self.schemas[name], self.folders[name] = rows.schema, folder
 
     def store(self, catalog: Catalog) -> ItemTables:
         for name in FEATURES:
@@ -49,8 +54,7 @@ class ItemTables:
 
     def read(self, name: str, numbers: list[int] | None = None) -> DataFrame:
         """A table, or its given buckets."""
-        reader = self.spark.read.schema(self.schemas[name]) if name in self.schemas else self.spark.read
-        df = reader.parquet(f"{self.root}/{name}")
+        df = self.spark.read.schema(self.schemas[name]).parquet(self.folders[name])
         if numbers is not None:
             df = df.filter(F.col(BUCKET).isin(numbers))
         return df.drop(BUCKET)

@@ -13,8 +13,9 @@ from wareproof.sources.records import Catalog
 def _subset(catalog: Catalog, items: DataFrame) -> Catalog:
     ids = items.select("tenant", F.col("id").alias("product_id"))
     on = ["tenant", "product_id"]
+    alone = None if catalog.alone is None else catalog.alone.join(ids, on, "left_semi")
     return Catalog(
-        items, catalog.variants.join(ids, on, "left_semi"), catalog.memberships.join(ids, on, "left_semi")
+        items, catalog.variants.join(ids, on, "left_semi"), catalog.memberships.join(ids, on, "left_semi"), alone
     )
 
 

@@ -46,6 +46,13 @@ class Catalog:
     items: DataFrame
     variants: DataFrame
     memberships: DataFrame  # tenant, product_id, member_pos, collection_id
+    # The variants without the facts about their siblings, where leaving these out saves work.
+    alone: DataFrame | None = None
+
+    @property
+    def slim_variants(self) -> DataFrame:
+        """Variants for those who ask nothing about siblings."""
+        return self.variants if self.alone is None else self.alone
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -274,10 +281,15 @@ def from_tables(
     out = _join_media(out, media)
     out = _join_memberships(out, memberships)
 
-    per_item = base.select(
+    of_item = base.select(
         "tenant", F.col("id").alias("product_id"), "pos", F.col("title").alias("product_title"),
         F.col("handle").alias("product_handle"), "meta",
-    ).join(facts.drop("any_tracked", "any_continue", "only_sku"), ["tenant", "product_id"])
+    )
+    # An item owns one row on this side, so Spark splits a large item's variants by itself.
+    alone = typed.join(of_item, ["tenant", "product_id"]).select(
+        "tenant", "pos", "product_id", "product_title", "product_handle", "meta", "variant_pos", *VARIANT_BASE
+    )
+    per_item = of_item.join(facts.drop("any_tracked", "any_continue", "only_sku"), ["tenant", "product_id"])
     joined = attach_groups(
         typed, per_item, ["tenant", "product_id"], "n_variants", spread, hot_rows=hot_rows
     )
@@ -289,7 +301,7 @@ def from_tables(
         memberships = spark.createDataFrame(
             [], "tenant string, product_id string, member_pos bigint, collection_id string"
         )
-    return Catalog(out.select(*ITEM_BASE, *ROLLUPS), flat_variants, memberships)
+    return Catalog(out.select(*ITEM_BASE, *ROLLUPS), flat_variants, memberships, alone)
 
 
 def _typed_variants(variants: DataFrame, spark: SparkSession) -> DataFrame:

@@ -1,17 +1,25 @@
 """Saved results as parquet tables below one root, and the reads over them.
 
-Tables are partitioned by a hash bucket of the tenant: any number of tenants, a bounded number of
-folders, and a tenant's rows in one of them. Rows are sorted by tenant (and check) inside, so row-group
+A table is a list of folders and a version of the store names the folders of all tables. Folders are written first and never
+changed; then one manifest, a small text file that lists them, makes them the next version. A reader takes the newest manifest and sees one
+version of all tables, whatever is written meanwhile, and a job that ends in between leaves folders that no version names. Two
+writers that start from the same version cannot both make the next one: the second is told and may try again.
+
+Folders are partitioned by a hash bucket of the tenant: any number of tenants, a bounded number of
+subfolders, and a tenant's rows in one of them. Rows are sorted by tenant (and check) inside, so row-group
 statistics prune the rest.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import uuid
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from wareproof.operators.history import first_of_day
 from wareproof.operators.registry import checks_table
@@ -20,6 +28,7 @@ from wareproof.plans.scan import ScanResult
 from wareproof.session import scratch_path
 
 BUCKETS = 64
+MANIFESTS = "_manifests"
 SCANS = (
     "tenant string, scan_id bigint, score bigint, total bigint, clean bigint, open bigint, high bigint, "
     "full boolean, catalog_total bigint, ignored bigint, read_at timestamp, created_at timestamp"
@@ -30,64 +39,161 @@ def bucket(tenant: Column) -> Column:
     return F.pmod(F.xxhash64(tenant), F.lit(BUCKETS)).cast("int")
 
 
+class VersionTaken(RuntimeError):
+    """Another writer made the version this one was about to make."""
+
+
+@dataclass(frozen=True)
+class Version:
+    """What a manifest says: per table its folders and the schema of their rows."""
+
+    number: int
+    folders: dict[str, list[str]] = field(default_factory=dict)
+    schemas: dict[str, dict] = field(default_factory=dict)
+
+
 @dataclass(frozen=True)
 class Store:
-    """Paths of the tables of one store."""
+    """The tables below one root."""
 
     spark: SparkSession
     root: str
 
-    def path(self, table: str) -> str:
-        return f"{self.root.rstrip('/')}/{table}"
-
-    def read(self, table: str, tenant: str | None = None) -> DataFrame:
-        """A table, or the rows of one tenant with everything else pruned by folder."""
-        df = self.spark.read.parquet(self.path(table))
+    # ---- versions ----
+
+    def _files(self):
+        """Hadoop's file system of the root, which all executors and other writers share."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
+
+    def _manifest(self, number: int) -> str:
+        return f"{self.root.rstrip('/')}/{MANIFESTS}/{number:012d}.json"
+
+    def versions(self) -> list[int]:
+        """The numbers of the manifests that are there."""
+        files, path = self._files()
+        folder = path(f"{self.root.rstrip('/')}/{MANIFESTS}")
+        if not files.exists(folder):
+            return []
+        names = [status.getPath().getName() for status in files.listStatus(folder)]
+        return sorted(int(name[:-5]) for name in names if name.endswith(".json") and name[:-5].isdigit())
+
+    def version(self, number: int | None = None) -> Version:
+        """The newest version, or that of a number; a store that was never written is version 0."""
+        if number is None:
+            number = max(self.versions(), default=0)
+        if number == 0:
+            return Version(0)
+        said = json.loads(self.spark.read.text(self._manifest(number), wholetext=True).first().value)
+        return Version(number, said["folders"], said["schemas"])
+
+    def _publish(self, version: Version) -> None:
+        """Write the manifest beside its place and move it there; a place that is taken is left as it is."""
+        files, path = self._files()
+        target = path(self._manifest(version.number))
+        staged = path(f"{target.getParent().toString()}/.{uuid.uuid4().hex}")
+        out = files.create(staged, True)
+        out.write(bytearray(json.dumps({"folders": version.folders, "schemas": version.schemas}).encode()))
+        out.close()
+        try:
+            made = not files.exists(target) and files.rename(staged, target)
+        finally:
+            if files.exists(staged):
+                files.delete(staged, False)
+        if not made:
+            raise VersionTaken(f"version {version.number} of {self.root} is there already")
+
+    # ---- reading ----
+
+    def read(self, table: str, tenant: str | None = None, at: Version | None = None) -> DataFrame:
+        """A table, or the rows of one tenant with everything else pruned by folder, of the newest version or of the one given."""
+        at = at or self.version()
+        if table not in at.folders:
+            raise KeyError(f"nothing was saved to {table} yet")
+        schema = StructType.fromJson(at.schemas[table]).add("tenant_bucket", IntegerType())
+        parts = [self.spark.read.schema(schema).option("basePath", f).parquet(f) for f in at.folders[table]]
+        if not parts:
+            return self.spark.createDataFrame([], StructType.fromJson(at.schemas[table]))
+        df = parts[0]
+        for part in parts[1:]:
+            df = df.unionByName(part)
         if tenant is not None:
             df = df.filter((F.col("tenant_bucket") == bucket(F.lit(tenant))) & (F.col("tenant") == tenant))
         return df.drop("tenant_bucket")
 
     def exists(self, table: str) -> bool:
         """Whether anything was written to a table yet."""
-        try:
-            self.spark.read.parquet(self.path(table))
-        except AnalysisException:
-            return False
-        return True
+        return table in self.version().folders
 
-    def append(self, table: str, df: DataFrame) -> None:
-        self._write(table, df, "append")
+    # ---- writing ----
 
-    def replace(self, table: str, df: DataFrame) -> None:
-        """Replace the whole table by ``df``. Folders that ``df`` has no rows for are emptied, each by an
-        empty file in its place, before the others are written."""
-        rows = materialize(df, table)
-        there = self.spark.read.parquet(self.path(table)).select("tenant_bucket").distinct()
-        left = rows.select(bucket(F.col("tenant")).alias("tenant_bucket")).distinct()
-        emptied = [r.tenant_bucket for r in there.join(left, "tenant_bucket", "left_anti").collect()]  # at most BUCKETS
-        self._write(table, rows, "overwrite")
-        for number in emptied:
-            self._empty(table, number, rows)
-
-    def _empty(self, table: str, number: int, like: DataFrame) -> None:
-        like.limit(0).write.mode("overwrite").parquet(f"{self.path(table)}/tenant_bucket={number}")
-
-    def _write(self, table: str, df: DataFrame, mode: str) -> None:
+    def _write(self, table: str, df: DataFrame) -> str:
+        folder = f"{self.root.rstrip('/')}/{table}/{uuid.uuid4().hex}"
         rows = df.withColumn("tenant_bucket", bucket(F.col("tenant")))
         order = [c for c in ("tenant_bucket", "tenant", "rule_id") if c in rows.columns]
-        writer = rows.sortWithinPartitions(*order).write.mode(mode).partitionBy("tenant_bucket")
-        writer.option("partitionOverwriteMode", "dynamic").parquet(self.path(table))
+        rows.sortWithinPartitions(*order).write.partitionBy("tenant_bucket").parquet(folder)
+        return folder
+
+    def commit(
+        self, appended: dict[str, DataFrame] | None = None, replaced: dict[str, DataFrame] | None = None, base: Version | None = None
+    ) -> Version:
+        """Rows added to some tables and other tables replaced, in one step. ``base`` is the version the rows were made from, by
+        default the newest: if another writer made the next one by now, nothing changes and ``VersionTaken`` is raised. A table
+        that grows new columns has them, null in older rows."""
+        base = base or self.version()
+        folders, schemas = dict(base.folders), dict(base.schemas)
+        for table, df in (replaced or {}).items():
+            folders[table], schemas[table] = [self._write(table, df)], json.loads(df.schema.json())
+        for table, df in (appended or {}).items():
+            folders[table] = [*folders.get(table, []), self._write(table, df)]
+            schemas[table] = _widened(schemas.get(table), df.schema)
+        version = Version(base.number + 1, folders, schemas)
+        self._publish(version)
+        return version
+
+    def append(self, table: str, df: DataFrame) -> None:
+        self.commit(appended={table: df})
+
+    def replace(self, table: str, df: DataFrame) -> None:
+        """Replace the whole table by ``df``."""
+        self.commit(replaced={table: df})
 
     def erase(self, table: str, tenant: str) -> None:
-        """Delete every row of a tenant: its one folder is rewritten without it."""
-        kept = self.spark.read.parquet(self.path(table)).filter(F.col("tenant_bucket") == bucket(F.lit(tenant)))
-        rest = kept.filter(F.col("tenant") != tenant).drop("tenant_bucket")
-        staged = materialize(rest, "erase")
-        if staged.isEmpty():
-            # A folder with no rows left would not be replaced: write it empty by its own path.
-            self._empty(table, self.spark.range(1).select(bucket(F.lit(tenant))).first()[0], rest)
-        else:
-            self._write(table, staged, "overwrite")
+        """Delete every row of a tenant from one table."""
+        self.erase_tenant(tenant, [table])
+
+    def erase_tenant(self, tenant: str, tables: Iterable[str] | None = None) -> Version:
+        """Delete every row of a tenant from the tables (by default all) in one step."""
+        base = self.version()
+        named = base.folders if tables is None else tables
+        return self.commit(replaced={t: without_tenant(self.read(t, at=base), tenant) for t in named}, base=base)
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Delete manifests but the last ``keep`` and the folders that these do not name; the folders that went. Only when no job still
+        reads an older version or has folders written that it has not committed."""
+        files, path = self._files()
+        numbers = self.versions()
+        named = {f for n in numbers[-keep:] for fs in self.version(n).folders.values() for f in fs}
+        tables = {t for n in numbers for t in self.version(n).folders}
+        gone = []
+        for table in sorted(tables):
+            folder = f"{self.root.rstrip('/')}/{table}"
+            for status in files.listStatus(path(folder)):
+                own = f"{folder}/{status.getPath().getName()}"
+                if own not in named:
+                    files.delete(path(own), True)
+                    gone.append(own)
+        for number in numbers[:-keep]:
+            files.delete(path(self._manifest(number)), False)
+        return gone
+
+
+def _widened(known: dict | None, new: StructType) -> dict:
+    """The fields of a table and those that new rows bring."""
+    if known is None:
+        return json.loads(new.json())
+    fields = {f.name: f for f in StructType.fromJson(known).fields}
+    return json.loads(StructType([*fields.values(), *(f for f in new.fields if f.name not in fields)]).json())
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -100,16 +206,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 # ---- saving --------------------------------------------------------------------------------------
 
-def save_scan(
-    store: Store,
+def scan_tables(
     result: ScanResult,
     scan_id: int,
     created_at: str,
     read_at: str | None = None,
     full: bool = True,
     catalog_totals: DataFrame | None = None,
-) -> None:
-    """Append a result of all its tenants, with all its findings."""
+) -> dict[str, DataFrame]:
+    """The rows a result adds to every table, with all its findings."""
     from wareproof.operators.summary import quality_score
 
     number = F.lit(scan_id).cast("bigint").alias("scan_id")
@@ -132,16 +237,51 @@ def save_scan(
         F.lit(read_at or created_at).cast("timestamp").alias("read_at"),
         F.lit(created_at).cast("timestamp").alias("created_at"),
     )
-    store.append("findings", all_findings.withColumn("scan_id", number))
-    store.append("scan_rules", rule_counts(all_findings).withColumn("scan_id", number))
-    store.append("scan_products", result.covered.withColumn("scan_id", number))
-    store.append("scan_context", result.profile.drop("attribute_rules").withColumn("scan_id", number))
-    store.append("scan_types", result.types.withColumn("scan_id", number))
+    tables = {
+        "findings": all_findings, "scan_rules": rule_counts(all_findings), "scan_products": result.covered,
+        "scan_context": result.profile.drop("attribute_rules"), "scan_types": result.types,
+    }
     if result.names is not None:
-        store.append("scan_names", result.names.withColumn("scan_id", number))
+        tables["scan_names"] = result.names
     if "attribute_rules" in result.profile.columns:
-        store.append("scan_attributes", result.profile.select("tenant", "attribute_rules").withColumn("scan_id", number))
-    store.append("scans", header)
+        tables["scan_attributes"] = result.profile.select("tenant", "attribute_rules")
+    return {t: df.withColumn("scan_id", number) for t, df in tables.items()} | {"scans": header}
+
+
+def save_scan(store: Store, result: ScanResult, scan_id: int, created_at: str, **more) -> Version:
+    """Append a result of all its tenants to all tables, in one step."""
+    return store.commit(appended=scan_tables(result, scan_id, created_at, **more))
+
+
+def save_and_prune(
+    store: Store, result: ScanResult, scan_id: int, created_at: str, rows: int, full_rows: int, fix_log: DataFrame | None = None, **more
+) -> Version:
+    """Save a result, take the snapshot of its day and drop what retention does not keep: one step, seen as a whole or not at all.
+
+    A job that ends before the last moment leaves the store as it was, and so does one that another writer was faster than."""
+    base = store.version()
+    fresh = scan_tables(result, scan_id, created_at, **more)
+
+    def grown(table: str) -> DataFrame:
+        new = fresh[table]
+        return store.read(table, at=base).unionByName(new, allowMissingColumns=True) if table in base.folders else new
+
+    scans = materialize(grown("scans"), "scans")
+    keep = materialize(retained(scans, rows, full_rows), "retained")
+    # What is dropped is known from the short table of results; tables without a dropped row only grow.
+    dropped = not scans.select("tenant", "scan_id").join(keep, ["tenant", "scan_id"], "left_anti").isEmpty()
+    names = [t for t in TABLES if t in fresh or t in base.folders]
+    if dropped:
+        held = {t: grown(t) if t in fresh else store.read(t, at=base) for t in names}
+        replaced = {t: df.join(keep, ["tenant", "scan_id"], "left_semi") for t, df in held.items()}
+        appended = {}
+    else:
+        replaced, appended = {}, fresh
+    log = fix_log if fix_log is not None else store.read("fix_log", at=base) if "fix_log" in base.folders else None
+    days = first_of_day(fresh["scans"], log)
+    if "daily_snapshot" in base.folders:
+        days = days.join(store.read("daily_snapshot", at=base).select("tenant", "date"), ["tenant", "date"], "left_anti")
+    return store.commit(appended=appended | {"daily_snapshot": days}, replaced=replaced, base=base)
 
 
 def high_counts(findings: DataFrame) -> DataFrame:
@@ -225,12 +365,22 @@ def retained(scans: DataFrame, rows: int, full_rows: int) -> DataFrame:
 TABLES = ("findings", "scan_rules", "scan_products", "scan_context", "scan_types", "scan_names", "scan_attributes", "scans")
 
 
-def prune(store: Store, rows: int, full_rows: int, tables: tuple[str, ...] = TABLES) -> None:
-    """Drop what retention does not keep from every table that is there."""
-    keep = materialize(retained(store.read("scans"), rows, full_rows), "retained")
-    for table in tables:
-        if store.exists(table):
-            store.replace(table, store.read(table).join(keep, ["tenant", "scan_id"], "left_semi"))
+def prune(store: Store, rows: int, full_rows: int, tables: tuple[str, ...] = TABLES) -> Version:
+    """Drop what retention does not keep from every table that is there, in one step."""
+    base = store.version()
+    keep = materialize(retained(store.read("scans", at=base), rows, full_rows), "retained")
+    there = [t for t in tables if t in base.folders]
+    return store.commit(replaced={t: store.read(t, at=base).join(keep, ["tenant", "scan_id"], "left_semi") for t in there}, base=base)
+
+
+def retried(step: Callable[[], Version], times: int = 5) -> Version:
+    """A step that starts from the newest version, taken again if another writer came in between."""
+    for _ in range(times - 1):
+        try:
+            return step()
+        except VersionTaken:
+            continue
+    return step()
 
 
 def without_tenant(df: DataFrame, tenant: str) -> DataFrame:
