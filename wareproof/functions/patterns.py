@@ -11,10 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = (
-    r"\(\?(?:[:=!]|<[=!]|<[A-Za-z][A-Za-z0-9]*>)|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[\s\S]"
+    r"\(\?(?:[:=!]|<[=!]|<[A-Za-z][A-Za-z0-9]*>)|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\c[A-Za-z]|\\k<[A-Za-z]\w*>|\\[\s\S]"
     r"|\[\^?(?:\\[\s\S]|[^\]\\])*\]|\{\d+(?:,\d*)?\}|[\s\S]"
 )
-CLASS_TOKEN = r"\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[\s\S]|[\s\S]"
+CLASS_TOKEN = r"\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\c[A-Za-z]|\\[\s\S]|[\s\S]"
 SHORTHAND = r"\\[dDwWsS]"
 
 
@@ -23,8 +23,8 @@ def _tokens(pattern: Column, token: str = TOKEN) -> Column:
 
 
 def _escape(t: Column, letters: str, more: dict[str, str]) -> Column:
-    """An escape of one character: letters that mean nothing lose their backslash."""
-    out = F.when(t.rlike(rf"^\\[A-Za-z&&[^{letters}]]$"), F.substring(t, 2, 1))
+    """An escape of one character: letters that mean nothing lose their backslash, control letters are capitals."""
+    out = F.when(t.rlike(r"^\\c[A-Za-z]$"), F.concat(F.lit(r"\c"), F.upper(F.substring(t, 3, 1)))).when(t.rlike(rf"^\\[A-Za-z&&[^{letters}]]$"), F.substring(t, 2, 1))
     for before, after in more.items():
         out = out.when(t == before, F.lit(after))
     return out.otherwise(t)
@@ -80,6 +80,7 @@ def problem(pattern: Column) -> Column:
             F.when(t.isin("[", "\\", "[]", "[^]"), F.lit("x"))
             .when(is_class, F.when(_bad_range(t), F.lit("x")).otherwise(F.lit("a")))
             .when(t.rlike(r"^\{\d{10,}|^\{\d+,\d{10,}") | F.coalesce(backwards, F.lit(False)), F.lit("x"))
+            .when(t.rlike(r"^\\k<"), F.lit("r"))
             .when(t.rlike(r"^\(\?<[=!]"), F.lit("L")).when(F.startswith(t, F.lit("(")), F.lit("("))
             .when(t.isin(")", "|", "?"), t).when(t.isin("^", "$"), F.lit("n"))
             .when(t == "+", F.lit("u")).when(t == "*", F.lit("u")).when(t.rlike(r"^\{\d+,\}$"), F.lit("u"))
@@ -92,9 +93,20 @@ def problem(pattern: Column) -> Column:
         kinds, F.lit(0),
         lambda d, k: F.when(d < 0, d).when(k.isin("(", "L"), d + 1).when(k == ")", d - 1).otherwise(d),
     )
+    # Where the open lookbehind began (0: in none), and whether a repeat without a bound stands in one, or a repeated group, whose
+    # length the engine does not work out.
+    look = F.aggregate(
+        kinds, F.struct(F.lit(0).alias("d"), F.lit(0).alias("at"), F.lit(False).alias("bad"), F.lit("").alias("last")),
+        lambda s, k: F.struct(
+            (s["d"] + F.when(k.isin("(", "L"), 1).when(k == ")", -1).otherwise(0)).alias("d"),
+            F.when((k == "L") & (s["at"] == 0), s["d"] + 1).when((k == ")") & (s["at"] == s["d"]), 0).otherwise(s["at"]).alias("at"),
+            (s["bad"] | ((s["at"] > 0) & ((k == "u") | ((k == "q") & (s["last"] == ")"))))).alias("bad"), k.alias("last")),
+        lambda s: s["bad"],
+    )
     return (
         F.when(shape.contains("x"), F.lit("has an open or empty class, a backward range or a loose backslash"))
         .when(depth != 0, F.lit("has unmatched parentheses"))
         .when(shape.rlike(r"(^|[(L|n])[qu?]|[qu?][qu]|[qu?]\?[qu?]"), F.lit("repeats nothing"))
-        .when(shape.rlike("L.*u|u.*L"), F.lit("looks behind without a bound"))
+        .when(shape.contains("r"), F.lit("refers back to a group"))
+        .when(look, F.lit("looks behind without a bound"))
     )

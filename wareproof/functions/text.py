@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wareproof.constants import ENGLISH_STOPWORDS, FOREIGN_WORDS, PICTOGRAPH_RANGES
@@ -27,6 +27,10 @@ def blank_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+# The column of stored features that holds the plain description.
+PLAIN_TEXT = "plain_text"
+
+
 def js_trim(c: Column) -> Column:
     """Strip every kind of white space from both ends."""
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
@@ -49,6 +53,11 @@ def strip_html(html: Column) -> Column:
     return F.trim(collapse(F.replace(no_tags, F.lit("&nbsp;"), F.lit(" "))))
 
 
+def plain_text(items: DataFrame) -> Column:
+    """The plain description: stored with the features, or made from the markup."""
+    return F.col(PLAIN_TEXT) if PLAIN_TEXT in items.columns else strip_html(F.col("description_html"))
+
+
 def word_count(plain: Column) -> Column:
     """Words of collapsed, trimmed text: one more than its single spaces."""
     spaces = F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit("")))

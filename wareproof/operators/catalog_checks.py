@@ -78,9 +78,9 @@ def duplicate_title(catalog: Catalog, lim: Limits) -> DataFrame:
 
 
 def duplicate_description(catalog: Catalog, lim: Limits) -> DataFrame:
-    rows = _item_rows(catalog.items, "description_html").withColumn("_plain", tx.strip_html(C("description_html")))
+    rows = catalog.items.select(*ITEM_SLIM, tx.plain_text(catalog.items).alias("_plain"))
     groups = g.duplicate_key(
-        rows.drop("description_html"), F.lower("_plain"), ["id"],
+        rows, F.lower("_plain"), ["id"],
         min_group=lim.min_group_description, min_len=lim.min_chars_description, long_key=True,
     )
     n = C("group_size").cast("string")
@@ -113,7 +113,7 @@ def title_casing_outlier(catalog: Catalog, lim: Limits) -> DataFrame:
         _item_rows(catalog.items), tx.is_title_case(C("title")), ["id"], min_rows=lim.min_rows
     )
     suggested = F.when(C("majority"), tx.to_title_case(C("title"))).otherwise(tx.to_sentence_case(C("title")))
-    detail = F.when(C("majority"), F.lit("most titles use Title Case")).otherwise("most titles use sentence case")
+    detail = F.when(C("majority"), F.lit("others are in Title Case")).otherwise("others are in sentence case")
     made = payload(
         "title_casing_outlier", detail=detail,
         edit=edit("product", field="title", current=C("title"), suggested=suggested, apply=suggested != C("title")),
@@ -172,7 +172,7 @@ def weight_units_mixed(catalog: Catalog, lim: Limits) -> DataFrame:
     shown = _text(number_text(C("weight")), " ", F.lower("weight_unit"))
     converted = F.round("converted", 2).cast("decimal(18,2)").cast("string")
     made = payload(
-        "weight_units_mixed", detail=_titled(shown, F.lit(", most use "), F.lower("majority_unit")),
+        "weight_units_mixed", detail=_titled(shown, F.lit(", usual here: "), F.lower("majority_unit")),
         edit=_stock_edit(
             "weight", shown, converted, raw=number_text(C("weight")), apply=True, unit=C("majority_unit")
         ),

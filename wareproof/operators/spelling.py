@@ -34,8 +34,8 @@ def prose(c: Column) -> Column:
     return F.when(t.rlike(r"(?i)https?://|www\.|@"), F.regexp_replace(t, LINKS, " ")).otherwise(t)
 
 
-def text_fields() -> Column:
-    """Every human-written field of an item as label, key, text and whether it capitalizes words."""
+def text_fields(items: DataFrame) -> Column:
+    """Every human-written field of the items as label, key, text and whether it capitalizes words."""
 
     def one(label, key, text: Column, title_like: bool = False) -> Column:
         return F.struct(
@@ -45,7 +45,7 @@ def text_fields() -> Column:
 
     fixed = F.array(
         one("Title", "title", prose(F.col("title")), True),
-        one("Description", "descriptionHtml", prose(tx.strip_html(F.col("description_html")))),
+        one("Description", "descriptionHtml", prose(tx.plain_text(items))),
         one("SEO title", "seoTitle", prose(F.col("seo_title")), True),
         one("SEO description", "seoDescription", prose(F.col("seo_description"))),
         one("Vendor", "vendor", F.col("vendor")),
@@ -127,7 +127,7 @@ def candidate_words(items: DataFrame) -> DataFrame:
     At least four letters, no capitals after the first letter, and capitalized only where a title
     capitalizes everything.
     """
-    fields = exploded_rows(items, ["tenant", "id"], text_fields(), "_f", "field_pos")
+    fields = exploded_rows(items, ["tenant", "id"], text_fields(items), "_f", "field_pos")
     # Each spelling once per field, at its first place.
     words = F.array_distinct(F.filter(words_of(F.col("_f.text")), lambda w: F.length(w) >= MIN_WORD))
     kept = ["tenant", "id", "field_pos", *[F.col(f"_f.{c}").alias(c) for c in ("field", "key", "title_like")]]
@@ -281,7 +281,7 @@ def spelling(
     """Findings of unknown words."""
     found = misspellings(catalog.items, dictionary, trusted, names)
     slim = catalog.items.select(
-        "tenant", "id", "title", "pos", "only_sku", "n_variants", "meta", text_fields().alias("_fields")
+        "tenant", "id", "title", "pos", "only_sku", "n_variants", "meta", text_fields(catalog.items).alias("_fields")
     )
     rows = found.join(slim, ["tenant", "id"])
     quoted = F.concat(F.lit('"'), F.col("word"), F.lit('" in '), F.col("field"))

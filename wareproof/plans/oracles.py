@@ -147,18 +147,18 @@ O["check_small_image"] = (
 O["check_too_many_variants"] = on_item("variants_count > 100", detail="concat(cast(variants_count as string), ' variants')")
 O["check_draft_stale"] = on_item(
     f"status = 'DRAFT' AND coalesce(updated_at, created_at) < {AS_OF} - interval '30' day",
-    detail=f"concat({AGE}, ' days')", current=f"concat('Draft for ', {AGE}, ' days')",
+    detail=f"concat({AGE}, ' days')", current=f"concat('untouched draft, ', {AGE}, ' days')",
 )
-O["check_no_collection"] = on_item("status = 'ACTIVE' AND collection_count = 0", current="'0 collections'")
+O["check_no_collection"] = on_item("status = 'ACTIVE' AND collection_count = 0", current="'in no collection'")
 O["check_not_published"] = on_item(
-    "status = 'ACTIVE' AND published_at IS NULL AND (publications IS NULL OR publications > 0)", current="'Unpublished'"
+    "status = 'ACTIVE' AND published_at IS NULL AND (publications IS NULL OR publications > 0)", current="'hidden from the online shop'"
 )
-O["check_unpublished_everywhere"] = on_item("status = 'ACTIVE' AND publications = 0", current="'On no sales channel'")
-BROKEN = "concat(cast(publications - publications_ok as string), ' of ', cast(publications as string), ' channels')"
+O["check_unpublished_everywhere"] = on_item("status = 'ACTIVE' AND publications = 0", current="'offered nowhere'")
+BROKEN = "concat(cast(publications - publications_ok as string), ' channels out of ', cast(publications as string))"
 O["check_channel_feedback"] = on_item(
     "issue_app IS NOT NULL OR publications - publications_ok > 0",
     detail=f"CASE WHEN issue_app IS NOT NULL THEN concat('Market: fix ', id) ELSE {BROKEN} END",
-    current=f"CASE WHEN issue_app IS NOT NULL THEN concat('Market: fix ', id) ELSE concat({BROKEN}, ' with errors') END",
+    current=f"CASE WHEN issue_app IS NOT NULL THEN concat('Market: fix ', id) ELSE concat({BROKEN}, ' report errors') END",
 )
 O["check_missing_vendor"] = on_item("trim(vendor) = ''", suggested="''")
 O["check_no_tags"] = on_item("tags_text = ''", current="''")
@@ -309,7 +309,7 @@ O["check_duplicate_barcode"] = (
 O["check_weight_units_mixed"] = (
     f"WITH {VARIANT}, c AS (SELECT tenant, weight_unit, count(*) AS c, min(pos * 1000000000 + variant_pos) AS f FROM v0 WHERE weight > 0 GROUP BY ALL), "
     "t AS (SELECT tenant, arg_max(weight_unit, cast(c as hugeint) * 1000000000000000 - f) AS maj, max(c) AS top, sum(c) AS n, count(*) AS units FROM c GROUP BY tenant) "
-    "SELECT product_id, id AS variant_id, concat(title, ': ', cast(cast(weight as bigint) as string), ' ', lower(weight_unit), ', most use ', lower(maj)) AS detail, "
+    "SELECT product_id, id AS variant_id, concat(title, ': ', cast(cast(weight as bigint) as string), ' ', lower(weight_unit), ', usual here: ', lower(maj)) AS detail, "
     "CASE WHEN inventory_item_id IS NOT NULL THEN cast(cast(round(weight * CASE weight_unit WHEN 'POUNDS' THEN 0.45359237 ELSE 1.0 END / "
     "CASE maj WHEN 'POUNDS' THEN 0.45359237 ELSE 1.0 END, 2) as decimal(18,2)) as string) END AS suggested "
     "FROM v0 JOIN t USING (tenant) WHERE weight > 0 AND weight_unit <> maj AND units >= 2 AND n >= 10 AND top * 100 >= n * 80"
@@ -321,7 +321,7 @@ O["check_duplicate_title"] = (
 O["check_title_casing_outlier"] = (
     f"WITH {ITEM}, st AS (SELECT *, len({CAPS}) * 5 >= len({WORDS}) * 4 AS tc FROM item WHERE len({WORDS}) >= 2), "
     "t AS (SELECT tenant, count(*) AS n, count(CASE WHEN tc THEN 1 END) AS y FROM st GROUP BY tenant) "
-    "SELECT id AS product_id, 'most titles use sentence case' AS detail, "
+    "SELECT id AS product_id, 'others are in sentence case' AS detail, "
     "CASE WHEN title = upper(title) THEN title ELSE concat(upper(substr(title, 1, 1)), lower(substr(title, 2))) END AS suggested, "
     "title <> upper(title) AS apply FROM st JOIN t USING (tenant) WHERE tc AND n >= 10 AND y * 100 <= n * 25"
 )
@@ -514,7 +514,7 @@ O["search_findings"] = (
 )
 O["finding_current_value"] = (
     f"WITH {VARIANT} SELECT 'negative_inventory' AS rule_id, id AS variant_id, cast(inventory_quantity as string) AS value FROM v WHERE tracked AND inventory_quantity < 0 "
-    "UNION ALL SELECT 'no_location', id, 'Not stocked at any location' FROM v WHERE tracked AND locations = 0 UNION ALL SELECT 'missing_sku', id, '' FROM v WHERE trim(sku) = ''"
+    "UNION ALL SELECT 'no_location', id, 'no location holds it' FROM v WHERE tracked AND locations = 0 UNION ALL SELECT 'missing_sku', id, '' FROM v WHERE trim(sku) = ''"
 )
 FAMILIES = {}
 for _r in RULE_IDS:
@@ -719,7 +719,7 @@ O["validate_attribute_types"] = (
 O["validate_finding_keys"] = (
     "SELECT CASE WHEN l_returnflag = 'A' THEN 'missing_sku' ELSE 'spelling' END AS rule_id, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' AND l_linenumber NOT IN (1, 2, 4) GROUP BY ALL"
 )
-O["lint_attribute_rules"] = "SELECT p_partkey, p_partkey % 9 IN (1, 2, 3, 6, 7) AS refused FROM part"
+O["lint_attribute_rules"] = "SELECT p_partkey, p_partkey % 14 IN (1, 2, 3, 6, 7, 10, 11) AS refused FROM part"
 
 # ---- whole scan ----
 O["full_scan_summary"] = score_sql(
@@ -746,3 +746,10 @@ O["learned_word_list"] = (
     "SELECT DISTINCT 'all' AS tenant, word FROM w WHERE word NOT IN (SELECT word FROM w WHERE item_id % 2 = 0)"
 )
 O["result_by_id"] = f"WITH {SCANS} SELECT tenant, scan_id, total, open FROM scans WHERE tenant = 't1' AND scan_id = (SELECT max(scan_id) FROM scans WHERE tenant = 't1')"
+SAVED = findings_sql(["no_tags", "few_images"])
+O["save_and_prune"] = (
+    f"WITH {SAVED}, old AS (SELECT CASE WHEN user_id % 5 IN (0, 1) THEN 'north' ELSE 'south' END AS tenant, event_id AS scan_id, cast(round(value * 10) as bigint) AS open, event_id % 4 = 0 AS \"full\" FROM events), "
+    "n AS (SELECT tenant, 1099511627776 AS scan_id, count(*) AS open, true AS \"full\" FROM f GROUP BY tenant), every AS (SELECT * FROM old UNION ALL SELECT * FROM n), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY scan_id DESC) AS k, row_number() OVER (PARTITION BY tenant, \"full\" ORDER BY scan_id DESC) AS kf FROM every) "
+    "SELECT tenant, scan_id, open, \"full\", open AS counted, CASE WHEN scan_id = 1099511627776 THEN open END AS snapshot_open FROM r WHERE k <= 20 OR (\"full\" AND kf <= 12)"
+)

@@ -15,7 +15,7 @@ from wareproof.operators.item_checks import Limits
 from wareproof.operators.rows import exploded_rows
 from wareproof.operators.skew import ranked
 from wareproof.plans import bindings as b
-from wareproof.plans.scan import Context, catalog_findings, row_findings, scan
+from wareproof.plans.scan import Context, catalog_findings, row_findings, scan, stored
 from wareproof.schema import ATTRIBUTE_RULE
 from wareproof.session import configure, scratch_path
 from wareproof.sources import export, reads, store
@@ -38,6 +38,11 @@ def catalog(spark: SparkSession, sf_dir: str, kind: str):
     return _catalogs[key]
 
 
+def features(spark: SparkSession, sf_dir: str, kind: str):
+    """The bound catalog with its features written once: for what reads them more than once."""
+    return stored(catalog(spark, sf_dir, kind), scratch_path(spark, f"{kind}-features"))
+
+
 def attribute_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(b.ATTRIBUTE_RULES, ATTRIBUTE_RULE)
 
@@ -126,7 +131,8 @@ def _row_check(rule: str, kind: str, columns: tuple[str, ...], **over) -> Query:
 
 def _catalog_check(rule: str, kind: str, columns: tuple[str, ...]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return shown(catalog_findings(catalog(spark, sf_dir, kind), context(spark), [rule]), *columns)
+        made = (features if kind in ("doc", "page") else catalog)(spark, sf_dir, kind)
+        return shown(catalog_findings(made, context(spark), [rule]), *columns)
 
     return run
 
@@ -219,7 +225,7 @@ def dictionary(spark: SparkSession, sf_dir: str, min_docs: int = 5) -> DataFrame
 
 @query("check_spelling")
 def _(spark, sf_dir):
-    found = spelling.misspellings(catalog(spark, sf_dir, "doc").items, dictionary(spark, sf_dir), with_suggestions=False)
+    found = spelling.misspellings(features(spark, sf_dir, "doc").items, dictionary(spark, sf_dir), with_suggestions=False)
     return found.select(C("id").alias("product_id"), "word", "field")
 
 
@@ -745,6 +751,21 @@ def _(spark, sf_dir):
     return store.retained(event_scans(spark, sf_dir), 20, 12)
 
 
+@query("save_and_prune")
+def _(spark, sf_dir):
+    """A result saved on top of the events as older ones: saved, snapshot taken and pruned in one step."""
+    s = store.Store(spark, scratch_path(spark, "store"))
+    merged = F.when(C("tenant").isin("t0", "t1"), F.lit("north")).otherwise(F.lit("south"))
+    older, rules = (df.withColumn("tenant", merged) for df in (event_scans(spark, sf_dir), event_rules(spark, sf_dir)))
+    s.commit(appended={"scans": older, "scan_rules": rules.filter("rule_id = 'missing_sku'")})
+    result = scan(catalog(spark, sf_dir, "part"), context(spark), ["no_tags", "few_images"], folder=scratch_path(spark, "scan"))
+    version = store.save_and_prune(s, result, 1 << 40, "2030-01-01 10:00:00", rows=20, full_rows=12)
+    counts = s.read("scan_rules", at=version).groupBy("tenant", "scan_id").agg(F.sum("count").alias("counted"))
+    days = s.read("daily_snapshot", at=version).select("tenant", F.lit(1 << 40).alias("scan_id"), C("open").alias("snapshot_open"))
+    kept = s.read("scans", at=version).select("tenant", "scan_id", "open", "full")
+    return kept.join(counts, ["tenant", "scan_id"]).join(days, ["tenant", "scan_id"], "left")
+
+
 @query("tenant_erase")
 def _(spark, sf_dir):
     s = store.without_tenant(event_scans(spark, sf_dir), "t3")
@@ -915,8 +936,9 @@ def _(spark, sf_dir):
 @query("lint_attribute_rules")
 def _(spark, sf_dir):
     rules = b.table(spark, sf_dir, "part").selectExpr(
-        "p_partkey", "CASE p_partkey % 9 WHEN 0 THEN '^[A-Z]+$' WHEN 1 THEN '(a+)+$' WHEN 2 THEN '(x)\\\\1' WHEN 3 THEN repeat('a', 201) "
-        "WHEN 4 THEN '^{.*}$' WHEN 5 THEN '[a[b]' WHEN 6 THEN '([a' WHEN 7 THEN 'a**' ELSE '' END AS pattern"
+        "p_partkey", "CASE p_partkey % 14 WHEN 0 THEN '^[A-Z]+$' WHEN 1 THEN '(a+)+$' WHEN 2 THEN '(x)\\\\1' WHEN 3 THEN repeat('a', 201) "
+        "WHEN 4 THEN '^{.*}$' WHEN 5 THEN '[a[b]' WHEN 6 THEN '([a' WHEN 7 THEN 'a**' WHEN 8 THEN '(?<=[A-Z]-)\\\\d+' WHEN 9 THEN '(?<!a)b*' "
+        "WHEN 10 THEN 'x*(?<=a+)b' WHEN 11 THEN '(?<y>a)\\\\k<y>' WHEN 12 THEN '\\\\cA[\\\\cb]' WHEN 13 THEN '(?<!(a|b))c+' ELSE '' END AS pattern"
     )
     return validate.lint_attribute_rules(rules).select("p_partkey", C("error").isNotNull().alias("refused"))
 
@@ -943,7 +965,7 @@ def _(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short, long and duplicate descriptions of the documents, counted by check."""
     configure(spark)
-    docs = catalog(spark, sf_dir, "doc")
+    docs = features(spark, sf_dir, "doc")
     found = row_findings(docs, context(spark), ["short_description", "description_too_long"]).unionByName(
         catalog_findings(docs, context(spark), ["duplicate_description"])
     )

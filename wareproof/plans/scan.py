@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wareproof.functions.text import PLAIN_TEXT, plain_text
 from wareproof.operators import catalog_checks, item_checks, spelling, summary, variant_checks
 from wareproof.operators.generic import required
 from wareproof.operators.item_checks import Limits
@@ -36,15 +37,22 @@ class Context:
     types: DataFrame | None = None  # stored by an earlier scan
 
 
+# Bytes of a row group of stored features. Readers cut files between row groups, so a file that one task wrote is read by many.
+ROW_GROUP = 8 << 20
+
+
 def stored(catalog: Catalog, folder: str) -> Catalog:
-    """The feature tables written once below the caller's folder and read back. The branches of a scan then read
+    """The feature tables written once below the caller's folder and read back, the plain text of descriptions with them. The branches of a scan then read
     their columns from there instead of deriving all features from the source again, each for itself."""
     def one(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/{name}")
         return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
+    items = catalog.items
+    if PLAIN_TEXT not in items.columns:
+        items = items.withColumn(PLAIN_TEXT, plain_text(items))
     return Catalog(
-        one(catalog.items, "items"), one(catalog.variants, "variants"), one(catalog.memberships, "memberships")
+        one(items, "items"), one(catalog.variants, "variants"), one(catalog.memberships, "memberships")
     )
 
 
