@@ -199,6 +199,28 @@ def test_repeats_need_whole_windows(n):
     assert quality.counts(texts)[4].tolist() == [n if n > 8 else 0, 0]
 
 
+def test_every_measure_rejects_what_the_base_rule_keeps(spark):
+    """Documents that are odd in one measure in a source of plain ones."""
+    draw = random.Random(5)
+
+    def plain(n=100):
+        return [f"{draw.choice(['ab', 'abc', 'abcd', 'abcde'])}{draw.randrange(1000):03d}"[:6] + chr(97 + draw.randrange(26)) for _ in range(n)]
+
+    rows = [(i, " ".join(plain(60)) + "\n" + " ".join(plain(60)), "en", "a") for i in range(80)]
+    run = plain(12)
+    odd = {
+        1000: " ".join(w * 4 for w in plain()),  # long words
+        1001: " ".join(w + "###" if k % 4 == 0 else w for k, w in enumerate(plain())),  # symbols
+        1002: "\n".join(x for k in range(12) for x in (" ".join(plain(5)), "zeile")),  # one line again and again
+        1003: " ".join([*plain(40), *run, *plain(40), *run]),  # a run of words twice: 23 percent
+    }
+    rows += [(i, t, "en", "a") for i, t in odd.items()]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert not any(got[i].base_failed for i in odd)
+    assert {i for i in odd if not got[i].kept} == set(odd)
+    assert sum(got[i].kept for i in range(80)) >= 78
+
+
 # ---- 1: the fit; 4: long texts --------------------------------------------------------------------
 
 def test_every_language_is_learned(spark):

@@ -30,7 +30,7 @@ MEASURES = {
     "word_length": ("100 * word_chars", "n_words", 50),
     "symbol_rate": ("1000 * n_symbols", "n_words", 30),
     "line_repeats": ("1000 * n_dup_lines", "n_lines", 150),
-    "word_repeats": ("1000 * n_repeat_words", "n_words", 100),
+    "word_repeats": ("1000 * n_repeat_words", "n_words", 60),
 }
 LOW_BOUNDED = ("word_length",)
 SIGNALS = (
