@@ -1 +1 @@
-"""Operators of a training-data pipeline: ten operators, their registered queries and SQL counterparts."""
+"""Operators of a training-data pipeline: thirteen operators, their registered queries and SQL counterparts."""
