@@ -113,6 +113,10 @@ CATALOG_ON = {
 }
 
 
+# Checks that try many patterns on every text: worth a pass that cuts the stored texts for many tasks.
+MANY_PATTERNS = ("language_mismatch",)
+
+
 def _row_check(rule: str, kind: str, columns: tuple[str, ...], **over) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
@@ -124,7 +128,8 @@ def _row_check(rule: str, kind: str, columns: tuple[str, ...], **over) -> Query:
             extra = {"attribute_rules": attribute_rules(spark)}
         else:
             extra = {}
-        return shown(row_findings(catalog(spark, sf_dir, kind), context(spark, **over, **extra), [rule]), *columns_out)
+        made = (features if rule in MANY_PATTERNS else catalog)(spark, sf_dir, kind)
+        return shown(row_findings(made, context(spark, **over, **extra), [rule]), *columns_out)
 
     return run
 
