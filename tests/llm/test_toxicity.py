@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
-from llm_rows import CLASHES, edge_rows
+from llm_rows import edge_rows
 from wareproof.llm import toxicity
 from wareproof.llm.toxicity import Lexicon, words_of
 
