@@ -1,6 +1,14 @@
 """What grows with the tables is shuffled: plans that small tables would let Spark shorten stay as they are."""
 
+from statistics import median
+
+import pytest
+from pyspark.sql import functions as F
+
 from wareproof.operators import spelling
+from wareproof.operators.item_checks import Limits
+from wareproof.plans.scan import Context, row_findings
+from wareproof.sources.records import from_tables
 
 
 def plan_of(df):
@@ -14,3 +22,50 @@ def test_variants_of_words_are_not_sent_to_every_task(spark, tmp_path):
     found = spelling.suggestions(asked, words)
     assert "Broadcast" not in plan_of(found)
     assert {tuple(r) for r in found.collect()} == {("hosue", "house"), ("gardn", "garden"), ("mouze", "mouse")}
+
+
+@pytest.fixture(scope="module")
+def flat(spark):
+    """Thirty items of ten variants; items 0 and 1 own a hundred more each."""
+    items = spark.range(30).select(
+        F.lit("t").alias("tenant"), F.col("id").alias("pos"), F.col("id").cast("string").alias("id"), F.lit("Item").alias("title"))
+    owner = F.when(F.col("id") < 300, F.col("id") % 30).otherwise(F.col("id") % 2)
+    variants = spark.range(500).select(
+        F.lit("t").alias("tenant"), owner.cast("string").alias("product_id"), F.col("id").alias("variant_pos"),
+        F.concat(F.lit("v"), F.col("id").cast("string")).alias("id"), F.lit("s").alias("sku"),
+        (F.col("id") * 37 % 101).cast("string").alias("price"), F.when(F.col("id") % 3 == 0, F.lit(0.0)).otherwise(F.col("id") * 1.0).alias("weight"),
+        F.lit(True).alias("requires_shipping"), (F.col("id") % 7 == 0).alias("tracked"))
+    lost = variants.limit(5).withColumn("product_id", F.lit(None).cast("string"))
+    return items, variants.unionByName(lost)
+
+
+def shuffles(df):
+    """Shuffles that were run, those below a broadcast included."""
+    df.collect()
+    return plan_of(df).split("== Initial Plan ==")[0].count("ShuffleQueryStage")
+
+
+def facts_by_hand(variants):
+    """Per item: variants, priced ones, their median in cents, weight of the first that has one."""
+    rows, out = {}, {}
+    for r in sorted(variants.filter("product_id is not null").collect(), key=lambda r: r.variant_pos):
+        rows.setdefault(r.product_id, []).append(r)
+    for key, mine in rows.items():
+        prices = [int(r.price) * 100 for r in mine if int(r.price) > 0]
+        out[key] = (len(mine), len(prices), float(median(prices)), next((r.weight for r in mine if r.weight > 0), None))
+    return out
+
+
+@pytest.mark.parametrize("hot_rows", [None, 50])
+def test_sibling_facts_of_small_and_large_items(flat, hot_rows):
+    items, variants = flat
+    got = from_tables(items, variants, hot_rows=hot_rows).variants.collect()
+    want = facts_by_hand(variants)
+    assert len(got) == 500
+    assert all((r.n_variants, r.sib_priced, r.sib_median_cents, r.donor_weight) == want[r.product_id] for r in got)
+
+
+def test_variants_move_once_to_their_siblings(flat):
+    items, variants = flat
+    found = row_findings(from_tables(items, variants), Context(limits=Limits(as_of=F.lit("2024-01-01").cast("timestamp"))), ["price_outlier"])
+    assert shuffles(found) <= 3
