@@ -5,6 +5,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
+from wareproof.functions.numeric import gtin_valid, int_div
 from wareproof.operators import spelling
 from wareproof.operators.item_checks import Limits
 from wareproof.plans.scan import Context, row_findings
@@ -69,3 +70,24 @@ def test_variants_move_once_to_their_siblings(flat):
     items, variants = flat
     found = row_findings(from_tables(items, variants), Context(limits=Limits(as_of=F.lit("2024-01-01").cast("timestamp"))), ["price_outlier"])
     assert shuffles(found) <= 3
+
+
+def test_counted_findings_have_no_texts_made(flat):
+    items, variants = flat
+    found = row_findings(from_tables(items, variants), Context(limits=Limits(as_of=F.lit("2024-01-01").cast("timestamp"))), ["price_outlier", "barcode_invalid"])
+    counted = found.groupBy("rule_id").agg(F.countDistinct("product_id"))
+    assert "others around" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert "others around" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_digits_of_a_barcode_are_cleaned_once(spark):
+    assert gtin_valid(F.col("barcode"))._jc.toString().count("regexp_replace") == 1
+    rows = spark.createDataFrame([("4006381333931",), ("4006381333932",), (" 400-6381333931 ",), ("12",), (None,)], "barcode string")
+    assert [r[0] for r in rows.select(gtin_valid(F.col("barcode"))).collect()] == [True, False, True, None, None]
+
+
+def test_whole_quotients_are_made_of_whole_numbers(spark):
+    rows = spark.createDataFrame([(7, 2), (-7, 2), (10**18 - 1, 20000)], "a bigint, b bigint")
+    made = rows.select(int_div(F.col("a"), F.col("b")).alias("q"))
+    assert "decimal" not in made._jdf.queryExecution().analyzed().toString()
+    assert [r.q for r in made.collect()] == [3, -4, (10**18 - 1) // 20000]
