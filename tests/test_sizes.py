@@ -9,6 +9,7 @@ from wareproof.functions.numeric import gtin_valid, int_div
 from wareproof.operators import spelling
 from wareproof.operators.item_checks import Limits
 from wareproof.plans.scan import Context, row_findings
+from wareproof.sources.lines import numbered_lines
 from wareproof.sources.records import from_tables
 
 
@@ -91,3 +92,14 @@ def test_whole_quotients_are_made_of_whole_numbers(spark):
     made = rows.select(int_div(F.col("a"), F.col("b")).alias("q"))
     assert "decimal" not in made._jdf.queryExecution().analyzed().toString()
     assert [r.q for r in made.collect()] == [3, -4, (10**18 - 1) // 20000]
+
+
+def test_numbering_lines_moves_no_line(spark, tmp_path):
+    (tmp_path / "a.json").write_text("one\ntwo\n")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = numbered_lines(spark, str(tmp_path))
+        assert "SortMergeJoin" not in plan_of(numbered)
+        assert sorted(map(tuple, numbered.collect())) == [(0, "one"), (1, "two")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

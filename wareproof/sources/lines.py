@@ -24,7 +24,8 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     offsets = blocks.select(
         "_file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset")
     )
-    return rows.join(offsets, ["_file", "_start"]).select((F.col("_row") + F.col("_offset")).alias("line"), "value")
+    # As short a list goes to every task: shuffled by block, all lines would move, and a block would land in one task.
+    return rows.join(F.broadcast(offsets), ["_file", "_start"]).select((F.col("_row") + F.col("_offset")).alias("line"), "value")
 
 
 def read_json_lines(spark: SparkSession, path: str | list[str], schema: StructType | str, line: str) -> DataFrame:
