@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from wareproof.functions.numeric import gtin_valid, int_div
 from wareproof.operators import spelling
 from wareproof.operators.item_checks import Limits
-from wareproof.plans.scan import Context, row_findings
+from wareproof.plans import queries
+from wareproof.plans.scan import Context, row_findings, scan
 from wareproof.sources.lines import numbered_lines
 from wareproof.sources.records import from_tables
 
@@ -103,3 +104,10 @@ def test_numbering_lines_moves_no_line(spark, tmp_path):
         assert sorted(map(tuple, numbered.collect())) == [(0, "one"), (1, "two")]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_full_scan_that_only_counts_stores_no_findings(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(queries, "scan", lambda made, ctx, *a, **over: asked.append(over) or scan(made, ctx, ["no_tags"], **over))
+    counts = queries.QUERIES["full_scan_all"](spark, "/root/testdata/sf0.001")
+    assert asked == [{}] and {r.rule_id for r in counts.collect()} == {"no_tags"}
