@@ -38,7 +38,7 @@ def flat(spark):
         F.concat(F.lit("v"), F.col("id").cast("string")).alias("id"), F.lit("s").alias("sku"),
         (F.col("id") * 37 % 101).cast("string").alias("price"), F.when(F.col("id") % 3 == 0, F.lit(0.0)).otherwise(F.col("id") * 1.0).alias("weight"),
         F.lit(True).alias("requires_shipping"), (F.col("id") % 7 == 0).alias("tracked"))
-    lost = variants.limit(5).withColumn("product_id", F.lit(None).cast("string"))
+    lost = variants.filter("variant_pos < 5").withColumn("product_id", F.lit(None).cast("string"))
     return items, variants.unionByName(lost)
 
 
