@@ -155,6 +155,16 @@ def test_chains_that_hang_from_one_member_of_a_large_group(spark, monkeypatch, l
     assert [r.doc_id for r in got.filter("component_id != 0").collect()] == []
 
 
+def test_links_found_later_are_sought_between_components_only(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "LIMIT", 5)
+    seen, found = [], chosen_path.components
+    monkeypatch.setattr(chosen_path, "components", lambda links: seen.append(links.distinct().count()) or found(links))
+    rows = near_group(60, 0, 3) + near_group(30, 1000, 4)
+    got = Counter(tuple(r) for r in chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == plain_components(rows)
+    assert len(seen) == 1 or max(seen[1:]) < seen[0] / 2
+
+
 def test_sets_that_are_too_large_to_meet_are_compared_in_tiles(spark, monkeypatch):
     """Long texts that are candidates of each other and mostly no links: all stay open up to the full sets."""
     draw, base = np.random.default_rng(2), words(3000, 5, "lang").split()

@@ -208,15 +208,14 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members of leaves with a candidate that is not connected with them."""
+    """The members of leaves with a candidate that is not connected with them; ``size``: the shingles of all of a leaf."""
     for batch in batches:
-        nodes, classes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        found = [np.zeros((5, 0), dtype=np.int64)]
         for node, cls, n, label, blobs in _members(batch, "bits"):
             apart = _candidates(n, blobs)[2] & (label[:, None] != label[None, :])
             some = np.flatnonzero(apart.any(axis=1))
-            nodes.append(np.full(len(some), node, dtype=np.int64))
-            classes.append(cls[some])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(classes))], ["node", "cls"])
+            found.append(np.stack([np.full(len(some), node), cls[some], n[some], label[some], np.full(len(some), n[some].sum())]))
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(found, axis=1))), ["node", "cls", "n_shingles", "label", "size"])
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
@@ -255,7 +254,7 @@ def _forest(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> list[int]:
 
 
 def _confirmed_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A forest of the links of every leaf between classes that were not connected, confirmed on the full sets."""
+    """A forest of the links of every leaf between labels, confirmed on the full sets."""
     for batch in batches:
         found = [np.zeros((0, 2), dtype=np.int64)]
         for _, cls, n, label, blobs in _members(batch, "shingles"):
@@ -263,7 +262,7 @@ def _confirmed_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             linked = 100 * common >= PERCENT * (n[:, None] + n[None, :] - common)
             i, j = np.nonzero(np.triu(linked & (label[:, None] != label[None, :])))
             keep = _forest(i, j, label)
-            found.append(np.stack([cls[i[keep]], cls[j[keep]]], axis=1))
+            found.append(np.stack([label[i[keep]], label[j[keep]]], axis=1))
         pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -288,19 +287,19 @@ def _tile_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(cls)
             common = _common([np.frombuffer(blobs[i].as_buffer(), dtype=np.uint64) for i in order.tolist()])
             yield pa.RecordBatch.from_pydict({
-                "node": pa.array([node], pa.int64()), **{c: pa.array([v[order]], pa.list_(pa.int64())) for c, v in (("cls", cls), ("n", n), ("label", label))},
+                "node": pa.array([node], pa.int64()), **{c: pa.array([v[order]], pa.list_(pa.int64())) for c, v in (("n", n), ("label", label))},
                 "common": pa.array([common.astype("<i4").tobytes()], pa.binary())})
 
 
 def _summed_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A forest of the links of every node from the sum of its tiles, which come one after the other."""
+    """A forest of the links of every node between labels, from the sum of its tiles, which come one after the other."""
     last, total, facts = None, None, None
 
     def links() -> pa.RecordBatch:
-        cls, n, label = (np.array(f, dtype=np.int64) for f in facts)
+        n, label = (np.array(f, dtype=np.int64) for f in facts)
         i, j = np.nonzero(np.triu((100 * total >= PERCENT * (n[:, None] + n[None, :] - total)) & (label[:, None] != label[None, :])))
         keep = _forest(i, j, label)
-        pairs = np.sort(np.stack([cls[i[keep]], cls[j[keep]]], axis=1), axis=1)
+        pairs = np.sort(np.stack([label[i[keep]], label[j[keep]]], axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     for batch in batches:
@@ -309,7 +308,7 @@ def _summed_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if node != last:
                 if total is not None:
                     yield links()
-                last, facts = node, [batch.column(c)[k].as_py() for c in ("cls", "n", "label")]
+                last, facts = node, [batch.column(c)[k].as_py() for c in ("n", "label")]
                 total = np.zeros((len(facts[0]),) * 2, dtype=np.int64)
             total += common.reshape(total.shape)
     if total is not None:
@@ -398,29 +397,33 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), dtype=np.uint8).reshape(-1, TOKENS)
         common = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), dtype=np.uint8).reshape(-1, TOKENS, COUNTERS)[:, :, 0]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("cls"), pa.array((bits == common).sum(axis=1))], ["node", "cls", "agree"])
+        same = pa.array((bits == common).sum(axis=1))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "cls", "n_shingles", "bits")), same], ["node", "cls", "n_shingles", "bits", "agree"])
 
 
 SUMMARY = "node bigint, part int, tokens binary, counts binary"
 
 
 def _central(big: DataFrame) -> DataFrame:
-    """(node, pivot): of each node the class with the most common tokens; on ties a hash decides.
-
-    Tokens are summarized per batch, and summaries merged in two rounds, so that no task reads those of all batches of a large node at
-    their full number."""
-    slim = big.select("node", "cls", "bits")
-    common = written(slim.mapInArrow(_summarized, SUMMARY), "summaries")
-    for part in (F.col("part") % MERGED_PARTS, F.lit(0)):
+    """(node, pivot, p_n, p_bits): of each node the class with the most common tokens; on ties a hash decides.
+
+    Tokens are summarized per batch. Where these are many, summaries are merged in two rounds, so that no task reads those of all batches of a
+    large node at their full number."""
+    slim = big.select("node", "cls", "n_shingles", "bits")
+    common = written(slim.select("node", "bits").mapInArrow(_summarized, SUMMARY), "summaries")
+    many = common.count() > MERGED_PARTS * MERGED_PARTS
+    for part in ([F.col("part") % MERGED_PARTS] if many else []) + [F.lit(0)]:
         lists = common.groupBy("node", part.cast("int").alias("part")).agg(F.collect_list(F.struct("tokens", "counts")).alias("all"))
         common = lists.mapInArrow(_merged, SUMMARY)
-    scored = slim.join(written(common.select("node", "tokens"), "common"), "node").mapInArrow(_scored, "node bigint, cls bigint, agree bigint")
-    return scored.groupBy("node").agg(F.max(F.struct("agree", F.xxhash64("node", "cls"), "cls")).alias("p")).select("node", F.col("p.cls").alias("pivot"))
+    schema = "node bigint, cls bigint, n_shingles bigint, bits binary, agree bigint"
+    scored = slim.join(written(common.select("node", "tokens"), "common"), "node").mapInArrow(_scored, schema)
+    best = scored.groupBy("node").agg(F.max(F.struct("agree", F.xxhash64("node", "cls"), "cls", "n_shingles", "bits")).alias("p"))
+    return best.select("node", F.col("p.cls").alias("pivot"), F.col("p.n_shingles").alias("p_n"), F.col("p.bits").alias("p_bits"))
 
 
 def grow(classes: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """The leaves of all trees (node, cls), the candidates among the pivots of larger nodes (``FIRST``), and the members
-    (node, cls) of larger nodes at the roots, if any."""
+    (node, cls, sketch) of larger nodes at the roots, if any."""
     leaves, stars, roots = [], [], None
     level = classes.select("cls", F.explode(_roots(seed)).alias("node"))
     while True:
@@ -432,9 +435,8 @@ def grow(classes: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, DataF
         if big.isEmpty():
             break
         big = written(big.join(classes, "cls"), "big")
-        roots = big.select("node", "cls") if roots is None else roots
-        own = classes.select(F.col("cls").alias("pivot"), F.col("n_shingles").alias("p_n"), F.col("bits").alias("p_bits"))
-        pivots = written(_central(big).join(own, "pivot"), "pivots")
+        roots = big.select("node", "cls", "sketch") if roots is None else roots
+        pivots = written(_central(big), "pivots")
         schema = "node bigint, cls bigint, pivot bigint, sketch array<int>, agree int"
         compared = written(big.join(pivots, "node").filter("cls != pivot").mapInArrow(_with_pivot, schema), "compared")
         stars.append(compared.filter(F.col("agree") >= CANDIDATE).select("cls", F.col("pivot").alias("other"), "agree", F.lit(True).alias("central")))
@@ -444,13 +446,12 @@ def grow(classes: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, DataF
     return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, stars, none), roots
 
 
-def regrow(roots: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+def regrow(roots: DataFrame, labels: DataFrame) -> DataFrame:
     """Leaves (node, cls) below ``roots`` in which classes of different labels (cls, label) meet; nobody leaves a node."""
     leaves = []
-    facts = written(classes.join(labels, "cls").select("cls", "label", "sketch"), "facts")
-    level = roots
+    level = roots.join(labels.select("cls", "label"), "cls")
     while True:
-        placed = written(level.join(facts.select("cls", "label", F.xxhash64("sketch").alias("h")), "cls"), "level")
+        placed = written(level.withColumn("h", F.xxhash64("sketch")), "level")
         counts = placed.groupBy("node", "label").agg(F.count("*").alias("n"), F.min("h").alias("x"), F.max("h").alias("y"))
         sizes = counts.groupBy("node").agg(
             F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most"), (F.min("x") < F.max("y")).alias("parts"))
@@ -468,14 +469,14 @@ def regrow(roots: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame
         own = F.pmod(F.xxhash64("cls", "node"), n)
         pairs = members.filter(~small & ~few & ~F.col("parts")).select("node", "cls", own.alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("k"))
         leaves.append(pairs.select(F.xxhash64("node", F.least("i", "k"), F.greatest("i", "k")).alias("node"), "cls"))
-        large = members.filter(~small & ~few & F.col("parts")).select("node", "cls")
+        large = members.filter(~small & ~few & F.col("parts"))
         if large.isEmpty():
             return reduce(DataFrame.unionByName, leaves)
-        level = large.join(facts.select("cls", "sketch"), "cls").select("cls", F.explode(_children()).alias("node"))
+        level = large.select("cls", "label", "sketch", F.explode(_children()).alias("node"))
 
 
 def _grouped(leaves: DataFrame, facts: DataFrame, blob: str) -> DataFrame:
-    """(node, members) of the leaves that hold more than one label; facts: cls, n_shingles, label and ``blob``."""
+    """(node, members) of the leaves that hold more than one label; leaves and facts have cls, n_shingles, label and ``blob`` together."""
     grouped = leaves.join(facts, "cls").groupBy("node").agg(
         F.collect_list(F.struct("cls", "n_shingles", "label", blob)).alias("members"), F.min("label").alias("x"), F.max("label").alias("y"))
     return grouped.filter("x != y").select("node", "members")
@@ -492,60 +493,67 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             common = both - len(np.unique(np.concatenate([x, y])))
             keep.append(100 * common >= PERCENT * (both - common))
         keep = np.flatnonzero(keep)
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep))], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column("x").take(pa.array(keep)), batch.column("y").take(pa.array(keep))], ["a", "b"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    with_a = pairs.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")), "a")
+    """The labels (x, y) of those pairs (a, b, x, y) whose full sets reach the threshold, as (a, b)."""
+    with_a = pairs.select("a", "b", "x", "y").join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")), "a")
     both = with_a.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b")
     return both.mapInArrow(_confirmed, "a bigint, b bigint")
 
 
-def _sets_of(ends: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, n_shingles, shingles) of the classes ``ends``."""
-    needed = written(ends.join(classes.select("cls", "n_shingles", F.col("rep").alias("doc_id")), "cls"), "needed")
+def _sets_of(needed: DataFrame, rows: DataFrame) -> DataFrame:
+    """(cls, shingles) of the classes ``needed``, made of the text of their first row."""
     # The documents needed grow with the corpus, so their texts are fetched by a shuffled join whatever their number.
-    texts = rows.join(needed.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_with_sets, SETS)
-    # Rows that share an id have sets of their own: only those of the classes count.
-    return written(texts.join(needed.select("cls", "n_shingles"), "cls").dropDuplicates(["cls"]), "sets")
+    texts = rows.join(needed.select(F.col("rep").alias("doc_id"), F.col("rep_h").alias("h")).hint("merge"), ["doc_id", "h"])
+    # Rows of one id and text meet in this join.
+    return written(texts.dropDuplicates(["doc_id", "h"]).select("text").mapInArrow(_with_sets, SETS), "sets")
+
 
+def _labelled(of: DataFrame, label: DataFrame) -> DataFrame:
+    """The classes ``of`` with ``label``: their component (v, label), or themselves."""
+    found = of.join(label.withColumnRenamed("v", "cls"), "cls", "left")
+    return written(found.withColumn("label", F.coalesce("label", "cls")), "labels")
 
-def _labels(of: DataFrame, linked: DataFrame) -> DataFrame:
-    """(cls, label) of the classes ``of``: their component by the links, or themselves."""
-    label = F.coalesce("label", "cls").alias("label")
-    return written(of.select("cls").join(components(linked).withColumnRenamed("v", "cls"), "cls", "left").select("cls", label), "of")
 
+def _joined(labels: DataFrame, linked: DataFrame) -> DataFrame:
+    """``labels`` (cls, label) after the links (a, b) between them."""
+    if linked.isEmpty():
+        return labels
+    after = components(linked).select(F.col("v").alias("label"), F.col("label").alias("after"))
+    return labels.join(after, "label", "left").withColumn("label", F.coalesce("after", "label")).drop("after")
 
-def _open(leaves: DataFrame, slim: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, cls): the members of leaves with a candidate of another label."""
-    grouped = _grouped(leaves, slim.join(labels, "cls"), "bits")
-    return written(grouped.mapInArrow(_open_members, "node bigint, cls bigint"), "open")
 
+def _open(leaves: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, cls, n_shingles, label, size): the members of leaves with a candidate of another label."""
+    grouped = _grouped(leaves, labels, "bits")
+    return written(grouped.mapInArrow(_open_members, "node bigint, cls bigint, n_shingles bigint, label bigint, size bigint"), "open")
 
-def _links_of_leaves(open_members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): a forest of the links between open members.
+
+def _links_of_leaves(open_members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): a forest, per leaf, of the links between labels of open members.
 
     The sets of a leaf meet in one row while they are ``TILE_BYTES`` together. Sets of a larger leaf are cut into ranges of shingles; what members share
     is counted per range and the counts are added, a leaf after the other, so that no row holds more than a tile or a matrix of counts."""
-    facts = sets.join(labels, "cls")
-    sizes = open_members.join(facts.select("cls", "n_shingles"), "cls").groupBy("node").agg(F.sum("n_shingles").alias("size"))
-    sizes = written(sizes.select("node", F.ceil(8 * F.col("size") / TILE_BYTES).alias("tiles")), "tiles")
-    small = _grouped(open_members.join(sizes.filter("tiles <= 1"), "node").select("node", "cls"), facts, "shingles").mapInArrow(_confirmed_leaves, PAIRS)
-    large = sizes.filter("tiles > 1")
+    tiled = open_members.withColumn("tiles", F.ceil(8 * F.col("size") / TILE_BYTES))
+    small = _grouped(tiled.filter("tiles <= 1"), sets, "shingles").mapInArrow(_confirmed_leaves, PAIRS)
+    large = tiled.filter("tiles > 1")
     if large.isEmpty():
-        return written(small.distinct(), "links")
+        return written(small, "links")
     schema = "node bigint, cls bigint, n_shingles bigint, label bigint, tile bigint, shingles binary"
-    cut = open_members.join(large, "node").join(facts, "cls").select("node", "tiles", "cls", "n_shingles", "label", "shingles").mapInArrow(_tiles, schema)
+    cut = large.join(sets, "cls").select("node", "tiles", "cls", "n_shingles", "label", "shingles").mapInArrow(_tiles, schema)
     tiles = cut.groupBy("node", "tile").agg(F.collect_list(F.struct("cls", "n_shingles", "label", "shingles")).alias("members"))
-    schema = "node bigint, cls array<bigint>, n array<bigint>, label array<bigint>, common binary"
+    schema = "node bigint, n array<bigint>, label array<bigint>, common binary"
     counts = tiles.select("node", "members").mapInArrow(_tile_counts, schema)
     summed = counts.repartition("node").sortWithinPartitions("node").mapInArrow(_summed_tiles, PAIRS)
-    return written(small.union(summed).distinct(), "links")
+    return written(small.union(summed), "links")
+
 
+def labels_of(rows: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
+    """(cls, label) of all classes that may have a link: ``label`` is equal in a component by the confirmed links.
 
-def links(rows: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
-    """Confirmed links (a, b) between classes that hold their components together."""
+    Links found later join labels, not classes, so components are sought only between those that are known."""
     leaves, stars, roots = grow(classes, seed)
     slim = classes.select("cls", "n_shingles", "bits")
     alone = _grouped(leaves, slim.withColumn("label", F.col("cls")), "bits")
@@ -555,23 +563,28 @@ def links(rows: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
     first = written(first.distinct(), "first")
     # Whoever has a candidate has its best one among the first.
     ends = first.select(F.col("a").alias("cls")).union(first.select("b")).union(stars.select("other")).distinct()
-    sets = _sets_of(ends, rows, classes)
-    linked = written(confirmed(first, sets), "links")
-    labels = _labels(sets, linked)
-    in_leaves = _links_of_leaves(_open(leaves, slim, labels), sets, labels)
+    needed = written(classes.select("cls", "n_shingles", "bits", "rep", "rep_h").join(ends, "cls"), "needed")
+    sets = _sets_of(needed, rows)
+    linked = written(confirmed(first.withColumns({"x": F.col("a"), "y": F.col("b")}), sets), "links")
+    labels = _labelled(needed.select("cls", "n_shingles", "bits"), components(linked))
+    in_leaves = _links_of_leaves(_open(leaves, labels), sets)
     # What is open between classes and pivots of larger nodes: at most a pair for every class in such a node.
-    ends_apart = stars.select("cls", "other").join(labels, "cls").join(labels.select(F.col("cls").alias("other"), F.col("label").alias("of")), "other")
-    open_stars = ends_apart.filter("label != of").select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
+    own, of = labels.select("cls", "label"), labels.select(F.col("cls").alias("other"), F.col("label").alias("of"))
+    apart = stars.select("cls", "other").join(own, "cls").join(of, "other").filter("label != of")
+    open_stars = apart.select(
+        F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b"),
+        F.expr("if(cls < other, label, of)").alias("x"), F.expr("if(cls < other, of, label)").alias("y")).dropDuplicates(["a", "b"])
     with_pivots = written(confirmed(open_stars.join(first, ["a", "b"], "left_anti"), sets), "links")
-    linked = linked.union(in_leaves).union(with_pivots)
+    found = _joined(own, in_leaves.union(with_pivots))
     if roots is None:
-        return linked
+        return found
     # What left large nodes, between the components found so far.
-    labels = _labels(classes, linked)
-    open_members = _open(regrow(roots, classes, labels), slim, labels)
-    more = open_members.select("cls").distinct().join(sets.select("cls"), "cls", "left_anti")
-    sets = sets.union(_sets_of(more, rows, classes).select(*sets.columns))
-    return linked.union(_links_of_leaves(open_members, sets, labels))
+    labels = _labelled(slim, found)
+    open_members = _open(regrow(roots, labels), labels)
+    more = open_members.select("cls").distinct().join(needed.select("cls"), "cls", "left_anti")
+    more = written(classes.select("cls", "rep", "rep_h").join(more, "cls"), "needed")
+    sets = sets.union(_sets_of(more, rows))
+    return _joined(labels.select("cls", "label"), _links_of_leaves(open_members, sets))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
@@ -592,9 +605,11 @@ def judged_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", see
     signed = written(rows.mapInArrow(_signed, SIGNED), "signed")
     taking_part = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = written(taking_part.groupBy("cls", "n_shingles").agg(
-        F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"), F.any_value("bits").alias("bits")), "classes")
-    labels = components(written(links(rows, classes, seed), "links"))
-    group = classes.select("cls", "rep").join(labels.withColumnRenamed("v", "cls"), "cls", "left").select(
+        F.min(F.struct("doc_id", "h")).alias("rep"), F.any_value("sketch").alias("sketch"), F.any_value("bits").alias("bits"),
+    ).select("cls", "n_shingles", F.col("rep.doc_id").alias("rep"), F.col("rep.h").alias("rep_h"), "sketch", "bits"), "classes")
+    # Most classes are their own label: only the others are joined.
+    labels = written(labels_of(rows, classes, seed).filter("label != cls"), "labels")
+    group = classes.select("cls", "rep").join(labels, "cls", "left").select(
         "cls", "rep", F.coalesce("label", "cls").alias("label"))
     smallest = group.groupBy("label").agg(F.min("rep").alias("smallest"))
     of_class = group.join(smallest, "label").select("cls", "smallest")
