@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -98,6 +99,19 @@ def plain_base(text):
     return sorted(out, key=lambda x: (x[0], list(PLAIN).index(x[2])))
 
 
+def test_examples_are_made_one_at_a_time():
+    """The driver holds the rows of the sample, not an array of features and one of values for each of them."""
+    draw, idf, alive = np.random.default_rng(1), np.ones(lang_id.DIM), []
+    rows = [(k % 2, np.arange(k, k + 50, dtype="<i4").tobytes(), draw.integers(1, 9, 50).astype("<i4").tobytes()) for k in range(200)]
+    examples, held = lang_id.Examples(rows, idf), list(lang_id.Examples(rows, idf))
+    assert [lang for _, _, lang in examples] == [lang for lang, _, _ in rows]
+    assert all(abs(values[:-1].sum() - 100) < 1e-3 and features[-1] == lang_id.DIM for features, values, _ in examples)
+    assert np.array_equal(lang_id.ftrl(examples, 2), lang_id.ftrl(held, 2))
+    for features, _, _ in examples:
+        alive = [a for a in alive if a() is not None] + [weakref.ref(features)]
+    assert len(alive) <= 2
+
+
 def test_base_spans_are_those_of_the_patterns():
     draw = random.Random(3)
     texts = ["".join(draw.choice("ab1@.-+ 0(%") for _ in range(draw.randint(0, 70))) for _ in range(4000)]

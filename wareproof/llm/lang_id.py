@@ -12,7 +12,7 @@ weights: the term frequency is the n-gram's share of the text's n-grams, so a te
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -135,7 +135,20 @@ def _proximal(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, passes: int = PASSES) -> np.ndarray:
+class Examples:
+    """(features, values, language) of (language, features, counts) rows. Each is made when it is its turn, so that the driver only holds the rows."""
+
+    def __init__(self, rows: list[tuple[int, bytes, bytes]], idf: np.ndarray) -> None:
+        self.rows, self.idf = rows, idf
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        for lang, features, counts in self.rows:
+            features, counts = np.frombuffer(features, dtype="<i4"), np.frombuffer(counts, dtype="<i4")
+            values = (100 / counts.sum() * counts * self.idf[features]).astype(np.float32)
+            yield np.append(features, np.int32(DIM)), np.append(values, np.float32(1)), lang
+
+
+def ftrl(examples: Iterable[tuple[np.ndarray, np.ndarray, int]], n_langs: int, passes: int = PASSES) -> np.ndarray:
     """Weights, DIM + 1 x languages (the last row is the bias), from (features, values, language) examples."""
     z, n = np.zeros((DIM + 1, n_langs), dtype=np.float32), np.zeros((DIM + 1, n_langs), dtype=np.float32)
     for _ in range(passes):
@@ -192,17 +205,12 @@ def fit(learning: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     found = drawn.mapInArrow(_examples, "lang string, h bigint, features binary, counts binary")
     table = found.orderBy("h", "lang").limit(int(2 * each * len(names))).toArrow()
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("h", "lang", "features", "counts")), strict=True))
-    examples = []
-    for _, lang, features, counts in rows:
-        if features:
-            features, counts = np.frombuffer(features, dtype="<i4"), np.frombuffer(counts, dtype="<i4")
-            values = (100 / counts.sum() * counts * idf[features]).astype(np.float32)
-            examples.append((np.append(features, np.int32(DIM)), np.append(values, np.float32(1)), names.index(lang)))
-    del table, rows
-    spare = examples[::5] if len(examples) >= 5 * len(names) else []
-    w = ftrl([x for i, x in enumerate(examples) if not spare or i % 5], len(names))
-    logits = np.array([values @ w[features] for features, values, _ in spare]).reshape(-1, len(names))
-    temperature = best_temperature(logits, np.array([lang for _, _, lang in spare], dtype=np.int64))
+    del table
+    rows = [(names.index(lang), features, counts) for _, lang, features, counts in rows if features]
+    spare = rows[::5] if len(rows) >= 5 * len(names) else []
+    w = ftrl(Examples([x for i, x in enumerate(rows) if not spare or i % 5], idf), len(names))
+    logits = np.array([values @ w[features] for features, values, _ in Examples(spare, idf)]).reshape(-1, len(names))
+    temperature = best_temperature(logits, np.array([lang for lang, _, _ in spare], dtype=np.int64))
     kept = []
     for column in w[:DIM].T:
         features = np.flatnonzero(column).astype(np.int32)
