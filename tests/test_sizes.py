@@ -1,5 +1,6 @@
 """What grows with the tables is shuffled: plans that small tables would let Spark shorten stay as they are."""
 
+import re
 from statistics import median
 
 import pytest
@@ -7,11 +8,13 @@ from pyspark.sql import functions as F
 
 from wareproof.functions.numeric import gtin_valid, int_div
 from wareproof.operators import spelling
+from wareproof.operators.incremental import added_deleted
 from wareproof.operators.item_checks import Limits
 from wareproof.plans import queries
 from wareproof.plans.scan import Context, row_findings, scan
 from wareproof.sources.lines import numbered_lines
 from wareproof.sources.records import from_tables
+from wareproof.streaming import changes
 
 
 def plan_of(df):
@@ -111,3 +114,25 @@ def test_a_full_scan_that_only_counts_stores_no_findings(spark, monkeypatch):
     monkeypatch.setattr(queries, "scan", lambda made, ctx, *a, **over: asked.append(over) or scan(made, ctx, ["no_tags"], **over))
     counts = queries.QUERIES["full_scan_all"](spark, "/root/testdata/sf0.001")
     assert asked == [{}] and {r.rule_id for r in counts.collect()} == {"no_tags"}
+
+
+def test_more_files_of_events_make_no_more_batches(spark, tmp_path):
+    given = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    given.repartition(6).write.parquet(f"{tmp_path}/sf/events.parquet")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    try:
+        events = queries._event_stream(spark, f"{tmp_path}/sf")
+        changes.pending_stream(events, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "out").glob("batch=*"))) <= 4
+    assert changes.pending(spark, f"{tmp_path}/out").count() == given.select("user_id").distinct().count()
+
+
+def test_covered_ids_that_were_not_asked_for_do_not_move(spark, tmp_path):
+    spark.range(50_000).select(F.lit("t").alias("tenant"), F.col("id").cast("string").alias("product_id")).write.parquet(f"{tmp_path}/covered")
+    spark.createDataFrame([("t", "7"), ("t", "8"), ("t", "x")], "tenant string, product_id string").write.parquet(f"{tmp_path}/ids")
+    covered, ids = spark.read.parquet(f"{tmp_path}/covered"), spark.read.parquet(f"{tmp_path}/ids")
+    found = added_deleted(ids, covered, ids.filter("product_id <> '8'"))
+    assert {tuple(r) for r in found.collect()} == {("t", "8", "deleted"), ("t", "x", "added")}
+    assert re.search(r"BroadcastHashJoin \[tenant.*LeftSemi", plan_of(found))
