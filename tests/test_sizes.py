@@ -77,6 +77,17 @@ def test_variants_move_once_to_their_siblings(flat):
     assert shuffles(found) <= 3
 
 
+def test_siblings_do_not_move_for_a_weight(flat):
+    items, variants = flat
+    variants = variants.withColumn("inventory_item_id", F.concat(F.lit("i"), "id"))
+    found = row_findings(from_tables(items, variants), Context(limits=Limits(as_of=F.lit("2024-01-01").cast("timestamp"))), ["missing_weight", "negative_inventory"])
+    assert "Window" not in plan_of(found)
+    want = facts_by_hand(variants)
+    light = {r.id: r.product_id for r in variants.filter("weight = 0 and product_id is not null").collect()}
+    got = {r.variant_id: (r.product_id, r.suggested) for r in found.filter("rule_id = 'missing_weight'").select("variant_id", "product_id", "edit.suggested").collect()}
+    assert got == {v: (item, "" if want[item][3] is None else str(int(want[item][3]))) for v, item in light.items()}
+
+
 def test_counted_findings_have_no_texts_made(flat):
     items, variants = flat
     found = row_findings(from_tables(items, variants), Context(limits=Limits(as_of=F.lit("2024-01-01").cast("timestamp"))), ["price_outlier", "barcode_invalid"])
