@@ -10,6 +10,7 @@ from wareproof.functions.numeric import gtin_valid, int_div
 from wareproof.operators import spelling
 from wareproof.operators.incremental import added_deleted
 from wareproof.operators.item_checks import Limits
+from wareproof.operators.profile import ending_facts, price_endings
 from wareproof.plans import queries
 from wareproof.plans.scan import Context, row_findings, scan
 from wareproof.sources.lines import numbered_lines
@@ -88,6 +89,18 @@ def test_siblings_do_not_move_for_a_weight(flat):
     assert got == {v: (item, "" if want[item][3] is None else str(int(want[item][3]))) for v, item in light.items()}
 
 
+def test_price_endings_are_counted_in_one_pass_that_sorts_nothing(spark, tmp_path):
+    rows = [("a", 5, 2, "1.50"), ("a", 5, 1, "2.25"), ("a", 7, 0, "3.25"), ("a", 7, 1, "4.50"), ("a", 9, 0, None), ("b", 1, 0, "0.00"), ("c", 1, 0, "8.75")]
+    spark.createDataFrame(rows, "tenant string, pos bigint, variant_pos bigint, price string").withColumn(
+        "price", F.col("price").cast("decimal(18,2)")).write.parquet(f"{tmp_path}/variants")
+    variants = spark.read.parquet(f"{tmp_path}/variants")
+    facts = ending_facts(variants)
+    assert plan_of(facts).count("FileScan") == 1
+    assert not [line for line in plan_of(facts).splitlines() if "SortAggregate" in line and "min(" in line]
+    assert {(r.tenant, r.n_variants_all, r.price_ending) for r in facts.collect()} == {("a", 5, "99"), ("b", 1, "99"), ("c", 1, "99")}
+    assert {tuple(r) for r in price_endings(variants, min_priced=1).collect()} == {("a", "25"), ("c", "75")}
+
+
 def test_counted_findings_have_no_texts_made(flat):
     items, variants = flat
     found = row_findings(from_tables(items, variants), Context(limits=Limits(as_of=F.lit("2024-01-01").cast("timestamp"))), ["price_outlier", "barcode_invalid"])
