@@ -78,6 +78,20 @@ def test_variants_move_once_to_their_siblings(flat):
     assert shuffles(found) <= 3
 
 
+def test_fields_that_nobody_asks_for_are_not_read(spark, flat, tmp_path):
+    items, variants = flat
+    variants.withColumns({"barcode": F.lit("b"), "cost": F.lit("1.5")}).write.parquet(f"{tmp_path}/variants")
+    asked = from_tables(items, spark.read.parquet(f"{tmp_path}/variants")).variants.select("id", "price", "cost", "n_variants", "sib_median_cents")
+    read = {c for schema in re.findall(r"ReadSchema: struct<([^>]*)>", plan_of(asked)) for c in re.findall(r"(\w+):", schema)}
+    assert {"id", "price", "cost"} <= read and not read & {"sku", "barcode", "requires_shipping", "tracked"}
+
+
+def test_variants_are_sorted_by_item_first(flat):
+    items, variants = flat
+    sorts = re.findall(r"Sort \[(\w+)#\d+ ASC NULLS FIRST, (\w+)#", plan_of(from_tables(items, variants).variants.select("id", "price", "sib_priced")))
+    assert ("product_id", "tenant") in sorts and ("tenant", "product_id") not in sorts
+
+
 def test_siblings_do_not_move_for_a_weight(flat):
     items, variants = flat
     variants = variants.withColumn("inventory_item_id", F.concat(F.lit("i"), "id"))
