@@ -6,8 +6,9 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
-from wareproof.functions.numeric import gtin_valid, int_div
-from wareproof.operators import spelling
+from wareproof.functions import text as tx
+from wareproof.functions.numeric import as_one_number, gtin_valid, int_div, least_as_one_number
+from wareproof.operators import generic, spelling
 from wareproof.operators.incremental import added_deleted
 from wareproof.operators.item_checks import Limits
 from wareproof.operators.profile import ending_facts, price_endings
@@ -129,6 +130,75 @@ def test_digits_of_a_barcode_are_cleaned_once(spark):
     assert [r[0] for r in rows.select(gtin_valid(F.col("barcode"))).collect()] == [True, False, True, None, None]
 
 
+def generators(df):
+    """The lines of the optimized plan that make rows out of arrays."""
+    return [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate " in line]
+
+
+def test_checks_are_made_in_a_projection_not_in_the_generator(flat):
+    items, variants = flat
+    found = row_findings(from_tables(items, variants), Context(limits=Limits(as_of=F.lit("2024-01-01").cast("timestamp"))), ["price_outlier", "barcode_invalid"])
+    made = generators(found.groupBy("rule_id").count())
+    assert made and not [line for line in made if "CASE WHEN" in line]
+
+
+def test_words_are_made_in_a_projection_not_in_the_generator(flat):
+    items, variants = flat
+    words = spelling.candidate_words(from_tables(items.withColumn("description_html", F.lit("Some wurds, don't we")), variants).items)
+    made = generators(words)
+    assert len(made) == 2 and not [line for line in made if "regexp" in line]
+    assert {r.word for r in words.collect()} == {"Item", "wurds", "don't"}
+
+
+def test_long_words_are_those_of_all_words_that_are_long(spark):
+    texts = ["it's a 'quoted' text''s x'y ab'c d'e'f", "abc abcd 'abc abc' a1bcde", "", None, "\u00e9cole Stra\u00dfe"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    long = F.filter(spelling.words_of(F.col("t")), lambda w: F.length(w) >= spelling.MIN_WORD)
+    for r in rows.select("t", long.alias("want"), spelling.long_words_of(F.col("t")).alias("got")).collect():
+        assert r.got == r.want, r.t
+
+
+def test_units_of_two_positions_are_counted_without_sorting(spark):
+    rows = spark.createDataFrame(
+        [("t", 2, 0, "KILOGRAMS", 1.0), ("t", 1, 5, "POUNDS", 2.0), ("t", 1, 4, "GRAMS", 3.0), ("t", 3, 0, "OUNCES", 4.0)] * 3,
+        "tenant string, pos bigint, variant_pos bigint, unit string, weight double")
+    mixed = generic.mixed_unit(rows, "unit", "weight", ["pos", "variant_pos"], ["pos"], min_rows=1, share=25)
+    assert not [line for line in plan_of(mixed).splitlines() if "SortAggregate" in line and "min(" in line]
+    assert {r.majority_unit for r in mixed.collect()} == {"GRAMS"}
+
+
+def test_the_least_pair_of_short_and_long_numbers(spark):
+    pairs = [(3, 9), (3, 2**40), (2**31, 0), (2**31 - 1, 2**32 - 1), (-5, 7), (None, 8), (4, None), (4, 2**32), (2**62, -3), (0, 0)]
+    for i in range(len(pairs)):
+        for some in (pairs[i:], pairs[i:i + 1], pairs[:i + 1]):
+            rows = spark.createDataFrame(some, "a bigint, b bigint").coalesce(1)
+            got = rows.agg(least_as_one_number(F.col("a"), F.col("b")).alias("got"), F.min(as_one_number(F.col("a"), F.col("b"))).alias("want")).first()
+            assert got.got == got.want, some
+
+
+def test_ends_are_trimmed_alike_with_and_without_a_pattern(spark):
+    texts = ["a", " a", "a ", "\u00a0a b\u3000", "\ufeff", "", None, " ", "a \u0085", "\u0085 a", "a\n", "\ta\x0b", "\u00e9 ", "~!", "\x7f ", "\u200ax\u200b", "\U0001F389 "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    seen = rows.select(
+        "t", tx.js_trim(t).alias("a"), tx.trimmed(t).alias("b"), tx.is_blank(t).alias("c"), (~tx.blank_if_null(t).rlike(f"[^{tx._WS_BODY}]")).alias("d"),
+        F.regexp_replace(t, f"{tx.WS}|-", "").alias("e"), tx.without_spaces_and_hyphens(t).alias("f")).collect()
+    assert all((r.a, r.c, r.e) == (r.b, r.d, r.f) for r in seen)
+
+
+def test_check_digits_of_one_number_are_those_by_hand(spark):
+    def by_hand(code):
+        digits = re.sub(r"[\s-]", "", code)
+        if not re.fullmatch("[0-9]{12,14}", digits):
+            return None
+        padded = [int(c) for c in digits.rjust(14, "0")]
+        return (10 - sum(d * (3 if i % 2 == 0 else 1) for i, d in enumerate(padded[:13])) % 10) % 10 == padded[13]
+
+    codes = [str(7**k * 10**9 + k)[:n] for k in range(4, 40) for n in range(11, 16)] + [f"{n:0>14}" for n in range(0, 60)] + ["4006381-333931", "+12345678901", "12345678901.0"]
+    rows = spark.createDataFrame([(c,) for c in codes], "barcode string").select("barcode", gtin_valid(F.col("barcode")).alias("valid"))
+    assert {r.barcode: r.valid for r in rows.collect()} == {c: by_hand(c) for c in codes}
+
+
 def test_whole_quotients_are_made_of_whole_numbers(spark):
     rows = spark.createDataFrame([(7, 2), (-7, 2), (10**18 - 1, 20000)], "a bigint, b bigint")
     made = rows.select(int_div(F.col("a"), F.col("b")).alias("q"))
